@@ -33,8 +33,8 @@ LEAD = 64
 TOKEN = 8
 #: Places in a slice, above the bytes of any text.
 PLACES = 1 << 28
-#: Pieces of one anchor that one bucket compares; more of them are compared by hash across buckets.
-HOT = 1024
+#: Pieces of one anchor that one bucket compares, in at most about 200 MB; more of them are compared by hash across buckets.
+HOT = 8192
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -202,6 +202,7 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """For each row key with repeated strings: `row` and `spans`, the maximal runs of covered bytes (from, to), in order."""
     found = tx.stored(pieces(documents, length))
     groups = found.groupBy("lead").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
+    groups = tx.stored(groups)  # so that the join reads two plain exchanges, and a frequent anchor's partition can be split
     shared = tx.stored(found.join(groups, "lead"))
     alike = shared.where("w0 = w1").select("row", "a", "b")
     mixed = shared.where("w0 != w1")
