@@ -1,23 +1,443 @@
-"""All queries of the library by name, and their SQL."""
+"""All queries of the library by name, and their SQL. Each query applies one operator to tables that cover all documents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fixtures
+from chronoloom.operators import curation, dismantle, evaluate, graphs, incremental, scoring, splits
+from chronoloom.operators import documents as prep
+from chronoloom.operators.llm_json import parse_llm_json
+
+from .fixtures import Tables, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["timeline_events"](spark, sf_dir)
+def query(name: str, select: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Registers a function of the derived tables as a query, with its SQL."""
+
+    def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if select:
+            _SQL[name] = sql(select)
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Query]:
-    return {"timeline_events": fixtures.nodes}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"timeline_events": fixtures.NODES_SQL}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["ground_truth"](spark, sf_dir)
+
+
+def long(c: str) -> F.Column:
+    return F.col(c).cast("long").alias(c)
+
+
+def r6(c: str | F.Column, name: str | None = None) -> F.Column:
+    return F.round(c, 6).alias(name or c)
+
+
+# documents
+
+query("graph_nodes", "SELECT doc_id, event_no, event_id, text FROM nodes")(lambda t: t.nodes)
+query("timeline_events", "SELECT doc_id, event_no, event_id FROM nodes")(lambda t: t.nodes.select("doc_id", "event_no", "event_id"))
+query("graph_edges", "SELECT doc_id, i, j, 'causal' AS edge_type FROM causal UNION ALL SELECT doc_id, i, j, 'temporal' FROM temporal")(
+    lambda t: t.causal.withColumn("edge_type", F.lit("causal")).unionByName(t.temporal.withColumn("edge_type", F.lit("temporal")))
+)
+query("extract_doc_id", "SELECT doc_id, regexp_extract(trim(doc_name), '^([A-Z]+[0-9]+)', 1) AS name_id FROM docs")(lambda t: t.docs.select("doc_id", prep.extract_doc_id(F.concat(F.lit(" "), "doc_name")).alias("name_id")))
+query("event_id_num", "SELECT doc_id, event_no, CASE WHEN event_no % 5 = 0 THEN 1000000000 ELSE event_no END AS num FROM nodes")(
+    lambda t: t.nodes.select("doc_id", "event_no", prep.event_id_num(F.when(F.col("event_no") % 5 == 0, F.concat("event_id", F.lit("x"))).otherwise(F.col("event_id"))).alias("num"))
+)
+
+
+def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.documents.where("doc_id % 7 != 0").select("doc_id", "text"), t.documents.where("doc_id % 5 != 0").select("doc_id", "text")
+
+
+@query("build_documents", "SELECT d.doc_id AS doc_name, length(d.text)::BIGINT AS n_chars, (SELECT count(*) FROM nodes n WHERE n.doc_id = d.doc_id)::BIGINT AS n_events FROM documents d WHERE d.doc_id % 7 <> 0 AND d.doc_id % 5 <> 0")
+def build_documents(t: Tables) -> DataFrame:
+    return prep.build_documents(*_sides(t)).select("doc_name", F.char_length("doc_text").cast("long").alias("n_chars"), F.size("events").cast("long").alias("n_events"))
+
+
+query("build_summary", "SELECT 'cleaned_count' AS what, count(*)::BIGINT AS n, NULL::BIGINT AS doc_id FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'timeline_count', count(*), NULL FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'written_docs', count(*), NULL FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT 'missing_in_timeline', 1, doc_id FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0 UNION ALL SELECT 'missing_in_cleaned', 1, doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0")(
+    lambda t: prep.build_summary(*_sides(t)).select("what", "n", F.col("doc_id").cast("long").alias("doc_id"))
+)
+
+
+@query("validate_documents", "SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 0 THEN 'blank name' WHEN d.doc_id % 13 = 0 THEN 'blank text' WHEN s.n IS NULL THEN 'no events' WHEN d.doc_id % 17 = 0 THEN 'bad event id' END AS error, coalesce(s.n, 0)::BIGINT AS n_events FROM documents d LEFT JOIN sized s ON s.doc_id = d.doc_id")
+def validate_documents(t: Tables) -> DataFrame:
+    named = t.documents.join(prep.events_map(t.nodes.withColumn("event_id", F.when((F.col("doc_id") % 17 == 0) & (F.col("event_no") == 1), "Q1").otherwise(F.col("event_id")))), "doc_id", "left")
+    rows = named.select(F.when(F.col("doc_id") % 11 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(":"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "source")).alias("tag"), F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.col("doc_id").cast("string")).alias("doc_name"), F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("text")).alias("doc_text"), "events", "doc_id")
+    checked = prep.validate_documents(rows.select("doc_name", "doc_text", "events"))
+    return checked.select(F.col("doc_name"), "error", F.size("event_list").cast("long").alias("n_events")).where("doc_name != ''").select(F.col("doc_name").cast("long").alias("doc_id"), "error", "n_events").unionByName(
+        rows.where("doc_id % 11 = 0").select("doc_id", F.lit("blank name").alias("error"), F.greatest(F.lit(0), F.coalesce(F.size("events"), F.lit(0))).cast("long").alias("n_events"))
+    )
+
+
+query("forward_pairs", "SELECT a.doc_id, a.event_no AS i, b.event_no AS j FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no < b.event_no")(lambda t: prep.forward_pairs(t.nodes))
+query("text_list_hash", "SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY event_no)) AS hash FROM nodes GROUP BY doc_id")(lambda t: prep.text_list_hash(t.nodes))
+query("source_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")(lambda t: t.documents.select("doc_id", prep.source_hash(F.encode("text", "utf-8")).alias("hash")))
+query("estimate_tokens", "SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 0 ELSE greatest(1, ceil(strlen(text) / 3.2::DOUBLE)) END::BIGINT AS n_tokens FROM documents")(lambda t: t.documents.select("doc_id", prep.estimate_tokens("text").alias("n_tokens")))
+query("estimate_chat_tokens", "SELECT conv_id, (12 + sum(6 + ceil(strlen(role) / 3.2::DOUBLE) + CASE WHEN strlen(text) = 0 THEN 0 ELSE ceil(strlen(text) / 3.2::DOUBLE) END))::BIGINT AS n_tokens FROM conversations GROUP BY conv_id")(
+    lambda t: t.read("conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("m")).select("conv_id", prep.estimate_chat_tokens("m").alias("n_tokens"))
+)
+query("usage_total_tokens", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id + 1 WHEN event_id % 3 = 1 THEN NULLIF(user_id + event_id % 50, 0) END::BIGINT AS n_tokens FROM events")(
+    lambda t: t.read("events").select("event_id", prep.usage_total_tokens(F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.col("user_id") + 1).otherwise(0).alias("total_tokens"), F.when(F.col("event_id") % 3 == 1, F.col("user_id")).alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens")))).alias("n_tokens"))
+)
+query("render_template", "SELECT doc_id, 'Doc ' || doc_name || ' in ' || doc_name || ' #' || doc_id AS body FROM docs")(
+    lambda t: t.docs.select("doc_id", prep.render_template(F.lit("Doc {{NAME}} in {{NAME}} #{{ID}}"), {"NAME": F.col("doc_name"), "ID": F.col("doc_id").cast("string")}).alias("body"))
+)
+query("expert_prompts")(lambda t: prep.expert_prompts(t.documents, t.nodes, t.proposals.select("doc_id", "i", "j").distinct()))
+query("judge_prompts")(lambda t: prep.judge_prompts(t.nodes, t.answers))
+
+
+@query("parse_llm_json")
+def parse(t: Tables) -> DataFrame:
+    """Answers as models write them: bare, fenced, behind thoughts, inside prose, cut off, with braces in strings."""
+    rows = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("edge"), "ordinal"), F.array(F.col("i").cast("string"), F.col("j").cast("string"), "label", F.lit('say {"x"} [')))))))
+    said = t.answers.where("expert = 'discourse'").groupBy("doc_id").agg(rows.alias("j"))
+    kind = F.col("doc_id") % 6
+    raw = F.when(kind == 0, F.col("j")).when(kind == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(kind == 2, F.concat(F.lit("<think>{bad</think>"), "j")).when(kind == 3, F.concat(F.lit("Here: "), "j", F.lit(" done"))).when(kind == 4, F.expr("substring(j, 1, length(j) - 2)")).otherwise(F.concat(F.lit('note "{" '), "j"))
+    return said.select("doc_id", parse_llm_json(raw).alias("parsed"))
+
+
+# curation
+
+query("normalize_edges", "SELECT doc_id, expert, i, j, ordinal FROM proposals UNION ALL SELECT doc_id, expert, i, j, ordinal + 1000000000 FROM proposals WHERE doc_id % 10 = 0")(lambda t: curation.normalize_edges(t.raw_proposals, t.nodes).select("doc_id", "expert", "i", "j", "ordinal"))
+query("dedupe_edges", "SELECT doc_id, expert, i, j, row_number() OVER (PARTITION BY doc_id, expert ORDER BY i, j)::BIGINT AS rank FROM proposals")(lambda t: curation.dedupe_edges(curation.normalize_edges(t.raw_proposals, t.nodes), ("expert",)).select("doc_id", "expert", "i", "j", "rank"))
+
+
+@query("normalize_proposals", "SELECT doc_id, expert, i, j, row_number() OVER (PARTITION BY doc_id, expert ORDER BY ordinal) - 1 AS ordinal FROM proposals")
+def normalize_proposals(t: Tables) -> DataFrame:
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "i", "j"))), lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j")))
+    said = t.proposals.groupBy("doc_id", "expert").agg(rows.alias("rows"))
+    even = F.col("doc_id") % 2 == 0
+    return curation.normalize_proposals(said.select("doc_id", "expert", F.when(even, F.col("rows")).alias("edges"), F.when(~even, F.col("rows")).alias("causal_edges"))).select("doc_id", "expert", "i", "j", "ordinal")
+
+
+def _classified(t: Tables) -> DataFrame:
+    return curation.classify_proposals(t.answers, t.proposals)
+
+
+def _pool(t: Tables) -> DataFrame:
+    rows = _classified(t).where("kind = 'causal'")
+    return curation.candidate_pool(rows.withColumn("expert_no", F.when(F.col("expert") == "discourse", 2).otherwise(3)))
+
+
+def _verdicts(t: Tables) -> DataFrame:
+    return curation.judge_verdicts(t.verdict_rows, _pool(t))
+
+
+query("classify_proposals", "SELECT doc_id, expert, i, j, kind FROM classified")(lambda t: _classified(t).select("doc_id", "expert", "i", "j", "kind"))
+query("candidate_pool", "SELECT doc_id, i, j, supporters, n_supporters FROM pool")(lambda t: _pool(t).select("doc_id", "i", "j", F.array_join("supporters", ",").alias("supporters"), "n_supporters"))
+query("allowed_keys", "SELECT doc_id, i, j FROM keys")(lambda t: curation.allowed_keys(t.proposals))
+query("experts_agree", "SELECT k.doc_id, coalesce(bool_and(n = 2), true) AS agreed FROM (SELECT DISTINCT doc_id FROM keys) k LEFT JOIN (SELECT doc_id, i, j, count(*) AS n FROM classified WHERE kind = 'causal' GROUP BY ALL) c ON c.doc_id = k.doc_id GROUP BY k.doc_id")(
+    lambda t: curation.experts_agree(_classified(t), t.answers.select("doc_id", "expert"))
+)
+query("judge_verdicts", "SELECT doc_id, i, j, verdict, reason, supporters FROM verdicts")(lambda t: _verdicts(t).withColumn("supporters", F.array_join("supporters", ",")))
+query("llm_temporal_edges", "SELECT doc_id, i, j, min(p)::BIGINT AS priority, j - i AS span FROM (SELECT doc_id, i, j, 0 AS p FROM verdicts WHERE verdict = 'temporal' UNION ALL SELECT doc_id, i, j, CASE WHEN expert = 'discourse' THEN 1 ELSE 2 END FROM classified WHERE kind = 'temporal') x GROUP BY doc_id, i, j")(
+    lambda t: curation.llm_temporal_edges(_verdicts(t), _classified(t))
+)
+query("merge_edge_types", "SELECT doc_id, i, j FROM edges")(lambda t: curation.merge_edge_types(t.causal, t.temporal, t.nodes))
+query("typed_edges", "SELECT doc_id, src, dst, rel FROM typed")(lambda t: curation.typed_edges(t.causal, t.temporal))
+query("discussion_summary", "SELECT doc_id, string_agg(expert || ': causal ' || coalesce(c, 'none') || '; temporal ' || coalesce(p, 'none'), chr(10) ORDER BY part, expert) AS summary FROM (SELECT k.doc_id, 0 AS part, k.expert, string_agg(CASE WHEN x.kind = 'causal' THEN x.i || '->' || x.j END, ', ' ORDER BY x.i, x.j) AS c, string_agg(CASE WHEN x.kind = 'temporal' THEN x.i || '->' || x.j END, ', ' ORDER BY x.i, x.j) AS p FROM (SELECT DISTINCT doc_id, e.expert FROM keys, (VALUES ('discourse'), ('commonsense')) e(expert)) k LEFT JOIN classified x ON x.doc_id = k.doc_id AND x.expert = k.expert GROUP BY k.doc_id, k.expert UNION ALL SELECT doc_id, 1, 'judge', string_agg(CASE WHEN verdict = 'kept' THEN i || '->' || j END, ', ' ORDER BY i, j), string_agg(CASE WHEN verdict = 'temporal' THEN i || '->' || j END, ', ' ORDER BY i, j) FROM verdicts GROUP BY doc_id) y GROUP BY doc_id")(
+    lambda t: curation.discussion_summary(_classified(t), _verdicts(t), t.answers.select("doc_id", "expert").distinct())
+)
+query("document_status", "SELECT d.doc_id, CASE WHEN v.n_pool IS NULL THEN 'empty_pool' WHEN e.n_final IS NULL THEN 'no_edges' ELSE 'done' END AS status, coalesce(n_pool, 0)::BIGINT AS n_pool, coalesce(n_kept, 0)::BIGINT AS n_kept, coalesce(n_final, 0)::BIGINT AS n_final FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_pool, count(*) FILTER (WHERE verdict = 'kept') AS n_kept FROM verdicts GROUP BY doc_id) v ON v.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n_final FROM edges GROUP BY doc_id) e ON e.doc_id = d.doc_id")(
+    lambda t: curation.document_status(t.documents, _verdicts(t), t.edges)
+)
+
+# temporal repair
+
+MIN_SIM = 0.2
+query("pair_similarity", "SELECT doc_id, i, j, round(sim, 6) AS sim FROM pair_sims")(lambda t: graphs.pair_similarity(t.vectors).withColumn("sim", F.round("sim", 6)))
+query("similarity_candidates", f"SELECT doc_id, i, j, round(sim, 6) AS sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, j - i, i)::BIGINT AS rank FROM pair_sims WHERE sim >= {MIN_SIM}")(
+    lambda t: graphs.similarity_candidates(graphs.pair_similarity(t.vectors), MIN_SIM)
+)
+
+
+@query("add_temporal_edges")
+def add_temporal_edges(t: Tables) -> DataFrame:
+    sims = graphs.pair_similarity(t.vectors)
+    return graphs.add_temporal_edges(t.causal, curation.llm_temporal_edges(_verdicts(t), _classified(t)), graphs.similarity_candidates(sims, MIN_SIM), sims)
+
+
+@query("complete_temporal")
+def complete_temporal(t: Tables) -> DataFrame:
+    sims = graphs.pair_similarity(t.vectors)
+    return graphs.complete_temporal(t.nodes, t.causal, curation.llm_temporal_edges(_verdicts(t), _classified(t)), graphs.similarity_candidates(sims, MIN_SIM), sims)
+
+
+query("transitive_reduction", "SELECT t.doc_id, t.i, t.j FROM temporal t WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN closure c ON c.doc_id = e.doc_id AND c.i = e.j WHERE e.doc_id = t.doc_id AND e.i = t.i AND c.j = t.j)")(lambda t: graphs.transitive_reduction(t.causal, t.temporal))
+query("connect_isolated", "SELECT doc_id, i, j FROM (SELECT n.doc_id, CASE WHEN n.event_no = 1 THEN 1 ELSE n.event_no - 1 END AS i, CASE WHEN n.event_no = 1 THEN 2 ELSE n.event_no END AS j FROM degree n JOIN sized s ON s.doc_id = n.doc_id WHERE n.in_degree + n.out_degree = 0 AND s.n > 1) x GROUP BY doc_id, i, j")(lambda t: graphs.connect_isolated(t.nodes, t.edges))
+query("connected_components", "SELECT doc_id, event_no, component, min(component) OVER (PARTITION BY doc_id) = max(component) OVER (PARTITION BY doc_id) AS all_connected FROM component")(lambda t: graphs.connected_components(t.nodes, t.edges))
+query("bridge_components", "SELECT DISTINCT doc_id, 1::BIGINT AS i, component AS j FROM component WHERE component > 1")(lambda t: graphs.bridge_components(t.nodes, t.edges))
+query("path_exists", "SELECT n.doc_id, n.i AS s, n.j AS t, c.i IS NOT NULL AS found FROM near n LEFT JOIN closure c ON c.doc_id = n.doc_id AND c.i = n.i AND c.j = n.j UNION ALL SELECT doc_id, event_no, event_no, true FROM nodes")(
+    lambda t: graphs.path_exists(graphs.reachable_pairs(t.edges), t.near(5).select("doc_id", F.col("i").alias("s"), F.col("j").alias("t")).unionByName(t.nodes.select("doc_id", F.col("event_no").alias("s"), F.col("event_no").alias("t"))))
+)
+
+# features
+
+query("graph_sizes", "SELECT s.doc_id, s.n AS n_nodes, coalesce(e.c, 0)::BIGINT AS n_edges, coalesce(a.c, 0)::BIGINT AS n_causal, coalesce(b.c, 0)::BIGINT AS n_temporal FROM sized s LEFT JOIN (SELECT doc_id, count(*) c FROM edges GROUP BY 1) e USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) c FROM causal GROUP BY 1) a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) c FROM temporal GROUP BY 1) b USING (doc_id)")(lambda t: graphs.graph_sizes(t.nodes, t.causal, t.temporal))
+query("degrees", "SELECT doc_id, event_no, in_degree, out_degree, in_degree + out_degree AS degree FROM degree")(lambda t: graphs.degrees(t.nodes, t.edges))
+query("two_hop_counts", "SELECT doc_id, event_no, pred_two_hop, succ_two_hop FROM hops")(lambda t: graphs.two_hop_counts(t.nodes, t.edges))
+query("three_hop_counts", "SELECT doc_id, event_no, pred_three_hop, succ_three_hop FROM hops")(lambda t: graphs.three_hop_counts(t.nodes, t.edges))
+query("reach_local_proxy", "SELECT doc_id, event_no, pred_two_hop * succ_two_hop AS reach_local_proxy FROM hops")(lambda t: graphs.reach_local_proxy(graphs.two_hop_counts(t.nodes, t.edges)))
+query("sole_counts", "SELECT doc_id, event_no, succ_sole_count, pred_sole_count FROM side_sums")(lambda t: graphs.sole_counts(t.nodes, t.edges, graphs.degrees(t.nodes, t.edges)))
+query("inv_degree_sums", "SELECT doc_id, event_no, round(pred_inv_degree_sum, 6) AS pred_inv_degree_sum, round(succ_inv_degree_sum, 6) AS succ_inv_degree_sum FROM side_sums")(
+    lambda t: graphs.inv_degree_sums(t.nodes, t.edges, graphs.degrees(t.nodes, t.edges)).select("doc_id", "event_no", r6("pred_inv_degree_sum"), r6("succ_inv_degree_sum"))
+)
+
+
+def _scaled(c: str) -> str:
+    low, high = (f"{f}({c}) OVER (PARTITION BY doc_id)" for f in ("min", "max"))
+    return f"round(CASE WHEN abs({high} - {low}) <= 1e-9 * greatest(abs({high}), abs({low})) THEN 0 ELSE ({c} - {low}) / ({high} - {low})::DOUBLE END, 6) AS {c}"
+
+
+query("node_features", f"SELECT doc_id, event_no, {', '.join(_scaled(c) for c in graphs.FEATURES)} FROM features")(lambda t: graphs.node_features(t.nodes, t.edges).select("doc_id", "event_no", *[r6(c) for c in graphs.FEATURES]))
+query("minmax_by_doc", f"SELECT doc_id, event_no, {_scaled('score')} FROM topo")(lambda t: graphs.minmax_by_doc(t.scores("topo"), ["score"]).select("doc_id", "event_no", r6("score")))
+query("reachable_pairs", "SELECT doc_id, i, j FROM closure")(lambda t: graphs.reachable_pairs(t.edges))
+query("reachable_counts", "SELECT s.doc_id, coalesce(c.c, 0)::BIGINT AS n_pairs FROM sized s LEFT JOIN (SELECT doc_id, count(*) c FROM closure GROUP BY 1) c USING (doc_id)")(lambda t: graphs.reachable_counts(t.nodes, graphs.reachable_pairs(t.edges)))
+query("lineage", "SELECT doc_id, i AS anchor, j AS event_no, 'descendant' AS side FROM closure WHERE i % 4 = 1 UNION ALL SELECT doc_id, j, i, 'ancestor' FROM closure WHERE j % 4 = 1 UNION ALL SELECT doc_id, event_no, event_no, s.side FROM nodes, (VALUES ('descendant'), ('ancestor')) s(side) WHERE event_no % 4 = 1")(
+    lambda t: graphs.lineage(graphs.reachable_pairs(t.edges), t.nodes.where("event_no % 4 = 1").select("doc_id", F.col("event_no").alias("anchor")))
+)
+
+# dismantling
+
+query("minimal_removal_sets")(lambda t: dismantle.minimal_removal_sets(t.nodes, t.edges).select("doc_id", "set_no", F.array_join("members", ",").alias("members"), "k", "original_pairs", "final_pairs"))
+query("greedy_removal")(lambda t: dismantle.greedy_removal(t.nodes, t.edges))
+query("removal_frequency", "SELECT doc_id, event_no, c0 FROM c0")(lambda t: dismantle.removal_frequency(t.nodes, t.removal_sets))
+query("member_labels", "SELECT doc_id, event_no, CASE WHEN c0 > 1e-9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS member FROM c0")(lambda t: dismantle.member_labels(dismantle.removal_frequency(t.nodes, t.removal_sets)).select("doc_id", "event_no", "member"))
+query("neighbor_propagation", "SELECT doc_id, event_no, round(s_nd, 6) AS s_nd FROM s_nd")(lambda t: dismantle.neighbor_propagation(t.nodes, t.edges, dismantle.removal_frequency(t.nodes, t.removal_sets)).select("doc_id", "event_no", r6("s_nd")))
+
+
+@query("tier_rank_labels", "SELECT doc_id, event_no, round(CASE WHEN m THEN 0.7 + 0.3 * share ELSE 0.3 * share END, 6) AS rank_label FROM (SELECT doc_id, event_no, m, (rank() OVER (PARTITION BY doc_id, m ORDER BY round(CASE WHEN m THEN c0 ELSE s_nd END, 9), d, CASE WHEN m THEN p ELSE 0 END))::DOUBLE / count(*) OVER (PARTITION BY doc_id, m) AS share FROM (SELECT c.doc_id, c.event_no, c.c0 > 1e-9 AS m, c.c0, s.s_nd, g.in_degree + g.out_degree AS d, h.pred_two_hop * h.succ_two_hop AS p FROM c0 c JOIN s_nd s USING (doc_id, event_no) JOIN degree g USING (doc_id, event_no) JOIN hops h USING (doc_id, event_no)) x) y")
+def tier_rank_labels(t: Tables) -> DataFrame:
+    c0 = dismantle.removal_frequency(t.nodes, t.removal_sets)
+    key = ["doc_id", "event_no"]
+    rows = c0.join(dismantle.neighbor_propagation(t.nodes, t.edges, c0), key).join(graphs.degrees(t.nodes, t.edges).select(*key, "degree"), key)
+    rows = rows.join(graphs.reach_local_proxy(graphs.two_hop_counts(t.nodes, t.edges)), key)
+    return dismantle.tier_rank_labels(rows).select(*key, r6("rank_label"))
+
+
+query("ground_truth")(lambda t: dismantle.ground_truth(t.nodes, t.edges)[0].select("doc_id", "event_no", r6("c0"), r6("s_nd"), "member", r6("rank_label")))
+
+# splits
+
+BANDS = "CASE WHEN n < 3 THEN 'skipped' WHEN n <= 30 THEN 'labeled' ELSE 'inference_only' END"
+
+
+def _sizes(t: Tables) -> DataFrame:
+    return t.sized.withColumnRenamed("n", "n_nodes")
+
+
+query("size_bands", f"SELECT doc_id, n AS n_nodes, {BANDS} AS band, n >= 3 AS scored FROM sized")(lambda t: splits.size_bands(_sizes(t)))
+query("train_test_split", "SELECT doc_id, split FROM split")(lambda t: splits.train_test_split(_sizes(t)))
+query("kfold", "SELECT doc_id, (ntile(4) OVER (ORDER BY md5('42:' || doc_id)) - 1)::BIGINT AS fold FROM sized")(lambda t: splits.kfold(_sizes(t), 4))
+query("split_manifest", f"SELECT b.doc_id, b.n_nodes, b.band, CASE WHEN b.band <> 'labeled' THEN b.band WHEN s.doc_id IS NULL THEN 'failed' WHEN s.r <= greatest(1, round_even(s.c * 0.2, 0)) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, n AS n_nodes, {BANDS} AS band FROM sized) b LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS r, count(*) OVER () AS c FROM sized WHERE n BETWEEN 3 AND 30 AND doc_id % 9 <> 0 AND doc_id % 8 <> 0) s ON s.doc_id = b.doc_id")(
+    lambda t: splits.split_manifest(_sizes(t), t.documents.where("doc_id % 9 != 0"), t.documents.where("doc_id % 8 = 0"))[0]
+)
+
+
+@query("assemble_samples", "SELECT n.doc_id, n.event_no, t.score AS f, s.score AS label FROM nodes n JOIN topo t USING (doc_id, event_no) JOIN sem s USING (doc_id, event_no) WHERE n.doc_id % 9 <> 0 AND EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = n.doc_id)")
+def assemble_samples(t: Tables) -> DataFrame:
+    f = t.scores("topo").select("doc_id", "event_no", F.col("score").alias("f"))
+    labels = t.scores("sem").where("doc_id % 9 != 0").select("doc_id", "event_no", F.col("score").alias("label"))
+    return splits.assemble_samples(f, labels, t.edges, t.sized)[0].select("doc_id", "event_no", "f", "label")
+
+
+query("attach_vectors", "SELECT doc_id, event_no, event_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM nodes JOIN vectors USING (doc_id, event_no)")(
+    lambda t: splits.attach_vectors(t.nodes, t.vectors)[0].select("doc_id", "event_no", "event_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+)
+U = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+query("drop_edges_by_type", f"SELECT doc_id, src, dst, rel FROM typed WHERE {U.format(chr(39) + '42:v2:' + chr(39) + ' || doc_id || ' + chr(39) + ':' + chr(39) + ' || src || ' + chr(39) + ':' + chr(39) + ' || dst || ' + chr(39) + ':' + chr(39) + ' || rel')} >= CASE WHEN rel <= 1 THEN 0.6 ELSE 0.1 END")(
+    lambda t: splits.drop_edges_by_type(curation.typed_edges(t.causal, t.temporal), {0: 0.6, 1: 0.6, 2: 0.1, 3: 0.1}, 42, "v2")
+)
+query("mask_vectors")(lambda t: splits.mask_vectors(t.vectors, view="v1a").select("doc_id", "event_no", F.size(F.filter("embedding", lambda x: x == 0)).alias("n_masked")))
+query("augmented_views")(lambda t: splits.augmented_views(curation.typed_edges(t.causal, t.temporal), t.vectors)[0].groupBy("view", "rel").agg(F.count("*").alias("n")))
+
+# scores and ranks
+
+query("competition_rank", "SELECT doc_id, event_id, rank() OVER (PARTITION BY doc_id ORDER BY score DESC)::BIGINT AS rank FROM tie")(lambda t: scoring.competition_rank(t.scores("tie")).select("doc_id", "event_id", "rank"))
+query("unique_rank", "SELECT doc_id, event_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, event_id)::BIGINT AS rank FROM tie")(lambda t: scoring.unique_rank(t.scores("tie")).select("doc_id", "event_id", "rank"))
+RICH = "sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))"
+query("richness", f"SELECT doc_id, event_no, round({RICH}, 6) AS rich FROM vectors")(lambda t: scoring.richness(t.vectors).select("doc_id", "event_no", r6("rich")))
+RARE = "SELECT v.doc_id, v.event_no, coalesce(1 - (SELECT avg(p.sim) FROM (SELECT doc_id, i, j, sim FROM pair_sims UNION ALL SELECT doc_id, j, i, sim FROM pair_sims) p WHERE p.doc_id = v.doc_id AND p.i = v.event_no), 0) AS rare FROM vectors v"
+query("rarity", f"SELECT doc_id, event_no, round(rare, 6) AS rare FROM ({RARE}) x")(lambda t: scoring.rarity(t.vectors).select("doc_id", "event_no", r6("rare")))
+
+
+def _span(c: str) -> str:
+    low, high = (f"{f}({c}) OVER (PARTITION BY doc_id)" for f in ("min", "max"))
+    return f"round(CASE WHEN {high} - {low} < 1e-8 THEN 0 ELSE ({c} - {low}) / ({high} - {low}) END, 4) AS {c}"
+
+
+query("semantic_scores", f"SELECT doc_id, event_no, {_span('score')}, {_span('rich')}, {_span('rare')} FROM (SELECT x.doc_id, x.event_no, {RICH} + 0.3 * x.rare AS score, {RICH} AS rich, x.rare FROM ({RARE}) x JOIN vectors USING (doc_id, event_no)) y")(
+    lambda t: scoring.semantic_scores(scoring.richness(t.vectors), scoring.rarity(t.vectors)).select("doc_id", "event_no", *[F.round(c, 4).alias(c) for c in ("score", "rich", "rare")])
+)
+query("semantic_ranking", "SELECT doc_id, event_no, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, event_no)::BIGINT AS rank FROM tie")(lambda t: scoring.semantic_ranking(t.scores("tie")).select("doc_id", "event_no", "rank"))
+query("scale_scores", "SELECT doc_id, event_no, round((score - avg(score) OVER w) / (coalesce(stddev_samp(score) OVER w, 0) + 1e-6), 6) AS z, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-6), 6) AS m, round(1 / (1 + exp(-score)), 6) AS s FROM topo WINDOW w AS (PARTITION BY doc_id)")(
+    lambda t: scoring.scale_scores(scoring.scale_scores(scoring.scale_scores(t.scores("topo"), "zscore").withColumnRenamed("scaled", "z"), "minmax").withColumnRenamed("scaled", "m"), "sigmoid").select("doc_id", "event_no", r6("z"), r6("m"), r6("scaled", "s"))
+)
+query("degree_norm", "SELECT doc_id, event_no, round(d / (max(d) OVER w + 1e-6), 6) AS a, round(ln(1 + d) / (max(ln(1 + d)) OVER w + 1e-6), 6) AS b, round(sqrt(d) / (max(sqrt(d)) OVER w + 1e-6), 6) AS c FROM (SELECT doc_id, event_no, greatest(1, in_degree + out_degree)::DOUBLE AS d FROM degree) x WINDOW w AS (PARTITION BY doc_id)")(
+    lambda t: scoring.degree_norm(scoring.degree_norm(scoring.degree_norm(graphs.degrees(t.nodes, t.edges), "max").withColumnRenamed("norm", "a"), "log").withColumnRenamed("norm", "b"), "sqrt").select("doc_id", "event_no", r6("a"), r6("b"), r6("norm", "c"))
+)
+
+
+def _combined(t: Tables) -> DataFrame:
+    return scoring.combined_scores(scoring.unique_rank(t.scores("topo")), scoring.semantic_ranking(t.scores("sem")))
+
+
+query("combined_scores", "SELECT doc_id, event_id, round(topo_score, 6) AS topo_score, round(sem_score, 6) AS sem_score, topo_rank, sem_rank, round(combined, 6) AS combined, row_number() OVER (PARTITION BY doc_id ORDER BY combined DESC, event_id)::BIGINT AS combined_rank FROM combined")(
+    lambda t: _combined(t).select("doc_id", "event_id", r6("topo_score"), r6("sem_score"), "topo_rank", "sem_rank", r6("combined"), "combined_rank")
+)
+query("key_node_table", "SELECT c.doc_id, c.event_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.combined DESC, c.event_id)::BIGINT AS combined_rank, CASE WHEN length(n.text) > 16 THEN substr(n.text, 1, 16) || '…' ELSE n.text END AS shown FROM combined c LEFT JOIN nodes n ON n.doc_id = c.doc_id AND n.event_id = c.event_id WHERE c.doc_id IN (SELECT doc_id FROM topo) AND c.doc_id IN (SELECT doc_id FROM sem)")(
+    lambda t: scoring.key_node_table(t.nodes, scoring.unique_rank(t.scores("topo")), scoring.semantic_ranking(t.scores("sem")))[0].select("doc_id", "event_id", "combined_rank", "shown")
+)
+query("reweight", "SELECT doc_id, event_id, w AS w_topo, row_number() OVER (PARTITION BY doc_id, w ORDER BY w * topo_score + (1 - w) * sem_score DESC, event_id)::BIGINT AS rank FROM combined, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) v(w)")(lambda t: scoring.reweight(_combined(t), [0.25, 0.75]).select("doc_id", "event_id", "w_topo", "rank"))
+query("score_color", "SELECT doc_id, event_no, format('#{:02x}{:02x}{:02x}', trunc(219 - 5 * score)::INT, trunc(238 - 199 * score)::INT, trunc(255 - 215 * score)::INT) AS color FROM topo")(lambda t: t.scores("topo").select("doc_id", "event_no", scoring.score_color("score").alias("color")))
+query("node_label", "SELECT doc_id, event_no, regexp_replace(event_id || ': ' || text, '(.{14})', '\\1' || chr(10), 'g') AS body FROM nodes WHERE length(event_id || ': ' || text) % 14 <> 0")(
+    lambda t: t.nodes.where(F.char_length(F.concat("event_id", F.lit(": "), "text")) % 14 != 0).select("doc_id", "event_no", F.regexp_replace(scoring.node_label(F.col("event_id"), F.col("text"), F.lit(0.5), F.lit(1)), "\n▲ 0.500 \\(#1\\)$", "").alias("body"))
+)
+query("strip_doc_suffix", "SELECT doc_id, substr(doc_name, 1, length(doc_name) - 4) AS stem FROM docs")(lambda t: t.docs.select("doc_id", scoring.strip_doc_suffix(F.regexp_replace("doc_name", "txt$", "TxT")).alias("stem")))
+query("score_profile", "SELECT doc_id, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(max(score) - min(score), 6) AS range, round(avg(CASE WHEN score = 0 THEN 1.0 ELSE 0 END), 6) AS share_zero, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0 END), 6) AS share_small, round(avg(CASE WHEN score > 0.95 THEN 1.0 ELSE 0 END), 6) AS share_large FROM topo GROUP BY doc_id")(
+    lambda t: scoring.score_profile(t.scores("topo")).select("doc_id", *[r6(c) for c in ("low", "high", "mean", "std", "range", "share_zero", "share_small", "share_large")])
+)
+query("mlp_scores")(lambda t: scoring.mlp_scores(graphs.node_features(t.nodes, t.edges), scoring.PARAMS["layers"]).select("doc_id", "event_no", r6("score")))
+
+
+def _h(t: Tables) -> DataFrame:
+    return t.scores("topo").select("doc_id", "event_no", F.array("score", F.lit(1) - F.col("score")).alias("x"))
+
+
+query("attention_aggregate", "SELECT n.doc_id, n.event_no, round(CASE WHEN coalesce(y, 0) >= 0 THEN coalesce(y, 0) ELSE 0.01 * y END, 6) AS y FROM nodes n LEFT JOIN (SELECT doc_id, j, sum(exp(CASE WHEN l >= 0 THEN l ELSE 0.2 * l END) * ws) / sum(exp(CASE WHEN l >= 0 THEN l ELSE 0.2 * l END)) AS y FROM (SELECT e.doc_id, e.j, a.wh AS ws, 0.5 * a.wh - 0.3 * b.wh AS l FROM edges e JOIN (SELECT *, 0.8 * score - 0.4 * (1 - score) AS wh FROM topo) a ON a.doc_id = e.doc_id AND a.event_no = e.i JOIN (SELECT *, 0.8 * score - 0.4 * (1 - score) AS wh FROM topo) b ON b.doc_id = e.doc_id AND b.event_no = e.j) q GROUP BY doc_id, j) z ON z.doc_id = n.doc_id AND z.j = n.event_no")(
+    lambda t: scoring.attention_aggregate(t.nodes, t.edges, _h(t), [0.8, -0.4], 0.5, -0.3).select("doc_id", "event_no", r6("y"))
+)
+query("influence_score", "SELECT t.doc_id, t.event_no, round(1 / (1 + exp(-(t.score * ((s + t.score) / (g.in_degree + 1)) + ln(1 + dd) / (md + 1e-6) + 0.6 * ((t.score + s) / (dd + 1)) + 0.1))), 6) AS score FROM topo t JOIN (SELECT *, greatest(1, in_degree + out_degree)::DOUBLE AS dd, max(ln(1 + greatest(1, in_degree + out_degree)::DOUBLE)) OVER (PARTITION BY doc_id) AS md FROM degree) g ON g.doc_id = t.doc_id AND g.event_no = t.event_no JOIN (SELECT n.doc_id, n.event_no, coalesce(sum(a.score), 0) AS s FROM nodes n LEFT JOIN edges e ON e.doc_id = n.doc_id AND e.j = n.event_no LEFT JOIN topo a ON a.doc_id = e.doc_id AND a.event_no = e.i GROUP BY ALL) q ON q.doc_id = t.doc_id AND q.event_no = t.event_no")(
+    lambda t: scoring.influence_score(t.nodes, t.edges, t.scores("topo").select("doc_id", "event_no", F.col("score").alias("y")), 0.6, 0.1).select("doc_id", "event_no", r6("score"))
+)
+
+
+@query("relation_attention")
+def relation_attention(t: Tables) -> DataFrame:
+    size = len(t.read("embeddings").select("embedding").first()[0])
+    k = np.arange(size)
+    proj = np.stack([np.cos(k), np.sin(k)], axis=1)
+    a = np.array([[0.3, -0.2], [0.1, 0.4], [-0.3, 0.2], [0.2, 0.2]])
+    out = scoring.relation_attention(t.vectors, curation.typed_edges(t.causal, t.temporal), proj, a, -a, np.array([0.5, 0.25]))
+    return out.select("doc_id", "event_no", *[F.round(F.col("y")[i], 6).alias(f"y{i}") for i in range(2)], *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(4)])
+
+
+query("score_graphs")(lambda t: scoring.score_graphs(t.nodes, t.edges).select("doc_id", "event_no", r6("score"), "rank"))
+
+# evaluation
+
+
+def _judged(t: Tables) -> DataFrame:
+    return t.scores("topo").join(t.scores("sem").select("doc_id", "event_no", F.col("score").alias("label")), ["doc_id", "event_no"])
+
+
+JUDGED = "(SELECT t.doc_id, t.event_no, t.event_id, t.score, s.score AS label FROM topo t JOIN sem s USING (doc_id, event_no))"
+query("kendall_tau", f"SELECT d.doc_id, round(coalesce(p.tau, 0), 6) AS tau FROM (SELECT DISTINCT doc_id FROM {JUDGED} q) d LEFT JOIN (SELECT a.doc_id, avg(sign(a.score - b.score) * sign(a.label - b.label)) AS tau FROM {JUDGED} a JOIN {JUDGED} b ON a.doc_id = b.doc_id AND a.event_no < b.event_no GROUP BY a.doc_id) p ON p.doc_id = d.doc_id")(lambda t: evaluate.kendall_tau(_judged(t)).select("doc_id", r6("tau")))
+query("mse_by_doc", f"SELECT doc_id, round(avg((score - label) * (score - label)), 6) AS mse FROM {JUDGED} q GROUP BY doc_id")(lambda t: evaluate.mse_by_doc(_judged(t)).select("doc_id", r6("mse")))
+query("confusion", f"SELECT tp, fp, fn, tn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM (SELECT count(*) FILTER (WHERE score > 0.7 AND label > 0.5) AS tp, count(*) FILTER (WHERE score > 0.7 AND label <= 0.5) AS fp, count(*) FILTER (WHERE score <= 0.7 AND label > 0.5) AS fn, count(*) FILTER (WHERE score <= 0.7 AND label <= 0.5) AS tn FROM {JUDGED} q) x")(
+    lambda t: evaluate.confusion(_judged(t).withColumnRenamed("label", "member")).select("tp", "fp", "fn", "tn", r6("precision"), r6("recall"), r6("f1"))
+)
+HITS = "(SELECT doc_id, max(hit) AS hit, CASE WHEN max(hit) > 0 THEN min(set_no) FILTER (WHERE hit = best) END AS set_no FROM (SELECT *, max(hit) OVER (PARTITION BY doc_id) AS best FROM (SELECT m.doc_id, m.set_no, count(*) FILTER (WHERE r.rank <= m.size) / max(m.size)::DOUBLE AS hit FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, set_no) AS size FROM set_members) m LEFT JOIN topo_ranked r ON r.doc_id = m.doc_id AND r.event_no = m.event_no GROUP BY m.doc_id, m.set_no) a) b GROUP BY doc_id)"
+query("best_set_hit", f"SELECT doc_id, round(hit, 6) AS hit, set_no FROM {HITS} h")(lambda t: evaluate.best_set_hit(t.scores("topo"), t.removal_sets).select("doc_id", r6("hit"), "set_no"))
+query("hit_summary", f"SELECT split, count(*) AS n, count(*) FILTER (WHERE hit = 1) AS n_full, count(*) FILTER (WHERE hit > 0) AS n_partial, count(*) FILTER (WHERE hit = 0) AS n_miss, round(100.0 * count(*) FILTER (WHERE hit = 1) / count(*), 6)::DOUBLE AS pct_full FROM (SELECT h.hit, v.split FROM {HITS} h JOIN split s USING (doc_id), (VALUES ('test'), ('train'), ('all')) v(split) WHERE v.split = s.split OR v.split = 'all') x GROUP BY split")(
+    lambda t: evaluate.hit_summary(evaluate.best_set_hit(t.scores("topo"), t.removal_sets), splits.train_test_split(_sizes(t))).select("split", "n", "n_full", "n_partial", "n_miss", r6("pct_full"))
+)
+query("rank_comparison", "SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DESC, s.event_id)::BIGINT AS true_rank, s.event_id, t.rank AS model_rank, round(coalesce(t.score, 0), 6) AS score FROM sem s JOIN split p ON p.doc_id = s.doc_id AND p.split = 'test' LEFT JOIN topo_ranked t ON t.doc_id = s.doc_id AND t.event_no = s.event_no")(
+    lambda t: evaluate.rank_comparison(t.scores("sem").select("doc_id", "event_id", F.col("score").alias("label")), t.scores("topo"), splits.train_test_split(_sizes(t)).where("split = 'test'")).select("doc_id", "true_rank", "event_id", "model_rank", r6("score"))
+)
+query("inference_ranking", "SELECT t.doc_id, t.event_id, round(t.score, 6) AS score, t.rank FROM topo_ranked t JOIN sized s ON s.doc_id = t.doc_id WHERE s.n > 30")(lambda t: evaluate.inference_ranking(t.scores("topo"), _sizes(t)).select("doc_id", "event_id", r6("score"), "rank"))
+
+
+def _folds(t: Tables) -> DataFrame:
+    """Evaluation of each fold and of two seeds' folds: loss, F1, tau, hits and counts of pairs of scores and labels."""
+    rows = _judged(t).withColumnRenamed("label", "member").withColumn("label", F.col("member"))
+    fold = splits.kfold(_sizes(t), 2)
+    out = None
+    for seed, kind in ((1, "topo"), (2, "tie")):
+        own = rows if kind == "topo" else t.scores("tie").join(t.scores("sem").select("doc_id", "event_no", F.col("score").alias("label")), ["doc_id", "event_no"]).withColumn("member", F.col("label"))
+        own = own.join(fold, "doc_id")
+        loss = own.groupBy("fold", "doc_id").agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("mse")).groupBy("fold").agg(F.avg("mse").alias("loss"))
+        tau = evaluate.kendall_tau(own).join(fold, "doc_id").groupBy("fold").agg(F.avg("tau").alias("tau"))
+        hits = evaluate.best_set_hit(own, t.removal_sets).join(fold, "doc_id").groupBy("fold").agg(F.count_if(F.col("hit") > 0).alias("hits"), F.count("*").alias("docs"))
+        one = evaluate.confusion(own, ["fold"]).join(loss, "fold").join(tau, "fold").join(hits, "fold").withColumn("seed", F.lit(seed))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query("fold_summary")(lambda t: evaluate.fold_summary(_folds(t).where("seed = 1")))
+query("seed_summary")(lambda t: evaluate.seed_summary(_folds(t)))
+query("view_agreement")(lambda t: evaluate.view_agreement(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b")).select(r6("invariance"), r6("variance"), r6("covariance"), r6("loss")))
+
+# incremental work and review
+
+
+def _sources(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.sha2("text", 256).alias("source_hash"))
+
+
+def _checkpoints(t: Tables) -> DataFrame:
+    return _sources(t).where("doc_id % 13 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "changed").otherwise(F.col("source_hash")).alias("source_hash"), (F.col("doc_id") % 5 != 0).alias("judge_done"))
+
+
+query("plan_resume", "SELECT doc_id, CASE WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN 'restart' WHEN doc_id % 5 <> 0 AND doc_id % 11 <> 0 THEN 'skip' ELSE 'continue' END AS action FROM documents")(lambda t: incremental.plan_resume(_sources(t), _checkpoints(t), t.documents.where("doc_id % 11 != 0")))
+query("pending_experts", "SELECT d.doc_id, e.round, e.expert FROM documents d, (VALUES (0, 'temporal'), (0, 'precondition'), (1, 'discourse'), (1, 'commonsense')) e(round, expert) WHERE NOT (d.doc_id % 3 = 0 AND e.round = 0) AND NOT (d.doc_id % 4 = 0 AND e.expert = 'discourse')")(
+    lambda t: incremental.pending_experts(
+        t.documents.select("doc_id", F.inline(F.array(*[F.struct(F.lit(r).alias("round"), F.lit(e).alias("expert")) for r, _, e, _ in prep.EXPERTS]))),
+        t.documents.select("doc_id", F.inline(F.array(*[F.struct(F.lit(r).alias("round"), F.lit(e).alias("expert")) for r, _, e, _ in prep.EXPERTS]))).where("(doc_id % 3 = 0 AND round = 0) OR (doc_id % 4 = 0 AND expert = 'discourse')"),
+    )
+)
+query("pending_outputs", "SELECT doc_id, CASE WHEN n < 3 THEN 'too_small' WHEN n > 30 THEN 'too_big' WHEN doc_id % 11 <> 0 THEN 'stored' ELSE 'pending' END AS state FROM sized")(lambda t: incremental.pending_outputs(_sizes(t), t.documents.where("doc_id % 11 != 0")))
+
+
+@query("embedding_cache_split", "SELECT doc_id, doc_id % 10 <> 0 AND doc_id % 6 <> 0 AND doc_id % 9 <> 0 AS hit FROM sized")
+def embedding_cache_split(t: Tables) -> DataFrame:
+    hashes = prep.text_list_hash(t.nodes)
+    meta = hashes.where("doc_id % 10 != 0").select("doc_id", F.when(F.col("doc_id") % 6 == 0, "changed").otherwise(F.col("hash")).alias("hash"), F.when(F.col("doc_id") % 9 == 0, "other").otherwise("model-a").alias("model_name"))
+    return incremental.embedding_cache_split(hashes, meta, "model-a")
+
+
+query("merge_vectors", "SELECT doc_id, event_no, doc_id % 3 = 0 AS is_fresh, round(CASE WHEN doc_id % 3 = 0 THEN 1 - score ELSE score END, 6) AS x FROM topo WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")(
+    lambda t: incremental.merge_vectors(t.scores("topo").where("doc_id % 2 = 0").withColumn("embedding", F.array("score")), t.scores("topo").where("doc_id % 3 = 0").withColumn("embedding", F.array(1 - F.col("score")))).select("doc_id", "event_no", "is_fresh", F.round(F.col("embedding")[0], 6).alias("x"))
+)
+query("review_diff", "SELECT doc_id, i, j, action, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN action = 'added' THEN 1 ELSE 0 END, i, j)::BIGINT AS record_no, CASE WHEN action = 'modified' THEN 'modified E' || i || ' -> E' || j || ': ' || ot || ' to ' || nt ELSE action || ' E' || i || ' -> E' || j || ' (' || coalesce(ot, nt) || ')' END AS summary FROM (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.i, n.i) AS i, coalesce(o.j, n.j) AS j, o.edge_type AS ot, n.edge_type AS nt, CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.doc_id IS NULL THEN 'added' WHEN o.edge_type <> n.edge_type THEN 'modified' END AS action FROM review_old o FULL JOIN review_new n ON o.doc_id = n.doc_id AND o.i = n.i AND o.j = n.j) x WHERE action IS NOT NULL")(
+    lambda t: incremental.review_diff(t.review_old, t.review_new, "2024-01-01 00:00:00").select("doc_id", "i", "j", "action", "record_no", "summary")
+)
+query("preserve_metadata", "SELECT n.doc_id, n.i, n.j, n.edge_type, coalesce(n.reason, o.reason) AS reason FROM review_new n LEFT JOIN review_old o ON o.doc_id = n.doc_id AND o.i = n.i AND o.j = n.j AND o.edge_type = n.edge_type")(lambda t: incremental.preserve_metadata(t.review_old, t.review_new))
+
+
+@query("merge_review_history", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, record_no)::BIGINT AS place, record FROM (SELECT doc_id, 0 AS part, min(i * 100000 + j) AS record_no, 'rec ' || i AS record FROM causal GROUP BY doc_id, i UNION ALL SELECT doc_id, 1, min(i * 100000 + j), 'rec ' || i FROM temporal t WHERE NOT EXISTS (SELECT 1 FROM causal c WHERE c.doc_id = t.doc_id AND c.i = t.i) GROUP BY doc_id, i UNION ALL SELECT doc_id, 2, i * 100000 + j, 'rec ' || i FROM added) x")
+def merge_review_history(t: Tables) -> DataFrame:
+    record = lambda df: df.select("doc_id", (F.col("i") * 100000 + F.col("j")).alias("record_no"), F.concat(F.lit("rec "), F.col("i").cast("string")).alias("record"))
+    return incremental.merge_review_history(record(t.causal), record(t.temporal), record(t.added))
+
+
+query("edge_addition_candidates", "SELECT a.doc_id, a.event_no AS anchor, r.role, b.event_no FROM nodes a, (VALUES ('source'), ('target')) r(role), nodes b WHERE a.event_no % 9 = 1 AND a.doc_id = b.doc_id AND a.event_no <> b.event_no AND NOT EXISTS (SELECT 1 FROM closure c WHERE c.doc_id = a.doc_id AND ((r.role = 'source' AND c.j = a.event_no AND c.i = b.event_no) OR (r.role = 'target' AND c.i = a.event_no AND c.j = b.event_no))) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = a.doc_id AND ((r.role = 'source' AND e.i = a.event_no AND e.j = b.event_no) OR (r.role = 'target' AND e.j = a.event_no AND e.i = b.event_no)))")(
+    lambda t: incremental.edge_addition_candidates(t.nodes, t.edges, graphs.reachable_pairs(t.edges), t.nodes.where("event_no % 9 = 1").select("doc_id", F.col("event_no").alias("anchor"))).select("doc_id", "anchor", "role", "event_no")
+)
+query("reversible_edges", "SELECT t.doc_id, t.i, t.j FROM edges t WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN closure c ON c.doc_id = e.doc_id AND c.i = e.j WHERE e.doc_id = t.doc_id AND e.i = t.i AND c.j = t.j)")(lambda t: incremental.reversible_edges(t.edges, graphs.reachable_pairs(t.edges)))
+query("apply_review_edits", "SELECT doc_id, CASE WHEN m = 3 THEN j ELSE i END AS i, CASE WHEN m = 3 THEN i ELSE j END AS j, CASE WHEN m = 1 THEN CASE WHEN edge_type = 'causal' THEN 'temporal' ELSE 'causal' END ELSE edge_type END AS edge_type, CASE WHEN m = 1 THEN 'edit ' || j ELSE reason END AS reason, m IN (1, 3) AS manual_review FROM (SELECT *, (doc_id + i + j) % 9 AS m FROM review_old) x WHERE m <> 0 UNION ALL SELECT doc_id, i, j, edge_type, reason, true FROM added")(
+    lambda t: incremental.apply_review_edits(t.review_old, t.edits)
+)
+DAY = 86_400_000_000
+query("trailing_usage", f"SELECT a.user_id AS client, a.event_id AS call_id, count(*)::BIGINT AS n_requests, sum(b.value::BIGINT)::BIGINT AS n_tokens FROM (SELECT *, epoch_us(ts) AS us FROM events) a JOIN (SELECT *, epoch_us(ts) AS us FROM events) b ON a.user_id = b.user_id AND b.us > a.us - {DAY} AND (b.us < a.us OR (b.us = a.us AND b.event_id <= a.event_id)) GROUP BY a.user_id, a.event_id")(
+    lambda t: incremental.trailing_usage(t.read("events").select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), "ts", F.round("value").cast("long").alias("tokens")), DAY, 500, 2_000_000).select("client", "call_id", "n_requests", "n_tokens")
+)
