@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from chronoloom.functions.storage import stored
+
 from .graphs import FEATURES, degrees, node_features
 
 #: Rank of a missing score, length of a shown text, ends of the colour scale, width of a label, weights of the formula.
@@ -216,10 +218,10 @@ PARAMS = {
 def score_graphs(nodes: DataFrame, edges: DataFrame, params: dict | None = None) -> DataFrame:
     """`doc_id`, `event_no`, `score`, `rank`: features, layers, three attention steps, influence, competition rank."""
     params = params or PARAMS
-    h = mlp_scores(node_features(nodes, edges), params["layers"]).select("doc_id", "event_no", F.col("score").alias("y"))
+    h = stored(mlp_scores(node_features(nodes, edges), params["layers"]).select("doc_id", "event_no", F.col("score").alias("y")))
     for w, a, b in params["attention"]:
         step = attention_aggregate(nodes, edges, h.select("doc_id", "event_no", F.array("y").alias("x")), [w], a, b)
-        h = step.join(h.select("doc_id", "event_no", F.col("y").alias("was")), ["doc_id", "event_no"]).select("doc_id", "event_no", (F.col("y") + F.col("was")).alias("y"))
+        h = stored(step.join(h.select("doc_id", "event_no", F.col("y").alias("was")), ["doc_id", "event_no"]).select("doc_id", "event_no", (F.col("y") + F.col("was")).alias("y")))
     return competition_rank(influence_score(nodes, edges, h, *params["influence"]))
 
 

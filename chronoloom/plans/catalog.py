@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.functions.storage import stored
 from chronoloom.operators import curation, dismantle, evaluate, graphs, incremental, scoring, splits
 from chronoloom.operators import documents as prep
 from chronoloom.operators.llm_json import parse_llm_json
@@ -43,11 +44,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["ground_truth"](spark, sf_dir)
 
 
-def long(c: str) -> F.Column:
-    return F.col(c).cast("long").alias(c)
-
-
-def r6(c: str | F.Column, name: str | None = None) -> F.Column:
+def r6(c: str | Column, name: str | None = None) -> Column:
     return F.round(c, 6).alias(name or c)
 
 
@@ -172,13 +169,13 @@ query("similarity_candidates", f"SELECT doc_id, i, j, round(sim, 6) AS sim, row_
 
 @query("add_temporal_edges")
 def add_temporal_edges(t: Tables) -> DataFrame:
-    sims = graphs.pair_similarity(t.vectors)
+    sims = stored(graphs.pair_similarity(t.vectors))  # read several times
     return graphs.add_temporal_edges(t.causal, curation.llm_temporal_edges(_verdicts(t), _classified(t)), graphs.similarity_candidates(sims, MIN_SIM), sims)
 
 
 @query("complete_temporal")
 def complete_temporal(t: Tables) -> DataFrame:
-    sims = graphs.pair_similarity(t.vectors)
+    sims = stored(graphs.pair_similarity(t.vectors))  # read several times
     return graphs.complete_temporal(t.nodes, t.causal, curation.llm_temporal_edges(_verdicts(t), _classified(t)), graphs.similarity_candidates(sims, MIN_SIM), sims)
 
 
@@ -282,10 +279,10 @@ query("rarity", f"SELECT doc_id, event_no, round(rare, 6) AS rare FROM ({RARE})
 
 def _span(c: str) -> str:
     low, high = (f"{f}({c}) OVER (PARTITION BY doc_id)" for f in ("min", "max"))
-    return f"round(CASE WHEN {high} - {low} < 1e-8 THEN 0 ELSE ({c} - {low}) / ({high} - {low}) END, 4) AS {c}"
+    return f"round(CASE WHEN {high} - {low} < 1e-8 THEN 0 ELSE ({c} - {low}) / ({high} - {low}) END, 6) AS {c}"
 
 
-query("semantic_scores", f"SELECT doc_id, event_no, {_span('score')}, {_span('rich')}, {_span('rare')} FROM (SELECT x.doc_id, x.event_no, {RICH} + 0.3 * x.rare AS score, {RICH} AS rich, x.rare FROM ({RARE}) x JOIN vectors USING (doc_id, event_no)) y")(
+query("semantic_scores", f"SELECT doc_id, event_no, round(score, 4) AS score, round(rich, 4) AS rich, round(rare, 4) AS rare FROM (SELECT doc_id, event_no, {_span('score')}, {_span('rich')}, {_span('rare')} FROM (SELECT x.doc_id, x.event_no, {RICH} + 0.3 * x.rare AS score, {RICH} AS rich, x.rare FROM ({RARE}) x JOIN vectors USING (doc_id, event_no)) y) z")(
     lambda t: scoring.semantic_scores(scoring.richness(t.vectors), scoring.rarity(t.vectors)).select("doc_id", "event_no", *[F.round(c, 4).alias(c) for c in ("score", "rich", "rare")])
 )
 query("semantic_ranking", "SELECT doc_id, event_no, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, event_no)::BIGINT AS rank FROM tie")(lambda t: scoring.semantic_ranking(t.scores("tie")).select("doc_id", "event_no", "rank"))
@@ -438,6 +435,6 @@ query("apply_review_edits", "SELECT doc_id, CASE WHEN m = 3 THEN j ELSE i END AS
     lambda t: incremental.apply_review_edits(t.review_old, t.edits)
 )
 DAY = 86_400_000_000
-query("trailing_usage", f"SELECT a.user_id AS client, a.event_id AS call_id, count(*)::BIGINT AS n_requests, sum(b.value::BIGINT)::BIGINT AS n_tokens FROM (SELECT *, epoch_us(ts) AS us FROM events) a JOIN (SELECT *, epoch_us(ts) AS us FROM events) b ON a.user_id = b.user_id AND b.us > a.us - {DAY} AND (b.us < a.us OR (b.us = a.us AND b.event_id <= a.event_id)) GROUP BY a.user_id, a.event_id")(
-    lambda t: incremental.trailing_usage(t.read("events").select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), "ts", F.round("value").cast("long").alias("tokens")), DAY, 500, 2_000_000).select("client", "call_id", "n_requests", "n_tokens")
+query("trailing_usage", f"SELECT a.user_id AS client, a.event_id AS call_id, count(*)::BIGINT AS n_requests, sum(floor(b.value))::BIGINT AS n_tokens FROM (SELECT *, epoch_us(ts) AS us FROM events) a JOIN (SELECT *, epoch_us(ts) AS us FROM events) b ON a.user_id = b.user_id AND b.us > a.us - {DAY} AND (b.us < a.us OR (b.us = a.us AND b.event_id <= a.event_id)) GROUP BY a.user_id, a.event_id")(
+    lambda t: incremental.trailing_usage(t.read("events").select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), "ts", F.floor("value").cast("long").alias("tokens")), DAY, 500, 2_000_000).select("client", "call_id", "n_requests", "n_tokens")
 )
