@@ -282,8 +282,8 @@ def _span(c: str) -> str:
     return f"round(CASE WHEN {high} - {low} < 1e-8 THEN 0 ELSE ({c} - {low}) / ({high} - {low}) END, 6) AS {c}"
 
 
-query("semantic_scores", f"SELECT doc_id, event_no, round(score, 4) AS score, round(rich, 4) AS rich, round(rare, 4) AS rare FROM (SELECT doc_id, event_no, {_span('score')}, {_span('rich')}, {_span('rare')} FROM (SELECT x.doc_id, x.event_no, {RICH} + 0.3 * x.rare AS score, {RICH} AS rich, x.rare FROM ({RARE}) x JOIN vectors USING (doc_id, event_no)) y) z")(
-    lambda t: scoring.semantic_scores(scoring.richness(t.vectors), scoring.rarity(t.vectors)).select("doc_id", "event_no", *[F.round(c, 4).alias(c) for c in ("score", "rich", "rare")])
+query("semantic_scores", f"SELECT doc_id, event_no, score, rich, rare FROM (SELECT doc_id, event_no, {_span('score')}, {_span('rich')}, {_span('rare')} FROM (SELECT x.doc_id, x.event_no, {RICH} + 0.3 * x.rare AS score, {RICH} AS rich, x.rare FROM ({RARE}) x JOIN vectors USING (doc_id, event_no)) y) z")(
+    lambda t: scoring.semantic_scores(scoring.richness(t.vectors), scoring.rarity(t.vectors))
 )
 query("semantic_ranking", "SELECT doc_id, event_no, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, event_no)::BIGINT AS rank FROM tie")(lambda t: scoring.semantic_ranking(t.scores("tie")).select("doc_id", "event_no", "rank"))
 query("scale_scores", "SELECT doc_id, event_no, round((score - avg(score) OVER w) / (coalesce(stddev_samp(score) OVER w, 0) + 1e-6), 6) AS z, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-6), 6) AS m, round(1 / (1 + exp(-score)), 6) AS s FROM topo WINDOW w AS (PARTITION BY doc_id)")(
