@@ -35,6 +35,8 @@ TOKEN = 8
 PLACES = 1 << 28
 #: Pieces of one anchor that one bucket compares, in at most about 200 MB; more of them are compared by hash across buckets.
 HOT = 8192
+#: Frequent keys that a broadcast may hold, a few megabytes.
+MOST_HOT = 100_000
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -182,6 +184,19 @@ def _compare_sorted(suffixes: DataFrame, length: int) -> DataFrame:
     return ranged.mapInArrow(run, RANGES)
 
 
+def _join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """`rows` joined with `groups`, a stored table of one row for each key, without a shuffle of the rows of frequent keys.
+
+    Keys of more than `HOT` rows, in the groups' column `n`, meet their rows by a broadcast, the others by a shuffle. If more than
+    `MOST_HOT` keys are frequent, all are joined by a shuffle, whose large partitions adaptive execution splits.
+    """
+    hot, cold = groups.where(F.col(n) > HOT), groups.where(F.col(n) <= HOT)
+    if hot.limit(MOST_HOT + 1).count() > MOST_HOT:
+        return rows.join(groups, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def _compare_hashed(suffixes: DataFrame, length: int) -> DataFrame:
     """The same for anchors of very many pieces: strings of all starts by hash, added up before they are shuffled."""
 
@@ -193,8 +208,8 @@ def _compare_hashed(suffixes: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pick("row")), pa.array(start.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(pick("copies"))], names=["row", "start", "value", "copies"])
 
     strings = suffixes.mapInArrow(run, "row long, start int, value long, copies long")
-    again = strings.groupBy("value").agg(F.sum("copies").alias("copies")).where("copies > 1").select("value")
-    hits = strings.where("copies = 1").join(again, "value", "left_semi")
+    again = tx.stored(strings.groupBy("value").agg(F.sum("copies").alias("times")).where("times > 1"))
+    hits = _join_hot(strings.where("copies = 1"), again, ["value"], "times")
     return hits.select("row", F.col("start").alias("a"), F.col("start").alias("b"))
 
 
@@ -202,12 +217,12 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """For each row key with repeated strings: `row` and `spans`, the maximal runs of covered bytes (from, to), in order."""
     found = tx.stored(pieces(documents, length))
     groups = found.groupBy("lead").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
-    groups = tx.stored(groups)  # so that the join reads two plain exchanges, and a frequent anchor's partition can be split
-    shared = tx.stored(found.join(groups, "lead"))
+    groups = tx.stored(groups)
+    shared = tx.stored(_join_hot(found, groups, ["lead"], "n"))
     alike = shared.where("w0 = w1").select("row", "a", "b")
     mixed = shared.where("w0 != w1")
-    kinds = mixed.groupBy("lead", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("row", "a", "b", "anchor")).alias("one"), F.first("n").alias("n"))
-    copied = mixed.join(kinds.where("copies > 1").select("lead", "whole"), ["lead", "whole"], "left_semi").select("row", "a", "b")
+    kinds = tx.stored(mixed.groupBy("lead", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("row", "a", "b", "anchor")).alias("one"), F.first("n").alias("n")))
+    copied = _join_hot(mixed, kinds.where("copies > 1").select("lead", "whole", "copies"), ["lead", "whole"], "copies").select("row", "a", "b")
     one = kinds.select("one.*", "copies", "n")
     texts = documents.select(tx.row_key(F.col("doc_id"), F.col("text")).alias("row"), F.encode("text", "utf-8").alias("all")).where(F.octet_length("all") >= length)
     suffixes = one.join(texts, "row").select("row", "a", "copies", "n", F.substring("all", F.col("a") + 1, F.col("b") - F.col("a") + length).alias("bytes"), F.substring("all", F.col("a") + F.col("anchor") + 1, F.lit(LEAD)).alias("lead_bytes"))
