@@ -53,7 +53,7 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
         "document.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL}
+    return {"op9_mixing": mixing.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
