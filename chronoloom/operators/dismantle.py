@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,9 @@ MEMBER_ABOVE = 1e-9
 LOW_TIER, HIGH_TIER = 0.3, 0.7
 #: Subsets that one row of work tries.
 CHUNK = 4096
+#: Such rows for a task, a second or two of work, and tasks at most.
+TASK_CHUNKS = 500
+MOST_TASKS = 20_000
 
 
 def remaining_pairs(succ: np.ndarray, removed: np.ndarray) -> np.ndarray:
@@ -66,6 +68,21 @@ def _masks(ids: list[int], pairs: list | None) -> np.ndarray:
     return np.array(succ, np.uint64)
 
 
+def subsets(n: int, k: int, lo: int, most: int) -> np.ndarray:
+    """The k-subsets of 0 .. n-1 with places `lo` to `lo + most - 1` in lexicographic order, one a row, without listing those before."""
+    rank = np.arange(lo, min(lo + most, math.comb(n, k)))
+    out = np.zeros((len(rank), k), np.int64)
+    low = np.zeros(len(rank), np.int64)
+    for place in range(k):
+        # with v at this place, comb(n-1-v, k-1-place) subsets follow; `before[v]` of them have a smaller value than v here
+        before = np.concatenate([[0], np.cumsum([math.comb(n - 1 - v, k - 1 - place) for v in range(n)])])
+        rank = rank + before[low]
+        out[:, place] = np.searchsorted(before, rank, "right") - 1
+        rank = rank - before[out[:, place]]
+        low = out[:, place] + 1
+    return out
+
+
 def minimal_removal_sets(nodes: DataFrame, edges: DataFrame, theta: float = THETA, min_nodes: int = MIN_NODES, max_nodes: int = MAX_NODES) -> DataFrame:
     """`doc_id`, `set_no`, `members`, `k`, `original_pairs`, `final_pairs`: all smallest sets of events whose removal leaves at most
     ceil(theta * R) reachable pairs, in combination order; `final_pairs` is the least that any of them leaves.
@@ -86,25 +103,21 @@ def minimal_removal_sets(nodes: DataFrame, edges: DataFrame, theta: float = THET
     open_ = graphs.where("r > 0")
     schema = "doc_id long, set_no long, members array<long>, k long, original_pairs long, left long"
     k = 0
-    while (todo := open_.count()) and k < max_nodes:
+    while k < max_nodes:
         k += 1
-        choose = math.comb
-
-        def ranges(n: int, k: int = k) -> list[int]:
-            return list(range(0, choose(n, k), CHUNK))
-
-        starts = F.element_at(F.array(*[F.array(*[F.lit(x) for x in ranges(n)] or [F.lit(0)]) for n in range(1, max_nodes + 1)]), F.size("ids")) if choose(max_nodes, k) <= CHUNK * 64 else F.sequence(F.lit(0), F.lit(choose(max_nodes, k) - 1), F.lit(CHUNK))
-        work = open_.withColumn("lo", F.explode(starts)).repartition(max(1, min(2000, todo)), "doc_id", "lo")
+        counts = F.element_at(F.array(*[F.lit(math.comb(n, k)) for n in range(1, max_nodes + 1)]), F.size("ids"))
+        todo, chunks = open_.agg(F.count("*"), F.sum(F.ceil(counts / CHUNK))).first()
+        if not todo:
+            break
+        work = open_.where(counts > 0).withColumn("lo", F.explode(F.sequence(F.lit(0), counts - 1, F.lit(CHUNK))))
+        work = work.repartition(min(MOST_TASKS, max(nodes.sparkSession.sparkContext.defaultParallelism, chunks // TASK_CHUNKS)), "doc_id", "lo")
 
         def attempt(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
                 for row in pdf.itertuples(index=False):
-                    sets = list(islice(combinations(range(len(row.ids)), k), int(row.lo), int(row.lo) + CHUNK))
-                    if not sets:
-                        continue
-                    places = np.array(sets, np.uint64)
-                    left = remaining_pairs(_masks(row.ids, row.pairs), np.bitwise_or.reduce(np.uint64(1) << places, axis=1))
+                    sets = subsets(len(row.ids), k, int(row.lo), CHUNK)
+                    left = remaining_pairs(_masks(row.ids, row.pairs), np.bitwise_or.reduce(np.uint64(1) << sets.astype(np.uint64), axis=1))
                     out += [(row.doc_id, int(row.lo) + s, [int(row.ids[p]) for p in sets[s]], k, row.r, int(left[s])) for s in np.flatnonzero(left <= row.target)]
                 yield pd.DataFrame(out, columns=["doc_id", "set_no", "members", "k", "original_pairs", "left"])
 

@@ -286,8 +286,8 @@ query("semantic_scores", f"SELECT doc_id, event_no, score, rich, rare FROM (SELE
     lambda t: scoring.semantic_scores(scoring.richness(t.vectors), scoring.rarity(t.vectors))
 )
 query("semantic_ranking", "SELECT doc_id, event_no, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, event_no)::BIGINT AS rank FROM tie")(lambda t: scoring.semantic_ranking(t.scores("tie")).select("doc_id", "event_no", "rank"))
-query("scale_scores", "SELECT doc_id, event_no, round((score - avg(score) OVER w) / (coalesce(stddev_samp(score) OVER w, 0) + 1e-6), 6) AS z, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-6), 6) AS m, round(1 / (1 + exp(-score)), 6) AS s FROM topo WINDOW w AS (PARTITION BY doc_id)")(
-    lambda t: scoring.scale_scores(scoring.scale_scores(scoring.scale_scores(t.scores("topo"), "zscore").withColumnRenamed("scaled", "z"), "minmax").withColumnRenamed("scaled", "m"), "sigmoid").select("doc_id", "event_no", r6("z"), r6("m"), r6("scaled", "s"))
+query("scale_scores", "SELECT doc_id, event_no, round((score - avg(score) OVER w) / (coalesce(stddev_samp(score) OVER w, 0) + 1e-6), 6) + 0.0::DOUBLE AS z, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-6), 6) AS m, round(1 / (1 + exp(-score)), 6) AS s FROM topo WINDOW w AS (PARTITION BY doc_id)")(
+    lambda t: scoring.scale_scores(scoring.scale_scores(scoring.scale_scores(t.scores("topo"), "zscore").withColumnRenamed("scaled", "z"), "minmax").withColumnRenamed("scaled", "m"), "sigmoid").select("doc_id", "event_no", (F.round("z", 6) + 0.0).alias("z"), r6("m"), r6("scaled", "s"))
 )
 query("degree_norm", "SELECT doc_id, event_no, round(d / (max(d) OVER w + 1e-6), 6) AS a, round(ln(1 + d) / (max(ln(1 + d)) OVER w + 1e-6), 6) AS b, round(sqrt(d) / (max(sqrt(d)) OVER w + 1e-6), 6) AS c FROM (SELECT doc_id, event_no, greatest(1, in_degree + out_degree)::DOUBLE AS d FROM degree) x WINDOW w AS (PARTITION BY doc_id)")(
     lambda t: scoring.degree_norm(scoring.degree_norm(scoring.degree_norm(graphs.degrees(t.nodes, t.edges), "max").withColumnRenamed("norm", "a"), "log").withColumnRenamed("norm", "b"), "sqrt").select("doc_id", "event_no", r6("a"), r6("b"), r6("norm", "c"))

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -70,6 +71,90 @@ def test_minimal_removal_sets(spark, n, edges):
     assert [tuple(r.members) for r in rows] == plain_sets(n, edges)
 
 
+@pytest.mark.parametrize(("n", "k"), [(1, 1), (5, 2), (6, 3), (8, 8), (9, 4)])
+def test_subsets_in_order_from_any_place(n, k):
+    every = list(combinations(range(n), k))
+    for lo in range(0, len(every), 3):
+        assert [tuple(r) for r in dismantle.subsets(n, k, lo, 5)] == every[lo : lo + 5]
+
+
+def joined(edges, s, t):
+    seen, todo = {s}, [s]
+    while todo:
+        v = todo.pop()
+        new = {b for a, b in edges if a == v} - seen
+        seen |= new
+        todo += new
+    return t in seen
+
+
+def test_greedy_removal_takes_the_best_event_each_time(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (2, 5), (5, 6), (4, 7), (6, 7), (7, 8)]
+    nodes, table = graph(spark, 8, edges)
+    pairs = lambda gone: sum(joined([e for e in edges if not gone & {*e}], s, t) for s in range(1, 9) for t in range(1, 9) if s != t and not gone & {s, t})
+    gone, steps, total = set(), [], pairs(set())
+    while pairs(gone) > -(-total // 2):
+        best = min((v for v in range(1, 9) if v not in gone), key=lambda v: (pairs(gone | {v}), v))
+        gone.add(best)
+        steps.append((1, len(gone), best, pairs(gone)))
+    assert [tuple(r) for r in dismantle.greedy_removal(nodes, table).orderBy("step").collect()] == steps
+
+
+@pytest.fixture(scope="module")
+def proposals():
+    """Random causal edges, expert edges with priorities, similarities of all pairs, by document."""
+    rng = random.Random(7)
+    docs = {}
+    for doc in range(1, 13):
+        n = rng.randint(2, 9)
+        every = list(combinations(range(1, n + 1), 2))
+        pick = lambda share, every=every: [p for p in every if rng.random() < share]
+        docs[doc] = n, pick(0.2), [(*p, rng.randint(1, 2)) for p in pick(0.3)], {p: rng.randint(0, 100) / 100 for p in every}
+    return docs
+
+
+def proposed(spark, docs):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    causal = table([(d, i, j) for d, (_, c, _, _) in docs.items() for i, j in c], "doc_id long, i long, j long")
+    llm = table([(d, i, j, p) for d, (_, _, e, _) in docs.items() for i, j, p in e], "doc_id long, i long, j long, priority long")
+    sims = table([(d, i, j, s) for d, (_, _, _, sims) in docs.items() for (i, j), s in sims.items()], "doc_id long, i long, j long, sim double")
+    return causal, llm, graphs.similarity_candidates(sims), sims
+
+
+def inserted(docs):
+    out = {}
+    for d, (_, causal, llm, sims) in docs.items():
+        have, kept = list(causal), []
+        order = [(1, p, -sims[i, j], j - i, i, j) for i, j, p in llm] + [(2, 0, -s, j - i, i, j) for (i, j), s in sims.items() if s >= 0.7]
+        for kind, _, sim, _, i, j in sorted(order):
+            if not joined(have, i, j) and not joined(have, j, i):
+                have.append((i, j))
+                kept.append((i, j, "llm" if kind == 1 else "similarity", round(-sim, 4)))
+        out[d] = kept
+    return out
+
+
+def test_temporal_edges_are_added_in_turn(spark, proposals):
+    got = graphs.add_temporal_edges(*proposed(spark, proposals)).collect()
+    assert Counter(tuple(r) for r in got) == Counter((d, *e) for d, kept in inserted(proposals).items() for e in kept)
+
+
+def test_completed_graphs_are_connected_and_reduced(spark, proposals):
+    causal, llm, candidates, sims = proposed(spark, proposals)
+    nodes = spark.createDataFrame([(d, i, f"E{i}") for d, (n, *_) in proposals.items() for i in range(1, n + 1)], "doc_id long, event_no long, event_id string")
+    got = {}
+    for r in graphs.complete_temporal(nodes, causal, llm, candidates, sims).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for d, (n, causes, _, sims) in proposals.items():
+        rows, added = got.get(d, []), inserted(proposals)[d]
+        whole = {*causes, *((i, j) for i, j, *_ in added)}
+        need = {(i, j) for i, j, *_ in added if not any(joined(whole - {(i, j)}, w, j) for a, w in whole - {(i, j)} if a == i)}
+        assert {(r.i, r.j) for r in rows if r.reason in (graphs.REASONS["llm"], graphs.REASONS["similarity"])} == need
+        assert all(r.score == round(sims[r.i, r.j], 4) and r.span == r.j - r.i for r in rows)
+        both = [*causes, *((r.i, r.j) for r in rows)]
+        assert all(joined([*both, *((j, i) for i, j in both)], 1, v) for v in range(1, n + 1))
+
+
 def test_closure_helper_equals_joins(spark):
     _, table = graph(spark, 8, [(1, 2), (2, 5), (5, 8), (3, 4), (4, 3), (7, 8)])
     assert Counter(graphs.reachable_pairs(table).collect()) == Counter(graphs.reachable_pairs_by_joins(table).collect())
