@@ -7,9 +7,10 @@ from collections import Counter
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 
-from chronoloom.operators import dismantle, graphs, scoring
+from chronoloom.operators import dismantle, evaluate, graphs, scoring, splits
 from chronoloom.operators.llm_json import first_json
 from chronoloom.plans import catalog
 from chronoloom.sources import files
@@ -180,6 +181,35 @@ def test_first_json():
     assert first_json("{cut") is None and first_json(None) is None
 
 
+def test_view_agreement_is_numpys(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 40, 5)) * 0.7
+    view = lambda v: spark.createDataFrame([(1, i, row.tolist()) for i, row in enumerate(v)], "doc_id long, event_no long, embedding array<double>")
+    got = evaluate.view_agreement(view(x), view(y)).first()
+    cov = [np.cov(v, rowvar=False) for v in (x, y)]
+    variance = np.mean([np.maximum(0, 1 - np.sqrt(np.diag(c) + 1e-4)).mean() for c in cov])
+    covariance = np.mean([((c**2).sum() - (np.diag(c) ** 2).sum()) / 5 for c in cov])
+    invariance = ((x - y) ** 2).mean()
+    assert tuple(got) == pytest.approx((invariance, variance, covariance, 25 * invariance + 25 * variance + covariance))
+
+
+def test_summaries_of_folds_and_seeds(spark):
+    rows = [(1, 0, 0.2, 0.5, 0.1, 1, 2, 1, 0, 1, 3), (1, 1, 0.4, 0.7, 0.3, 2, 2, 2, 1, 0, 4), (2, 0, 0.6, 0.9, 0.5, 0, 1, 0, 1, 1, 5)]
+    folds = spark.createDataFrame(rows, "seed int, fold int, loss double, f1 double, tau double, hits long, docs long, tp long, fp long, fn long, tn long")
+    one = evaluate.fold_summary(folds.where("seed = 1")).first()
+    assert tuple(one) == pytest.approx((0.3, 0.1, 0.6, 0.1, 0.2, 0.75, 3, 1, 1, 7))
+    both = evaluate.seed_summary(folds).first()
+    assert tuple(both) == pytest.approx((2, 0.375, 0.375, 0.35, 0.15, 0.75, 0.15, 3, 2, 2, 12))
+
+
+def test_masked_vectors(spark):
+    vectors = spark.createDataFrame([(d, 1, [1.0] * 50) for d in range(40)], "doc_id long, event_no long, embedding array<double>")
+    once, again, other = (Counter((r.doc_id, *r.embedding) for r in splits.mask_vectors(vectors, 0.25, view=v).collect()) for v in ("a", "a", "b"))
+    assert once == again != other
+    assert 0.2 < sum(row[1:].count(0.0) for row in once) / 2000 < 0.3
+    assert all(x in (0.0, 1.0) for row in once for x in row[1:])
+
+
 def test_files(spark, tmp_path):
     for name, text in (("D1", json.dumps({"doc_id": "D1", "events": [{"event_id": "E1", "text": "a"}, {"event_id": "", "text": "b"}], "causal_edges": [{"cause": "E1", "effect": "E2", "reason": "r"}], "temporal_edges": None})), ("D2", "{broken")):
         os.makedirs(tmp_path / "graphs" / name)
