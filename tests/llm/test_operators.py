@@ -332,8 +332,10 @@ def test_suffixes_at_the_length(spark):
     check_removed(spark, [(1, "z" * 400)])
 
 
-def test_suffixes_hot_anchor(spark, monkeypatch):
+@pytest.mark.parametrize("most_hot", [suffixes.MOST_HOT, 0])
+def test_suffixes_hot_anchor(spark, monkeypatch, most_hot):
     monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "MOST_HOT", most_hot)
     check_removed(spark, [r for r in pairs(fixtures.odd_rows()) if r[0] not in (315, 306)])
 
 
@@ -478,6 +480,15 @@ def test_minhash_components(spark, monkeypatch, percent, block):
     assert multiset(got.select("doc_id", "n_shingles", "component_id").collect()) == plain_components(rows, percent)
 
 
+def test_minhash_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    want = Counter(con.execute(minhash.ORACLE_SQL).fetchall())
+    assert multiset(queries.op10_minhash(spark, SMALL).collect()) == want
+
+
 def test_minhash_generated_rows(spark):
     rows = [(r["doc_id"], r["text"]) for r in DOCS]
     got = queries.op10_minhash(spark, SMALL).collect()
