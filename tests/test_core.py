@@ -202,6 +202,40 @@ def test_summaries_of_folds_and_seeds(spark):
     assert tuple(both) == pytest.approx((2, 0.375, 0.375, 0.35, 0.15, 0.75, 0.15, 3, 2, 2, 12))
 
 
+def test_layers_are_numpys(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20, len(graphs.FEATURES)))
+    (w1, b1), (w2, b2) = layers = [(rng.normal(size=(3, x.shape[1])), rng.normal(size=3)), (rng.normal(size=(1, 3)), rng.normal(size=1))]
+    table = spark.createDataFrame([(1, i, *row.tolist()) for i, row in enumerate(x)], ["doc_id", "event_no", *graphs.FEATURES])
+    got = scoring.mlp_scores(table, [(w.tolist(), b.tolist()) for w, b in layers]).orderBy("event_no").collect()
+    y = np.maximum(x @ w1.T + b1, 0) @ w2.T + b2
+    assert [r.score for r in got] == pytest.approx(np.where(y >= 0, y, 0.1 * y)[:, 0])
+
+
+def test_relation_attention_by_hand(spark):
+    rng = np.random.default_rng(6)
+    x, proj, a_src, a_dst, q = (rng.normal(size=s) for s in ((6, 5), (5, 3), (4, 3), (4, 3), 3))
+    edges = [(0, 1, 0), (2, 1, 0), (1, 0, 1), (1, 2, 1), (3, 1, 2), (0, 1, 2), (1, 3, 3), (4, 1, 3)]
+    vectors = spark.createDataFrame([(1, i, row.tolist()) for i, row in enumerate(x)] + [(2, 0, x[0].tolist())], "doc_id long, event_no long, embedding array<double>")
+    typed = spark.createDataFrame([(1, *e) for e in edges], "doc_id long, src long, dst long, rel int")
+    got = {(r.doc_id, r.event_no): r for r in scoring.relation_attention(vectors, typed, proj, a_src, a_dst, q).collect()}
+    assert len(got) == 7
+    h = x @ proj
+    for node in range(6):
+        parts = []
+        for rel in range(4):
+            into = [s for s, d, r in edges if d == node and r == rel]
+            logits = [h[s] @ a_src[rel] + h[node] @ a_dst[rel] for s in into]
+            w = [np.exp(min(v if v >= 0 else 0.2 * v, 10)) for v in logits]
+            y = sum((a * h[s] for a, s in zip(w, into, strict=True)), np.zeros(3)) / (sum(w) + 1e-12)
+            parts.append([v if v > 0 else np.expm1(v) for v in y])
+        mix = np.exp([p @ q for p in np.array(parts)])
+        mix /= mix.sum()
+        assert got[1, node].weights == pytest.approx(mix)
+        assert got[1, node].y == pytest.approx(mix @ np.array(parts) + h[node])
+    assert got[2, 0].y == pytest.approx(h[0]) and got[2, 0].weights == pytest.approx([0.25] * 4)
+
+
 def test_masked_vectors(spark):
     vectors = spark.createDataFrame([(d, 1, [1.0] * 50) for d in range(40)], "doc_id long, event_no long, embedding array<double>")
     once, again, other = (Counter((r.doc_id, *r.embedding) for r in splits.mask_vectors(vectors, 0.25, view=v).collect()) for v in ("a", "a", "b"))
