@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -98,8 +99,10 @@ query("usage_total_tokens", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN us
 query("render_template", "SELECT doc_id, 'Doc ' || doc_name || ' in ' || doc_name || ' #' || doc_id AS body FROM docs")(
     lambda t: t.docs.select("doc_id", prep.render_template(F.lit("Doc {{NAME}} in {{NAME}} #{{ID}}"), {"NAME": F.col("doc_name"), "ID": F.col("doc_id").cast("string")}).alias("body"))
 )
-query("expert_prompts")(lambda t: prep.expert_prompts(t.documents, t.nodes, t.proposals.select("doc_id", "i", "j").distinct()))
-query("judge_prompts")(lambda t: prep.judge_prompts(t.nodes, t.answers))
+_EXPERTS = ", ".join(f"({r}, '{e}', '{role}')" for r, _, e, role in prep.EXPERTS)
+_quoted = lambda template, **values: "'" + re.sub(r"\{\{(\w+)\}\}", lambda m: f"' || {values[m[1]]} || '", template) + "'"
+query("expert_prompts", f"SELECT d.doc_id, e.round, e.expert, e.role AS system_prompt, CASE WHEN e.round = 0 THEN {_quoted(prep.FIRST_USER, ROUND='(e.round + 1)', DOC='d.text', EVENTS='n.events')} WHEN c.listed IS NULL THEN {_quoted(prep.EMPTY_USER, ROUND='(e.round + 1)')} ELSE {_quoted(prep.LATER_USER, ROUND='(e.round + 1)', CANDIDATES='c.listed')} END AS user_prompt FROM documents d JOIN (SELECT doc_id, '{{' || string_agg(to_json(event_id) || ':' || to_json(text), ',' ORDER BY event_no) || '}}' AS events FROM nodes GROUP BY doc_id) n ON n.doc_id = d.doc_id LEFT JOIN candidates c ON c.doc_id = d.doc_id, (VALUES {_EXPERTS}) e(round, expert, role)")(lambda t: prep.expert_prompts(t.documents, t.nodes, t.proposals.select("doc_id", "i", "j").distinct()))
+query("judge_prompts", f"SELECT doc_id, n AS n_candidates, {_quoted(prep.JUDGE_USER, CANDIDATES='listed')} AS user_prompt FROM candidates")(lambda t: prep.judge_prompts(t.nodes, t.answers))
 
 
 @query("parse_llm_json")
@@ -264,8 +267,10 @@ U = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 query("drop_edges_by_type", f"SELECT doc_id, src, dst, rel FROM typed WHERE {U.format(chr(39) + '42:v2:' + chr(39) + ' || doc_id || ' + chr(39) + ':' + chr(39) + ' || src || ' + chr(39) + ':' + chr(39) + ' || dst || ' + chr(39) + ':' + chr(39) + ' || rel')} >= CASE WHEN rel <= 1 THEN 0.6 ELSE 0.1 END")(
     lambda t: splits.drop_edges_by_type(curation.typed_edges(t.causal, t.temporal), {0: 0.6, 1: 0.6, 2: 0.1, 3: 0.1}, 42, "v2")
 )
-query("mask_vectors")(lambda t: splits.mask_vectors(t.vectors, view="v1a").select("doc_id", "event_no", F.size(F.filter("embedding", lambda x: x == 0)).alias("n_masked")))
-query("augmented_views")(lambda t: splits.augmented_views(curation.typed_edges(t.causal, t.temporal), t.vectors)[0].groupBy("view", "rel").agg(F.count("*").alias("n")))
+_MASKED = U.format("'42:v1a:' || doc_id || ':' || event_no || ':' || k")
+query("mask_vectors", f"SELECT doc_id, event_no, len(list_filter(range(0, len(embedding)), lambda k: embedding[k + 1] = 0 OR {_MASKED} < 0.15))::INTEGER AS n_masked FROM vectors")(lambda t: splits.mask_vectors(t.vectors, view="v1a").select("doc_id", "event_no", F.size(F.filter("embedding", lambda x: x == 0)).alias("n_masked")))
+_DRAWN = U.format("'42:' || v.view || ':' || doc_id || ':' || src || ':' || dst || ':' || rel")
+query("augmented_views", f"SELECT v.view, rel, count(*)::BIGINT AS n FROM typed, (VALUES ('v1a', 0.2, 0.2), ('v1b', 0.2, 0.2), ('v2', 0.6, 0.1)) v(view, t, c) WHERE {_DRAWN} >= CASE WHEN rel <= 1 THEN v.t ELSE v.c END GROUP BY v.view, rel")(lambda t: splits.augmented_views(curation.typed_edges(t.causal, t.temporal), t.vectors)[0].groupBy("view", "rel").agg(F.count("*").alias("n")))
 
 # scores and ranks
 
@@ -313,7 +318,11 @@ query("strip_doc_suffix", "SELECT doc_id, substr(doc_name, 1, length(doc_name) -
 query("score_profile", "SELECT doc_id, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(max(score) - min(score), 6) AS range, round(avg(CASE WHEN score = 0 THEN 1.0 ELSE 0 END), 6) AS share_zero, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0 END), 6) AS share_small, round(avg(CASE WHEN score > 0.95 THEN 1.0 ELSE 0 END), 6) AS share_large FROM topo GROUP BY doc_id")(
     lambda t: scoring.score_profile(t.scores("topo")).select("doc_id", *[r6(c) for c in ("low", "high", "mean", "std", "range", "share_zero", "share_small", "share_large")])
 )
-query("mlp_scores")(lambda t: scoring.mlp_scores(graphs.node_features(t.nodes, t.edges), scoring.PARAMS["layers"]).select("doc_id", "event_no", r6("score")))
+_LAYERS = scoring.PARAMS["layers"]
+_dot = lambda weights, bias, names: " + ".join(f"({w}::DOUBLE) * {n}" for w, n in zip(weights, names, strict=True)) + f" + ({bias}::DOUBLE)"
+_HIDDEN = ", ".join(f"greatest(0, {_dot(w, b, graphs.FEATURES)}) AS h{k}" for k, (w, b) in enumerate(zip(*_LAYERS[0], strict=True)))
+_SCALED = ", ".join(_scaled(c).replace("round(", "", 1).replace(", 6) AS", " AS") for c in graphs.FEATURES)
+query("mlp_scores", f"SELECT doc_id, event_no, round(CASE WHEN y >= 0 THEN y ELSE 0.1 * y END, 6) AS score FROM (SELECT doc_id, event_no, {_dot(_LAYERS[1][0][0], _LAYERS[1][1][0], ['h0', 'h1'])} AS y FROM (SELECT doc_id, event_no, {_HIDDEN} FROM (SELECT doc_id, event_no, {_SCALED} FROM features) a) b) c")(lambda t: scoring.mlp_scores(graphs.node_features(t.nodes, t.edges), scoring.PARAMS["layers"]).select("doc_id", "event_no", r6("score")))
 
 
 def _h(t: Tables) -> DataFrame:
@@ -380,8 +389,13 @@ def _folds(t: Tables) -> DataFrame:
     return out
 
 
-query("fold_summary")(lambda t: evaluate.fold_summary(_folds(t).where("seed = 1")))
-query("seed_summary")(lambda t: evaluate.seed_summary(_folds(t)))
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("tp", "fp", "fn", "tn"))
+query("fold_summary", f"SELECT round(avg(loss), 6) AS loss_mean, round(stddev_pop(loss), 6) AS loss_std, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std, round(avg(tau), 6) AS tau_mean, round(sum(hits)::DOUBLE / sum(docs), 6) AS hit_rate, {_SUMS} FROM fold_rows WHERE seed = 1")(lambda t: _rounded(evaluate.fold_summary(_folds(t).where("seed = 1"))))
+query("seed_summary", f"SELECT count(*)::BIGINT AS n_seeds, {', '.join(f'round(avg({c}), 6) AS {n}_mean, round(stddev_pop({c}), 6) AS {n}_std' for c, n in (('hit', 'hit_rate'), ('tau', 'tau'), ('f1', 'f1')))}, {_SUMS} FROM (SELECT seed, sum(hits)::DOUBLE / sum(docs) AS hit, avg(tau) AS tau, avg(f1) AS f1, {_SUMS} FROM fold_rows GROUP BY seed) x")(lambda t: _rounded(evaluate.seed_summary(_folds(t))))
 query("view_agreement")(lambda t: evaluate.view_agreement(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b")).select(r6("invariance"), r6("variance"), r6("covariance"), r6("loss")))
 
 # incremental work and review

@@ -193,6 +193,16 @@ CTES = {
     "review_old": "SELECT doc_id, i, j, 'causal' AS edge_type, 'old ' || i AS reason FROM causal UNION ALL SELECT t.doc_id, t.i, t.j, 'temporal', 'old ' || t.i FROM temporal t WHERE NOT (11 * doc_id + 5 * i + 3 * j) % 7 = 0",
     "added": "SELECT doc_id, i, j, 'causal' AS edge_type, 'new ' || i AS reason FROM near WHERE j = i + 5 AND (doc_id + i) % 8 = 0",
     "review_new": "SELECT doc_id, i, j, CASE WHEN (doc_id + i + j) % 9 = 1 THEN CASE WHEN edge_type = 'causal' THEN 'temporal' ELSE 'causal' END ELSE edge_type END AS edge_type, CASE WHEN (doc_id + i + j) % 9 = 2 THEN NULL ELSE reason END AS reason FROM review_old WHERE (doc_id + i + j) % 9 <> 0 UNION ALL SELECT * FROM added",
+    "judged": "SELECT 1 AS seed, t.doc_id, t.event_no, t.event_id, t.score, s.score AS label FROM topo t JOIN sem s USING (doc_id, event_no) UNION ALL SELECT 2, t.doc_id, t.event_no, t.event_id, t.score, s.score FROM tie t JOIN sem s USING (doc_id, event_no)",
+    "fold_of": "SELECT doc_id, (ntile(2) OVER (ORDER BY md5('42:' || doc_id)) - 1)::BIGINT AS fold FROM sized",
+    "fold_counts": "SELECT seed, fold, count(*) FILTER (WHERE score > 0.7 AND label > 0.5) AS tp, count(*) FILTER (WHERE score > 0.7 AND label <= 0.5) AS fp, count(*) FILTER (WHERE score <= 0.7 AND label > 0.5) AS fn, count(*) FILTER (WHERE score <= 0.7 AND label <= 0.5) AS tn FROM judged JOIN fold_of USING (doc_id) GROUP BY seed, fold",
+    "fold_loss": "SELECT seed, fold, avg(mse) AS loss FROM (SELECT seed, fold, doc_id, avg((score - label) * (score - label)) AS mse FROM judged JOIN fold_of USING (doc_id) GROUP BY seed, fold, doc_id) x GROUP BY seed, fold",
+    "fold_tau": "SELECT d.seed, f.fold, avg(coalesce(p.tau, 0)) AS tau FROM (SELECT DISTINCT seed, doc_id FROM judged) d JOIN fold_of f ON f.doc_id = d.doc_id LEFT JOIN (SELECT a.seed, a.doc_id, avg(sign(a.score - b.score) * sign(a.label - b.label)) AS tau FROM judged a JOIN judged b ON a.seed = b.seed AND a.doc_id = b.doc_id AND a.event_no < b.event_no GROUP BY a.seed, a.doc_id) p ON p.seed = d.seed AND p.doc_id = d.doc_id GROUP BY d.seed, f.fold",
+    "judged_ranked": "SELECT *, row_number() OVER (PARTITION BY seed, doc_id ORDER BY score DESC, event_id) AS rank FROM judged",
+    "set_sized": "SELECT *, count(*) OVER (PARTITION BY doc_id, set_no) AS size FROM set_members",
+    "fold_hits": "SELECT y.seed, f.fold, count(*) FILTER (WHERE y.n > 0) AS hits, count(*) AS docs FROM (SELECT v.seed, m.doc_id, count(*) FILTER (WHERE r.rank <= m.size) AS n FROM set_sized m CROSS JOIN (VALUES (1), (2)) v(seed) LEFT JOIN judged_ranked r ON r.seed = v.seed AND r.doc_id = m.doc_id AND r.event_no = m.event_no GROUP BY v.seed, m.doc_id) y JOIN fold_of f ON f.doc_id = y.doc_id GROUP BY y.seed, f.fold",
+    "fold_rows": "SELECT *, CASE WHEN tp > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM fold_counts JOIN fold_loss USING (seed, fold) JOIN fold_tau USING (seed, fold) JOIN fold_hits USING (seed, fold)",
+    "candidates": "SELECT k.doc_id, count(*)::BIGINT AS n, '{' || string_agg('\"edge' || k.edge || '\": ' || to_json({'cause': a.text, 'effect': b.text}), ', ' ORDER BY k.edge) || '}' AS listed FROM (SELECT doc_id, i, j, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS edge FROM keys) k JOIN nodes a ON a.doc_id = k.doc_id AND a.event_no = k.i JOIN nodes b ON b.doc_id = k.doc_id AND b.event_no = k.j GROUP BY k.doc_id",
 }
 _ORDER = ["lines", "nodes", "docs", "sized", "near", "causal", "temporal", "edges", "both_ways", "linked", "component"]
 
