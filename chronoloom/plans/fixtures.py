@@ -203,6 +203,18 @@ CTES = {
     "fold_hits": "SELECT y.seed, f.fold, count(*) FILTER (WHERE y.n > 0) AS hits, count(*) AS docs FROM (SELECT v.seed, m.doc_id, count(*) FILTER (WHERE r.rank <= m.size) AS n FROM set_sized m CROSS JOIN (VALUES (1), (2)) v(seed) LEFT JOIN judged_ranked r ON r.seed = v.seed AND r.doc_id = m.doc_id AND r.event_no = m.event_no GROUP BY v.seed, m.doc_id) y JOIN fold_of f ON f.doc_id = y.doc_id GROUP BY y.seed, f.fold",
     "fold_rows": "SELECT *, CASE WHEN tp > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM fold_counts JOIN fold_loss USING (seed, fold) JOIN fold_tau USING (seed, fold) JOIN fold_hits USING (seed, fold)",
     "candidates": "SELECT k.doc_id, count(*)::BIGINT AS n, '{' || string_agg('\"edge' || k.edge || '\": ' || to_json({'cause': a.text, 'effect': b.text}), ', ' ORDER BY k.edge) || '}' AS listed FROM (SELECT doc_id, i, j, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS edge FROM keys) k JOIN nodes a ON a.doc_id = k.doc_id AND a.event_no = k.i JOIN nodes b ON b.doc_id = k.doc_id AND b.event_no = k.j GROUP BY k.doc_id",
+    # removal sets of one or two events; every document of sf0.01 in the size band is solved by these
+    "whole_pairs": "SELECT s.doc_id, coalesce(c.r, 0) AS r FROM sized s LEFT JOIN (SELECT doc_id, count(*) AS r FROM closure GROUP BY doc_id) c ON c.doc_id = s.doc_id WHERE s.n BETWEEN 3 AND 30",
+    "singles": "SELECT n.doc_id, n.event_no AS a, 0 AS b FROM nodes n JOIN whole_pairs p ON p.doc_id = n.doc_id WHERE p.r > 0",
+    "walk_one": "SELECT s.doc_id, s.a, s.b, e.i, e.j FROM singles s JOIN edges e ON e.doc_id = s.doc_id AND e.i <> s.a AND e.i <> s.b AND e.j <> s.a AND e.j <> s.b UNION SELECT w.doc_id, w.a, w.b, w.i, e.j FROM walk_one w JOIN edges e ON e.doc_id = w.doc_id AND e.i = w.j AND e.j <> w.a AND e.j <> w.b",
+    "solved_one": "SELECT s.doc_id, s.a, s.b, 1 AS k, p.r, coalesce(w.n, 0) AS n_left FROM singles s JOIN whole_pairs p ON p.doc_id = s.doc_id LEFT JOIN (SELECT doc_id, a, b, count(*) AS n FROM walk_one GROUP BY doc_id, a, b) w ON w.doc_id = s.doc_id AND w.a = s.a AND w.b = s.b WHERE coalesce(w.n, 0) <= ceil(0.5 * p.r)",
+    "doubles": "SELECT x.doc_id, x.event_no AS a, y.event_no AS b FROM nodes x JOIN whole_pairs p ON p.doc_id = x.doc_id JOIN nodes y ON y.doc_id = x.doc_id AND y.event_no > x.event_no WHERE p.r > 0 AND NOT EXISTS (SELECT 1 FROM solved_one o WHERE o.doc_id = x.doc_id)",
+    "walk_two": "SELECT s.doc_id, s.a, s.b, e.i, e.j FROM doubles s JOIN edges e ON e.doc_id = s.doc_id AND e.i <> s.a AND e.i <> s.b AND e.j <> s.a AND e.j <> s.b UNION SELECT w.doc_id, w.a, w.b, w.i, e.j FROM walk_two w JOIN edges e ON e.doc_id = w.doc_id AND e.i = w.j AND e.j <> w.a AND e.j <> w.b",
+    "solved_two": "SELECT s.doc_id, s.a, s.b, 2 AS k, p.r, coalesce(w.n, 0) AS n_left FROM doubles s JOIN whole_pairs p ON p.doc_id = s.doc_id LEFT JOIN (SELECT doc_id, a, b, count(*) AS n FROM walk_two GROUP BY doc_id, a, b) w ON w.doc_id = s.doc_id AND w.a = s.a AND w.b = s.b WHERE coalesce(w.n, 0) <= ceil(0.5 * p.r)",
+    "least_sets": "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::BIGINT AS set_no, a, b, k::BIGINT AS k, r AS original_pairs, min(n_left) OVER (PARTITION BY doc_id) AS final_pairs FROM (SELECT * FROM solved_one UNION ALL SELECT * FROM solved_two) x UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, 0 FROM whole_pairs WHERE r = 0",
+    "least_counts": "SELECT doc_id, event_no, count(*) AS c FROM (SELECT doc_id, a AS event_no FROM least_sets UNION ALL SELECT doc_id, b FROM least_sets) x WHERE event_no > 0 GROUP BY doc_id, event_no",
+    "least_c0": "SELECT n.doc_id, n.event_no, coalesce(s.c / (max(s.c) OVER (PARTITION BY n.doc_id))::DOUBLE, 0) AS c0 FROM nodes n JOIN whole_pairs p ON p.doc_id = n.doc_id LEFT JOIN least_counts s ON s.doc_id = n.doc_id AND s.event_no = n.event_no",
+    "least_s_nd": "SELECT c.doc_id, c.event_no, CASE WHEN c.c0 > 1e-9 THEN 0.0 ELSE coalesce((SELECT sum(m.c0 / greatest(1, d.in_degree + d.out_degree)) FROM both_ways b JOIN least_c0 m ON m.doc_id = b.doc_id AND m.event_no = b.j JOIN degree d ON d.doc_id = b.doc_id AND d.event_no = b.j WHERE b.doc_id = c.doc_id AND b.i = c.event_no AND m.c0 > 1e-9), 0) END AS s_nd FROM least_c0 c",
 }
 _ORDER = ["lines", "nodes", "docs", "sized", "near", "causal", "temporal", "edges", "both_ways", "linked", "component"]
 
