@@ -24,6 +24,8 @@ LOW_RGB, HIGH_RGB = (219, 238, 255), (214, 39, 40)
 LABEL_WIDTH = 14
 W_RICH, W_RARE = 1.0, 0.3
 EPS = 1e-6
+#: Places that scores are rounded to before ties are ranked.
+PLACES = 9
 
 
 def _doc() -> WindowSpec:
@@ -216,13 +218,17 @@ PARAMS = {
 
 
 def score_graphs(nodes: DataFrame, edges: DataFrame, params: dict | None = None) -> DataFrame:
-    """`doc_id`, `event_no`, `score`, `rank`: features, layers, three attention steps, influence, competition rank."""
+    """`doc_id`, `event_no`, `score`, `rank`: features, layers, three attention steps, influence, competition rank.
+
+    Scores are rounded to 9 places before they are ranked, so sums in another order tie all the same.
+    """
     params = params or PARAMS
     h = stored(mlp_scores(node_features(nodes, edges), params["layers"]).select("doc_id", "event_no", F.col("score").alias("y")))
     for w, a, b in params["attention"]:
         step = attention_aggregate(nodes, edges, h.select("doc_id", "event_no", F.array("y").alias("x")), [w], a, b)
         h = stored(step.join(h.select("doc_id", "event_no", F.col("y").alias("was")), ["doc_id", "event_no"]).select("doc_id", "event_no", (F.col("y") + F.col("was")).alias("y")))
-    return competition_rank(influence_score(nodes, edges, h, *params["influence"]))
+    scores = influence_score(nodes, edges, h, *params["influence"])
+    return competition_rank(scores.withColumn("score", F.round("score", PLACES)))
 
 
 def relation_attention(vectors: DataFrame, typed: DataFrame, proj: np.ndarray, a_src: np.ndarray, a_dst: np.ndarray, q: np.ndarray) -> DataFrame:

@@ -322,7 +322,8 @@ _LAYERS = scoring.PARAMS["layers"]
 _dot = lambda weights, bias, names: " + ".join(f"({w}::DOUBLE) * {n}" for w, n in zip(weights, names, strict=True)) + f" + ({bias}::DOUBLE)"
 _HIDDEN = ", ".join(f"greatest(0, {_dot(w, b, graphs.FEATURES)}) AS h{k}" for k, (w, b) in enumerate(zip(*_LAYERS[0], strict=True)))
 _SCALED = ", ".join(_scaled(c).replace("round(", "", 1).replace(", 6) AS", " AS") for c in graphs.FEATURES)
-query("mlp_scores", f"SELECT doc_id, event_no, round(CASE WHEN y >= 0 THEN y ELSE 0.1 * y END, 6) AS score FROM (SELECT doc_id, event_no, {_dot(_LAYERS[1][0][0], _LAYERS[1][1][0], ['h0', 'h1'])} AS y FROM (SELECT doc_id, event_no, {_HIDDEN} FROM (SELECT doc_id, event_no, {_SCALED} FROM features) a) b) c")(lambda t: scoring.mlp_scores(graphs.node_features(t.nodes, t.edges), scoring.PARAMS["layers"]).select("doc_id", "event_no", r6("score")))
+_MLP = f"SELECT doc_id, event_no, CASE WHEN y >= 0 THEN y ELSE 0.1 * y END AS y FROM (SELECT doc_id, event_no, {_dot(_LAYERS[1][0][0], _LAYERS[1][1][0], ['h0', 'h1'])} AS y FROM (SELECT doc_id, event_no, {_HIDDEN} FROM (SELECT doc_id, event_no, {_SCALED} FROM features) a) b) c"
+query("mlp_scores", f"SELECT doc_id, event_no, round(y, 6) AS score FROM ({_MLP}) m")(lambda t: scoring.mlp_scores(graphs.node_features(t.nodes, t.edges), scoring.PARAMS["layers"]).select("doc_id", "event_no", r6("score")))
 
 
 def _h(t: Tables) -> DataFrame:
@@ -347,7 +348,13 @@ def relation_attention(t: Tables) -> DataFrame:
     return out.select("doc_id", "event_no", *[F.round(F.col("y")[i], 6).alias(f"y{i}") for i in range(2)], *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(4)])
 
 
-query("score_graphs")(lambda t: scoring.score_graphs(t.nodes, t.edges).select("doc_id", "event_no", r6("score"), "rank"))
+def _attention_sql(h: str, w: float, a: float, b: float) -> str:
+    return f"SELECT h.doc_id, h.event_no, h.y + CASE WHEN coalesce(z.y, 0) >= 0 THEN coalesce(z.y, 0) ELSE 0.01 * z.y END AS y FROM {h} h LEFT JOIN (SELECT doc_id, j, sum(x * ws) / sum(x) AS y FROM (SELECT doc_id, j, ws, exp(CASE WHEN l >= 0 THEN l ELSE 0.2 * l END) AS x FROM (SELECT e.doc_id, e.j, {w} * s.y AS ws, ({a}) * ({w} * s.y) + ({b}) * ({w} * d.y) AS l FROM edges e JOIN {h} s ON s.doc_id = e.doc_id AND s.event_no = e.i JOIN {h} d ON d.doc_id = e.doc_id AND d.event_no = e.j) p) q GROUP BY doc_id, j) z ON z.doc_id = h.doc_id AND z.j = h.event_no"
+
+
+_STEPS = ", ".join([f"step0 AS MATERIALIZED ({_MLP})", *(f"step{k + 1} AS MATERIALIZED ({_attention_sql(f'step{k}', *p)})" for k, p in enumerate(scoring.PARAMS["attention"]))])
+_INFLUENCE = "SELECT h.doc_id, h.event_no, round(1 / (1 + exp(-(h.y * ((coalesce(q.s, 0) + h.y) / (g.in_degree + 1)) + ln(1 + g.dd) / (g.md + 1e-6) + {} * ((h.y + coalesce(q.s, 0)) / (g.dd + 1)) + {}))), 9) AS score FROM step3 h JOIN (SELECT *, greatest(1, in_degree + out_degree)::DOUBLE AS dd, max(ln(1 + greatest(1, in_degree + out_degree)::DOUBLE)) OVER (PARTITION BY doc_id) AS md FROM degree) g ON g.doc_id = h.doc_id AND g.event_no = h.event_no LEFT JOIN (SELECT e.doc_id, e.j, sum(a.y) AS s FROM edges e JOIN step3 a ON a.doc_id = e.doc_id AND a.event_no = e.i GROUP BY e.doc_id, e.j) q ON q.doc_id = h.doc_id AND q.j = h.event_no".format(*scoring.PARAMS["influence"])
+query("score_graphs", f"SELECT doc_id, event_no, round(score, 6) AS score, rank() OVER (PARTITION BY doc_id ORDER BY score DESC)::BIGINT AS rank FROM (WITH {_STEPS} {_INFLUENCE}) x")(lambda t: scoring.score_graphs(t.nodes, t.edges).select("doc_id", "event_no", r6("score"), "rank"))
 
 # evaluation
 
