@@ -150,6 +150,16 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def digests(self, ids: list[list[int]], texts: list[str]) -> list[str]:
+        """sha256 of the bytes that the ids of each text decode to; an error if these aren't the text's."""
+        out = []
+        for x, t in zip(ids, texts, strict=True):
+            got = self.decode(x)
+            if got != t.encode():
+                raise ValueError(f"{len(x)} ids decode to {len(got)} bytes that differ from their text's")
+            out.append(hashlib.sha256(got).hexdigest())
+        return out
+
 
 def _end(ends: list[int], i: int) -> int:
     import bisect
@@ -166,17 +176,21 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _loaded[path, pattern]
 
 
-def encode(documents: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, and `n_tokens` and `ids` of every row."""
+def encode(documents: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
+    """The columns of `keep`, and `n_tokens` and `ids` of every row; with `digest`, the ids are decoded again in the same pass,
+    checked against the text, and `decoded_sha256` has the digest of the decoded bytes."""
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded_sha256", T.StringType())] * digest
 
     def work(part: pa.RecordBatch) -> dict[str, object]:
         texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-        ids = vocabulary(ranks, pattern).encode(texts)
+        words = vocabulary(ranks, pattern)
+        ids = words.encode(texts)
         size = np.array([len(x) for x in ids], np.int64)
         flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
-        return {"n_tokens": size, "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)}
+        out = {"n_tokens": size, "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)}
+        return out | {"decoded_sha256": words.digests(ids, texts)} if digest else out
 
-    return tx.map_text(documents, "text", work, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))], keep)
+    return tx.map_text(documents, "text", work, fields, keep)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:

@@ -56,10 +56,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """`doc_id`, `n_tokens`, `ids`, and the digest of the bytes that the ids decode to."""
+    """`doc_id`, `n_tokens`, `ids`, and `decoded_sha256` of the bytes that the ids decode to; every row's are checked against its text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return ids.select("doc_id", "n_tokens", "ids")
+    return bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, digest=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -75,10 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`: `doc_id`, `n_tokens`, `ids`. The last stage has compared what the ids decode to with the text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = tx.stored(docs)
-    return docs
+    return docs.select("doc_id", "n_tokens", "ids")

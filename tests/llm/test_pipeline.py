@@ -1,9 +1,11 @@
 """The pipeline's stages on odd and generated rows, each against what its operator says of the stage's own input."""
 
+import hashlib
 import re
 from collections import Counter
 
 import public_tokenizers
+import pytest
 
 import corpus_pipeline
 from chronoloom.llm import bpe, language, minhash, mixing, suffixes
@@ -65,3 +67,14 @@ def test_run_and_odd_rows(spark):
     one = corpus_pipeline.without_near_duplicates(spark, docs, path).collect()
     assert len([r for r in one if r.doc_id == 0]) == 1 and len([r for r in one if r.doc_id is not None and 100 <= r.doc_id < 112]) < 12
     assert not any(re.fullmatch(r"[\s\d\W]*", r.text or "") for r in corpus_pipeline.by_language(spark, docs, path).collect())
+
+
+def test_last_stage_decodes_every_row(spark):
+    docs = fixtures.odd(spark)
+    rows = corpus_pipeline.encoded(spark, docs, SMALL).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in rows) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
+    words = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert all(hashlib.sha256(words.decode(r.ids)).hexdigest() == r.decoded_sha256 for r in rows)
+    (ids,) = words.encode(["two words"])
+    with pytest.raises(ValueError, match="differ"):
+        words.digests([ids[:-1]], ["two words"])
