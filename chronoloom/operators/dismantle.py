@@ -25,6 +25,8 @@ CHUNK = 4096
 #: Such rows for a task, a second or two of work, and tasks at most.
 TASK_CHUNKS = 500
 MOST_TASKS = 20_000
+#: Words of the bit sets that greedy removal holds at once, 32 MB, or those of one graph.
+BLOCK_WORDS = 4_000_000
 
 
 def remaining_pairs(succ: np.ndarray, removed: np.ndarray) -> np.ndarray:
@@ -51,9 +53,11 @@ def remaining_pairs(succ: np.ndarray, removed: np.ndarray) -> np.ndarray:
     return total
 
 
-def adjacency(nodes: DataFrame, edges: DataFrame, min_nodes: int = 1, max_nodes: int = 60) -> DataFrame:
-    """`doc_id`, `ids` (events in order), `pairs` (places of edges) of documents in the size band: bounded rows."""
-    ids = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list("event_no")).alias("ids")).where(F.size("ids").between(min_nodes, max_nodes))
+def adjacency(nodes: DataFrame, edges: DataFrame, min_nodes: int = 1, max_nodes: int | None = None) -> DataFrame:
+    """`doc_id`, `ids` (events in order), `pairs` (places of edges) of documents in the size band, which may have no upper end."""
+    ids = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list("event_no")).alias("ids")).where(F.size("ids") >= min_nodes)
+    if max_nodes is not None:
+        ids = ids.where(F.size("ids") <= max_nodes)
     sized = edges.join(ids.select("doc_id"), "doc_id", "left_semi")
     pairs = sized.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("i", "j"))).alias("pairs"))
     return ids.join(pairs, "doc_id", "left")
@@ -132,29 +136,67 @@ def minimal_removal_sets(nodes: DataFrame, edges: DataFrame, theta: float = THET
     return rows.select("doc_id", number.cast("long").alias("set_no"), "members", "k", "original_pairs", best.alias("final_pairs"))
 
 
+def _left(succ: list[list[int]], alive: np.ndarray) -> np.ndarray:
+    """Reachable pairs that are left of a graph of any size (lists of successors) for each column of `alive`, which events stay.
+
+    `closed` has for each event the bits of all that it reaches and its own, in as many words as the graph needs.
+    """
+    n, words = len(succ), (len(succ) + 63) // 64
+    total = np.zeros(alive.shape[1], np.int64)
+    forward = all(w > v for v, to in enumerate(succ) for w in to)
+    columns = max(1, BLOCK_WORDS // (n * words))
+    for lo in range(0, alive.shape[1], columns):
+        some = alive[:, lo : lo + columns]
+        closed = np.zeros((n, words, some.shape[1]), np.uint64)
+        changed = True
+        while changed:
+            changed = False
+            for v in range(n - 1, -1, -1):
+                bits = np.bitwise_or.reduce(closed[succ[v]], axis=0) if succ[v] else np.zeros_like(closed[v])
+                bits[v >> 6] |= np.uint64(1 << (v & 63))
+                bits *= some[v]
+                if not forward:
+                    changed = changed or not np.array_equal(bits, closed[v])
+                closed[v] = bits
+        for v in range(n):
+            total[lo : lo + columns] += np.bitwise_count(closed[v]).sum(axis=0, dtype=np.int64)
+        total[lo : lo + columns] -= some.sum(axis=0)
+    return total
+
+
 def _greedy(pdf: pd.DataFrame, theta: float) -> list[tuple]:
     out = []
     for row in pdf.itertuples(index=False):
-        succ, n = _masks(row.ids, row.pairs), len(row.ids)
-        removed = np.uint64(0)
-        total = left = int(remaining_pairs(succ, np.zeros(1, np.uint64))[0])
+        place = {int(v): k for k, v in enumerate(row.ids)}
+        succ: list[list[int]] = [[] for _ in place]
+        for p in row.pairs if row.pairs is not None else []:
+            if p["i"] in place and p["j"] in place and p["i"] != p["j"]:
+                succ[place[p["i"]]].append(place[p["j"]])
+        alive = np.ones(len(succ), bool)
+        total = left = int(_left(succ, alive[:, None])[0])
         step = 0
         while left > math.ceil(theta * total):
-            free = [v for v in range(n) if not int(removed) >> v & 1]
-            counts = remaining_pairs(succ, np.array([int(removed) | 1 << v for v in free], np.uint64))
+            free = np.flatnonzero(alive)
+            tried = np.repeat(alive[:, None], len(free), axis=1)
+            tried[free, np.arange(len(free))] = False
+            counts = _left(succ, tried)
             best = int(counts.argmin())
-            removed, left, step = np.uint64(int(removed) | 1 << free[best]), int(counts[best]), step + 1
+            alive[free[best]], left, step = False, int(counts[best]), step + 1
             out.append((row.doc_id, step, int(row.ids[free[best]]), left))
     return out
 
 
-def greedy_removal(nodes: DataFrame, edges: DataFrame, theta: float = THETA, max_nodes: int = 60) -> DataFrame:
-    """`doc_id`, `step`, `event_no`, `pairs_left`: one by one the event that leaves the fewest pairs, until few enough are left."""
+def greedy_removal(nodes: DataFrame, edges: DataFrame, theta: float = THETA) -> DataFrame:
+    """`doc_id`, `step`, `event_no`, `pairs_left`: one by one the event that leaves the fewest pairs, until few enough are left.
+
+    Documents of any number of events; one step's work grows with the events times the edges times the words of a bit set.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame(_greedy(pdf, theta), columns=["doc_id", "step", "event_no", "pairs_left"])
 
-    return adjacency(nodes, edges, 1, max_nodes).mapInPandas(run, "doc_id long, step long, event_no long, pairs_left long")
+    return adjacency(nodes, edges).mapInPandas(run, "doc_id long, step long, event_no long, pairs_left long")
 
 
 def removal_frequency(nodes: DataFrame, sets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from chronoloom.operators import dismantle, evaluate, graphs, scoring, splits
@@ -101,6 +102,44 @@ def test_greedy_removal_takes_the_best_event_each_time(spark):
     assert [tuple(r) for r in dismantle.greedy_removal(nodes, table).orderBy("step").collect()] == steps
 
 
+@pytest.mark.parametrize(("n", "back", "words"), [(100, (), None), (100, (), 500), (70, ((69, 40), (5, 2)), None), (64, (), None), (65, (), None)])
+def test_greedy_removal_of_graphs_of_many_events(n, back, words, monkeypatch):
+    if words:
+        monkeypatch.setattr(dismantle, "BLOCK_WORDS", words)
+    draw = random.Random(n)
+    edges = [(i, j) for i in range(1, n + 1) for j in range(i + 1, min(n, i + 3) + 1) if draw.random() < 0.6] + list(back)
+
+    def pairs(gone):
+        total = 0
+        succ = {v: [] for v in range(1, n + 1)}
+        for a, b in edges:
+            if a not in gone and b not in gone:
+                succ[a].append(b)
+        for s in succ:
+            seen, todo = {s}, [s]
+            while todo:
+                new = set(succ[todo.pop()]) - seen
+                seen |= new
+                todo += new
+            total += len(seen) - 1
+        return total
+
+    gone, steps, total = set(), [], pairs(set())
+    while (steps[-1][3] if steps else total) > -(-total // 2):
+        best = min((v for v in range(1, n + 1) if v not in gone), key=lambda v: (pairs(gone | {v}), v))
+        gone.add(best)
+        steps.append((7, len(gone), best, pairs(gone)))
+    assert steps
+    rows = pd.DataFrame([(7, list(range(1, n + 1)), [{"i": i, "j": j} for i, j in edges])], columns=["doc_id", "ids", "pairs"])
+    assert dismantle._greedy(rows, 0.5) == steps
+
+
+def test_greedy_removal_leaves_no_document_out(spark):
+    nodes, table = graph(spark, 100, [(i, i + 1) for i in range(1, 100)])
+    rows = dismantle.greedy_removal(nodes, table).collect()
+    assert [(r.step, r.event_no, r.pairs_left) for r in rows] == [(1, 50, 49 * 48 // 2 + 50 * 49 // 2)]
+
+
 @pytest.fixture(scope="module")
 def proposals():
     """Random causal edges, expert edges with priorities, similarities of all pairs, by document."""
