@@ -314,6 +314,10 @@ query("score_color", "SELECT doc_id, event_no, format('#{:02x}{:02x}{:02x}', tru
 query("node_label", "SELECT doc_id, event_no, regexp_replace(event_id || ': ' || text, '(.{14})', '\\1' || chr(10), 'g') AS body FROM nodes WHERE length(event_id || ': ' || text) % 14 <> 0")(
     lambda t: t.nodes.where(F.char_length(F.concat("event_id", F.lit(": "), "text")) % 14 != 0).select("doc_id", "event_no", F.regexp_replace(scoring.node_label(F.col("event_id"), F.col("text"), F.lit(0.5), F.lit(1)), "\n▲ 0.500 \\(#1\\)$", "").alias("body"))
 )
+#: Labels of all events. `node_label` has no text whose length is a multiple of 14.
+query("node_label_whole", "SELECT doc_id, event_no, rtrim(regexp_replace(event_id || ': ' || text, '(.{14})', '\\1' || chr(10), 'g'), chr(10)) AS body FROM nodes")(
+    lambda t: t.nodes.select("doc_id", "event_no", F.regexp_replace(scoring.node_label(F.col("event_id"), F.col("text"), F.lit(0.5), F.lit(1)), "\n▲ 0.500 \\(#1\\)$", "").alias("body"))
+)
 query("strip_doc_suffix", "SELECT doc_id, substr(doc_name, 1, length(doc_name) - 4) AS stem FROM docs")(lambda t: t.docs.select("doc_id", scoring.strip_doc_suffix(F.regexp_replace("doc_name", "txt$", "TxT")).alias("stem")))
 query("score_profile", "SELECT doc_id, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(max(score) - min(score), 6) AS range, round(avg(CASE WHEN score = 0 THEN 1.0 ELSE 0 END), 6) AS share_zero, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0 END), 6) AS share_small, round(avg(CASE WHEN score > 0.95 THEN 1.0 ELSE 0 END), 6) AS share_large FROM topo GROUP BY doc_id")(
     lambda t: scoring.score_profile(t.scores("topo")).select("doc_id", *[r6(c) for c in ("low", "high", "mean", "std", "range", "share_zero", "share_small", "share_large")])

@@ -13,7 +13,7 @@ import pytest
 
 from chronoloom.operators import dismantle, evaluate, graphs, scoring, splits
 from chronoloom.operators.llm_json import first_json
-from chronoloom.plans import catalog
+from chronoloom.plans import catalog, fixtures
 from chronoloom.sources import files
 from tests.conftest import SMALL
 
@@ -307,6 +307,15 @@ def test_files(spark, tmp_path):
     assert Counter(r.expert for r in files.read_checkpoints(spark, str(tmp_path / "done")).collect()) == {"a": 1, "b": 1}
 
 
+def test_labels_of_all_events(spark):
+    """Against plain slices; a text that fills its last line has no newline after it."""
+    nodes = fixtures.Tables(spark, SMALL).nodes.collect()
+    texts = {(r.doc_id, r.event_no): f"{r.event_id}: {r.text}" for r in nodes}
+    assert any(len(x) % 14 == 0 for x in texts.values())
+    want = {k: "\n".join(x[i : i + 14] for i in range(0, len(x), 14)) for k, x in texts.items()}
+    assert {(r.doc_id, r.event_no): r.body for r in catalog.queries()["node_label_whole"](spark, SMALL).collect()} == want
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
