@@ -189,6 +189,10 @@ query("bridge_components", "SELECT DISTINCT doc_id, 1::BIGINT AS i, component AS
 query("path_exists", "SELECT n.doc_id, n.i AS s, n.j AS t, c.i IS NOT NULL AS found FROM near n LEFT JOIN closure c ON c.doc_id = n.doc_id AND c.i = n.i AND c.j = n.j UNION ALL SELECT doc_id, event_no, event_no, true FROM nodes")(
     lambda t: graphs.path_exists(graphs.reachable_pairs(t.edges), t.near(5).select("doc_id", F.col("i").alias("s"), F.col("j").alias("t")).unionByName(t.nodes.select("doc_id", F.col("event_no").alias("s"), F.col("event_no").alias("t"))))
 )
+#: All forward pairs of a document, however far apart, and each event with itself. `path_exists` asks for pairs at most 5 apart.
+query("path_exists_whole", "SELECT a.doc_id, a.event_no AS s, b.event_no AS t, a.event_no = b.event_no OR c.i IS NOT NULL AS found FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no <= b.event_no LEFT JOIN closure c ON c.doc_id = a.doc_id AND c.i = a.event_no AND c.j = b.event_no")(
+    lambda t: graphs.path_exists(graphs.reachable_pairs(t.edges), prep.forward_pairs(t.nodes).select("doc_id", F.col("i").alias("s"), F.col("j").alias("t")).unionByName(t.nodes.select("doc_id", F.col("event_no").alias("s"), F.col("event_no").alias("t"))))
+)
 
 # features
 
@@ -215,6 +219,10 @@ query("reachable_counts", "SELECT s.doc_id, coalesce(c.c, 0)::BIGINT AS n_pairs
 query("lineage", "SELECT doc_id, i AS anchor, j AS event_no, 'descendant' AS side FROM closure WHERE i % 4 = 1 UNION ALL SELECT doc_id, j, i, 'ancestor' FROM closure WHERE j % 4 = 1 UNION ALL SELECT doc_id, event_no, event_no, s.side FROM nodes, (VALUES ('descendant'), ('ancestor')) s(side) WHERE event_no % 4 = 1")(
     lambda t: graphs.lineage(graphs.reachable_pairs(t.edges), t.nodes.where("event_no % 4 = 1").select("doc_id", F.col("event_no").alias("anchor")))
 )
+#: Every event is an anchor. In `lineage` every fourth is.
+query("lineage_whole", "SELECT doc_id, i AS anchor, j AS event_no, 'descendant' AS side FROM closure UNION ALL SELECT doc_id, j, i, 'ancestor' FROM closure UNION ALL SELECT doc_id, event_no, event_no, s.side FROM nodes, (VALUES ('descendant'), ('ancestor')) s(side)")(
+    lambda t: graphs.lineage(graphs.reachable_pairs(t.edges), t.nodes.select("doc_id", F.col("event_no").alias("anchor")))
+)
 
 # dismantling
 
@@ -455,6 +463,10 @@ def merge_review_history(t: Tables) -> DataFrame:
 query("edge_addition_candidates", "SELECT a.doc_id, a.event_no AS anchor, r.role, b.event_no FROM nodes a, (VALUES ('source'), ('target')) r(role), nodes b WHERE a.event_no % 9 = 1 AND a.doc_id = b.doc_id AND a.event_no <> b.event_no AND NOT EXISTS (SELECT 1 FROM closure c WHERE c.doc_id = a.doc_id AND ((r.role = 'source' AND c.j = a.event_no AND c.i = b.event_no) OR (r.role = 'target' AND c.i = a.event_no AND c.j = b.event_no))) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = a.doc_id AND ((r.role = 'source' AND e.i = a.event_no AND e.j = b.event_no) OR (r.role = 'target' AND e.j = a.event_no AND e.i = b.event_no)))")(
     lambda t: incremental.edge_addition_candidates(t.nodes, t.edges, graphs.reachable_pairs(t.edges), t.nodes.where("event_no % 9 = 1").select("doc_id", F.col("event_no").alias("anchor"))).select("doc_id", "anchor", "role", "event_no")
 )
+#: Every event is an anchor. In `edge_addition_candidates` every ninth is.
+query("edge_addition_candidates_whole", "SELECT a.doc_id, a.event_no AS anchor, r.role, b.event_no FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no <> b.event_no, (VALUES ('source'), ('target')) r(role) EXCEPT (SELECT doc_id, j, 'source', i FROM closure UNION ALL SELECT doc_id, i, 'target', j FROM closure UNION ALL SELECT doc_id, i, 'source', j FROM edges UNION ALL SELECT doc_id, j, 'target', i FROM edges)")(
+    lambda t: incremental.edge_addition_candidates(t.nodes, t.edges, graphs.reachable_pairs(t.edges), t.nodes.select("doc_id", F.col("event_no").alias("anchor"))).select("doc_id", "anchor", "role", "event_no")
+)
 query("reversible_edges", "SELECT t.doc_id, t.i, t.j FROM edges t WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN closure c ON c.doc_id = e.doc_id AND c.i = e.j WHERE e.doc_id = t.doc_id AND e.i = t.i AND c.j = t.j)")(lambda t: incremental.reversible_edges(t.edges, graphs.reachable_pairs(t.edges)))
 query("apply_review_edits", "SELECT doc_id, CASE WHEN m = 3 THEN j ELSE i END AS i, CASE WHEN m = 3 THEN i ELSE j END AS j, CASE WHEN m = 1 THEN CASE WHEN edge_type = 'causal' THEN 'temporal' ELSE 'causal' END ELSE edge_type END AS edge_type, CASE WHEN m = 1 THEN 'edit ' || j ELSE reason END AS reason, m IN (1, 3) AS manual_review FROM (SELECT *, (doc_id + i + j) % 9 AS m FROM review_old) x WHERE m <> 0 UNION ALL SELECT doc_id, i, j, edge_type, reason, true FROM added")(
     lambda t: incremental.apply_review_edits(t.review_old, t.edits)

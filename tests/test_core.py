@@ -9,6 +9,8 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from chronoloom.operators import dismantle, evaluate, graphs, scoring, splits
@@ -316,6 +318,20 @@ def test_labels_of_all_events(spark):
     assert {(r.doc_id, r.event_no): r.body for r in catalog.queries()["node_label_whole"](spark, SMALL).collect()} == want
 
 
+def test_paths_lineage_and_candidates_of_all_events(spark, tmp_path):
+    """Against a walk along the edges, of every event of a few documents."""
+    pq.write_table(pa.table({"doc_id": [3, 8, 14], "text": ["\n".join(f"e {k}" for k in range(n)) for n in (13, 1, 24)]}), tmp_path / "documents.parquet")
+    got = {q: Counter(map(tuple, catalog.queries()[f"{q}_whole"](spark, str(tmp_path)).collect())) for q in ("path_exists", "lineage", "edge_addition_candidates")}
+    edges = [tuple(r) for r in fixtures.Tables(spark, str(tmp_path)).edges.select("doc_id", "i", "j").collect()]
+    events = [(d, v) for d, n in ((3, 13), (8, 1), (14, 24)) for v in range(1, n + 1)]
+    path = {(d, s, t): joined([(i, j) for e, i, j in edges if e == d], s, t) for d, s in events for e, t in events if d == e}
+    assert any(found and t - s > 5 for (_, s, t), found in path.items())
+    assert got["path_exists"] == Counter((*k, found) for k, found in path.items() if k[1] <= k[2])
+    assert got["lineage"] == Counter((d, *ends, side) for (d, s, t), found in path.items() if found for ends, side in (((s, t), "descendant"), ((t, s), "ancestor")))
+    free = lambda d, i, j: not path[d, i, j] and (d, j, i) not in edges
+    assert got["edge_addition_candidates"] == Counter((d, a, role, b) for d, a, b in path if a != b for role in ("source", "target") if (free(d, b, a) if role == "source" else free(d, a, b)))
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
