@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read again. A folder of this machine is set only where the session names none."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where the session names none, a folder of this machine is set if driver and executors are one process, as in tests; on a
+    cluster that is an error, as each executor would write to its own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/chronoloom-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/chronoloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """`df` written to `path`, else to a new shared folder, and read again: lineage is cut, and a lost executor loses none of it."""
+    spark = df.sparkSession
+    path = path or shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a stored folder that no table reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone: 32 bits of their md5."""
     joined = F.concat_ws(":", *[p.cast("string") for p in parts])
