@@ -1,9 +1,12 @@
-"""Byte-level BPE: encoding by merge replay over the distinct words of a slice of the corpus, and decoding.
+"""Byte-level BPE: encoding by merge replay over distinct words, and decoding.
 
 Merges work inside a word (a match of the split pattern), so a word is encoded once wherever it stands. All new words of a batch
-lie in one array of tokens with neighbour links. An inverted index leads from each rank to the places where a pair of that rank
-stands; the ranks are replayed from the smallest on, and a merge touches its two neighbours alone. Documents then take their
-words' ids.
+lie in one array of tokens with neighbour links. An inverted index lists the places of token pairs by the rank of the token that they
+make; sweeps over it apply the merges in rank order, each word's smallest rank at all its places, and a merge gives new ranks to its
+two neighbours alone. Documents then take their words' ids.
+
+Words are independent, so the ids are those of a replay over all words of the corpus. Distinct words are collected within a slice of
+texts and remembered by the worker, not by the corpus: taking ids back to documents would shuffle each document's words.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; special strings are ordinary text; repeated rows get
 the same result each; extra columns are ignored.
@@ -13,8 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,156 +24,157 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import text as tx
+from . import words
 
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 300_000
-#: New words that are replayed together at most.
-TOGETHER = 50_000
+#: Words whose ids a worker remembers, about 40 MB.
+REMEMBERED = 800_000
+#: Bytes of new words that are replayed together at most.
+TOGETHER = 4 << 20
+#: The rank of tokens that don't merge.
+NONE = np.int32(2**31 - 1)
+#: Above any token, to write a pair of tokens as one number.
+TOKENS = 1 << 31
 
 
 class Vocabulary:
-    """Ranks of byte strings from a rank file, and the ids of words met so far."""
-
-    def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as file:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.bytes_of = {i: b for b, i in self.rank.items()}
-        self.byte = [self.rank[bytes([i])] for i in range(256)]
-        self.split = regex.compile(pattern)
-        self.pair: dict[tuple[int, int], int] = {}
-        self.ids: dict[str, tuple[int, ...]] = {}
-
-    def pair_rank(self, a: int, b: int) -> int:
-        """The rank of two tokens together, -1 if they don't merge."""
-        got = self.pair.get((a, b))
-        if got is None:
-            if len(self.pair) > 1_000_000:
-                self.pair.clear()
-            got = self.pair[a, b] = self.rank.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return got
-
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    """Ranks of byte strings, and the ids of words met so far."""
+
+    def __init__(self, rank: dict[bytes, int], pattern: str) -> None:
+        self.rank = rank
+        self.byte = np.array([rank[bytes([i])] for i in range(256)], np.int32)
+        self.pattern = None if pattern == words.PATTERN else regex.compile(pattern)
+        pairs = [(rank[t[:i]], rank[t[i:]], r) for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank]
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        key = left * TOKENS + right
+        order = np.argsort(key)
+        self.pair_key, self.pair_rank = np.append(key[order], np.iinfo(np.int64).max), np.append(made[order], NONE).astype(np.int32)
+        most = max(rank.values()) + 1
+        self.sorts = np.uint16 if most < 1 << 16 else np.int32  # two bytes are sorted by radix
+        self.table = words.Table(REMEMBERED)
+        bytes_of = {i: b for b, i in rank.items()}
+        self.shown = [_flat([bytes_of.get(i, b"") for i in range(most)]), _flat([b"%d " % i for i in range(most)])]
+
+    def _ranks(self, token: np.ndarray, after: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pair that starts at each place, `NONE` if it doesn't merge."""
+        nxt = after[at]
+        return self._pairs(np.where(nxt < 0, -1, token[at]), token[nxt])
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = np.where(left < 0, -1, left.astype(np.int64) * TOKENS + right)
+        place = np.searchsorted(self.pair_key, key)
+        return np.where(self.pair_key[place] == key, self.pair_rank[place], NONE)
+
+    def replay(self, new: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each word."""
-        out: list[tuple[int, ...] | None] = [None] * len(words)
-        token: list[int] = []
-        ends: list[int] = []
-        open_: list[int] = []
-        for i, w in enumerate(words):
-            whole = self.rank.get(w)
-            if whole is not None:  # a word that is a token is taken whole
-                out[i] = (whole,)
-                continue
-            open_.append(i)
-            token += [self.byte[x] for x in w]
-            ends.append(len(token))
+        out: list[tuple[int, ...]] = [(r,) if (r := self.rank.get(w)) is not None else () for w in new]  # a word that is a token is taken whole
+        open_ = [i for i, x in enumerate(out) if not x and new[i]]
+        size = np.array([len(new[i]) for i in open_], np.int64)
+        token = self.byte[np.frombuffer(b"".join(new[i] for i in open_), np.uint8)]
         n = len(token)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        start = 0
-        for e in ends:
-            after[e - 1] = -1
-            before[start] = -1
-            start = e
-        pair_rank, known = self.pair_rank, self.pair
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if after[i] >= 0:
-                key = (token[i], token[i + 1])
-                r = known.get(key)
-                if r is None:
-                    r = pair_rank(*key)
-                if r >= 0:
-                    index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
-        while heap:
-            r = heapq.heappop(heap)
-            places = index.pop(r, None)
-            if places is None:
-                continue
-            places.sort()
-            blocked = -1  # the end of a word in which a smaller rank has come up, and goes first
-            for k, i in enumerate(places):
-                j = after[i] if token[i] >= 0 else -1
-                if j < 0 or pair_rank(token[i], token[j]) != r:
-                    continue
-                if i <= blocked:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(heap, r)
-                    index[r].append(i)
-                    continue
-                token[i], token[j] = r, -1
-                nxt, prv = after[j], before[i]
-                after[i] = nxt
-                if nxt >= 0:
-                    before[nxt] = i
-                    s = known.get((r, token[nxt]))
-                    if s is None:
-                        s = pair_rank(r, token[nxt])
-                    if s >= 0:
-                        if s not in index:
-                            index[s] = []
-                            heapq.heappush(heap, s)
-                        index[s].append(i)
-                        if s < r:
-                            blocked = ends[_end(ends, i)] - 1
-                if prv >= 0:
-                    s = known.get((token[prv], r))
-                    if s is None:
-                        s = pair_rank(token[prv], r)
-                    if s >= 0:
-                        if s not in index:
-                            index[s] = []
-                            heapq.heappush(heap, s)
-                        index[s].append(prv)
-                        if s < r:
-                            blocked = ends[_end(ends, i)] - 1
-                del k
-        start = 0
-        for i, e in zip(open_, ends, strict=True):
-            out[i] = tuple([t for t in token[start:e] if t >= 0])
-            start = e
+        word = np.repeat(np.arange(len(open_)), size)
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        ends = np.cumsum(size)
+        before[ends - size], after[ends - 1] = -1, -1
+        rank = self._ranks(token, after, np.arange(n))
+        open_places = rank != NONE
+        least = np.full(len(open_), NONE)
+        while len(places := np.flatnonzero(open_places)):
+            index = places[np.argsort(rank[places].astype(self.sorts), kind="stable")]  # places by the rank of their pair
+            least[word[index[::-1]]] = rank[index[::-1]]  # a word's smallest rank comes last
+            i = places[rank[places] == least[word[places]]]
+            # of places that follow one another every second one
+            line = np.arange(len(i))
+            joins = np.append(False, after[i[:-1]] == i[1:])
+            i = i[(line - np.maximum.accumulate(np.where(joins, 0, line))) % 2 == 0]
+            j = after[i]
+            k = after[j]
+            was, other, least_rank = token[i], token[j], rank[i]
+            token[i], token[j], after[i] = least_rank, -1, k
+            before[k[k >= 0]] = i[k >= 0]
+            rank[j] = NONE
+            touched = np.concatenate([i, before[i[before[i] >= 0]]])
+            rank[touched] = self._ranks(token, after, touched)
+            # where a smaller rank has come up in a word, or would have before the next place, it goes before all but the first place
+            line = np.flatnonzero(k[:-1] == i[1:])
+            line = line[self._pairs(least_rank[line], was[line + 1]) < least_rank[line]]
+            smaller = np.append(touched[rank[touched] < least[word[touched]]], i[line])
+            if len(smaller):
+                back = np.isin(word[i], word[smaller]) & np.append(False, word[i[1:]] == word[i[:-1]])
+                i2, j2, k2 = i[back], j[back], k[back]
+                token[i2], token[j2], after[i2] = was[back], other[back], j2
+                before[k2[k2 >= 0]] = j2[k2 >= 0]
+                more = np.concatenate([i2, j2, before[i2]])  # not the first of a word, so there is one before
+                rank[more] = self._ranks(token, after, more)
+                touched = np.concatenate([touched, more])
+            open_places[j] = False
+            open_places[touched] = rank[touched] != NONE
+        alive = token >= 0
+        flat, bounds = token[alive].tolist(), np.append(0, np.cumsum(np.bincount(word[alive], minlength=len(open_)))).tolist()
+        for i, a, b in zip(open_, bounds[:-1], bounds[1:], strict=True):
+            out[i] = tuple(flat[a:b])
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        cut = [self.split.findall(t) for t in texts]
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        new = list(set().union(*cut) - self.ids.keys())
-        for i in range(0, len(new), TOGETHER):
-            some = new[i : i + TOGETHER]
-            self.ids.update(zip(some, self.replay([w.encode() for w in some]), strict=True))
-        ids = self.ids
-        return [list(chain.from_iterable(map(ids.__getitem__, words))) for words in cut]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def digests(self, ids: list[list[int]], texts: list[str]) -> list[str]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, and the bounds of each text's."""
+        data, offsets = tx.utf8(column)
+        if self.pattern is None:
+            starts, bounds = words.split(data, offsets)
+        else:
+            cut = [[w.encode() for w in self.pattern.findall(t or "")] for t in column.to_pylist()]
+            data = np.frombuffer(b"".join(w for c in cut for w in c), np.uint8)
+            starts = np.cumsum([0, *(len(w) for c in cut for w in c)])[:-1]
+            bounds = np.cumsum([0, *map(len, cut)])
+        first, count, values = self.table.look_up(data, starts, self._made)
+        return words.gathered(first, count, values), np.append(0, np.cumsum(count))[bounds]
+
+    def _made(self, new: list[bytes]) -> list[tuple[int, ...]]:
+        out, some, size = [], [], 0
+        for w in new:
+            some.append(w)
+            size += len(w)
+            if size >= TOGETHER:
+                out += self.replay(some)
+                some, size = [], 0
+        return out + self.replay(some)
+
+    def _written(self, ids: np.ndarray, bounds: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray]:
+        flat, at = self.shown[form]
+        size = np.diff(at)[ids]
+        return words.gathered(at[ids], size, flat), np.append(0, np.cumsum(size))[bounds]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of each text's ids."""
+        flat, at = self._written(ids, bounds, 0)
+        whole = flat.tobytes()
+        return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def id_digests(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """sha256 of each text's ids in decimal digits with a space between."""
+        flat, at = self._written(ids, bounds, 1)
+        whole = flat.tobytes()
+        return [hashlib.sha256(whole[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def digests(self, ids: np.ndarray, bounds: np.ndarray, column: pa.Array) -> list[str]:
         """sha256 of the bytes that the ids of each text decode to; an error if these aren't the text's."""
-        out = []
-        for x, t in zip(ids, texts, strict=True):
-            got = self.decode(x)
-            if got != t.encode():
-                raise ValueError(f"{len(x)} ids decode to {len(got)} bytes that differ from their text's")
-            out.append(hashlib.sha256(got).hexdigest())
-        return out
+        data, offsets = tx.utf8(column)
+        got = self.decode(ids, bounds)
+        if [len(x) for x in got] != np.diff(offsets).tolist() or b"".join(got) != data.tobytes():
+            raise ValueError(f"{len(ids)} ids of {len(got)} texts decode to bytes that differ from their texts'")
+        return [hashlib.sha256(x).hexdigest() for x in got]
 
 
-def _end(ends: list[int], i: int) -> int:
-    import bisect
-
-    return bisect.bisect_right(ends, i)
+def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
+    """The vocabulary of a rank file, once for each worker."""
     if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Vocabulary(path, pattern)
+        with open(path, "rb") as file:
+            _loaded[path, pattern] = Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}, pattern)
     return _loaded[path, pattern]
 
 
@@ -182,13 +184,10 @@ def encode(documents: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...]
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded_sha256", T.StringType())] * digest
 
     def work(part: pa.RecordBatch) -> dict[str, object]:
-        texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-        words = vocabulary(ranks, pattern)
-        ids = words.encode(texts)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
-        out = {"n_tokens": size, "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)}
-        return out | {"decoded_sha256": words.digests(ids, texts)} if digest else out
+        column, known = part.column(part.schema.get_field_index("text")), vocabulary(ranks, pattern)
+        ids, bounds = known.encode(column)
+        out = {"n_tokens": np.diff(bounds), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))}
+        return out | {"decoded_sha256": known.digests(ids, bounds, column)} if digest else out
 
     return tx.map_text(documents, "text", work, fields, keep)
 
@@ -199,8 +198,9 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            words = vocabulary(ranks, pattern)
-            got = pa.array([words.decode(x) if x else b"" for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()], pa.binary())
+            lists = batch.column(batch.schema.get_field_index("ids")).fill_null([])
+            bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            got = pa.array(vocabulary(ranks, pattern).decode(lists.flatten().to_numpy(zero_copy_only=False), bounds), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), got], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([encoded.schema[c] for c in names] + [T.StructField("decoded", T.BinaryType())]))
@@ -211,12 +211,8 @@ def round_trip(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     they decode to: encoding and decoding in one pass, when the ids themselves are not wanted."""
 
     def work(part: pa.RecordBatch) -> dict[str, object]:
-        words = vocabulary(ranks, pattern)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for ids in words.encode([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]):
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(words.decode(ids)).hexdigest())
-        return out
+        column, known = part.column(part.schema.get_field_index("text")), vocabulary(ranks, pattern)
+        ids, bounds = known.encode(column)
+        return {"n_tokens": np.diff(bounds), "ids_sha256": known.id_digests(ids, bounds), "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in known.decode(ids, bounds)]}
 
     return tx.map_text(documents, "text", work, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())], ["doc_id"])

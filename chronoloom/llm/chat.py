@@ -9,8 +9,9 @@ Template: `### role: text</turn>` and a newline for a window's own turn, `#~# ro
 and texts, backslashes and the control strings are escaped by a backslash and a letter, so the output reads back exactly.
 
 Defined results: rows of one conversation are ordered by turn, role, text (nulls first); null roles and texts are empty, and
-rows with a null conversation are one conversation; a turn larger than the budget is a window of its own; tokens of a turn are
-its words plus `OVERHEAD`; repeated rows are turns of their own; extra columns are ignored. A conversation streams through one
+rows with a null conversation are one conversation; a turn larger than the budget is a window of its own, and where the system turn
+and the history leave no room, each window has one own turn; tokens of a turn are those of its text, as the tokenizer's library counts
+them, plus `OVERHEAD`; repeated rows are turns of their own; extra columns are ignored. A conversation streams through one
 task in the order of its turns, at most `BUFFER` turns in memory, since its turns follow from one another.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
+
 BUDGET = 512
 HISTORY = 128
 OVERHEAD = 4
@@ -48,11 +51,11 @@ def unescape(text: str) -> str:
     return _escaped.sub(lambda m: _plain[m[1]], text)
 
 
-def spans(tokens: np.ndarray, first_room: int, room: int) -> list[int]:
+def spans(sizes: np.ndarray, first_room: int, room: int) -> list[int]:
     """Where windows end, by prefix sums: each takes the turns that fit, one at least."""
-    total = np.cumsum(tokens)
+    total = np.cumsum(sizes)
     out, start = [], 0
-    while start < len(tokens):
+    while start < len(sizes):
         before = int(total[start - 1]) if start else 0
         end = max(start + 1, int(np.searchsorted(total, before + (room if out else first_room), "right")))
         out.append(end)
@@ -62,7 +65,7 @@ def spans(tokens: np.ndarray, first_room: int, room: int) -> list[int]:
 
 def window(system: Turn | None, history: list[Turn], own: list[Turn]) -> tuple[str, int, list[dict]]:
     """The text of a window, its tokens, and where its loss counts: the own assistant texts."""
-    parts, loss, at, tokens = [], [], 0, 0
+    parts, loss, at, size = [], [], 0, 0
     for mark, turns in ((REPEATED, [system] if system else []), (REPEATED, history), (OWN, own)):
         for role, text, n in turns:
             head, body = f"{mark} {escape(role)}: ", escape(text)
@@ -70,12 +73,15 @@ def window(system: Turn | None, history: list[Turn], own: list[Turn]) -> tuple[s
                 loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
             parts += [head, body, END]
             at += len(head) + len(body) + len(END)
-            tokens += n
-    return "".join(parts), tokens, loss
+            size += n
+    return "".join(parts), size, loss
+
 
+def windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """One row for each window: `conv_id`, `window_no` from 0, `text`, `n_tokens`, and `loss`, the spans that count.
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row for each window: `conv_id`, `window_no` from 0, `text`, `n_tokens`, and `loss`, the spans that count."""
+    `tokenizer` is the file whose tokens the budget and the history count.
+    """
 
     def flush(conv: int | None, state: dict, last: bool) -> Iterator[tuple]:
         turns: list[Turn] = state["turns"]
@@ -101,12 +107,13 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, out = None, None, []
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            sizes = tokens.counter(tokenizer)(batch.column(2)).tolist()
+            for conv, role, text, n in zip(*(batch.column(i).to_pylist() for i in range(3)), sizes, strict=True):
                 if state is None or conv != now:
                     if state is not None:
                         out += flush(now, state, True)
                     now, state = conv, {"turns": [], "tail": [], "window": 0, "system": None, "any": False}
-                turn = (role, text, OVERHEAD + len(text.split()))
+                turn = (role, text, OVERHEAD + n)
                 if not state["any"]:
                     state["any"], state["system"] = True, turn if role == "system" else None
                 state["turns"].append(turn)

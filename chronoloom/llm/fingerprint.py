@@ -9,7 +9,8 @@ texts (Jaccard likeness of their sets of names).
 
 Defined results: a null text is as an empty one; the fingerprint of the empty text is sixteen zeros and a colon, like only
 to itself; equal texts have equal fingerprints; of rows with equal or null ids (null: smallest), the hash of the text
-decides the order; a single row is its own next; extra columns are ignored.
+decides the order, and they are one range; a single row is its own next; extra columns are ignored. Run lengths are named exactly and
+texts of a phrase or two have no upper names, so an edit of a very repetitive or short text may leave no common name.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SKETCH = 64
 #: Levels whose names count; the first is too common to tell texts apart.
 FROM_LEVEL = 2
 LEVELS = 40
+#: Bytes of text in one range of ids.
+RANGE_BYTES = 64 << 20
 
 
 def _label(left: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -173,6 +176,7 @@ def with_next(documents: DataFrame, ranges: int) -> DataFrame:
     own = F.struct(F.col("part").cast("long").alias("part"), F.lit(False).alias("copy"))
     rows = rows.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("part"), F.lit(True).alias("copy"))))))
     rows = rows.select("doc_id", "text", "key", "place.part", "place.copy")
+    rows = rows.repartitionByRange(len(heads), "part")  # a range to a task, where dealing by hash would give one task several
     order = Window.partitionBy("part").orderBy("copy", F.desc("key"), F.xxhash64("text"))
     return rows.withColumn("next_text", F.lead("text").over(order)).select("doc_id", "text", "next_text", "part", "copy")
 
@@ -182,8 +186,10 @@ def compare_edited(documents: DataFrame, ranges: int | None = None) -> DataFrame
 
     Returns `doc_id`, `n_chars`, `edited_sha256`, `fingerprint`, `edited_fingerprint`, `near_edited`, `near_next`.
     """
-    spark = documents.sparkSession
-    rows = with_next(documents, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not ranges:
+        total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    rows = with_next(documents, ranges)
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - third), F.coalesce(F.col("next_text").substr(F.lit(1), third), F.lit("")))

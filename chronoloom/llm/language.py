@@ -144,16 +144,15 @@ def _paths(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray
     """
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
-    first, live = bounds[:-1][order], np.zeros(0, np.int64)
-    out = np.zeros(len(scores), np.int8)
+    first = bounds[:-1][order]
+    out = np.zeros(len(scores), np.int32)
     if not len(scores):
         return out
     steps = int(size.max())
     live = len(size) - np.searchsorted(np.sort(size), np.arange(1, steps + 1), "left")
     stay = np.zeros(scores.shape, bool)
-    came = np.zeros(len(scores), np.int8)
+    came = np.zeros(len(scores), np.int32)
     best = scores[first[: live[0]]].astype(np.float64)
-    last = best.copy() if steps == 1 else None
     final = np.zeros((len(size), scores.shape[1]))
     final[: live[0]] = best
     for t in range(1, steps):
@@ -166,7 +165,6 @@ def _paths(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray
         best = np.where(keep, best, jump[:, None]) + scores[at]
         stay[at], came[at] = keep, top
         final[:n] = best
-    del last
     state = final.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         n = live[t]
@@ -184,8 +182,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()),
 def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), prefix: str = "", penalty: float = PENALTY) -> DataFrame:
     """The columns of `keep`, and for each row `lang_pred`, `score` and `lang_spans`, their names behind `prefix`.
 
-    `lang_spans` are runs of words (runs of letters, from 0) in one language; `lang_pred` is the language that most letters
-    are in, and `score` the share of letters in it.
+    `lang_spans` are runs of words (runs of letters, from 0) in one language; `lang_pred` is the language that most bytes of
+    letters are in, and `score` the share of these bytes in it.
     """
     names = [prefix + x for x in ("lang_pred", "score", "lang_spans")]
 

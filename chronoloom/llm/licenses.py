@@ -1,8 +1,8 @@
 """License scans: notice templates with optional and replaceable regions, compiled into token automata.
 
 A template is wording with marks: `<<opt>> ... <</opt>>` may be left out, `<<any:N>>` stands for up to N words of any kind, and
-all other words are mandatory. A notice is found where a run of a text's words takes an automaton from its first mandatory
-word to its end, so the mandatory wording stands there exactly and in order. Beside these notices, places of base phrases are
+all other words are mandatory. A notice is found where a run of a text's words takes an automaton from its first word, which is
+mandatory, to its end, so the mandatory wording stands there exactly and in order. Beside these notices, places of base phrases are
 counted.
 
 Defined results: words are runs of ASCII letters and digits and of all non-ASCII bytes, after A-Z is lower-cased; a null text
@@ -23,15 +23,29 @@ from . import text as tx
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices by label.
+_WARRANTY = "including but not limited to <<opt>>the<</opt>> implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any:1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any:1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = f"this software is provided by <<any:8>> as is and any express or implied warranties {_WARRANTY} in no event shall <<any:8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_GPL = "you can redistribute it and or modify it under the terms of the gnu {0} as published by the free software foundation either version <<any:2>> of the license or at your option any later version <<any:3>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {0} for more details"
+#: Texts and notices by label; each begins with a mandatory word.
 TEMPLATES = {
+    "apache-header": "licensed under the apache license version 2 0 <<opt>>the license<</opt>> you may not use this <<any:1>> except in compliance with the license you may obtain a copy of the license at <<any:1>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "apache-notice": "licensed under the apache license <<opt>>version <<any:2>> <</opt>>",
+    "bsd-2-clause": f"{_BSD} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD} <<any:1>> neither the name of <<any:12>> may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
+    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "cc-attribution": "work is licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> creative commons attribution <<any:4>> international license",
     "cc-notice": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by <<opt>>nc<</opt>> <<opt>>nd<</opt>> <<opt>>sa<</opt>> <<opt>><<any:2>><</opt>>",
+    "gpl-header": _GPL.format("general public license"),
     "gpl-notice": "licensed under the gnu <<opt>>lesser<</opt>> general public license <<opt>>version <<any:1>><</opt>>",
     "gpl-redistribution": "you can redistribute it and or modify it under the terms of the gnu <<opt>>lesser<</opt>> general public license as published by the free software foundation",
+    "isc": "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "lgpl-header": _GPL.format("lesser general public license"),
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<any:6>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software <<opt>>and associated documentation files<</opt>> <<any:4>> to deal in the software without restriction",
-    "mit-notice": "<<opt>>is<</opt>> <<opt>>are<</opt>> released under the mit license",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "mit-notice": "released under the mit license",
+    "mpl-header": "source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<any:1>> mozilla org mpl 2 0",
+    "public-domain": "free and unencumbered software released into the public domain",
     "spdx-tag": "spdx license identifier <<any:1>>",
 }
 

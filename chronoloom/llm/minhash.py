@@ -7,9 +7,13 @@ similarity (uniform prior, so a beta distribution), the chance of reaching the t
 batches is verified on the full sets.
 
 Buckets are compared by growing components: members found linked leave the pool, so a bucket of near copies costs a few rounds over
-its members, and what comes out is a forest of links, not all pairs. A bucket of more than `BLOCK` members is cut into blocks by
-a hash, and every pair of blocks is a task of its own, so no task gathers more than two blocks. Equal buckets of several bands
-are compared once.
+its members, and what comes out is a forest of links, not all pairs. A bucket of more than `BLOCK` members or `BLOCK_SHINGLES`
+shingles is cut into blocks by a hash of class and bucket, each a task of its own that gets its members once. Other bands cut the same
+near copies into other blocks, so nearly all are in one component after that. Only members outside their bucket's largest component
+are then compared with the bucket's other blocks, and only with other components, one after the other as they stream by, so
+no task holds more than one block. Equal buckets of several bands are compared once.
+
+Sets are made where texts are read, and signatures and sets of candidates alone are shuffled.
 
 Defined results: texts without words or null have the empty set, link with nothing and are kept; texts of fewer than five words
 have their whole sequence as one shingle; rows with equal sets are in one class; the component's id is the smallest id in it,
@@ -35,7 +39,11 @@ WORDS = 5
 MISS = 1e-6
 ROWS = 5
 BATCH = 20
+#: Members of a bucket, and shingles of theirs, that one task compares with each other.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
+#: Bytes of text from which a text's shingles are made piece by piece.
+LONG_TEXT = 4 << 20
 
 
 def bands(threshold: float) -> int:
@@ -56,11 +64,27 @@ def needed(threshold: float, rows: int) -> np.ndarray:
     return out
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingles of each row, and their bounds by row."""
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and the bounds of each row's words. A long row is cut at blanks and worked on piece by piece."""
+    if len(offsets) == 2 and len(data) > LONG_TEXT:
+        blanks = np.flatnonzero(tx.BLANK[data])
+        at = np.searchsorted(blanks, np.arange(LONG_TEXT, len(data), LONG_TEXT))
+        cuts = np.unique(blanks[at[at < len(blanks)]])
+        if len(cuts):
+            words = np.concatenate([_plain_hashes(part, np.array([0, len(part)]))[0] for part in np.split(data, cuts)])
+            return words, np.array([0, len(words)])
+    return _plain_hashes(data, offsets)
+
+
+def _plain_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = tx.lower_ascii(data)
     starts, ends, bounds = tx.word_bounds(low, offsets, ~tx.BLANK)
-    word = tx.span_hash(tx.prefix_hash(low), starts, ends)
+    return tx.span_hash(tx.prefix_hash(low), starts, ends), bounds
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each row, and their bounds by row."""
+    word, bounds = _word_hashes(data, offsets)
     n = len(word)
     padded = np.concatenate([word, np.zeros(WORDS, np.uint64)])
     shingle = padded[:n].copy()
@@ -75,20 +99,20 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         elif k:
             whole = np.full(1, k, np.uint64)
             for i in range(a, a + k):
-                whole = tx.mix(whole * np.uint64(tx.INVERSE) + word[i : i + 1])
+                whole = tx.mix(whole * np.uint64(tx.OTHER) + word[i : i + 1])
             out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
-def _digests(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _digests(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """128 bits of each row's set."""
-    out = []
-    for salt in (0x51ED270B, 0x2545F491):
+    out = np.empty((len(bounds) - 1, 2), np.uint64)
+    for i, salt in enumerate((0x51ED270B, 0x2545F491)):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(sets ^ np.uint64(salt)), dtype=np.uint64)])
-        out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-    return out[0], out[1]
+        out[:, i] = total[bounds[1:]] - total[bounds[:-1]]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(out), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
 def _signatures(sets: np.ndarray, bounds: np.ndarray, rows: int) -> np.ndarray:
@@ -100,30 +124,61 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _bands(signatures: np.ndarray) -> np.ndarray:
+    """A hash of each band of each signature, with the band's number."""
+    n, rows = signatures.shape
+    parts = signatures.reshape(n, rows // ROWS, ROWS).astype(np.uint64)
+    out = np.tile(np.arange(1, rows // ROWS + 1, dtype=np.uint64), (n, 1))
+    for j in range(ROWS):
+        out = tx.mix(out * np.uint64(tx.BASE) + parts[:, :, j])
+    return out.view(np.int64)
+
+
 def profiles(documents: DataFrame, rows: int) -> DataFrame:
-    """`doc_id`, `row` (64 bits of id and text), `n_shingles`, the set's digest `d1`, `d2`, and its signature."""
+    """`doc_id`, `row` (128 bits of id and text), `n_shingles`, the set's digest `class`, and `bands` (null for no set)."""
 
     def work(part: pa.RecordBatch) -> dict[str, object]:
         sets, bounds = _sets(*tx.utf8(part.column(part.schema.get_field_index("text"))))
         size = np.diff(bounds)
-        d1, d2 = _digests(sets, bounds)
         some = np.flatnonzero(size)
-        signature: list[bytes | None] = [None] * len(size)
-        if len(some):
-            made = _signatures(sets, np.append(bounds[some], len(sets)), rows)
-            for i, s in zip(some.tolist(), made, strict=True):
-                signature[i] = s.tobytes()
-        return {"n_shingles": size, "d1": d1, "d2": d2, "signature": signature}
+        ends = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(np.where(size > 0, rows // ROWS, 0), out=ends[1:])
+        flat = _bands(_signatures(sets, np.append(bounds[some], len(sets)), rows)).ravel() if len(some) else np.zeros(0, np.int64)
+        return {"n_shingles": size, "class": _digests(sets, bounds), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return tx.map_text(keyed(documents), "text", work, fields, ["doc_id", "row"])
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text", tx.row_key(F.col("doc_id"), F.col("text")).alias("row"))
+
+
+def _survivors(one: int, pool: np.ndarray, signatures: np.ndarray, size: np.ndarray, need: np.ndarray, percent: int, own: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+    """Those of the pool whose similarity to one set may reach the threshold: by size, then batch by batch of signature rows."""
+    signature, n = own or (signatures[one], size[one])
+    small, large = np.minimum(size[pool], n), np.maximum(size[pool], n)
+    live = pool[100 * small >= percent * large]
+    agree = np.zeros(len(live), np.int64)
+    rows = signatures.shape[1]
+    for k in range(0, rows, BATCH):
+        if not len(live):
+            break
+        end = min(rows, k + BATCH)
+        agree += (signatures[live, k:end] == signature[k:end]).sum(axis=1)
+        go = agree >= need[end]
+        live, agree = live[go], agree[go]
+    return live
+
 
-    fields = [T.StructField(n, T.LongType()) for n in ("n_shingles", "d1", "d2")] + [T.StructField("signature", T.BinaryType())]
-    keyed = documents.select("doc_id", "text", tx.row_key(F.col("doc_id"), F.col("text")).alias("row"))
-    return tx.map_text(keyed, "text", work, fields, ["doc_id", "row"])
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def linked(signatures: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A forest of the links among some classes: each is joined to its component by one link that was verified in full."""
-    rows = signatures.shape[1]
-    need = needed(percent / 100, rows)
+    need = needed(percent / 100, signatures.shape[1])
     size = np.array([len(x) for x in sets])
     pool = np.arange(len(sets))
     links = []
@@ -131,21 +186,7 @@ def linked(signatures: np.ndarray, sets: list[np.ndarray], percent: int) -> list
         todo, pool = [pool[0]], pool[1:]
         while todo and len(pool):
             one = todo.pop()
-            small, large = np.minimum(size[pool], size[one]), np.maximum(size[pool], size[one])
-            live = pool[100 * small >= percent * large]
-            agree = np.zeros(len(live), np.int64)
-            for k in range(0, rows, BATCH):
-                if not len(live):
-                    break
-                end = min(rows, k + BATCH)
-                agree += (signatures[live, k:end] == signatures[one, k:end]).sum(axis=1)
-                go = agree >= need[end]
-                live, agree = live[go], agree[go]
-            found = []
-            for other in live.tolist():
-                common = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
-                if 100 * common >= percent * (size[one] + size[other] - common):
-                    found.append(other)
+            found = [x for x in _survivors(one, pool, signatures, size, need, percent).tolist() if _similar(sets[one], sets[x], percent)]
             if found:
                 links += [(int(one), x) for x in found]
                 todo += found
@@ -153,47 +194,90 @@ def linked(signatures: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     return links
 
 
-def _bucket_links(members: DataFrame, percent: int) -> DataFrame:
-    """`a`, `b` (class keys, a < b) of the links in each bucket and pair of blocks, which come in order."""
+def _in_groups(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Consecutive rows with equal values of the first `keys` columns, as lists of their other values."""
+    now, held = None, []
+    for batch in rows:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+LINKS = "a binary, b binary"
+
+
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f(r) for r in rows], pa.binary()) for f in (min, max)], names=["a", "b"])
+
+
+def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """`a`, `b` (classes, a < b): a forest of the links in each block of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, signatures, sets = None, [], [], []
-        out: list[tuple[int, int]] = []
+        for group in _in_groups(batches, 2):
+            if len(group) > 1:
+                signatures = np.frombuffer(b"".join(r[1] for r in group), np.uint32).reshape(len(group), -1)
+                found = linked(signatures, [np.frombuffer(r[2], np.uint64) for r in group], percent)
+                yield _pairs([(group[i][0], group[j][0]) for i, j in found])
+
+    rows = members.select("bucket", "block", "class", "signature", "shingles")
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "class").mapInArrow(run, LINKS).distinct()
+
+
+def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """`a`, `b`: links between components in the blocks of a bucket.
 
-        def close() -> None:
-            if len(keys) > 1:
-                for i, j in linked(np.frombuffer(b"".join(signatures), np.uint32).reshape(len(keys), -1), sets, percent):
-                    out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+    `members` has for each block its own members (`place` 0), then members of other blocks that pass by (1). Of each other component
+    that a passing one may link to, the first link is kept. Both of a pair that may pass by are compared in the later block alone.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, ready, out = None, [], None, []
         for batch in batches:
-            column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for group in zip(column["bucket"], column["x"], column["y"], column["class"], column["signature"], column["shingles"], strict=True):
-                if group[:3] != now:
-                    close()
-                    now, keys, signatures, sets = group[:3], [], [], []
-                keys.append(group[3])
-                signatures.append(group[4])
-                sets.append(np.frombuffer(group[5], np.uint64))
+            columns = [c.to_pylist() for c in batch.columns]
+            for bucket, block, place, name, root, passes, home, signature, shingles in zip(*columns, strict=True):
+                if (bucket, block) != now:
+                    now, own, ready = (bucket, block), [], None
+                if not place:
+                    own.append((name, root, passes, signature, shingles))
+                    continue
+                if not own:
+                    continue
+                if ready is None:
+                    signatures = np.frombuffer(b"".join(x[3] for x in own), np.uint32).reshape(len(own), -1)
+                    sets = [np.frombuffer(x[4], np.uint64) for x in own]
+                    ready = signatures, sets, np.array([len(x) for x in sets]), needed(percent / 100, signatures.shape[1]), np.array([x[2] for x in own])
+                signatures, sets, size, need, moves = ready
+                mine = np.frombuffer(shingles, np.uint64)
+                pool = np.array([i for i, x in enumerate(own) if x[1] != root and not (moves[i] and home > block)], np.int64)
+                met: set[bytes] = set()
+                for i in _survivors(-1, pool, signatures, size, need, percent, (np.frombuffer(signature, np.uint32), len(mine))).tolist():
+                    if own[i][1] not in met and _similar(mine, sets[i], percent):
+                        met.add(own[i][1])
+                        out.append((name, own[i][0]))
             yield _pairs(out)
             out = []
-        close()
-        yield _pairs(out)
-
-    order = ["bucket", "x", "y"]
-    return members.repartition(*order).sortWithinPartitions(*order, "class").mapInArrow(run, "a long, b long").distinct()
 
-
-def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    order = ["bucket", "block", "place"]
+    rows = members.select(*order, "class", "root", "passes", "home", "signature", "shingles")
+    return rows.repartition("bucket", "block").sortWithinPartitions(*order, "class").mapInArrow(run, LINKS).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """`node`, `root` of every node with a link: `root` is the smallest node of its component.
 
     Large-star and small-star steps in turn: each joins neighbours to the smallest one around, until nothing changes, in a number
-    of rounds that grows with the logarithm of the nodes. Each round is written to the shared folder.
+    of rounds that grows with the logarithm of the nodes. Each round is written to the shared folder, the one before deleted.
     """
-    edges = tx.stored(links.where("a != b"))
+    spark = links.sparkSession
+    path = tx.shared_folder(spark)
+    edges = tx.stored(links.where("a != b").select("a", "b"), path)
     seen = None
     while True:
         # large star: neighbours above a node go to its smallest neighbour
@@ -204,52 +288,74 @@ def components(links: DataFrame) -> DataFrame:
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = tx.stored(small.where("a != b").distinct())
+        before, path = path, tx.shared_folder(spark)
+        edges = tx.stored(small.where("a != b").distinct(), path)
+        tx.removed(spark, before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
 
 
+def _wanted_sets(documents: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """`class`, `signature`, `shingles` of the classes in `wanted` (`class`, `row`), made where texts are read and shuffled once."""
+    texts = tx.sieved(keyed(documents), wanted, "row").where("sieved").select("row", "text")
+
+    def work(part: pa.RecordBatch) -> dict[str, object]:
+        sets, bounds = _sets(*tx.utf8(part.column(part.schema.get_field_index("text"))))
+        signature: list[bytes | None] = [None] * part.num_rows
+        some = np.flatnonzero(np.diff(bounds))
+        if len(some):
+            for i, s in zip(some.tolist(), _signatures(sets, np.append(bounds[some], len(sets)), rows), strict=True):
+                signature[i] = s.tobytes()
+        return {"signature": signature, "shingles": [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
+
+    made = tx.map_text(texts, "text", work, [T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.BinaryType())], ["row"])
+    return made.join(wanted, "row").dropDuplicates(["class"]).select("class", "signature", "shingles")
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """`doc_id`, `row`, `n_shingles`, `component_id` of every row, and `representative`: whether the row stands for its component."""
     n_bands = bands(percent / 100)
     rows = n_bands * ROWS
     found = tx.stored(profiles(documents, rows))
-    key = F.xxhash64("d1", "d2", "n_shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = found.where("n_shingles > 0").groupBy(key.alias("class")).agg(first.alias("first"), F.first("signature").alias("signature"))
+    classes = found.where("n_shingles > 0").groupBy("class").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows"))
     classes = tx.stored(classes)
 
-    parts = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(n_bands)])
-    banded = classes.select("class", F.explode(parts).alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("s2")).where("n > 1")
-    buckets = buckets.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    members = tx.stored(banded.join(buckets.select("bucket", "n"), "bucket"))
-
-    # the full sets of the candidates, made again from the texts of their classes' first rows
-    wanted = members.select("class").distinct().join(classes.select("class", F.col("first.row").alias("row"), "signature"), "class")
-    texts = documents.select("text", tx.row_key(F.col("doc_id"), F.col("text")).alias("row")).join(wanted, "row").dropDuplicates(["row"])
-
-    def work(part: pa.RecordBatch) -> dict[str, object]:
-        sets, bounds = _sets(*tx.utf8(part.column(part.schema.get_field_index("text"))))
-        return {"shingles": [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
-
-    full = tx.map_text(texts, "text", work, [T.StructField("shingles", T.BinaryType())], ["class", "signature"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class", F.lit(7)), blocks).cast("int")
-    placed = members.select("bucket", "class", blocks.alias("blocks"), own.alias("own"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("x"), F.greatest(j, F.col("own")).alias("y")))
-    placed = placed.select("bucket", "class", F.explode(pairs).alias("pair")).select("bucket", "class", "pair.x", "pair.y")
-    links = _bucket_links(placed.join(full, "class").select("bucket", "x", "y", "class", "signature", "shingles"), percent)
-
+    banded = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = tx.stored(banded.join(shared, "bucket"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("class")).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("s2"))
+    buckets = buckets.groupBy("n", "weight", "s1", "s2").agg(F.min("bucket").alias("bucket"))  # equal buckets once
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    block = F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int").alias("block")
+    members = tx.stored(members.join(buckets.select("bucket", blocks), "bucket").select("bucket", "class", "blocks", block))
+
+    wanted = members.select("class").distinct().join(classes.select("class", F.col("first.row").alias("row")), "class")
+    full = tx.stored(_wanted_sets(documents, tx.stored(wanted), rows))
+    links = tx.stored(_links_in_blocks(members.join(full, "class"), percent))
     roots = components(links)
-    labelled = classes.select("class", "first").join(roots, classes["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
-    heads = labelled.groupBy("root").agg(F.min("first").alias("head"))
-    named = labelled.join(heads, "root").select("class", "head")
-    keyed = found.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, key).alias("class"))
-    out = keyed.join(named, "class", "left")
-    alone = F.col("head").isNull()
+    cut = members.where("blocks > 1")
+    if cut.head(1):
+        named = tx.stored(cut.join(roots, cut["class"] == roots["node"], "left").select("bucket", "class", "blocks", "block", F.coalesce("root", "class").alias("root")))
+        counts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("n_roots")).where("n_roots > 1")
+        open_ = named.join(largest, "bucket").withColumn("passes", F.col("root") != F.col("largest"))
+        own = F.struct(F.col("block").alias("block"), F.lit(0).alias("place"))
+        others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")), lambda b: F.struct(b.alias("block"), F.lit(1).alias("place")))
+        placed = open_.select("bucket", "class", "root", "passes", F.col("block").alias("home"), F.explode(F.when(F.col("passes"), F.concat(F.array(own), others)).otherwise(F.array(own))).alias("at"))
+        across = tx.stored(_links_across_blocks(placed.select("bucket", "class", "root", "passes", "home", "at.*").join(full, "class"), percent))
+        if across.head(1):
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
+
+    # names of components, and of classes with more than one row; all other rows are alone
+    inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    several = classes.select("class", "first", "n_rows").join(inside, classes["class"] == inside["node"], "left").where("n_rows > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "class"))
+    several = tx.stored(several.select("class", "first", "root"))
+    named = several.join(several.groupBy("root").agg(F.min("first").alias("head")), "root").select("class", "head")
+    out = found.select("doc_id", "row", "n_shingles", "class").join(named, "class", "left")
+    alone = F.col("head").isNull() | (F.col("n_shingles") == 0)
     return out.select(
         "doc_id", "row", "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),

@@ -3,12 +3,17 @@
 Sources share the words of all by weight, but none takes more than `epochs` times its own words; what that leaves over is shared
 by weight among the others until no source is above its cap. Sorted by cap over weight, the clamped sources are the first
 ones, so the level comes from running sums over the sources. A source then takes its documents whole as often as its target
-holds them, and once more those first in a seeded order up to the rest; that order is cut by ranges of the hash, so no task
-orders a whole source.
+holds them, and once more those first in a seeded order up to the rest.
+
+The seeded order is cut into `CUTS` ranges of its hash. Words by source and range, the only sums over documents, tell for each
+source which ranges lie within the rest and in which one range it ends; documents of that range alone are put in order. All other
+documents are neither shuffled nor sorted, but meet a row of their source: by a broadcast if there are at most `MOST_SOURCES`, else
+by a shuffle in which each source's rows are dealt over `SALTS` tasks.
 
 Defined results: sources go by code point, null last, as one source; a null text has size 0, and what has size 0 is not taken;
 a source without words has target 0 and takes nothing; of rows with equal ids the smaller size goes first; repeated rows are documents of their own; an empty table
-gives no rows; reruns agree, as the order depends on seed, id and size alone; extra columns are ignored.
+gives no rows; reruns agree, as the order depends on seed, id and size alone; extra columns are ignored. Running sums over the
+sources are in one task, which holds a few numbers for each source.
 """
 
 from __future__ import annotations
@@ -16,10 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import text as tx
+
 EPOCHS = 3
 SEED = "mix-1"
 #: Ranges of the hash that a source's order is cut into.
 CUTS = 4096
+#: Sources whose rows of numbers are broadcast at most, about 20 MB; beyond, tasks that each source's rows are dealt over.
+MOST_SOURCES, SALTS = 200_000, 64
 
 
 def targets(sizes: DataFrame, epochs: int = EPOCHS, weights: int = 3) -> DataFrame:
@@ -56,26 +65,35 @@ def words(text: Column) -> Column:
 def mix(documents: DataFrame, epochs: int = EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """`doc_id`, `size`, `source_size`, `target`, `copies` (times that the mix takes the document) and `taken` of every row;
     with the columns of `keep`."""
-    rows = documents.select("doc_id", "source", words(F.col("text")).alias("size"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    shares = targets(rows.select("source", "size"), epochs)
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    rows = documents.select("doc_id", "source", words(F.col("text")).alias("size"), order_hash(seed).alias("place"), *kept)
+    if not keep:
+        rows = tx.stored(rows)  # a few numbers for each document: words are counted once
+    rows = rows.withColumn("range", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % CUTS)
+    sums = tx.stored(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    shares = targets(sums.select("source", F.col("words").alias("size")), epochs)
     whole = F.floor(F.col("target") / F.col("source_size"))
     shares = shares.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(0).cast("long"))
     shares = shares.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    rows = rows.withColumn("place", order_hash(seed)).withColumn("range", (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % CUTS))
-    # words before each range of a source: sums by range, added up over the ranges
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    by_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("source", "range", F.coalesce(F.sum("words").over(by_range), F.lit(0)).alias("before"), "words")
-    ranges = ranges.alias("r").join(shares.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    ranges = ranges.select("r.source", "r.range", "before", "words", "source_size", "target", "whole", "need")
-    key = (F.col("d.source").eqNullSafe(F.col("r.source"))) & (F.col("d.range") == F.col("r.range"))
-    rows = rows.alias("d").join(ranges.alias("r"), key).select("d.*", "before", "source_size", "target", "whole", "need")
-    inside = Window.partitionBy("source", "range").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # the range in which the rest ends, with the words before it
+    so_far = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
+    ends = sums.withColumn("upto", so_far).alias("r").join(shares.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where("upto > need")
+    ends = ends.groupBy("r.source").agg(F.min(F.struct("range", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
+    shares = shares.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
+    shares = tx.stored(shares.select("s.source", "source_size", "target", "whole", "need", F.coalesce("end.range", F.lit(CUTS)).alias("end"), F.coalesce("end.before", F.lit(0)).alias("before")))
+    if shares.count() <= MOST_SOURCES:
+        rows = rows.alias("d").join(F.broadcast(shares).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "source_size", "target", "whole", "need", "end", "before")
+    else:
+        dealt = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("salt", (F.col("range") % SALTS).cast("int"))
+        rows = salted.alias("d").join(dealt.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.salt") == F.col("s.salt"))).select("d.*", "source_size", "target", "whole", "need", "end", "before").drop("salt")
+    inside = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     # once more if the document's middle lies within the rest
-    more = (2 * start + F.col("size") <= 2 * F.col("need")) & (F.col("size") > 0) & (F.col("whole") < epochs)
-    copies = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0)
-    out = rows.withColumn("copies", copies)
+    last = rows.where(F.col("range") == F.col("end")).withColumn("more", 2 * start + F.col("size") <= 2 * F.col("need"))
+    out = last.unionByName(rows.where(F.col("range") != F.col("end")).withColumn("more", F.col("range") < F.col("end")))
+    more = F.col("more") & (F.col("size") > 0) & (F.col("whole") < epochs)
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
 
 

@@ -1,10 +1,11 @@
 """Quality rules: base counts of a text, and a hashed n-gram logistic regression learnt from labelled quality rows.
 
 The model has three blocks of hashed features, words, word pairs and runs of four bytes, each as shares of the text. It is
-fitted on a bounded sample of labelled rows (`MOST_LABELLED`), its scores are turned into probabilities on a part held out
-of the fit, and texts are scored in Arrow batches against a fixed threshold.
+fitted on a bounded sample of labelled rows (`MOST_LABELLED` rows and `MOST_BYTES` of features), its scores are turned into
+probabilities on a part held out of the fit, and texts are scored in Arrow batches against a fixed threshold.
 
-Defined results: a null text has no words; a null label is not learnt from; without rows of both classes there is no
+Defined results: a null text has no words; a null label is not learnt from; of several labels of one id the largest counts, of
+several texts of one id that with the smallest hash is learnt from; without rows of both classes there is no
 model, the probability is null and the base rules alone decide; repeated rows get the same result each; columns other than
 the id and the text are neither read nor returned.
 """
@@ -24,6 +25,11 @@ from . import text as tx
 
 #: Labelled rows that are learnt from at most, those of the smallest hash of the id.
 MOST_LABELLED = 4000
+#: Bytes of their features that come to the driver at most: the rows that fit, in the order of the hash. 4000 rows of 2 KB of text
+#: have about 40 MB.
+MOST_BYTES = 64 << 20
+#: Features that a step of the fit multiplies at a time.
+TOGETHER = 1 << 20
 #: Hash buckets of each of the three blocks.
 BUCKETS = 1 << 15
 #: A text is kept if its probability of good quality reaches this.
@@ -109,33 +115,66 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> M
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = tx.map_text(rows, "text", _features, [T.StructField("buckets", T.BinaryType()), T.StructField("shares", T.BinaryType())], ["doc_id", "quality"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["buckets"], r["shares"]))
+    rows = tx.map_text(rows.withColumn("hash", F.xxhash64("text")), "text", _features, [T.StructField("buckets", T.BinaryType()), T.StructField("shares", T.BinaryType())], ["doc_id", "quality", "hash"])
+    one = F.min_by(F.struct("quality", "buckets", "shares"), "hash")  # of rows with equal ids; partial, so a repeated id is no hot key
+    made = tx.stored(rows.groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.*"))
+    sizes = made.select("doc_id", F.octet_length("buckets").alias("n"), F.xxhash64("doc_id").alias("order")).collect()  # `most` rows of numbers
+    fits, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["order"], r["doc_id"])):
+        total += 2 * r["n"]
+        if fits and total > MOST_BYTES:
+            break
+        fits.append((r["doc_id"],))
+    if not fits:
+        return None
+    chosen = documents.sparkSession.createDataFrame(fits, T.StructType([made.schema["doc_id"]]))
+    rows = made.join(F.broadcast(chosen), "doc_id").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([float(r["quality"] > 0) for r in rows])
     if len(set(y)) < 2:
         return None
     held = np.array([(r["doc_id"] * 2654435761 >> 7) % 4 == 0 for r in rows])
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.arange(len(y)) % 2 == 0 if len(y) > 3 else np.zeros(len(y), bool)
-    columns = [np.frombuffer(r["buckets"], np.int32) for r in rows]
-    values = [np.frombuffer(r["shares"], np.float32) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in columns])
-    column, value = np.concatenate(columns), np.concatenate(values).astype(np.float64)
-    weights, bias = _descend(row, column, value, y, ~held)
-    margin = np.bincount(row, weights[column] * value, len(y)) + bias
+    bounds = np.concatenate([[0], np.cumsum([len(r["buckets"]) // 4 for r in rows])])
+    column = np.frombuffer(b"".join(r["buckets"] for r in rows), np.int32)
+    value = np.frombuffer(b"".join(r["shares"] for r in rows), np.float32)
+    del rows
+    weights, bias = _descend(bounds, column, value, y, ~held)
+    margin = _margins(bounds, column, value, weights) + bias
     slope, offset = _calibrate(margin[held], y[held]) if len(set(y[held])) == 2 else (1.0, 0.0)
     return Model(weights.astype(np.float32), bias, slope, offset)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 120, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def _steps(bounds: np.ndarray) -> list[tuple[int, int]]:
+    """Consecutive rows with about `TOGETHER` features."""
+    cuts = np.unique(np.searchsorted(bounds, np.arange(0, bounds[-1] + TOGETHER, TOGETHER)).clip(0, len(bounds) - 1))
+    cuts = np.unique(np.append(cuts, [0, len(bounds) - 1]))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _margins(bounds: np.ndarray, column: np.ndarray, value: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The weighted sum of each row's features."""
+    out = np.zeros(len(bounds) - 1)
+    for a, b in _steps(bounds):
+        part = slice(bounds[a], bounds[b])
+        total = np.concatenate([[0.0], np.cumsum(w[column[part]] * value[part])])
+        out[a:b] = total[bounds[a + 1 : b + 1] - bounds[a]] - total[bounds[a:b] - bounds[a]]
+    return out
+
+
+def _descend(bounds: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 120, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights of the logistic loss over the rows in `use`, by Adam on the whole sample."""
     n, total = 3 * BUCKETS, max(1, int(use.sum()))
     w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
     bias, mb, vb = 0.0, 0.0, 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column] * value, len(y)) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(_margins(bounds, column, value, w) + bias, -30, 30)))
         off = np.where(use, p - y, 0.0) / total
-        g = np.bincount(column, off[row] * value, n) + decay * w
+        g = decay * w
+        for a, b in _steps(bounds):
+            part = slice(bounds[a], bounds[b])
+            g += np.bincount(column[part], np.repeat(off[a:b], np.diff(bounds[a : b + 1])) * value[part], n)
         gb = off.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb

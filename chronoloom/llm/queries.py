@@ -42,7 +42,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.windows(table.unionByName(extra)))
+    return chat.digests(chat.windows(table.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
         "document.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("spans").isNotNull().alias("has_repeats"),
     )
 
 

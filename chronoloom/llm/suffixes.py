@@ -5,15 +5,17 @@ suffixes: in each such string, the anchor, the run of `LEAD` bytes with the smal
 strings have the same anchor at the same place. Consecutive starts with one anchor form a piece. Then:
 
 1. pieces whose anchor bytes occur once can't repeat; a hash aggregate with partial sums finds the others;
-2. pieces whose whole bytes occur again repeat as a whole;
-3. one copy of each other piece goes on: the suffixes at the anchors are range-partitioned by their leading bytes at sampled
-   splitters, each bucket sorts its suffixes by multikey quicksort, and within runs of equal leading bytes the strings at
-   all starts are compared. Splitters are values of the leading bytes, so no run of one anchor crosses a bucket's bound; the
-   exception are anchors of more than `HOT` pieces, whose strings are compared across all buckets by an aggregate on hashes.
+2. pieces whose whole bytes occur again repeat as a whole, and one copy of each goes on;
+3. the suffixes at the anchors are range-partitioned by their leading bytes at sampled splitters, each bucket sorts its suffixes by
+   multikey quicksort, and within runs of equal leading bytes the strings at all starts are compared. Splitters are values of
+   the leading bytes, so a run lies in one bucket.
+4. A run of more than `HOT` suffixes is first cut by more leading bytes: starts at most `NARROW` apart share all but so many of
+   their strings' bytes, which become the leading bytes, and most suffixes have them alone. What is still more than `HOT` is
+   cut into single starts, whose leading bytes are their whole strings: there an equal one is a repeat, and nothing is compared.
 
 Defined results: a null text is empty; matches never cross rows, and equal rows are copies of one another; strings are judged
-on the input; an empty table gives no rows; extra columns are ignored. Bytes are compared as they are for step 3's leading
-bytes, elsewhere by 64-bit hashes, in step 2 by two of them.
+on the input; an empty table gives no rows; extra columns are ignored. Leading bytes are compared as they are in step 3, other bytes
+by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ LENGTH = 400
 #: Bytes of an anchor: eight tokens of eight bytes.
 LEAD = 64
 TOKEN = 8
-#: Places in a slice, above the bytes of any text.
-PLACES = 1 << 28
-#: Pieces of one anchor that one bucket compares, in at most about 200 MB; more of them are compared by hash across buckets.
+#: Places in a slice, above the bytes of any text, which an array of Spark holds.
+PLACES = 1 << 31
+#: Bytes of a text that are cut into pieces at a time.
+LONG_TEXT = 4 << 20
+#: Suffixes with equal leading bytes that one bucket compares, about 5 MB of them; more of them are cut by more leading bytes.
 HOT = 8192
+#: Starts that share leading bytes then.
+NARROW = 42
 #: Frequent keys that a broadcast may hold, a few megabytes.
 MOST_HOT = 100_000
 
@@ -71,21 +77,26 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
 
 
 def pieces(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces of each row: `row` (64 bits of id and text), first and last start, place of the anchor from the first
-    start, hashes of anchor and piece."""
+    """The pieces of each row: `row` (128 bits of id and text), first and last start, place of the anchor from the first
+    start, hashes of anchor and piece. A long text is cut into parts that overlap by a string less a byte."""
+
+    def cut(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = tx.utf8(part.column(1))
+        step = max(LONG_TEXT, len(data)) if part.num_rows > 1 else LONG_TEXT
+        for lo in range(0, max(1, len(data) - length + 1), step):
+            row, a, b, anchor, lead, whole = _anchors(data[lo : lo + step + length - 1], np.minimum(np.maximum(offsets - lo, 0), step + length - 1) if len(data) else offsets, length)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(row)), pa.array((a + lo).astype(np.int32)), pa.array((b + lo).astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64))],
+                names=["row", "a", "b", "anchor", "lead", "whole"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slices(batch, "text"):
-                row, a, b, anchor, lead, whole = _anchors(*tx.utf8(part.column(1)), length)
-                rows = part.column(0).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64))],
-                    names=["row", "a", "b", "anchor", "lead", "whole"],
-                )
+                yield from cut(part)
 
     rows = documents.select(tx.row_key(F.col("doc_id"), F.col("text")).alias("row"), "text").where(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "row long, a int, b int, anchor int, lead long, whole long")
+    return rows.mapInArrow(run, "row binary, a int, b int, anchor int, lead long, whole long")
 
 
 def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,48 +125,57 @@ def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, run
 
 
-def _starts(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all starts of pieces: the piece, the start in its row, and the hash of the string there."""
-    data, offsets = tx.utf8(batch.column(batch.schema.get_field_index("bytes")))
-    a = batch.column(batch.schema.get_field_index("a")).to_numpy(zero_copy_only=False).astype(np.int64)
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return _column(batch, name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all starts of pieces: the piece, the start in its row, and two hashes of the string there."""
+    data, offsets = tx.utf8(_column(batch, "bytes"))
     n = np.diff(offsets) - length + 1
     piece = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
     at = offsets[piece] + inside
-    return piece, a[piece] + inside, tx.span_hash(tx.prefix_hash(data), at, at + length)
+    one, other = (tx.span_hash(tx.prefix_hash(data, base), at, at + length, base) for base in (tx.BASE, tx.OTHER))
+    return piece, _numbers(batch, "a")[piece] + inside, one, other
 
 
-def _ranges(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Consecutive starts of a row as one range."""
-    cut = np.ones(len(row), bool)
-    cut[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+def _ranges(row: pa.Array, piece: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Consecutive starts of a piece as one range."""
+    cut = np.ones(len(piece), bool)
+    cut[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
     head = np.flatnonzero(cut)
-    last = np.append(head[1:], len(row)) - 1 if len(row) else head
-    return pa.RecordBatch.from_arrays([pa.array(row[head]), pa.array(start[head].astype(np.int32)), pa.array(start[last].astype(np.int32))], names=["row", "a", "b"])
+    last = np.append(head[1:], len(piece)) - 1 if len(piece) else head
+    return pa.RecordBatch.from_arrays([row.take(pa.array(piece[head])), pa.array(start[head].astype(np.int32)), pa.array(start[last].astype(np.int32))], names=["row", "a", "b"])
 
 
-RANGES = "row long, a int, b int"
+RANGES = "row binary, a int, b int"
 
 
 def _compare_sorted(suffixes: DataFrame, length: int) -> DataFrame:
-    """Ranges of starts whose strings stand in another suffix of the same run of leading bytes."""
+    """Ranges of starts whose strings stand in another suffix of the same run of leading bytes, which are all of one length."""
 
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
-        lead = b"".join(rows.column(rows.schema.get_field_index("lead_bytes")).to_pylist())
-        order, run = multikey_sort(np.frombuffer(lead, ">u8").reshape(-1, LEAD // TOKEN).astype(np.uint64))
+        lead = _column(rows, "lead_bytes").to_pylist()
+        width = -(-len(lead[0]) // TOKEN)
+        tokens = np.frombuffer(b"".join(x.ljust(width * TOKEN, b"\0") for x in lead), ">u8").reshape(-1, width)
+        order, run = multikey_sort(tokens.astype(np.uint64))
         rows = rows.take(pa.array(order))
-        piece, start, value = _starts(rows, length)
-        weight = rows.column(rows.schema.get_field_index("copies")).to_numpy(zero_copy_only=False)
-        by = np.lexsort((value, run[piece]))
-        r, v = run[piece][by], value[by]
+        piece, start, value, check = _starts(rows, length)
+        by = np.lexsort((check, value, run[piece]))
+        r, v, c = run[piece][by], value[by], check[by]
         same = np.zeros(len(by), bool)
-        same[1:] = (r[1:] == r[:-1]) & (v[1:] == v[:-1])
+        same[1:] = (r[1:] == r[:-1]) & (v[1:] == v[:-1]) & (c[1:] == c[:-1])
         twice = same.copy()
         twice[:-1] |= same[1:]
         hit = np.zeros(len(by), bool)
         hit[by] = twice
-        hit &= weight[piece] == 1  # pieces with copies are covered anyway
-        return _ranges(rows.column(rows.schema.get_field_index("row")).to_numpy(zero_copy_only=False)[piece[hit]], start[hit])
+        hit &= _numbers(rows, "copies")[piece] == 1  # pieces with copies are covered anyway
+        return _ranges(_column(rows, "row"), piece[hit], start[hit])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -164,11 +184,11 @@ def _compare_sorted(suffixes: DataFrame, length: int) -> DataFrame:
             for part in tx.slices(batch, "bytes"):
                 held.append(part)
                 size += part.nbytes
-                if size < 2 * tx.SLICE_BYTES:
+                if size < 4 * tx.SLICE_BYTES:
                     continue
                 # suffixes come in order of their leading bytes: all but the last run can be compared
                 rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                lead = rows.column(rows.schema.get_field_index("lead_bytes"))
+                lead = _column(rows, "lead_bytes")
                 final, end = lead[rows.num_rows - 1], rows.num_rows - 1
                 while end and lead[end - 1] == final:
                     end -= 1
@@ -180,8 +200,8 @@ def _compare_sorted(suffixes: DataFrame, length: int) -> DataFrame:
             yield compare(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = suffixes.repartitionByRange(parts, "lead_bytes").sortWithinPartitions("lead_bytes")
-    return ranged.mapInArrow(run, RANGES)
+    rows = suffixes.select("row", "a", "copies", "bytes", "lead_bytes")
+    return rows.repartitionByRange(parts, "lead_bytes").sortWithinPartitions("lead_bytes").mapInArrow(run, RANGES)
 
 
 def _join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
@@ -197,20 +217,49 @@ def _join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> Da
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
-def _compare_hashed(suffixes: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many pieces: strings of all starts by hash, added up before they are shuffled."""
+def _narrowed(suffixes: DataFrame, length: int, width: int) -> DataFrame:
+    """Suffixes cut into classes of `width` starts by the distance to their anchor, `at` in their bytes.
+
+    All strings of a class share `length - width + 1` bytes, which are its leading bytes: `core` and `core2` are their hashes. Classes
+    of one start leave the bytes out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.slices(batch, "bytes", tx.SLICE_BYTES // 8):
-                piece, start, value = _starts(part, length)
-                pick = lambda c: part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[piece]  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(pick("row")), pa.array(start.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(pick("copies"))], names=["row", "start", "value", "copies"])
+            for part in tx.slices(batch, "bytes", tx.SLICE_BYTES // max(1, 8 // width)):
+                data, offsets = tx.utf8(_column(part, "bytes"))
+                at, n = _numbers(part, "at"), np.diff(offsets) - length + 1
+                first, last = (at - n + 1) // width, at // width  # classes of the last and the first start
+                k = last - first + 1
+                piece = np.repeat(np.arange(len(k)), k)
+                kind = first[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(k) - k, k)
+                lo = np.maximum(0, at[piece] - (kind + 1) * width + 1)
+                hi = np.minimum(n[piece] - 1, at[piece] - kind * width)
+                core = at[piece] - kind * width
+                begin, end = offsets[piece] + core, offsets[piece] + core + length - width + 1
+                hashes = [tx.span_hash(tx.prefix_hash(data, base), begin, end, base).view(np.int64) for base in (tx.BASE, tx.OTHER)]
+                size = hi - lo + length
+                whole = np.ascontiguousarray(data).tobytes()
+                own = [whole[x : x + y] for x, y in zip((offsets[piece] + lo).tolist(), size.tolist(), strict=True)] if width > 1 else [b""] * len(piece)
+                yield pa.RecordBatch.from_arrays(
+                    [_column(part, "row").take(pa.array(piece)), pa.array((_numbers(part, "a")[piece] + lo).astype(np.int32)), pa.array(_numbers(part, "copies")[piece]), pa.array((core - lo).astype(np.int32)), pa.array(own, pa.binary()), *map(pa.array, hashes)],
+                    names=["row", "a", "copies", "at", "bytes", "core", "core2"],
+                )
+
+    return suffixes.select("row", "a", "copies", "at", "bytes").mapInArrow(run, "row binary, a int, copies long, at int, bytes binary, core long, core2 long")
 
-    strings = suffixes.mapInArrow(run, "row long, start int, value long, copies long")
-    again = tx.stored(strings.groupBy("value").agg(F.sum("copies").alias("times")).where("times > 1"))
-    hits = _join_hot(strings.where("copies = 1"), again, ["value"], "times")
-    return hits.select("row", F.col("start").alias("a"), F.col("start").alias("b"))
+
+def _compare_frequent(suffixes: DataFrame, length: int) -> DataFrame:
+    """The same as `_compare_sorted` for runs of very many suffixes, cut by more leading bytes until few have them."""
+    key = ["core", "core2"]
+    cut = tx.stored(_narrowed(suffixes, length, NARROW))
+    groups = tx.stored(cut.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+    open_ = tx.stored(_join_hot(cut, groups, key, "n"))
+    few = open_.where(F.col("n") <= HOT).withColumn("lead_bytes", F.substring("bytes", F.col("at") + 1, F.lit(length - NARROW + 1)))
+    single = _narrowed(open_.where(F.col("n") > HOT), length, 1)
+    again = tx.stored(single.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+    hits = _join_hot(single.where("copies = 1"), again, key, "n")
+    return _compare_sorted(few, length).unionByName(hits.select("row", "a", F.col("a").alias("b")))
 
 
 def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -218,18 +267,20 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     found = tx.stored(pieces(documents, length))
     groups = found.groupBy("lead").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
     groups = tx.stored(groups)
-    shared = tx.stored(_join_hot(found, groups, ["lead"], "n"))
+    shared = tx.stored(_join_hot(tx.sieved(found, groups, "lead").where("sieved").drop("sieved"), groups, ["lead"], "n"))
     alike = shared.where("w0 = w1").select("row", "a", "b")
     mixed = shared.where("w0 != w1")
     kinds = tx.stored(mixed.groupBy("lead", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("row", "a", "b", "anchor")).alias("one"), F.first("n").alias("n")))
     copied = _join_hot(mixed, kinds.where("copies > 1").select("lead", "whole", "copies"), ["lead", "whole"], "copies").select("row", "a", "b")
-    one = kinds.select("one.*", "copies", "n")
+    one = tx.stored(kinds.select("one.*", "copies", "n"))
     texts = documents.select(tx.row_key(F.col("doc_id"), F.col("text")).alias("row"), F.encode("text", "utf-8").alias("all")).where(F.octet_length("all") >= length)
-    suffixes = one.join(texts, "row").select("row", "a", "copies", "n", F.substring("all", F.col("a") + 1, F.col("b") - F.col("a") + length).alias("bytes"), F.substring("all", F.col("a") + F.col("anchor") + 1, F.lit(LEAD)).alias("lead_bytes"))
+    texts = tx.sieved(texts, one.select("row").distinct(), "row").where("sieved").select("row", "all")
+    suffixes = one.join(texts, "row").select("row", "a", "copies", "n", F.col("anchor").alias("at"), F.substring("all", F.col("a") + 1, F.col("b") - F.col("a") + length).alias("bytes"), F.substring("all", F.col("a") + F.col("anchor") + 1, F.lit(LEAD)).alias("lead_bytes"))
     suffixes = tx.stored(suffixes)
-    some = _compare_sorted(suffixes.where(F.col("n") <= HOT), length)
-    hot = _compare_hashed(suffixes.where(F.col("n") > HOT), length)
-    ranges = alike.union(copied).union(some).union(hot)
+    ranges = alike.union(copied).union(_compare_sorted(suffixes.where(F.col("n") <= HOT), length))
+    frequent = suffixes.where(F.col("n") > HOT)
+    if frequent.head(1):
+        ranges = ranges.union(_compare_frequent(frequent, length))
     spans = ranges.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # bounded by the row's bytes
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +301,7 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             values = pa.StructArray.from_arrays([pa.array(a[head].astype(np.int32)), pa.array((far[last] - row[last] * wide).astype(np.int32))], names=["from", "to"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)], names=["row", "spans"])
 
-    return spans.mapInArrow(merge, "row long, spans array<struct<from:int,to:int>>")
+    return spans.mapInArrow(merge, "row binary, spans array<struct<from:int,to:int>>")
 
 
 def kept_bytes(all_bytes: Column, spans: Column) -> Column:
@@ -264,10 +315,14 @@ def kept_bytes(all_bytes: Column, spans: Column) -> Column:
 
 
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of `documents` in the struct `document`, with `n_bytes`, `spans` (null: none) and `kept` (binary)."""
-    spans = repeated(documents, length)
+    """All columns of `documents` in the struct `document`, with `n_bytes`, `spans` (null: none) and `kept` (binary).
+
+    Only rows that may have spans are shuffled to meet them.
+    """
+    spans = tx.stored(repeated(documents, length))
     rows = documents.select(tx.row_key(documents["doc_id"], documents["text"]).alias("row"), F.struct(*[documents[c] for c in documents.columns]).alias("document"))
-    rows = rows.join(spans, "row", "left")
+    rows = tx.sieved(rows, spans, "row")
+    rows = rows.where("sieved").join(spans, "row", "left").select("document", "spans").union(rows.where("NOT sieved").select("document", F.lit(None).cast(spans.schema["spans"].dataType)))
     own = F.encode(F.coalesce("document.text", F.lit("")), "utf-8")
     kept = F.when(F.col("spans").isNull(), own).otherwise(kept_bytes(own, F.col("spans")))
     return rows.select("document", F.octet_length(own).cast("long").alias("n_bytes"), "spans", kept.alias("kept"))

@@ -10,15 +10,19 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.functions.storage import removed, shared_folder, stored  # noqa: F401
+
 #: Bytes of text that one step works on at a time.
-SLICE_BYTES = 2_000_000
-#: Odd multiplier of the rolling hash modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+SLICE_BYTES = 500_000
+#: Odd multipliers of the rolling hashes modulo 2**64.
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+INVERSE = {b: pow(b, -1, 1 << 64) for b in (BASE, OTHER)}
+#: Binary logarithm of the bits of a sieve at most.
+SIEVE_BITS = 27
 #: The separators of `[^\x20\x09-\x0D]+`.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,12 +31,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64. Those that a slice needs are kept, longer ones are made again."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, SLICE_BYTES + 1024), base, np.uint64)
         have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if n <= 4 * SLICE_BYTES:
+            _powers[base] = have
     return have[:n]
 
 
@@ -115,16 +121,16 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of (byte + 1) * BASE**i before each position."""
+def prefix_hash(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Sums of (byte + 1) * base**i before each position."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever it stands."""
-    return mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, the same wherever it stands. Those of two bases make 128 bits."""
+    return mix((prefix[ends] - prefix[starts]) * powers(INVERSE[base], len(prefix))[starts] + (ends - starts).astype(np.uint64))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -140,27 +146,21 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """64 bits that tell rows apart by their id and text; equal rows share them."""
-    return F.xxhash64(doc_id, text)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set to a folder of this machine only where
-    the session names none, as in tests."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/chronoloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again: its lineage is cut, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """128 bits that tell rows apart by their id and text; equal rows share them."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(text.isNull(), ":0").otherwise(":1"), F.coalesce(text, F.lit("")))))
+
+
+def sieved(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """`rows` with the flag `sieved`: true for all rows whose `column` is among the keys, and for few others.
+
+    Each key sets one bit by its hash, of 32 for each key and of `SIEVE_BITS` at most, so what is broadcast is 16 MB at most, however
+    many keys there are; more keys let more other rows pass. What passes still has to be joined to the keys.
+    """
+    bits = 1 << min(SIEVE_BITS, max(16, (32 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    page = 1 << 15  # bits in one map of bitmap_construct_agg
+    maps = keys.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / page).alias("_page")).agg(F.bitmap_construct_agg(F.col("_place") % page).alias("_bits"))
+    rows = rows.withColumn("_place", place).withColumn("_page", F.floor(F.col("_place") / page)).join(F.broadcast(maps), "_page", "left")
+    at = F.col("_place") % page
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("sieved", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_place", "_page", "_bits")

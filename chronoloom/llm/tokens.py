@@ -12,25 +12,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
+from . import words
 
-#: Counts of pieces that a worker remembers at most.
-REMEMBERED = 300_000
-#: The split of byte-level tokenizers of this kind, which their files name but don't state.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words whose counts a worker remembers, about 10 MB, and new words that the library encodes together.
+REMEMBERED, TOGETHER = 300_000, 5000
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
-_loaded: dict[str, Callable[[list[str]], list[int]]] = {}
+_loaded: dict[str, Callable[[pa.Array], np.ndarray]] = {}
 
 
 def tokenizer_digest(path: str) -> str:
@@ -43,21 +41,21 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(file.read() + library.encode()).hexdigest()
 
 
-def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """A function from texts to their numbers of tokens, as the library counts them."""
+def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
+    """A function from a column of texts to their numbers of tokens, as the library counts them."""
     if path not in _loaded:
         _loaded[path] = _model_counter(path) if path.endswith(".model") else _json_counter(path)
     return _loaded[path]
 
 
-def _model_counter(path: str) -> Callable[[list[str]], list[int]]:
+def _model_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+    return lambda column: np.array([len(x) for x in model.encode([t or "" for t in column.to_pylist()], num_threads=1)], np.int64)
 
 
-def _json_counter(path: str) -> Callable[[list[str]], list[int]]:
+def _json_counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,34 +64,30 @@ def _json_counter(path: str) -> Callable[[list[str]], list[int]]:
     model = Tokenizer.from_file(path)
     model.no_padding()
     model.no_truncation()
-    whole = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    library = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = lambda column: np.array(library([t or "" for t in column.to_pylist()]), np.int64)
     with open(path, encoding="utf-8") as file:
         said = json.load(file)
-    split = said.get("pre_tokenizer") or {}
-    added = said.get("added_tokens") or []
-    simple = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer")
-    if not simple or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+    form = said.get("pre_tokenizer") or {}
+    added = [t["content"].encode() for t in said.get("added_tokens") or []]
+    if form.get("type") != "ByteLevel" or not form.get("use_regex", True) or form.get("add_prefix_space") or said.get("normalizer"):
         return whole
-    # Each piece of a byte-level split is encoded by itself, so the library encodes each distinct piece once.
-    special = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-    pieces = regex.compile(PIECES)
-    known: dict[str, int] = {}
-
-    def count(texts: list[str]) -> list[int]:
-        cut, extra = [], []
-        for t in texts:
-            parts = special.split(t) if special else [t]
-            extra.append(len(parts) - 1)
-            found = pieces.findall(parts[0])
-            for p in parts[1:]:
-                found += pieces.findall(p)
-            cut.append(found)
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*cut) - known.keys())
-        for i in range(0, len(new), 5000):
-            known.update(zip(new[i : i + 5000], whole(new[i : i + 5000]), strict=True))
-        return [sum(map(known.__getitem__, c)) + n for c, n in zip(cut, extra, strict=True)]
+    # Each word of a byte-level split is encoded by itself, so the library encodes each distinct word once.
+    table = words.Table(REMEMBERED)
+
+    def make(new: list[bytes]) -> list[tuple[int]]:
+        return [(n,) for i in range(0, len(new), TOGETHER) for n in library([w.decode() for w in new[i : i + TOGETHER]])]
+
+    def count(column: pa.Array) -> np.ndarray:
+        data, offsets = tx.utf8(column)
+        starts, bounds = words.split(data, offsets)
+        first, _, values = table.look_up(data, starts, make)
+        out = np.diff(np.append(0, np.cumsum(values[first], dtype=np.int64))[bounds])
+        text = data.tobytes()
+        if any(t in text for t in added):  # texts with an added token's string go to the library whole
+            rows = [i for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)) if any(t in text[a:b] for t in added)]
+            out[rows] = whole(column.take(pa.array(rows, pa.int64())))
+        return out
 
     return count
 
@@ -123,7 +117,7 @@ def count(documents: DataFrame, tokenizer: str, cache: str, limit: int = 512) ->
     misses = distinct.groupBy("content").agg(F.first("text").alias("text"))
 
     def work(part: pa.RecordBatch) -> dict[str, object]:
-        return {"n_tokens": counter(tokenizer)(part.column(part.schema.get_field_index("text")).to_pylist())}
+        return {"n_tokens": counter(tokenizer)(part.column(part.schema.get_field_index("text")))}
 
     made = tx.map_text(misses, "text", work, [T.StructField("n_tokens", T.LongType())], ["content"])
     made.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)

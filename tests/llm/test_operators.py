@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from chronoloom.llm import bpe, chat, fingerprint, language, licenses, minhash, mixing, quality, queries, suffixes, tokens
+from chronoloom.llm import bpe, chat, fingerprint, language, licenses, minhash, mixing, quality, queries, suffixes, tokens, words
 from chronoloom.llm import text as tx
 from tests.conftest import SMALL
 from tests.llm import fixtures
@@ -113,6 +114,12 @@ def test_language_held_out_and_mixed(spark, odd):
     assert {r.lang_pred for r in language.predict(odd, None).collect()} == {"und"}
 
 
+def test_very_many_languages():
+    scores = np.zeros((6, 300))
+    scores[:, 280] = 5
+    assert language._paths(scores, np.array([0, 6]), 1.0).tolist() == [280] * 6
+
+
 def test_scripts_narrow_candidates(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("привет мир это просто текст", "ru"), ("γειά σου κόσμε αυτό", "el"), ("hello world this is text", "en")] * 3)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -208,6 +215,22 @@ def test_license_templates(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_license_texts_need_all_their_mandatory_words(spark):
+    """Each template's text with its optional parts and some free words is found; without one of its mandatory words it isn't."""
+    rng, rows = random.Random(9), []
+    for k, (label, template) in enumerate(licenses.TEMPLATES.items()):
+        mandatory = re.sub(r"<<any:\d+>>", "", re.sub(r"<<opt>>.*?<</opt>>", "", template.replace("<<opt>><<any:2>><</opt>>", "").replace("<<opt>>version <<any:2>> <</opt>>", "").replace("<<opt>>version <<any:1>><</opt>>", ""))).split()
+        full = re.sub(r"<</?opt>>", " ", re.sub(r"<<any:\d+>>", " free ", template)).split()
+        gone = rng.randrange(1, len(mandatory) - 1) if len(mandatory) > 2 else 1
+        for j, text in enumerate((full, mandatory, mandatory[:gone] + ["qqq"] + mandatory[gone + 1 :])):
+            rows.append((k * 3 + j, "Before: " + ", ".join(w.title() for w in text) + ". After.", label))
+    got = {r.doc_id: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    for i, _, label in rows:
+        assert (label in got[i]) == (i % 3 < 2), (label, i % 3)
+    once = licenses.scan(spark.createDataFrame([(1, "It is released under the MIT license.")], "doc_id long, text string")).first()
+    assert [n.first_word for n in once.notices if n.label == "mit-notice"] == [2]
+
+
 # 5 chat
 
 
@@ -228,7 +251,7 @@ def test_chat_reads_back(spark, budget):
             rows.append((conv, turn, role, rng.choice([None, "", "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))])))
     rows += [(None, 1, "user", "x"), (99, None, None, None), (98, 0, "system", "long " * 3000), (98, 1, "assistant", "yes"), (97, 1, "assistant", "tie"), (97, 1, "assistant", "tie")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    made = chat.windows(table, budget, 16)
+    made = chat.windows(table, public_tokenizers.path("byte_bpe_50k.json"), budget, 16)
     got = {r.conv_id: tuple(r)[1:5] for r in chat.digests(made).collect()}
     own = defaultdict(list)
     for conv, turn, role, text in rows:
@@ -255,7 +278,7 @@ def test_chat_query(spark):
     said = r"\### Assistant: </turn> ok"
     own[-7] = [(0, "user", said), (1, "assistant", said)]
     assert got == {k: plain_digests(sorted(v)) for k, v in own.items()}
-    assert chat.digests(chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    assert chat.digests(chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
 # 6 token counts
@@ -282,8 +305,47 @@ def test_token_counts_are_the_librarys(spark, odd):
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_token_counts_of_other_files(spark, name):
     path = public_tokenizers.path(name)
-    texts = [r["text"] for r in DOCS[:20]]
-    assert all(n > 0 for n in tokens.counter(path)(texts))
+    texts = [r["text"] for r in DOCS[:40]] + [t or "" for _, t in pairs(fixtures.odd_rows())]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    else:
+        from tokenizers import Tokenizer
+
+        want = [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokens.counter(path)(pa.array(texts)).tolist() == want
+
+
+def test_words_are_the_patterns():
+    import regex
+
+    pattern, rng = regex.compile(words.PATTERN), random.Random(1)
+    bits = ["'", "'s", "'t", "'re", "'ve", "'ll", "s", "e", "ll", " ", "  ", "\n", "\t", "\r\n", "a", "B", "1", "２", "²", "Ⅷ", "é", "漢", "\u0301", "\u00a0", "\u2003", "\x85", "\x1c", "!", "--", "😀", "ع", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(5000)] + [t or "" for _, t in pairs(fixtures.odd_rows())]
+    data, offsets = tx.utf8(pa.array(texts))
+    starts, bounds = words.split(data, offsets)
+    ends, whole = [*starts[1:].tolist(), len(data)], data.tobytes()
+    got = [[whole[a:b].decode() for a, b in zip(starts[i:j].tolist(), ends[i:j], strict=True)] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [pattern.findall(t) for t in texts]
+
+
+def test_word_table_forgets_and_tells_words_apart():
+    rng = random.Random(2)
+    table = words.Table(50)
+    for _ in range(30):
+        texts = ["".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(40)]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        starts = np.cumsum([0, *map(len, texts)])[:-1]
+        first, count, values = table.look_up(data, starts, lambda new: [tuple(w) for w in new])
+        assert words.gathered(first, count, values).astype(np.uint8).tobytes() == data.tobytes()
+
+
+def test_sieve_passes_all_keys(spark):
+    rows = spark.range(5000).selectExpr("id", "unhex(md5(cast(id AS string))) AS key")
+    got = {r.id for r in tx.sieved(rows, rows.where("id % 50 = 0"), "key").where("sieved").collect()}
+    assert set(range(0, 5000, 50)) <= got and len(got) < 400
+    assert tx.sieved(rows, rows.limit(0), "key").where("sieved").count() == 0
 
 
 # 7 suffixes
@@ -339,6 +401,12 @@ def test_suffixes_hot_anchor(spark, monkeypatch, most_hot):
     check_removed(spark, [r for r in pairs(fixtures.odd_rows()) if r[0] not in (315, 306)])
 
 
+def test_suffixes_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "LONG_TEXT", 700)
+    a = fixtures.prose(31, 600)
+    check_removed(spark, [(1, a), (2, a[900:1900] + fixtures.prose(32, 50)), (3, fixtures.prose(33, 200) + a[100:600])])
+
+
 def test_suffixes_empty(spark):
     assert suffixes.dedup(fixtures.empty(spark)).count() == 0
     assert suffixes.dedup(spark.createDataFrame([(1, None)], "doc_id long, text string")).first().n_bytes == 0
@@ -380,15 +448,13 @@ def test_bpe_is_tiktokens_and_decodes(spark, odd):
 
 def test_bpe_replay_when_a_smaller_rank_comes_up():
     """Made ranks in which merges produce pairs of smaller rank, against the plain rule: the first smallest pair, one at a time."""
-    words = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rng = random.Random(4)
     for _ in range(200):
         made = {bytes([i]): i for i in range(256)}
         some = {bytes(rng.choices(b"ab", k=rng.randint(2, 5))) for _ in range(12)}
         made |= {s: 256 + i for i, s in enumerate(rng.sample(sorted(some), len(some)))}
-        words.rank, words.bytes_of, words.pair, words.byte = made, {v: k for k, v in made.items()}, {}, list(range(256))
         texts = [bytes(rng.choices(b"ab", k=rng.randint(1, 12))) for _ in range(20)]
-        for text, ids in zip(texts, words.replay(texts), strict=True):
+        for text, ids in zip(texts, bpe.Vocabulary(made, "x").replay(texts), strict=True):
             parts = [bytes([x]) for x in text]
             while text not in made and len(parts) > 1:
                 r, i = min((made.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
@@ -434,6 +500,14 @@ def test_mixing_targets_and_takes(spark, odd):
     assert mixing.mix(fixtures.empty(spark)).count() == 0
 
 
+def test_mixing_with_and_without_a_broadcast(spark, odd, monkeypatch):
+    want = multiset(mixing.mix(odd, keep=("source",)).collect())
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert multiset(mixing.mix(odd, keep=("source",)).collect()) == want
+    monkeypatch.setattr(mixing, "CUTS", 2)
+    assert sum(r.taken for r in mixing.mix(odd).collect()) > 0
+
+
 def test_mixing_oracle(spark):
     import duckdb
 
@@ -489,6 +563,15 @@ def test_minhash_oracle(spark):
     assert multiset(queries.op10_minhash(spark, SMALL).collect()) == want
 
 
+def test_minhash_long_text_and_blocks_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG_TEXT", 500)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    base = fixtures.prose(70, 400)
+    rows = [(i, fixtures.edited(base, i, 0.006 * (i % 3))) for i in range(12)] + [(20, "x" * 3000), (21, "x" * 3000), (22, "a b c " + "y" * 2000), (23, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+    assert multiset(got.select("doc_id", "n_shingles", "component_id").collect()) == plain_components(rows, 85)
+
+
 def test_minhash_generated_rows(spark):
     rows = [(r["doc_id"], r["text"]) for r in DOCS]
     got = queries.op10_minhash(spark, SMALL).collect()

@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -73,8 +75,9 @@ def test_last_stage_decodes_every_row(spark):
     docs = fixtures.odd(spark)
     rows = corpus_pipeline.encoded(spark, docs, SMALL).collect()
     assert Counter((r.doc_id, r.decoded_sha256) for r in rows) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
-    words = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert all(hashlib.sha256(words.decode(r.ids)).hexdigest() == r.decoded_sha256 for r in rows)
-    (ids,) = words.encode(["two words"])
+    known = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert all(hashlib.sha256(known.decode(np.array(r.ids, np.int32), np.array([0, len(r.ids)]))[0]).hexdigest() == r.decoded_sha256 for r in rows)
+    text = pa.array(["two words"])
+    ids, bounds = known.encode(text)
     with pytest.raises(ValueError, match="differ"):
-        words.digests([ids[:-1]], ["two words"])
+        known.digests(ids[:-1], bounds - np.array([0, 1]), text)
