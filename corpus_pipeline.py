@@ -28,15 +28,24 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own `lang` stays, and so does one without `lang`.
     """
     model = language.fit(docs)
-    out = language.predict(docs, model, tuple(docs.columns), prefix="stage1_")
-    return out.where((F.col("stage1_lang_pred") != language.UNKNOWN) & (F.col("stage1_score") >= LEAST_SHARE)).select(*docs.columns)
+    prefix = "stage1_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    out = language.predict(docs, model, tuple(docs.columns), prefix=prefix)
+    return out.where((F.col(f"{prefix}lang_pred") != language.UNKNOWN) & (F.col(f"{prefix}score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that of the smallest id, and of repeated rows one."""
-    one = minhash.near_duplicates(docs, SIMILAR).where("representative").select("row").distinct()
+    """One document of each component of near duplicates: that of the smallest id, and of repeated rows one.
+
+    Only rows that may have to go or are repeated are shuffled.
+    """
+    kinds = minhash.near_duplicates(docs, SIMILAR).groupBy("row").agg(F.bool_or("representative").alias("stays"), F.count("*").alias("n"))
+    kinds = tx.stored(kinds.where("NOT stays OR n > 1").select("row", "stays"))
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), tx.row_key(docs["doc_id"], docs["text"]).alias("row"))
-    return keyed.join(one, "row", "left_semi").dropDuplicates(["row"]).select("document.*")
+    keyed = tx.sieved(keyed, kinds, "row")
+    some = keyed.where("sieved").join(kinds, "row", "left").where("stays IS NULL OR stays").dropDuplicates(["row"])
+    return some.select("document").union(keyed.where("NOT sieved").select("document")).select("document.*")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
