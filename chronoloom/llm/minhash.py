@@ -6,12 +6,13 @@ pair of candidates is compared a batch of signature rows at a time: after each b
 similarity (uniform prior, so a beta distribution), the chance of reaching the threshold is below `MISS`; what survives all
 batches is verified on the full sets.
 
-Buckets are compared by growing components: members found linked leave the pool, so a bucket of near copies costs a few rounds over
-its members, and what comes out is a forest of links, not all pairs. A bucket of more than `BLOCK` members or `BLOCK_SHINGLES`
-shingles is cut into blocks by a hash of class and bucket, each a task of its own that gets its members once. Other bands cut the same
-near copies into other blocks, so nearly all are in one component after that. Only members outside their bucket's largest component
-are then compared with the bucket's other blocks, and only with other components, one after the other as they stream by, so
-no task holds more than one block. Equal buckets of several bands are compared once.
+Each candidate takes as its label the smallest class that it meets in a bucket, and the classes of one label are compared by growing
+components: members found linked leave the pool, so a group of near copies costs a few rounds over its members, and what comes out
+is a forest of links, not all pairs. A group of more than `BLOCK` members or `BLOCK_SHINGLES` shingles is cut into blocks by a hash,
+each a task of its own; then one member of each component is compared with those of the other blocks, again in blocks. So
+each class's set is sent once, and nearly all near copies are in one component. What may be missing are links between members of a
+bucket that were in different blocks and are still in different components: in such buckets, members outside the largest component
+pass by all blocks of their bucket, one after the other, so no task holds more than one block.
 
 Sets are made where texts are read, and signatures and sets of candidates alone are shuffled.
 
@@ -217,24 +218,25 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """`a`, `b` (classes, a < b): a forest of the links in each block of each bucket."""
+    """`a`, `b` (classes, a < b): a forest of the links in each block of each label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _in_groups(batches, 2):
+            group = [r for i, r in enumerate(group) if not i or r[0] != group[i - 1][0]]  # rows with equal id and text
             if len(group) > 1:
                 signatures = np.frombuffer(b"".join(r[1] for r in group), np.uint32).reshape(len(group), -1)
                 found = linked(signatures, [np.frombuffer(r[2], np.uint64) for r in group], percent)
                 yield _pairs([(group[i][0], group[j][0]) for i, j in found])
 
-    rows = members.select("bucket", "block", "class", "signature", "shingles")
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "class").mapInArrow(run, LINKS).distinct()
+    rows = members.select("label", "block", "class", "signature", "shingles")
+    return rows.repartition("label", "block").sortWithinPartitions("label", "block", "class").mapInArrow(run, LINKS).distinct()
 
 
 def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
     """`a`, `b`: links between components in the blocks of a bucket.
 
-    `members` has for each block its own members (`place` 0), then members of other blocks that pass by (1). Of each other component
-    that a passing one may link to, the first link is kept. Both of a pair that may pass by are compared in the later block alone.
+    `members` has for each block its own members (`place` 0), then members of all blocks that pass by (1). Of each other component
+    that a passing one may link to, the first link is kept. Both of a pair that may pass by are compared once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +257,7 @@ def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
                     ready = signatures, sets, np.array([len(x) for x in sets]), needed(percent / 100, signatures.shape[1]), np.array([x[2] for x in own])
                 signatures, sets, size, need, moves = ready
                 mine = np.frombuffer(shingles, np.uint64)
-                pool = np.array([i for i, x in enumerate(own) if x[1] != root and not (moves[i] and home > block)], np.int64)
+                pool = np.array([i for i, x in enumerate(own) if x[1] != root and not (moves[i] and (home, name) > (block, x[0]))], np.int64)
                 met: set[bytes] = set()
                 for i in _survivors(-1, pool, signatures, size, need, percent, (np.frombuffer(signature, np.uint32), len(mine))).tolist():
                     if own[i][1] not in met and _similar(mine, sets[i], percent):
@@ -298,8 +300,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _wanted_sets(documents: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """`class`, `signature`, `shingles` of the classes in `wanted` (`class`, `row`), made where texts are read and shuffled once."""
-    texts = tx.sieved(keyed(documents), wanted, "row").where("sieved").select("row", "text")
+    """`wanted` (`row` and more) with `signature` and `shingles`, made where texts are read and shuffled once; rows with equal id
+    and text come each."""
+    texts = tx.sieved(keyed(documents), wanted.select("row"), "row").where("sieved").select("row", "text")
 
     def work(part: pa.RecordBatch) -> dict[str, object]:
         sets, bounds = _sets(*tx.utf8(part.column(part.schema.get_field_index("text"))))
@@ -311,7 +314,59 @@ def _wanted_sets(documents: DataFrame, wanted: DataFrame, rows: int) -> DataFram
         return {"signature": signature, "shingles": [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
 
     made = tx.map_text(texts, "text", work, [T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.BinaryType())], ["row"])
-    return made.join(wanted, "row").dropDuplicates(["class"]).select("class", "signature", "shingles")
+    return made.join(wanted, "row")
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` (`class`, `row`, `n_shingles`, the column `key`) with `blocks` of their key's rows, and their own `block`."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    sizes = sizes.select(key, F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("class", key), F.col("blocks")).cast("int"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """`rows` with the `root` of their class, itself if it has no link."""
+    return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def _all_links(documents: DataFrame, members: DataFrame, rows: int, percent: int) -> DataFrame:
+    """`node`, `root` of all classes with a link, from `members` (`bucket`, `class`, `row`, `n_shingles`) of buckets of two or more."""
+    least = members.groupBy("bucket").agg(F.min("class").alias("least"))
+    labelled = members.join(least, "bucket").groupBy("class").agg(F.min("least").alias("label"), F.first("row").alias("row"), F.first("n_shingles").alias("n_shingles"))
+    placed = tx.stored(_blocks(labelled, "label"))
+    roots = components(_links_in_blocks(_wanted_sets(documents, placed.select("row", "class", "label", "block"), rows), percent))
+
+    # groups of several blocks: one member of each component with those of the others, as long as that leaves fewer
+    several, n = placed.where("blocks > 1").select("class", "label", "row", "n_shingles"), None
+    while several.head(1):
+        heads = _rooted(several, roots).groupBy("label", "root").agg(F.min_by(F.struct("class", "row", "n_shingles"), "class").alias("x")).select("label", "x.*")
+        heads = tx.stored(_blocks(heads, "label"))
+        before, n = n, heads.count()
+        if before is not None and 2 * n > before:
+            break
+        found = tx.stored(_links_in_blocks(_wanted_sets(documents, heads.select("row", "class", "label", "block"), rows), percent))
+        if found.head(1):
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        if not heads.where("blocks > 1").head(1):
+            break
+
+    # buckets whose members were not all compared and are still in several components
+    named = _rooted(members.join(placed.select("class", "label", "block"), "class"), roots)
+    counts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct("label", "block")).alias("p0"), F.max(F.struct("label", "block")).alias("p1"))
+    open_ = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("n_roots"), F.min("p0").alias("p0"), F.max("p1").alias("p1"))
+    open_ = tx.stored(open_.where("n_roots > 1 AND p0 != p1").select("bucket", "largest"))
+    if open_.head(1):
+        some = named.join(open_, "bucket").select("bucket", "class", "row", "n_shingles", "root", (F.col("root") != F.col("largest")).alias("passes"))
+        some = tx.stored(_blocks(some, "bucket"))
+        own = F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("place")))
+        every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("place")))
+        at = F.explode(F.when(F.col("passes"), F.concat(own, every)).otherwise(own)).alias("at")
+        dealt = some.select("bucket", "class", "root", "passes", F.col("block").alias("home"), at).select("bucket", "class", "root", "passes", "home", "at.*")
+        sets = _wanted_sets(documents, some.select("row", "class").distinct(), rows).dropDuplicates(["class"]).select("class", "signature", "shingles")
+        across = tx.stored(_links_across_blocks(dealt.join(sets, "class"), percent))
+        if across.head(1):
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
+    return roots
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -323,31 +378,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     classes = found.where("n_shingles > 0").groupBy("class").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows"))
     classes = tx.stored(classes)
 
-    banded = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
+    banded = classes.select("class", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = tx.stored(banded.join(shared, "bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("class")).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("s2"))
-    buckets = buckets.groupBy("n", "weight", "s1", "s2").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    block = F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int").alias("block")
-    members = tx.stored(members.join(buckets.select("bucket", blocks), "bucket").select("bucket", "class", "blocks", block))
-
-    wanted = members.select("class").distinct().join(classes.select("class", F.col("first.row").alias("row")), "class")
-    full = tx.stored(_wanted_sets(documents, tx.stored(wanted), rows))
-    links = tx.stored(_links_in_blocks(members.join(full, "class"), percent))
-    roots = components(links)
-    cut = members.where("blocks > 1")
-    if cut.head(1):
-        named = tx.stored(cut.join(roots, cut["class"] == roots["node"], "left").select("bucket", "class", "blocks", "block", F.coalesce("root", "class").alias("root")))
-        counts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("n_roots")).where("n_roots > 1")
-        open_ = named.join(largest, "bucket").withColumn("passes", F.col("root") != F.col("largest"))
-        own = F.struct(F.col("block").alias("block"), F.lit(0).alias("place"))
-        others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")), lambda b: F.struct(b.alias("block"), F.lit(1).alias("place")))
-        placed = open_.select("bucket", "class", "root", "passes", F.col("block").alias("home"), F.explode(F.when(F.col("passes"), F.concat(F.array(own), others)).otherwise(F.array(own))).alias("at"))
-        across = tx.stored(_links_across_blocks(placed.select("bucket", "class", "root", "passes", "home", "at.*").join(full, "class"), percent))
-        if across.head(1):
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
+    members = banded.join(shared, "bucket").join(classes.select("class", F.col("first.row").alias("row"), "n_shingles"), "class")
+    roots = _all_links(documents, tx.stored(members), rows, percent)
 
     # names of components, and of classes with more than one row; all other rows are alone
     inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
