@@ -103,12 +103,14 @@ def judge_verdicts(rows: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def llm_temporal_edges(verdicts: DataFrame, classified: DataFrame) -> DataFrame:
-    """`doc_id`, `i`, `j`, `priority`, `span`: temporal edges of judge (0), discourse (1), commonsense (2), small to large, the first of each."""
-    judge = verdicts.where("verdict = 'temporal'").select("doc_id", "i", "j", F.lit(0).alias("priority"))
+    """`doc_id`, `i`, `j`, `priority`, `span`, `reason`: temporal edges of judge (0), discourse (1), commonsense (2), small to large, the
+    first of each with its reason."""
+    judge = verdicts.where("verdict = 'temporal'").select("doc_id", "i", "j", F.lit(0).alias("priority"), "reason")
     order = F.when(F.col("expert") == "discourse", 1).when(F.col("expert") == "commonsense", 2)
-    said = classified.where("kind = 'temporal'").select("doc_id", "i", "j", order.alias("priority")).where("priority IS NOT NULL")
-    rows = judge.unionByName(said).select("doc_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "priority")
-    return rows.groupBy("doc_id", "i", "j").agg(F.min("priority").cast("long").alias("priority")).withColumn("span", F.col("j") - F.col("i"))
+    said = classified.where("kind = 'temporal'").select("doc_id", "i", "j", order.alias("priority"), "reason").where("priority IS NOT NULL")
+    rows = judge.unionByName(said).select("doc_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.struct("priority", (F.col("i") > F.col("j")).alias("turned"), "reason").alias("x"))
+    rows = rows.groupBy("doc_id", "i", "j").agg(F.min("x").alias("x"))
+    return rows.select("doc_id", "i", "j", F.col("x.priority").cast("long").alias("priority"), (F.col("j") - F.col("i")).alias("span"), "x.reason")
 
 
 def merge_edge_types(causal: DataFrame, temporal: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,19 +129,28 @@ def typed_edges(causal: DataFrame, temporal: DataFrame) -> DataFrame:
     return both(temporal, 0).unionByName(both(causal, 2))
 
 
-def discussion_summary(classified: DataFrame, verdicts: DataFrame, presence: DataFrame) -> DataFrame:
-    """`doc_id`, `summary`: each present expert's causal and temporal edges in turn, "none" for no edge, then the judge's."""
-    def listed(kind: str) -> Column:
-        rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("i", "j")))), lambda e: F.concat(e["i"].cast("string"), F.lit("->"), e["j"].cast("string")))
-        return F.coalesce(F.nullif(F.array_join(rows, ", "), F.lit("")), F.lit("none"))
+def discussion_summary(docs: DataFrame, results: DataFrame, presence: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """`doc_id`, `summary`: name and text, then for each round from 1 each expert's causal edges, from the second round on the temporal
+    ones as well, and the judge's of both kinds; an edge with its reason on each line, "- none" for no edge.
 
-    said = classified.groupBy("doc_id", "expert").agg(listed("causal").alias("causal"), listed("temporal").alias("temporal"))
-    rows = presence.join(said, ["doc_id", "expert"], "left").select("doc_id", F.lit(0).alias("part"), "expert", F.coalesce("causal", F.lit("none")).alias("causal"), F.coalesce("temporal", F.lit("none")).alias("temporal"))
-    judge = verdicts.withColumn("kind", F.when(F.col("verdict") == "kept", "causal").when(F.col("verdict") == "temporal", "temporal"))
-    judge = judge.groupBy("doc_id").agg(listed("causal").alias("causal"), listed("temporal").alias("temporal")).select("doc_id", F.lit(1).alias("part"), F.lit("judge").alias("expert"), "causal", "temporal")
-    line = F.format_string("%s: causal %s; temporal %s", "expert", "causal", "temporal")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "expert", line.alias("line")))), lambda x: x["line"])
-    return rows.unionByName(judge).groupBy("doc_id").agg(F.array_join(lines, "\n").alias("summary"))
+    `docs` has `doc_id`, `doc_name`, `text`; `results` `doc_id`, `round` (from 0), `expert`, `kind`, `i`, `j`, `reason`; `presence`
+    `doc_id`, `round`, `expert_no`, `expert` for all that answered; `verdicts` `doc_id`, `i`, `j`, `verdict`, `reason`.
+    """
+    line = lambda e: F.concat(F.lit("- E"), e["i"].cast("string"), F.lit(" -> E"), e["j"].cast("string"), F.lit("  "), F.coalesce(e["reason"], F.lit("")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "reason"))), line), "\n").alias("lines")
+    kinds = lambda all_of_them: F.explode(F.when(all_of_them, F.array(F.lit("causal"), F.lit("temporal"))).otherwise(F.array(F.lit("causal"))))
+    said = results.groupBy("doc_id", "round", "expert", "kind").agg(lines)
+    asked = presence.select("doc_id", "round", "expert_no", "expert", kinds(F.col("round") >= 1).alias("kind"))
+    parts = asked.join(said, ["doc_id", "round", "expert", "kind"], "left").select("doc_id", "round", "expert_no", "kind", F.format_string("[%s] %s edges\n%s", "expert", "kind", F.coalesce("lines", F.lit("- none"))).alias("part"))
+    heads = presence.select("doc_id", "round").distinct().select("doc_id", "round", F.lit(-1).alias("expert_no"), F.lit("").alias("kind"), F.format_string("\nRound %d", F.col("round") + 1).alias("part"))
+    decided = verdicts.where("verdict IN ('kept', 'temporal')").withColumn("kind", F.when(F.col("verdict") == "kept", "causal").otherwise("temporal")).groupBy("doc_id", "kind").agg(lines)
+    last = docs.select("doc_id", kinds(F.lit(True)).alias("kind")).join(decided, ["doc_id", "kind"], "left")
+    last = last.select("doc_id", F.lit(1 << 30).alias("round"), F.lit(0).alias("expert_no"), "kind", F.format_string("Judge %s edges\n%s", "kind", F.coalesce("lines", F.lit("- none"))).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("round", "expert_no", "kind", "part"))), lambda x: x["part"]), "\n")
+    body = parts.unionByName(heads).unionByName(last).groupBy("doc_id").agg(joined.alias("body"))
+    text = strip("text")
+    head = F.concat(F.lit("Document: "), "doc_name", F.when(text != "", F.concat(F.lit("\n\n===== Text =====\n\n"), text)).otherwise(""))
+    return docs.select("doc_id", head.alias("head")).join(body, "doc_id").select("doc_id", F.concat_ws("\n", "head", "body").alias("summary"))
 
 
 def document_status(docs: DataFrame, verdicts: DataFrame, final_edges: DataFrame) -> DataFrame:

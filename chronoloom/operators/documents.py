@@ -71,9 +71,9 @@ def build_summary(cleaned: DataFrame, timeline: DataFrame) -> DataFrame:
     return out
 
 
-def validate_documents(docs: DataFrame) -> DataFrame:
+def validate_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """`docs` (`doc_name`, `doc_text`, `events`) trimmed, events in number order as `event_list`, and `error`: the first rule that
-    fails, null for a valid document."""
+    fails, null for a valid document; with the columns of `keep`."""
     entries = F.map_entries(F.coalesce("events", F.create_map().cast("map<string,string>")))
     error = (
         F.when(F.coalesce(strip("doc_name"), F.lit("")) == "", "blank name")
@@ -83,7 +83,7 @@ def validate_documents(docs: DataFrame) -> DataFrame:
         .when(F.exists(entries, lambda e: F.coalesce(strip(e["value"]), F.lit("")) == ""), "blank event text")
     )
     listed = F.array_sort(F.transform(entries, lambda e: F.struct(event_id_num(strip(e["key"])).alias("event_no"), strip(e["key"]).alias("event_id"), strip(e["value"]).alias("text"))))
-    return docs.select(strip("doc_name").alias("doc_name"), strip("doc_text").alias("doc_text"), listed.alias("event_list"), error.alias("error"))
+    return docs.select(*keep, strip("doc_name").alias("doc_name"), strip("doc_text").alias("doc_text"), listed.alias("event_list"), error.alias("error"))
 
 
 def forward_pairs(nodes: DataFrame) -> DataFrame:

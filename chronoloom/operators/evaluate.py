@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A score above this predicts a member, a label above that is one.
@@ -45,12 +49,18 @@ def best_set_hit(scores: DataFrame, sets: DataFrame, tie_by: str = "event_id") -
 
 
 def hit_summary(hits: DataFrame, splits: DataFrame) -> DataFrame:
-    """`split`, counts of full, partial and missed documents, their percentages: for each split and for all."""
+    """`split`, counts of documents that are hit in full, in part, or missed, and their percentages: for each split and for all."""
     rows = hits.join(splits.select("doc_id", "split"), "doc_id").withColumn("split", F.explode(F.array(F.col("split"), F.lit("all"))))
-    counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("hit") == 1).alias("n_full"), F.count_if(F.col("hit") > 0).alias("n_partial"), F.count_if(F.col("hit") == 0).alias("n_miss"))
+    hit = F.col("hit")
+    counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(hit == 1).alias("n_full"), F.count_if((hit > 0) & (hit < 1)).alias("n_partial"), F.count_if(hit == 0).alias("n_miss"))
     return counts.withColumns({f"pct_{k}": 100.0 * F.col(f"n_{k}") / F.col("n") for k in ("full", "partial", "miss")})
 
 
+def missed_documents(hits: DataFrame, splits: DataFrame) -> DataFrame:
+    """`doc_id`, `split` of the documents of which no set is hit."""
+    return hits.where("hit = 0").join(splits, "doc_id").select("doc_id", "split")
+
+
 def rank_comparison(labels: DataFrame, scores: DataFrame, docs: DataFrame) -> DataFrame:
     """Events of the documents by true rank, with the model's score (0 if missing) and rank (null if missing)."""
     order = lambda c: Window.partitionBy("doc_id").orderBy(F.desc(c), "event_id")
@@ -79,19 +89,69 @@ def seed_summary(folds: DataFrame) -> DataFrame:
     return seeds.agg(F.count("*").alias("n_seeds"), *parts, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 
-def view_agreement(a: DataFrame, b: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """One row from two views (doc_id, event_no, embedding): `invariance` (mean squared difference), `variance` (mean of
-    relu(gamma - sqrt(var + 1e-4)), averaged over views), `covariance` (squared off-diagonal covariances over D, averaged), `loss`.
+def _view_sums(views: DataFrame, names: list[str]) -> DataFrame:
+    """One row of sums for each task: of the vectors of each view, of their products, and of squared differences of views."""
 
-    Sums of products of components are made before the one shuffle of D x D keys, so nothing grows with the rows.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        rows = 0
+        for batch in batches:
+            x = {n: np.stack(c.to_numpy(zero_copy_only=False)).astype(float) for n, c in zip(names, batch.columns, strict=True)} if batch.num_rows else {}
+            rows += batch.num_rows
+            for n, v in x.items():
+                sums[f"sum {n}"] = sums.get(f"sum {n}", 0) + v.sum(axis=0)
+                sums[f"product {n}"] = sums.get(f"product {n}", 0) + (v.T @ v).ravel()
+            for a, b in zip(names, names[1:], strict=False):
+                if x:
+                    sums[f"square {a} {b}"] = sums.get(f"square {a} {b}", 0) + ((x[a] - x[b]) ** 2).sum(axis=0)
+        for what, value in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([what] * len(value)), pa.array(np.arange(len(value))), pa.array(value), pa.array(np.full(len(value), rows))], names=["what", "k", "x", "n"])
+
+    return views.mapInArrow(run, "what string, k long, x double, n long").groupBy("what", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+
+def _agreement(sums: dict[str, np.ndarray], n: int, a: str, b: str, gamma: float) -> tuple[float, float, float, float]:
+    size = len(sums[f"sum {a}"])
+    variance, covariance = [], []
+    for v in (a, b):
+        mean = sums[f"sum {v}"] / n
+        cov = (sums[f"product {v}"].reshape(size, size) - n * np.outer(mean, mean)) / max(1, n - 1)
+        diagonal = np.diag(cov).copy()
+        variance.append(np.maximum(0, gamma - np.sqrt(diagonal + 1e-4)).mean())
+        covariance.append(((cov**2).sum() - (diagonal**2).sum()) / size)
+    parts = float(sums[f"square {a} {b}"].sum() / (n * size)), float(np.mean(variance)), float(np.mean(covariance))
+    return *parts, 25 * parts[0] + 25 * parts[1] + parts[2]
+
+
+PARTS = ("invariance", "variance", "covariance", "loss")
+
+
+def _views(spark: SparkSession, tables: list[DataFrame], gamma: float) -> list[tuple[float, float, float, float]] | None:
+    """The agreement of each view with the next one; only sums of D x D numbers come to the driver."""
     key = ["doc_id", "event_no"]
-    pairs = a.select(*key, F.col("embedding").alias("x")).join(b.select(*key, F.col("embedding").alias("y")), key)
-    near = pairs.select(F.explode(F.zip_with("x", "y", lambda p, q: F.pow(p.cast("double") - q, 2))).alias("d")).agg(F.avg("d").alias("invariance"))
-    both = a.select(F.lit("a").alias("view"), "embedding").union(b.select(F.lit("b").alias("view"), "embedding"))
-    cells = both.select("view", F.posexplode("embedding").alias("p", "x"), "embedding").select("view", "p", F.col("x").cast("double").alias("x"), F.posexplode("embedding").alias("q", "y")).where("p <= q")
-    cov = cells.groupBy("view", "p", "q").agg(F.covar_samp("x", F.col("y").cast("double")).alias("c"))
-    spread = F.greatest(F.lit(0.0), gamma - F.sqrt(F.col("c") + 1e-4))
-    views = cov.groupBy("view").agg(F.avg(F.when(F.col("p") == F.col("q"), spread)).alias("variance"), (2 * F.sum(F.when(F.col("p") != F.col("q"), F.col("c") * F.col("c")).otherwise(0.0)) / F.count_if(F.col("p") == F.col("q"))).alias("covariance"))
-    out = views.agg(F.avg("variance").alias("variance"), F.avg("covariance").alias("covariance")).crossJoin(near)
-    return out.select("invariance", "variance", "covariance", (25 * F.col("invariance") + 25 * F.col("variance") + F.col("covariance")).alias("loss"))
+    names = [f"v{k}" for k in range(len(tables))]
+    rows = tables[0].select(*key, F.col("embedding").alias("v0"))
+    for name, t in zip(names[1:], tables[1:], strict=True):
+        rows = rows.join(t.select(*key, F.col("embedding").alias(name)), key)
+    found = _view_sums(rows.select(*names), names).toPandas()
+    if not len(found):
+        return None
+    sums = {what: g.sort_values("k")["x"].to_numpy() for what, g in found.groupby("what")}
+    return [_agreement(sums, int(found["n"].iloc[0]), a, b, gamma) for a, b in zip(names, names[1:], strict=False)]
+
+
+def view_agreement(a: DataFrame, b: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """One row from two views (doc_id, event_no, embedding): `invariance` (mean squared difference), `variance` (mean of
+    relu(gamma - sqrt(var + 1e-4)), averaged over views), `covariance` (squared off-diagonal covariances over D, averaged), `loss`
+    (25, 25 and 1 times these); no row without vectors. Each task adds up one D x D matrix of each view."""
+    found = _views(a.sparkSession, [a, b], gamma)
+    return a.sparkSession.createDataFrame(found or [], ", ".join(f"{c} double" for c in PARTS))
+
+
+def three_view_loss(v1a: DataFrame, v1b: DataFrame, v2: DataFrame, beta: float = 0.5, gamma: float = 1.0) -> DataFrame:
+    """One row: the agreement of the first two views (`robust_...`), of the second with the third (`causal_...`), and `total`, the first
+    loss and `beta` times the second."""
+    found = _views(v1a.sparkSession, [v1a, v1b, v2], gamma)
+    names = [f"{k}_{c}" for k in ("robust", "causal") for c in PARTS] + ["total"]
+    rows = [(*found[0], *found[1], found[0][3] + beta * found[1][3])] if found else []
+    return v1a.sparkSession.createDataFrame(rows, ", ".join(f"{c} double" for c in names))

@@ -6,8 +6,11 @@ closure and components, is a small bitset helper for each document; all else is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +26,16 @@ FEATURES = [
 # closure and components
 
 
-def _closure(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Reachable pairs of one document by bit sets; a graph with a backward edge is iterated to a fixpoint."""
-    ids = np.unique(pdf[["i", "j"]].to_numpy())
-    place = {v: k for k, v in enumerate(ids.tolist())}
+def _bits(edges: list[dict]) -> tuple[list[int], list[list[int]], list[int]]:
+    """A document's events in order, the places of each one's successors, and what each reaches, as bits of places.
+
+    A graph with a backward edge is iterated to a fixpoint.
+    """
+    ids = sorted({e["i"] for e in edges} | {e["j"] for e in edges})
+    place = {v: k for k, v in enumerate(ids)}
     succ: list[list[int]] = [[] for _ in ids]
-    for i, j in zip(pdf["i"].tolist(), pdf["j"].tolist(), strict=True):
-        succ[place[i]].append(place[j])
+    for e in edges:
+        succ[place[e["i"]]].append(place[e["j"]])
     reach = [0] * len(ids)
     changed = True
     while changed:
@@ -41,14 +47,64 @@ def _closure(pdf: pd.DataFrame) -> pd.DataFrame:
             if bits != reach[v]:
                 reach[v] = bits
                 changed = True
-    width = (len(ids) + 7) // 8
-    pairs = [np.flatnonzero(np.unpackbits(np.frombuffer((r & ~(1 << v)).to_bytes(width, "little"), np.uint8), bitorder="little")) for v, r in enumerate(reach)]
-    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "i": np.repeat(ids, [len(p) for p in pairs]), "j": ids[np.concatenate(pairs)] if pairs else ids[:0]})
+    return ids, succ, reach
+
+
+def _by_document(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("edges"))
+
+
+#: Pairs that one Arrow batch of the closure holds.
+PAIRS_TOGETHER = 1 << 18
 
 
 def reachable_pairs(edges: DataFrame) -> DataFrame:
-    """`doc_id`, `i`, `j`: all pairs with a path from i to another node j. A document is the unit of work, one shuffle for all."""
-    return edges.select("doc_id", "i", "j").groupBy("doc_id").applyInPandas(_closure, "doc_id long, i long, j long")
+    """`doc_id`, `i`, `j`: all pairs with a path from i to another node j.
+
+    A document is a row of its edges after one shuffle, many to a batch, and pairs leave in bounded batches. The bits of a document
+    of n events take n * n / 8 bytes; for larger ones than a task holds there is `reachable_pairs_by_joins`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, sources, targets, size = [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            n = [len(x) for x in targets]
+            flat = np.concatenate(targets) if targets else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(docs, np.int64), n)), pa.array(np.repeat(np.array(sources, np.int64), n)), pa.array(flat)], names=["doc_id", "i", "j"])
+
+        for batch in batches:
+            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, _, reach = _bits(rows)
+                own, width = np.array(ids, np.int64), (len(ids) + 7) // 8
+                for v, bits in enumerate(reach):
+                    if bits := bits & ~(1 << v):
+                        docs.append(doc)
+                        sources.append(ids[v])
+                        targets.append(own[np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(width, "little"), np.uint8), bitorder="little"))])
+                        size += len(targets[-1])
+                        if size >= PAIRS_TOGETHER:
+                            yield made()
+                            docs, sources, targets, size = [], [], [], 0
+        yield made()
+
+    return _by_document(edges).mapInArrow(run, "doc_id long, i long, j long")
+
+
+def implied_edges(edges: DataFrame) -> DataFrame:
+    """`doc_id`, `i`, `j`: the edges beside which another path leads from i to j, by a first step to another node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, succ, reach = _bits(rows)
+                for v, to in enumerate(succ):
+                    steps = set(to)
+                    out += [(doc, ids[v], ids[w]) for w in steps if any(reach[x] >> w & 1 for x in steps if x != w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["doc_id", "i", "j"])
+
+    return _by_document(edges).mapInArrow(run, "doc_id long, i long, j long")
 
 
 def reachable_pairs_by_joins(edges: DataFrame) -> DataFrame:
@@ -111,10 +167,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def transitive_reduction(causal: DataFrame, temporal: DataFrame) -> DataFrame:
     """Temporal edges that no other path through causal and temporal edges implies. Edges run from small to large, so the order
     of removal doesn't matter: (u, v) goes if there are an edge u to w and a path w to v."""
-    edges = causal.select("doc_id", "i", "j").union(temporal.select("doc_id", "i", "j")).distinct()
-    pairs = reachable_pairs(edges)
-    implied = edges.select("doc_id", "i", F.col("j").alias("w")).join(pairs.select("doc_id", F.col("i").alias("w"), "j"), ["doc_id", "w"]).select("doc_id", "i", "j")
-    return temporal.join(implied, ["doc_id", "i", "j"], "left_anti")
+    edges = causal.select("doc_id", "i", "j").union(temporal.select("doc_id", "i", "j"))
+    return temporal.join(implied_edges(edges), ["doc_id", "i", "j"], "left_anti")
 
 
 def connect_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,39 +226,42 @@ def _insert(pdf: pd.DataFrame) -> pd.DataFrame:
     for row in pdf[pdf["kind"] > 0].itertuples(index=False):
         if not (reach.get(row.i, 0) >> row.j & 1 or reach.get(row.j, 0) >> row.i & 1):
             add(row.i, row.j)
-            kept.append((row.doc_id, row.i, row.j, row.kind, row.sim))
-    return pd.DataFrame(kept, columns=["doc_id", "i", "j", "kind", "sim"])
+            kept.append((row.doc_id, row.i, row.j, row.kind, row.sim, row.reason))
+    return pd.DataFrame(kept, columns=["doc_id", "i", "j", "kind", "sim", "reason"])
 
 
 def add_temporal_edges(causal: DataFrame, llm: DataFrame, candidates: DataFrame, sims: DataFrame) -> DataFrame:
-    """`doc_id`, `i`, `j`, `source` (llm, similarity), `score`: proposed edges that join what no path joins yet.
+    """`doc_id`, `i`, `j`, `source` (llm, similarity), `score`, `reason`: proposed edges that join what no path joins yet.
 
-    Each insertion depends on those before, so a document is one unit of work; documents are independent.
+    `llm` may have a `reason`, which stays; a similarity's reason states it. Each insertion depends on those before, so a document is
+    one unit of work; documents are independent.
     """
-    zero = F.lit(0).cast("double")
-    rows = causal.select("doc_id", "i", "j", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("priority"), zero.alias("sim"))
+    zero, no_reason = F.lit(0).cast("double"), F.lit(None).cast("string")
+    rows = causal.select("doc_id", "i", "j", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("priority"), zero.alias("sim"), no_reason.alias("reason"))
     known = sims.select("doc_id", "i", "j", "sim")
-    llm = llm.select("doc_id", "i", "j", "priority").join(known, ["doc_id", "i", "j"], "left").select("doc_id", "i", "j", F.lit(1).alias("kind"), "priority", F.coalesce("sim", zero).alias("sim"))
-    rows = rows.unionByName(llm).unionByName(candidates.select("doc_id", "i", "j", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("priority"), "sim"))
+    said = F.col("reason") if "reason" in llm.columns else no_reason
+    llm = llm.select("doc_id", "i", "j", "priority", said.alias("reason")).join(known, ["doc_id", "i", "j"], "left").select("doc_id", "i", "j", F.lit(1).alias("kind"), "priority", F.coalesce("sim", zero).alias("sim"), "reason")
+    rows = rows.unionByName(llm).unionByName(candidates.select("doc_id", "i", "j", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("priority"), "sim", no_reason.alias("reason")))
     rows = rows.withColumn("span", F.col("j") - F.col("i"))
-    out = rows.groupBy("doc_id").applyInPandas(_insert, "doc_id long, i long, j long, kind int, sim double")
-    return out.select("doc_id", "i", "j", F.when(F.col("kind") == 1, "llm").otherwise("similarity").alias("source"), F.round("sim", 4).alias("score"))
-
-
-REASONS = {"llm": "named by an expert", "similarity": "similar events", "isolated": "joins an event without edges", "bridge": "joins two components"}
+    out = rows.groupBy("doc_id").applyInPandas(_insert, "doc_id long, i long, j long, kind int, sim double, reason string")
+    similar = F.format_string("similarity %.3f, E%d before E%d", "sim", "i", "j")
+    reason = F.when(F.col("kind") == 1, F.coalesce("reason", F.lit("named by an expert"))).otherwise(similar)
+    return out.select("doc_id", "i", "j", F.when(F.col("kind") == 1, "llm").otherwise("similarity").alias("source"), F.round("sim", 4).alias("score"), reason.alias("reason"))
 
 
 def complete_temporal(nodes: DataFrame, causal: DataFrame, llm: DataFrame, candidates: DataFrame, sims: DataFrame) -> DataFrame:
-    """`doc_id`, `i`, `j`, `reason`, `score`, `span`: all temporal edges after insertion, reduction, isolated events and bridges."""
+    """`doc_id`, `i`, `j`, `source` (llm, similarity, isolated, bridge), `reason`, `score`, `span`: all temporal edges after insertion,
+    reduction, isolated events and bridges; those of the last two have score 0."""
     added = stored(add_temporal_edges(causal, llm, candidates, sims))
     kept = transitive_reduction(causal, added)
     base = causal.select("doc_id", "i", "j").union(kept.select("doc_id", "i", "j")).distinct()
-    alone = connect_isolated(nodes, base).withColumn("source", F.lit("isolated")).withColumn("score", F.lit(None).cast("double"))
+    none = F.lit(0).cast("double").alias("score")
+    alone = stored(connect_isolated(nodes, base))
     more = base.union(alone.select("doc_id", "i", "j")).distinct()
-    bridges = bridge_components(nodes, more).withColumn("source", F.lit("bridge")).withColumn("score", F.lit(None).cast("double"))
-    rows = kept.unionByName(alone).unionByName(bridges).join(sims.select("doc_id", "i", "j", F.round("sim", 4).alias("sim")), ["doc_id", "i", "j"], "left")
-    reason = F.element_at(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv]), F.col("source"))
-    return rows.select("doc_id", "i", "j", reason.alias("reason"), F.coalesce("score", "sim", F.lit(0.0)).alias("score"), (F.col("j") - F.col("i")).alias("span"))
+    alone = alone.select("doc_id", "i", "j", F.lit("isolated").alias("source"), none, F.format_string("an event without edges: E%d before E%d", "i", "j").alias("reason"))
+    bridges = bridge_components(nodes, more).select("doc_id", "i", "j", F.lit("bridge").alias("source"), none, F.format_string("two components: E%d before E%d", "i", "j").alias("reason"))
+    rows = kept.unionByName(alone).unionByName(bridges)
+    return rows.select("doc_id", "i", "j", "source", "reason", "score", (F.col("j") - F.col("i")).alias("span"))
 
 
 # features
@@ -231,11 +288,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
-def _hops(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New nodes two and three steps along the edges: (doc_id, i, j) of each kind. Repeats go before each further step."""
+def _hops(edges: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """New nodes two and three steps along the edges: (doc_id, i, j) of each kind. Repeats go before each further step; with `keep`
+    the second steps are stored, as they are read three times."""
     one = edges.select("doc_id", "i", "j")
     step = lambda rows: rows.select("doc_id", "i", F.col("j").alias("w")).join(one.select("doc_id", F.col("i").alias("w"), "j"), ["doc_id", "w"]).select("doc_id", "i", "j").where("i != j").distinct()
     two = step(one).join(one, ["doc_id", "i", "j"], "left_anti")
+    two = stored(two) if keep else two
     three = step(two).join(one, ["doc_id", "i", "j"], "left_anti").join(two, ["doc_id", "i", "j"], "left_anti")
     return two, three
 
@@ -251,6 +310,16 @@ def _with(nodes: DataFrame, *parts: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
+def hop_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`pred_two_hop`, `succ_two_hop`, `pred_three_hop`, `succ_three_hop`: each hop is made once from stored edges."""
+    edges = stored(edges.select("doc_id", "i", "j"))
+    parts = []
+    for side, own in (("pred", _turned(edges)), ("succ", edges)):
+        two, three = _hops(own, keep=True)
+        parts += [_counted(two, "i", f"{side}_two_hop"), _counted(three, "i", f"{side}_three_hop")]
+    return _with(nodes, *parts)
+
+
 def two_hop_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`pred_two_hop`, `succ_two_hop`: nodes at two steps that are neither neighbours nor the node itself."""
     return _with(nodes, _counted(_hops(_turned(edges))[0], "i", "pred_two_hop"), _counted(_hops(edges)[0], "i", "succ_two_hop"))
@@ -296,10 +365,10 @@ def minmax_by_doc(df: DataFrame, columns: list[str], by: str = "doc_id") -> Data
 
 def raw_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The eleven features before scaling."""
-    degree = degrees(nodes, edges)
-    two, three = two_hop_counts(nodes, edges), three_hop_counts(nodes, edges)
+    nodes, edges = stored(nodes.select("doc_id", "event_no")), stored(edges.select("doc_id", "i", "j"))
+    degree = stored(degrees(nodes, edges))
     key = ["doc_id", "event_no"]
-    rows = degree.join(two, key).join(three, key).join(sole_counts(nodes, edges, degree), key).join(inv_degree_sums(nodes, edges, degree), key)
+    rows = degree.join(hop_counts(nodes, edges), key).join(sole_counts(nodes, edges, degree), key).join(inv_degree_sums(nodes, edges, degree), key)
     return rows.withColumn("reach_local_proxy", F.col("pred_two_hop") * F.col("succ_two_hop")).select(*key, *FEATURES)
 
 

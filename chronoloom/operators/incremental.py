@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .graphs import reachable_pairs
 
 KEY = ["doc_id", "i", "j"]
 
@@ -50,23 +53,38 @@ def _by_key(edges: DataFrame) -> DataFrame:
 
 
 def review_diff(old: DataFrame, new: DataFrame, ts: str) -> DataFrame:
-    """`doc_id`, `i`, `j`, `action` (deleted, modified, added), types, `ts`, `summary`, and `record_no`: the changes of each document,
-    deleted and modified ones by old order, then added ones."""
-    a = _by_key(old).select(*KEY, F.col("edge_type").alias("old_type"))
-    b = _by_key(new).select(*KEY, F.col("edge_type").alias("new_type"))
+    """`doc_id`, `i`, `j`, `action` (deleted, modified, added), types, `reason` (of a deleted edge the old one), `ts`, `summary`, and
+    `record_no`: the changes of each document, deleted and modified ones by old order, then added ones."""
+    a = _by_key(old).select(*KEY, F.col("edge_type").alias("old_type"), F.col("reason").alias("old_reason"))
+    b = _by_key(new).select(*KEY, F.col("edge_type").alias("new_type"), F.col("reason").alias("new_reason"))
     rows = a.join(b, KEY, "full_outer")
     action = F.when(F.col("new_type").isNull(), "deleted").when(F.col("old_type").isNull(), "added").when(F.col("old_type") != F.col("new_type"), "modified")
     rows = rows.withColumn("action", action).where("action IS NOT NULL")
     order = Window.partitionBy("doc_id").orderBy(F.when(F.col("action") == "added", 1).otherwise(0), "i", "j")
+    when = F.lit(f" [{ts}]")
     summary = F.when(F.col("action") == "modified", F.format_string("modified E%d -> E%d: %s to %s", "i", "j", "old_type", "new_type")).otherwise(F.format_string("%s E%d -> E%d (%s)", "action", "i", "j", F.coalesce("old_type", "new_type")))
-    return rows.select(*KEY, "action", "old_type", "new_type", F.lit(ts).alias("ts"), summary.alias("summary"), F.row_number().over(order).cast("long").alias("record_no"))
+    reason = F.coalesce(F.when(F.col("action") == "deleted", F.col("old_reason")).otherwise(F.col("new_reason")), F.lit(""))
+    return rows.select(*KEY, "action", "old_type", "new_type", reason.alias("reason"), F.lit(ts).alias("ts"), F.concat(summary, when).alias("summary"), F.row_number().over(order).cast("long").alias("record_no"))
 
 
 def preserve_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New edges; a missing reason comes from the old edge of the same key and type."""
+    """New edges with what they lack of the old edge of the same key and type: each column that is null or missing, and in columns of
+    maps each missing entry."""
     key = [*KEY, "edge_type"]
-    rows = new.join(old.select(*key, F.col("reason").alias("was")), key, "left")
-    return rows.select(*key, F.coalesce("reason", "was").alias("reason"))
+    rest = [c for c in dict.fromkeys([*new.columns, *old.columns]) if c not in key]
+    rows = new.select(*key, *[F.col(c).alias(f"new_{c}") for c in rest if c in new.columns])
+    rows = rows.join(old.select(*key, *[F.col(c).alias(f"old_{c}") for c in rest if c in old.columns]), key, "left")
+
+    def kept(c: str) -> Column:
+        if c not in old.columns or c not in new.columns:
+            return F.col(f"new_{c}" if c in new.columns else f"old_{c}")
+        own, was = F.col(f"new_{c}"), F.col(f"old_{c}")
+        if isinstance(new.schema[c].dataType, T.MapType):
+            more = F.map_filter(was, lambda k, _: ~F.coalesce(F.map_contains_key(own, k), F.lit(False)))
+            return F.when(own.isNull(), was).when(was.isNull(), own).otherwise(F.map_concat(own, more))
+        return F.coalesce(own, was)
+
+    return rows.select(*key, *[kept(c).alias(c) for c in rest])
 
 
 def merge_review_history(old: DataFrame, new: DataFrame, records: DataFrame) -> DataFrame:
@@ -96,7 +114,7 @@ def edge_addition_candidates(nodes: DataFrame, edges: DataFrame, pairs: DataFram
 
 def reversible_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges that may be turned round: the reverse isn't there, and no other path leads from i to j."""
-    longer = edges.select("doc_id", "i", F.col("j").alias("w")).join(pairs.select("doc_id", F.col("i").alias("w"), "j"), ["doc_id", "w"]).select(*KEY)
+    longer = edges.select("doc_id", "i", F.col("j").alias("w")).join(pairs.select("doc_id", F.col("i").alias("w"), "j"), ["doc_id", "w"]).where("w != j").select(*KEY)
     turned = edges.select("doc_id", F.col("j").alias("i"), F.col("i").alias("j"))
     return edges.select(*KEY).distinct().join(longer, KEY, "left_anti").join(turned, KEY, "left_anti")
 
@@ -104,9 +122,17 @@ def reversible_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def apply_review_edits(edges: DataFrame, edits: DataFrame) -> DataFrame:
     """`edges` (doc_id, i, j, edge_type, reason) after delete, retype, reverse and add; touched edges get `manual_review`.
 
-    An edit that needs a reason (retype, add) and has none changes nothing.
+    An edit that needs a reason (retype, add) and has none changes nothing, and neither does the reverse of an edge that mustn't be turned
+    round (`reversible_edges`). Of several edits of one edge the last by `edit_no` counts, where there is such a column; else delete goes
+    before retype before reverse. Of several additions of one edge the same counts, the first by type.
     """
     valid = edits.where(~F.col("action").isin("retype", "add") | (F.trim(F.coalesce("reason", F.lit(""))) != ""))
+    last = [F.desc("edit_no")] if "edit_no" in edits.columns else []
+    adds = F.col("action") == "add"
+    one = F.row_number().over(Window.partitionBy(*KEY, adds).orderBy(*last, "action", "edge_type", "reason"))
+    turned = edges.join(valid.where("action = 'reverse'").select("doc_id").distinct(), "doc_id", "left_semi").select(*KEY)
+    may = reversible_edges(turned, reachable_pairs(turned)).withColumn("may", F.lit(True))
+    valid = valid.join(may, KEY, "left").where("action != 'reverse' OR may").withColumn("_n", one).where("_n = 1")
     change = valid.where("action != 'add'").select(*KEY, "action", F.col("edge_type").alias("to_type"), F.col("reason").alias("why"))
     rows = edges.join(change, KEY, "left").where("action IS NULL OR action != 'delete'")
     turn, retype = F.col("action").eqNullSafe("reverse"), F.col("action").eqNullSafe("retype")

@@ -5,17 +5,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from chronoloom.functions.storage import stored
 
-from .graphs import FEATURES, degrees, node_features
+from .documents import strip
+from .graphs import FEATURES, node_features
 
 #: Rank of a missing score, length of a shown text, ends of the colour scale, width of a label, weights of the formula.
 NO_RANK = 999
@@ -79,17 +82,28 @@ def richness(vectors: DataFrame) -> DataFrame:
 def rarity(vectors: DataFrame) -> DataFrame:
     """`rare`: the mean of 1 - cosine to the document's other events, 0 for a single event.
 
-    With unit vectors u and their sum S it is 1 - (u.S - u.u) / (N - 1), so the work is linear in the events: components are summed
-    by document, not pairs made.
+    With unit vectors u and their sum S it is 1 - (u.S - u.u) / (N - 1), so the work is linear in the events: vectors are summed by
+    document in each batch, these sums by component, and no pairs are made.
     """
     rows = vectors.withColumn("norm", _norm("embedding"))
     unit = F.transform("embedding", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(F.lit(0.0)))
     rows = rows.select("doc_id", "event_no", unit.alias("u"))
-    sums = rows.select("doc_id", F.posexplode("u").alias("k", "x")).groupBy("doc_id", "k").agg(F.sum("x").alias("s"))
-    sums = sums.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("total"))
-    n = F.count("*").over(_doc())
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs, first, own = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+            total = np.zeros((len(docs), x.shape[1]))
+            np.add.at(total, own, x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(list(total), pa.list_(pa.float64())), pa.array(np.bincount(own))], names=["doc_id", "part", "n"])
+
+    parts = rows.select("doc_id", "u").mapInArrow(partial, T.StructType([rows.schema["doc_id"], T.StructField("part", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]))
+    sums = parts.select("doc_id", "n", F.posexplode("part").alias("k", "x")).groupBy("doc_id", "k").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
+    sums = sums.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("total"), F.max("n").alias("n"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    rows = rows.withColumn("n", n).join(sums, "doc_id")
+    rows = rows.join(sums, "doc_id")
     return rows.select("doc_id", "event_no", F.when(F.col("n") > 1, 1 - (dot("u", "total") - dot("u", "u")) / (F.col("n") - 1)).otherwise(0.0).alias("rare"))
 
 
@@ -148,9 +162,9 @@ def score_color(score: Column | str) -> Column:
 
 
 def node_label(event_id: Column, text: Column, score: Column, rank: Column) -> Column:
-    """`E3: text` in lines of 14, then the score and rank."""
-    body = F.regexp_replace(F.concat(event_id, F.lit(": "), F.regexp_replace(text, "\n", " ")), "(.{" + str(LABEL_WIDTH) + "})(?=.)", "$1\n")
-    return F.concat(body, F.format_string("\n▲ %.3f (#%d)", score, rank))
+    """`E3: text` in lines of 14, the text trimmed and its newlines blanks, then the score with two places and the rank."""
+    body = F.regexp_replace(F.concat(event_id, F.lit(": "), F.regexp_replace(strip(text), "\n", " ")), "(?s)(.{" + str(LABEL_WIDTH) + "})(?=.)", "$1\n")
+    return F.concat(body, F.format_string("\n▲ %.2f (#%d)", score, rank))
 
 
 def strip_doc_suffix(name: Column | str) -> Column:
@@ -185,82 +199,168 @@ def mlp_scores(features: DataFrame, layers: list[tuple[list[list[float]], list[f
     return features.mapInPandas(run, "doc_id long, event_no long, score double")
 
 
-def attention_aggregate(nodes: DataFrame, edges: DataFrame, h: DataFrame, w: list[float], a_src: float, a_dst: float) -> DataFrame:
-    """`h` (doc_id, event_no, x: array) through one attention head with one output: LeakyReLU(0.2) logits over a node's in-edges,
-    softmax, weighted sum, LeakyReLU(0.01). A node without in-edges gets 0."""
-    dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(v) for v in w]), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    wh = h.select("doc_id", "event_no", dot.alias("wh"))
-    rows = edges.select("doc_id", "i", "j").join(wh.select("doc_id", F.col("event_no").alias("i"), F.col("wh").alias("ws")), ["doc_id", "i"]).join(wh.select("doc_id", F.col("event_no").alias("j"), F.col("wh").alias("wd")), ["doc_id", "j"])
-    logit = a_src * F.col("ws") + a_dst * F.col("wd")
-    rows = rows.withColumn("e", F.exp(F.when(logit >= 0, logit).otherwise(0.2 * logit)))
-    out = rows.groupBy("doc_id", F.col("j").alias("event_no")).agg((F.sum(F.col("e") * F.col("ws")) / F.sum("e")).alias("y"))
-    y = F.coalesce("y", F.lit(0.0))
-    return nodes.select("doc_id", "event_no").join(out, ["doc_id", "event_no"], "left").select("doc_id", "event_no", F.when(y >= 0, y).otherwise(0.01 * y).alias("y"))
+#: What a helper makes of a document: from values (events by width), sources, targets and kinds of edges, new values and weights.
+Work = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _on_documents(h: DataFrame, edges: DataFrame, work: Work) -> DataFrame:
+    """`doc_id`, `event_no`, `y` and `weights` (arrays), `error`: `work` on the values `x` of each document's events and its edges
+    (`src`, `dst`, `rel`), of which those with an unknown end are left out. A document is a row after one shuffle, many to a
+    batch; where `work` fails, its message stands beside the events and the other documents go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, events, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = [e["event_no"] for e in events]
+                place = {v: k for k, v in enumerate(ids)}
+                known = [(place[e["src"]], place[e["dst"]], e["rel"]) for e in ends or [] if e["src"] in place and e["dst"] in place]
+                try:
+                    y, w = work(np.array([e["x"] for e in events], float), *np.array(known, np.int64).reshape(-1, 3).T)
+                    out += [(doc, v, *row, None) for v, row in zip(ids, zip(y.tolist(), w.tolist(), strict=True), strict=True)]
+                except Exception as error:  # noqa: BLE001
+                    out += [(doc, v, None, None, f"{type(error).__name__}: {error}") for v in ids]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "event_no", "y", "weights", "error"])
+
+    own = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("event_no", "x"))).alias("events"))
+    ends = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "rel"))).alias("ends"))
+    return own.join(ends, "doc_id", "left").mapInArrow(run, "doc_id long, event_no long, y array<double>, weights array<double>, error string")
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    return edges.select("doc_id", F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(0).alias("rel"))
+
+
+def _attend(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """One layer: heads with `w` (head, output, input) and `a` (head, source's outputs then target's), side by side."""
+    heads, size = w.shape[:2]
+    wh = np.einsum("ni,hfi->nhf", x, w)
+    out = np.zeros_like(wh)
+    if len(src):
+        logit = _leaky((wh[src] * a[:, :size]).sum(-1) + (wh[dst] * a[:, size:]).sum(-1), 0.2)
+        top = np.full((len(x), heads), -np.inf)
+        np.maximum.at(top, dst, logit)
+        p = np.exp(logit - top[dst])
+        total = np.zeros((len(x), heads))
+        np.add.at(total, dst, p)
+        np.add.at(out, dst, (p / total[dst])[:, :, None] * wh[src])
+    return _leaky(out, 0.01).reshape(len(x), heads * size)
+
+
+Layer = tuple[list[list[list[float]]], list[list[float]]]
 
 
-def influence_score(nodes: DataFrame, edges: DataFrame, h: DataFrame, p: float, b: float, norm: str = "log", scale: str = "sigmoid") -> DataFrame:
-    """`score` from an event's own value `y` and those of its predecessors: a local part, h times the mean with them, plus the scaled
-    degree; and a global part, p times the sum with them over degree + 1, plus b."""
-    key = ["doc_id", "event_no"]
-    sums = edges.select("doc_id", F.col("i").alias("event_no"), "j").join(h, key).groupBy("doc_id", F.col("j").alias("event_no")).agg(F.sum("y").alias("s"))
-    rows = degree_norm(degrees(nodes, edges), norm).join(h, key).join(sums, key, "left").na.fill(0.0, ["s"])
-    local = F.col("y") * ((F.col("s") + F.col("y")) / (F.col("in_degree") + 1)) + F.col("norm")
-    wide = p * ((F.col("y") + F.col("s")) / (F.greatest(F.lit(1), F.col("degree")) + 1)) + b
-    return scale_scores(rows.select(*key, (local + wide).alias("score")), scale).select(*key, F.col("scaled").alias("score"))
+def attention_aggregate(h: DataFrame, edges: DataFrame, layers: list[Layer]) -> DataFrame:
+    """`doc_id`, `event_no`, `x` (array), `error`: `h` (doc_id, event_no, x) through attention layers, one after the other.
+
+    Each head has LeakyReLU(0.2) logits of both ends over an event's in-edges, softmax, the weighted sum of the sources, and LeakyReLU(0.01);
+    heads stand side by side. An event without in-edges gets zeros.
+    """
+    made = [(np.array(w, float), np.array(a, float)) for w, a in layers]
+
+    def work(x: np.ndarray, src: np.ndarray, dst: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for w, a in made:
+            x = _attend(x, src, dst, w, a)
+        return x, np.zeros((len(x), 0))
+
+    return _on_documents(h, _plain(edges), work).select("doc_id", "event_no", F.col("y").alias("x"), "error")
+
+
+def influence_score(h: DataFrame, edges: DataFrame, p: list[float], b: float, norm: str = "max", scale: str = "none") -> DataFrame:
+    """`score` from an event's own values `x` (array) and those of its predecessors: a local part, x times the mean with them, plus the scaled
+    degree; and a global part, p times the sum with them over degree + 1, plus b; together scaled by `scale_scores`."""
+    weights = np.array(p, float)
+
+    def work(x: np.ndarray, src: np.ndarray, dst: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        into, out = np.bincount(dst, minlength=len(x)), np.bincount(src, minlength=len(x))
+        near = np.zeros_like(x)
+        np.add.at(near, dst, x[src])
+        local = (x * (near + x) / (into + 1)[:, None]).sum(axis=1)
+        wide = (x + near) / (np.maximum(1, into + out) + 1)[:, None] @ weights + b
+        return (local + wide)[:, None], (into + out)[:, None].astype(float)
+
+    rows = _on_documents(h, _plain(edges), work).select("doc_id", "event_no", F.col("y")[0].alias("raw"), F.col("weights")[0].alias("degree"), "error")
+    rows = degree_norm(rows, norm).withColumn("score", F.col("raw") + F.col("norm"))
+    return scale_scores(rows, scale).select("doc_id", "event_no", F.col("scaled").alias("score"), "error")
 
 
 #: Small fixed parameters, for tests and for the queries: no weights are given from outside.
 PARAMS = {
     "layers": [([[0.3, -0.1, 0.2, 0.2, 0.5, -0.4, 0.1, 0.1, 0.6, 0.2, 0.2], [-0.2, 0.4, 0.1, 0.3, 0.2, 0.1, -0.3, 0.2, 0.5, 0.1, -0.1]], [0.05, -0.02]), ([[0.7, 0.6]], [0.1])],
-    "attention": [(0.8, 0.5, 0.3), (0.9, -0.4, 0.6), (1.1, 0.2, 0.2)],
-    "influence": (0.6, 0.1),
+    "attention": [
+        ([[[0.8], [0.5]], [[-0.6], [0.9]]], [[0.5, 0.3, -0.2, 0.1], [0.4, -0.3, 0.6, 0.2]]),
+        ([[[0.9, -0.4, 0.6, 0.2]], [[0.3, 0.7, -0.1, 0.5]]], [[0.7, -0.5], [0.2, 0.4]]),
+        ([[[1.1, 0.2], [0.4, -0.8]]], [[0.3, 0.6, -0.4, 0.5]]),
+    ],
+    "influence": ([0.6, -0.3], 0.1),
 }
 
 
 def score_graphs(nodes: DataFrame, edges: DataFrame, params: dict | None = None) -> DataFrame:
-    """`doc_id`, `event_no`, `score`, `rank`: features, layers, three attention steps, influence, competition rank.
+    """`doc_id`, `event_no`, `score`, `rank`, `error`: features, layers, attention layers, influence, competition rank.
 
-    Scores are rounded to 9 places before they are ranked, so sums in another order tie all the same.
+    Scores are rounded to 9 places before they are ranked, so sums in another order tie all the same. A document whose layers fail
+    has the message as `error` and no score; the others go on.
     """
     params = params or PARAMS
-    h = stored(mlp_scores(node_features(nodes, edges), params["layers"]).select("doc_id", "event_no", F.col("score").alias("y")))
-    for w, a, b in params["attention"]:
-        step = attention_aggregate(nodes, edges, h.select("doc_id", "event_no", F.array("y").alias("x")), [w], a, b)
-        h = stored(step.join(h.select("doc_id", "event_no", F.col("y").alias("was")), ["doc_id", "event_no"]).select("doc_id", "event_no", (F.col("y") + F.col("was")).alias("y")))
-    scores = influence_score(nodes, edges, h, *params["influence"])
-    return competition_rank(scores.withColumn("score", F.round("score", PLACES)))
+    h = mlp_scores(node_features(nodes, edges), params["layers"]).select("doc_id", "event_no", F.array("score").alias("x"))
+    h = stored(attention_aggregate(h, edges, params["attention"]))
+    scores = influence_score(h.where("error IS NULL").select("doc_id", "event_no", "x"), edges, *params["influence"])
+    ranked = competition_rank(scores.withColumn("score", F.round("score", PLACES)).where("error IS NULL"))
+    bad = h.where("error IS NOT NULL").select("doc_id", "event_no", "error").union(scores.where("error IS NOT NULL").select("doc_id", "event_no", "error"))
+    return ranked.select("doc_id", "event_no", "score", "rank", "error").unionByName(bad, allowMissingColumns=True)
+
+
+def _elu(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x, np.expm1(np.minimum(x, 0)))
+
+
+def _relate(x: np.ndarray, src: np.ndarray, dst: np.ndarray, rel: np.ndarray, layer: dict, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """One layer of attention by relation: new values, and the weights of the relations for each event."""
+    w, a, heads = layer["w"], layer["a"], layer["heads"]
+    own = np.einsum("ni,rio->nro", x, w)  # each relation projects by itself
+    parts = own.reshape(len(x), len(w), heads, -1)
+    into = np.zeros_like(parts)
+    for r in range(len(w)):
+        s, d = src[rel == r], dst[rel == r]
+        logit = _leaky(np.concatenate([parts[s, r], parts[d, r]], axis=-1) @ a[r], 0.2)
+        p = np.exp(np.minimum(logit, 10))
+        total = np.zeros(parts.shape[:1] + (heads,))
+        np.add.at(total, d, p)
+        message = np.zeros((len(x), heads, parts.shape[-1]))
+        np.add.at(message, d, (p / (total + 1e-12)[d])[:, :, None] * parts[s, r])
+        into[:, r] = message
+    channel = into.reshape(own.shape) + own
+    logit = _elu(channel @ layer["proj"].T + layer["bias"]) @ layer["q"]
+    mix = np.exp(logit - logit.max(axis=1, keepdims=True))
+    mix /= mix.sum(axis=1, keepdims=True)
+    y = (channel * mix[:, :, None]).sum(axis=1)
+    return (y.reshape(len(x), heads, -1).mean(axis=1) if last else y), mix
+
+
+def relation_attention(vectors: DataFrame, typed: DataFrame, layers: list[dict]) -> DataFrame:
+    """`doc_id`, `event_no`, `y` (array), `weights` (array of 4), `error`: attention by relation, then over relations, in layers.
+
+    A layer has for each relation a projection `w` (relation, input, heads x outputs) and `a` (relation, 2 x outputs), `proj`, `bias`
+    and `q` of the weights over relations, and `heads`. In each relation: LeakyReLU(0.2) logits up to 10 over an event's in-edges, sums over
+    denominators + 1e-12, plus the event's own projection. The relations are mixed by a softmax of q times ELU of their projection. Heads
+    stand side by side, with an ELU between layers; the last layer takes their mean, and its weights are returned.
+    """
+    made = [{k: v if k == "heads" else np.array(v, float) for k, v in layer.items()} for layer in layers]
 
+    def work(x: np.ndarray, src: np.ndarray, dst: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mix = np.zeros((len(x), 4))
+        for n, layer in enumerate(made):
+            last = n == len(made) - 1
+            x, mix = _relate(x, src, dst, rel, layer, last)
+            x = x if last else _elu(x)
+        return x, mix
 
-def relation_attention(vectors: DataFrame, typed: DataFrame, proj: np.ndarray, a_src: np.ndarray, a_dst: np.ndarray, q: np.ndarray) -> DataFrame:
-    """`doc_id`, `event_no`, `y` (array), `weights` (array of 4): attention by relation, then over relations.
+    return _on_documents(vectors.select("doc_id", "event_no", F.col("embedding").alias("x")), typed.select("doc_id", "src", "dst", "rel"), work)
 
-    For each relation: logits up to 10 over a node's in-edges, sums over denominators + 1e-12, ELU of the projection; the relations
-    are mixed by a softmax of q times that, and the projection is added as a residual. A document is the unit of work.
-    """
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"doc_id": [], "event_no": [], "y": [], "weights": []})
-        left = left.sort_values("event_no")
-        place = {v: k for k, v in enumerate(left["event_no"].tolist())}
-        h = np.stack(left["embedding"].tolist()).astype(float) @ proj
-        outs = []
-        for rel in range(4):
-            e = right[right["rel"] == rel]
-            e = e[e["src"].isin(place) & e["dst"].isin(place)]
-            s, d = e["src"].map(place).to_numpy(int), e["dst"].map(place).to_numpy(int)
-            logit = h[s] @ a_src[rel] + h[d] @ a_dst[rel]
-            w = np.exp(np.minimum(_leaky(logit, 0.2), 10))
-            total, y = np.zeros(len(h)), np.zeros_like(h)
-            np.add.at(total, d, w)
-            np.add.at(y, d, w[:, None] * h[s])
-            y /= total[:, None] + 1e-12
-            outs.append(np.where(y > 0, y, np.expm1(np.minimum(y, 0))))
-        stack = np.stack(outs, axis=1)
-        logits = stack @ q
-        mix = np.exp(logits - logits.max(axis=1, keepdims=True))
-        mix /= mix.sum(axis=1, keepdims=True)
-        y = (stack * mix[:, :, None]).sum(axis=1) + h
-        return pd.DataFrame({"doc_id": left["doc_id"].to_numpy(), "event_no": left["event_no"].to_numpy(), "y": list(y), "weights": list(mix)})
-
-    own = vectors.select("doc_id", "event_no", "embedding").groupBy("doc_id")
-    return own.cogroup(typed.select(F.col("doc_id").alias("of"), "src", "dst", "rel").groupBy("of")).applyInPandas(one, "doc_id long, event_no long, y array<double>, weights array<double>")
+
+def relation_weights(attended: DataFrame) -> DataFrame:
+    """`doc_id`, `rel`, `weight`: the mean weight of each relation over a document's events, to 6 places."""
+    rows = attended.where("error IS NULL").select("doc_id", F.posexplode("weights").alias("rel", "w"))
+    return rows.groupBy("doc_id", "rel").agg(F.round(F.avg("w"), 6).alias("weight"))

@@ -9,11 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.functions.storage import stored
+from chronoloom.functions.storage import shared_folder, stored
 from chronoloom.operators import curation, dismantle, evaluate, graphs, incremental, scoring, splits
 from chronoloom.operators import documents as prep
 from chronoloom.operators.llm_json import parse_llm_json
 
+from chronoloom.sources import files
+
 from .fixtures import Tables, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +53,9 @@ def r6(c: str | Column, name: str | None = None) -> Column:
 
 # documents
 
-query("graph_nodes", "SELECT doc_id, event_no, event_id, text FROM nodes")(lambda t: t.nodes)
+query("graph_nodes", "SELECT doc_id, event_no - 1 + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS pos, event_id, text FROM nodes")(lambda t: files.graph_nodes(t.graphs).withColumn("pos", F.col("pos").cast("long")))
 query("timeline_events", "SELECT doc_id, event_no, event_id FROM nodes")(lambda t: t.nodes.select("doc_id", "event_no", "event_id"))
-query("graph_edges", "SELECT doc_id, i, j, 'causal' AS edge_type FROM causal UNION ALL SELECT doc_id, i, j, 'temporal' FROM temporal")(
-    lambda t: t.causal.withColumn("edge_type", F.lit("causal")).unionByName(t.temporal.withColumn("edge_type", F.lit("temporal")))
-)
+query("graph_edges", "SELECT doc_id, 'E' || i AS src, 'E' || j AS dst, 'c' || i AS reason, 'causal' AS edge_type FROM causal UNION ALL SELECT doc_id, 'E' || i, 'E' || j, 't' || j, 'temporal' FROM temporal")(lambda t: files.graph_edges(t.graphs))
 query("extract_doc_id", "SELECT doc_id, regexp_extract(trim(doc_name), '^([A-Z]+[0-9]+)', 1) AS name_id FROM docs")(lambda t: t.docs.select("doc_id", prep.extract_doc_id(F.concat(F.lit(" "), "doc_name")).alias("name_id")))
 query("event_id_num", "SELECT doc_id, event_no, CASE WHEN event_no % 5 = 0 THEN 1000000000 ELSE event_no END AS num FROM nodes")(
     lambda t: t.nodes.select("doc_id", "event_no", prep.event_id_num(F.when(F.col("event_no") % 5 == 0, F.concat("event_id", F.lit("x"))).otherwise(F.col("event_id"))).alias("num"))
@@ -66,9 +66,9 @@ def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.documents.where("doc_id % 7 != 0").select("doc_id", "text"), t.documents.where("doc_id % 5 != 0").select("doc_id", "text")
 
 
-@query("build_documents", "SELECT d.doc_id AS doc_name, length(d.text)::BIGINT AS n_chars, (SELECT count(*) FROM nodes n WHERE n.doc_id = d.doc_id)::BIGINT AS n_events FROM documents d WHERE d.doc_id % 7 <> 0 AND d.doc_id % 5 <> 0")
+@query("build_documents", "SELECT d.doc_id AS doc_name, d.text AS doc_text, n.events FROM documents d JOIN (SELECT doc_id, '{' || string_agg(to_json(event_id) || ':' || to_json(text), ',' ORDER BY event_no) || '}' AS events FROM nodes GROUP BY doc_id) n ON n.doc_id = d.doc_id WHERE d.doc_id % 7 <> 0 AND d.doc_id % 5 <> 0")
 def build_documents(t: Tables) -> DataFrame:
-    return prep.build_documents(*_sides(t)).select("doc_name", F.char_length("doc_text").cast("long").alias("n_chars"), F.size("events").cast("long").alias("n_events"))
+    return prep.build_documents(*_sides(t)).where("size(events) > 0").select("doc_name", "doc_text", F.to_json("events").alias("events"))
 
 
 query("build_summary", "SELECT 'cleaned_count' AS what, count(*)::BIGINT AS n, NULL::BIGINT AS doc_id FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'timeline_count', count(*), NULL FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'written_docs', count(*), NULL FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT 'missing_in_timeline', 1, doc_id FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0 UNION ALL SELECT 'missing_in_cleaned', 1, doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0")(
@@ -79,11 +79,8 @@ query("build_summary", "SELECT 'cleaned_count' AS what, count(*)::BIGINT AS n, N
 @query("validate_documents", "SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 0 THEN 'blank name' WHEN d.doc_id % 13 = 0 THEN 'blank text' WHEN s.n IS NULL THEN 'no events' WHEN d.doc_id % 17 = 0 THEN 'bad event id' END AS error, coalesce(s.n, 0)::BIGINT AS n_events FROM documents d LEFT JOIN sized s ON s.doc_id = d.doc_id")
 def validate_documents(t: Tables) -> DataFrame:
     named = t.documents.join(prep.events_map(t.nodes.withColumn("event_id", F.when((F.col("doc_id") % 17 == 0) & (F.col("event_no") == 1), "Q1").otherwise(F.col("event_id")))), "doc_id", "left")
-    rows = named.select(F.when(F.col("doc_id") % 11 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(":"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "source")).alias("tag"), F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.col("doc_id").cast("string")).alias("doc_name"), F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("text")).alias("doc_text"), "events", "doc_id")
-    checked = prep.validate_documents(rows.select("doc_name", "doc_text", "events"))
-    return checked.select(F.col("doc_name"), "error", F.size("event_list").cast("long").alias("n_events")).where("doc_name != ''").select(F.col("doc_name").cast("long").alias("doc_id"), "error", "n_events").unionByName(
-        rows.where("doc_id % 11 = 0").select("doc_id", F.lit("blank name").alias("error"), F.greatest(F.lit(0), F.coalesce(F.size("events"), F.lit(0))).cast("long").alias("n_events"))
-    )
+    rows = named.select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.col("doc_id").cast("string")).alias("doc_name"), F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("text")).alias("doc_text"), "events")
+    return prep.validate_documents(rows, ("doc_id",)).select("doc_id", "error", F.size("event_list").cast("long").alias("n_events"))
 
 
 query("forward_pairs", "SELECT a.doc_id, a.event_no AS i, b.event_no AS j FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no < b.event_no")(lambda t: prep.forward_pairs(t.nodes))
@@ -115,6 +112,81 @@ def parse(t: Tables) -> DataFrame:
     return said.select("doc_id", parse_llm_json(raw).alias("parsed"))
 
 
+# files: written below the shared folder and read back
+
+
+def _lines(df: DataFrame) -> tuple[SparkSession, str]:
+    path = shared_folder(df.sparkSession)
+    files.write_document_jsonl(df, path)
+    return df.sparkSession, path
+
+
+@query("read_event_graphs", "SELECT doc_id, n + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS n_events, coalesce(c.n_causal, 0)::BIGINT AS n_causal, coalesce(p.n_temporal, 0)::BIGINT AS n_temporal, false AS bad FROM sized LEFT JOIN (SELECT doc_id, count(*) AS n_causal FROM causal GROUP BY doc_id) c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_temporal FROM temporal GROUP BY doc_id) p USING (doc_id) UNION ALL SELECT NULL, 0, 0, 0, true FROM documents WHERE doc_id % 50 = 0")
+def read_event_graphs(t: Tables) -> DataFrame:
+    """Graphs as JSON lines, and a broken line for each fiftieth document."""
+    path = shared_folder(t.spark)
+    lines = t.graphs.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "events", "causal_edges", "temporal_edges")).alias("value"))
+    lines.union(t.documents.where("doc_id % 50 = 0").select(F.lit('{"doc_id": "1", "events": [broken'))).write.text(path)
+    n = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
+    bad = F.col("_corrupt_record").isNotNull()
+    rows = files.read_event_graphs(t.spark, path, "*.txt", True)
+    return rows.select(F.when(~bad, F.col("doc_id").cast("long")).alias("doc_id"), F.when(bad, F.lit(0).cast("long")).otherwise(n("events")).alias("n_events"), F.when(bad, F.lit(0).cast("long")).otherwise(n("causal_edges")).alias("n_causal"), F.when(bad, F.lit(0).cast("long")).otherwise(n("temporal_edges")).alias("n_temporal"), bad.alias("bad"))
+
+
+@query("write_document_jsonl", "SELECT d.doc_id, d.text AS doc_text, n.n AS n_events FROM documents d JOIN sized n ON n.doc_id = d.doc_id")
+def write_document_jsonl(t: Tables) -> DataFrame:
+    spark, path = _lines(prep.build_documents(t.documents.select("doc_id", "text"), t.documents.select("doc_id", "text")).where("size(events) > 0"))
+    rows = spark.read.schema("doc_name long, doc_text string, events map<string,string>").json(path)
+    return rows.select(F.col("doc_name").alias("doc_id"), "doc_text", F.size("events").cast("long").alias("n_events"))
+
+
+@query("write_graph_table", "SELECT doc_id, i, j, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE 'first' END AS run FROM edges")
+def write_graph_table(t: Tables) -> DataFrame:
+    """All edges, then those of every third document again."""
+    path = shared_folder(t.spark)
+    files.write_table(t.edges.withColumn("run", F.lit("first")), path)
+    files.write_table(t.edges.where("doc_id % 3 = 0").withColumn("run", F.lit("again")), path)
+    return t.spark.read.parquet(path).select("doc_id", "i", "j", "run")
+
+
+@query("read_topology_scores", "SELECT doc_id, event_id, score, rank FROM topo_ranked")
+def read_topology_scores(t: Tables) -> DataFrame:
+    spark, path = _lines(files.score_documents(scoring.unique_rank(t.scores("topo"))))
+    return files.read_topology_scores(spark, path, "*.json", True).select(F.col("doc_id").cast("long").alias("doc_id"), "event_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("read_semantic_scores", "SELECT doc_id, event_id, score, rank, score * 2 AS rich, CASE WHEN event_no % 2 = 0 THEN 0.5::DOUBLE END AS rare FROM sem_ranked")
+def read_semantic_scores(t: Tables) -> DataFrame:
+    ranked = scoring.semantic_ranking(t.scores("sem"))
+    entries = lambda value, keep: F.map_from_entries(F.filter(F.collect_list(F.when(keep, F.struct("event_id", value))), lambda e: e.isNotNull()))
+    ranking = F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda e: e["event_id"])
+    spark, path = _lines(ranked.groupBy("doc_id").agg(entries(F.col("score"), F.lit(True)).alias("scores"), ranking.alias("ranking"), entries(F.col("score") * 2, F.lit(True)).alias("rich_scores"), entries(F.lit(0.5), F.col("event_no") % 2 == 0).alias("rare_scores")))
+    return files.read_semantic_scores(spark, path, "*.json", True).select(F.col("doc_id").cast("long").alias("doc_id"), "event_id", "score", F.col("rank").cast("long").alias("rank"), "rich", "rare")
+
+
+def _label_files(t: Tables) -> tuple[SparkSession, str]:
+    maps = [F.map_from_entries(F.collect_list(F.struct("event_id", (F.col("score") + k).alias("v")))).alias(n) for k, n in enumerate(files.LABEL_MAPS)]
+    sets = F.transform(F.array_sort(F.collect_list(F.struct("set_no", "members"))), lambda s: F.transform(s["members"], lambda m: F.concat(F.lit("E"), m.cast("string"))))
+    rows = t.scores("topo").groupBy("doc_id").agg(*maps).join(t.removal_sets.groupBy("doc_id").agg(sets.alias("removal_sets")), "doc_id", "left")
+    return _lines(rows)
+
+
+query("read_labels", "SELECT doc_id, event_id, score AS labels, score + 1 AS c0_scores, score + 2 AS s_nd_scores, score + 3 AS member_labels, score + 4 AS rank_labels FROM topo")(lambda t: files.read_labels(*_label_files(t), "*.json", True).withColumn("doc_id", F.col("doc_id").cast("long")))
+query("read_removal_sets", "SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.set_no) - 1 AS set_no, s.members FROM (SELECT doc_id, set_no, string_agg('E' || event_no, ',' ORDER BY event_no) AS members FROM set_members GROUP BY doc_id, set_no) s WHERE s.doc_id IN (SELECT doc_id FROM topo)")(
+    lambda t: files.read_removal_sets(*_label_files(t), "*.json", True).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("set_no").cast("long").alias("set_no"), F.array_join("members", ",").alias("members"))
+)
+
+
+@query("flatten_traces", "SELECT doc_id, 1::BIGINT AS round, expert, i, j, row_number() OVER (PARTITION BY doc_id, expert ORDER BY i, j) - 1 AS ordinal FROM proposals UNION ALL SELECT doc_id, 2, expert, i, j, row_number() OVER (PARTITION BY doc_id, expert ORDER BY i, j) - 1 FROM classified WHERE kind = 'causal' UNION ALL SELECT doc_id, NULL, 'judge', i, j, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 FROM verdicts WHERE verdict = 'kept'")
+def flatten_traces(t: Tables) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("i", "j")))
+    said = _results(t).where("kind = 'causal'").groupBy("doc_id", "round", "expert").agg(listed.alias("edges"))
+    rounds = said.groupBy("doc_id").agg(*[F.collect_list(F.when(F.col("round") == r, F.struct("expert", "edges"))).alias(f"r{r}") for r in (0, 1)])
+    judge = _verdicts(t).where("verdict = 'kept'").groupBy("doc_id").agg(listed.alias("judge"))
+    bundles = rounds.select("doc_id", F.array("r0", "r1").alias("rounds")).join(judge, "doc_id", "left")
+    return files.flatten_traces(bundles).select("doc_id", F.col("round").cast("long").alias("round"), "expert", "i", "j", F.col("ordinal").cast("long").alias("ordinal"))
+
+
 # curation
 
 query("normalize_edges", "SELECT doc_id, expert, i, j, ordinal FROM proposals UNION ALL SELECT doc_id, expert, i, j, ordinal + 1000000000 FROM proposals WHERE doc_id % 10 = 0")(lambda t: curation.normalize_edges(t.raw_proposals, t.nodes).select("doc_id", "expert", "i", "j", "ordinal"))
@@ -149,13 +221,32 @@ query("experts_agree", "SELECT k.doc_id, coalesce(bool_and(n = 2), true) AS agre
     lambda t: curation.experts_agree(_classified(t), t.answers.select("doc_id", "expert"))
 )
 query("judge_verdicts", "SELECT doc_id, i, j, verdict, reason, supporters FROM verdicts")(lambda t: _verdicts(t).withColumn("supporters", F.array_join("supporters", ",")))
-query("llm_temporal_edges", "SELECT doc_id, i, j, min(p)::BIGINT AS priority, j - i AS span FROM (SELECT doc_id, i, j, 0 AS p FROM verdicts WHERE verdict = 'temporal' UNION ALL SELECT doc_id, i, j, CASE WHEN expert = 'discourse' THEN 1 ELSE 2 END FROM classified WHERE kind = 'temporal') x GROUP BY doc_id, i, j")(
+query("llm_temporal_edges", "SELECT doc_id, i, j, min(p)::BIGINT AS priority, j - i AS span, arg_min(reason, p) AS reason FROM (SELECT doc_id, i, j, 0 AS p, reason FROM verdicts WHERE verdict = 'temporal' UNION ALL SELECT doc_id, i, j, CASE WHEN expert = 'discourse' THEN 1 ELSE 2 END, 'because ' || i || '-' || j FROM classified WHERE kind = 'temporal') x GROUP BY doc_id, i, j")(
     lambda t: curation.llm_temporal_edges(_verdicts(t), _classified(t))
 )
 query("merge_edge_types", "SELECT doc_id, i, j FROM edges")(lambda t: curation.merge_edge_types(t.causal, t.temporal, t.nodes))
 query("typed_edges", "SELECT doc_id, src, dst, rel FROM typed")(lambda t: curation.typed_edges(t.causal, t.temporal))
-query("discussion_summary", "SELECT doc_id, string_agg(expert || ': causal ' || coalesce(c, 'none') || '; temporal ' || coalesce(p, 'none'), chr(10) ORDER BY part, expert) AS summary FROM (SELECT k.doc_id, 0 AS part, k.expert, string_agg(CASE WHEN x.kind = 'causal' THEN x.i || '->' || x.j END, ', ' ORDER BY x.i, x.j) AS c, string_agg(CASE WHEN x.kind = 'temporal' THEN x.i || '->' || x.j END, ', ' ORDER BY x.i, x.j) AS p FROM (SELECT DISTINCT doc_id, e.expert FROM keys, (VALUES ('discourse'), ('commonsense')) e(expert)) k LEFT JOIN classified x ON x.doc_id = k.doc_id AND x.expert = k.expert GROUP BY k.doc_id, k.expert UNION ALL SELECT doc_id, 1, 'judge', string_agg(CASE WHEN verdict = 'kept' THEN i || '->' || j END, ', ' ORDER BY i, j), string_agg(CASE WHEN verdict = 'temporal' THEN i || '->' || j END, ', ' ORDER BY i, j) FROM verdicts GROUP BY doc_id) y GROUP BY doc_id")(
-    lambda t: curation.discussion_summary(_classified(t), _verdicts(t), t.answers.select("doc_id", "expert").distinct())
+
+
+def _results(t: Tables) -> DataFrame:
+    first = t.proposals.select("doc_id", F.lit(0).alias("round"), "expert", F.lit("causal").alias("kind"), "i", "j", "reason")
+    return first.unionByName(_classified(t).select("doc_id", F.lit(1).alias("round"), "expert", "kind", "i", "j", "reason"))
+
+
+def _presence(t: Tables) -> DataFrame:
+    experts = F.array(*[F.struct(F.lit(r).alias("round"), F.lit(no).alias("expert_no"), F.lit(e).alias("expert")) for r, no, e, _ in prep.EXPERTS])
+    return t.documents.select("doc_id", F.inline(experts))
+
+
+_LINES = "string_agg('- E' || i || ' -> E' || j || '  ' || reason, chr(10) ORDER BY i, j) AS lines"
+query("discussion_summary", f"""SELECT d.doc_id, 'Document: ' || d.doc_name || CASE WHEN d.body <> '' THEN chr(10) || chr(10) || '===== Text =====' || chr(10) || chr(10) || d.body ELSE '' END || chr(10) || p.parts AS summary
+FROM (SELECT doc_id, doc_name, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM docs) d JOIN (SELECT doc_id, string_agg(part, chr(10) ORDER BY round, no, kind) AS parts FROM (
+  SELECT a.doc_id, a.round, a.no, a.kind, '[' || a.expert || '] ' || a.kind || ' edges' || chr(10) || coalesce(s.lines, '- none') AS part FROM (SELECT doc_id, e.* FROM documents, (VALUES (0, 0, 'temporal', 'causal'), (0, 1, 'precondition', 'causal'), (1, 2, 'discourse', 'causal'), (1, 2, 'discourse', 'temporal'), (1, 3, 'commonsense', 'causal'), (1, 3, 'commonsense', 'temporal')) e(round, no, expert, kind)) a
+  LEFT JOIN (SELECT doc_id, expert, kind, {_LINES} FROM (SELECT doc_id, expert, 'causal' AS kind, i, j, 'because ' || i || '-' || j AS reason FROM proposals UNION ALL SELECT doc_id, expert, kind, i, j, 'because ' || i || '-' || j FROM classified) q GROUP BY ALL) s ON s.doc_id = a.doc_id AND s.expert = a.expert AND s.kind = a.kind
+  UNION ALL SELECT doc_id, r, -1, '', chr(10) || 'Round ' || (r + 1) FROM documents, (VALUES (0), (1)) v(r)
+  UNION ALL SELECT a.doc_id, 1000000, 0, a.kind, 'Judge ' || a.kind || ' edges' || chr(10) || coalesce(s.lines, '- none') FROM (SELECT doc_id, k.kind FROM documents, (VALUES ('causal'), ('temporal')) k(kind)) a
+  LEFT JOIN (SELECT doc_id, CASE WHEN verdict = 'kept' THEN 'causal' ELSE 'temporal' END AS kind, {_LINES} FROM verdicts WHERE verdict IN ('kept', 'temporal') GROUP BY ALL) s ON s.doc_id = a.doc_id AND s.kind = a.kind) x GROUP BY doc_id) p ON p.doc_id = d.doc_id""")(
+    lambda t: curation.discussion_summary(t.docs, _results(t), _presence(t), _verdicts(t))
 )
 query("document_status", "SELECT d.doc_id, CASE WHEN v.n_pool IS NULL THEN 'empty_pool' WHEN e.n_final IS NULL THEN 'no_edges' ELSE 'done' END AS status, coalesce(n_pool, 0)::BIGINT AS n_pool, coalesce(n_kept, 0)::BIGINT AS n_kept, coalesce(n_final, 0)::BIGINT AS n_final FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_pool, count(*) FILTER (WHERE verdict = 'kept') AS n_kept FROM verdicts GROUP BY doc_id) v ON v.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n_final FROM edges GROUP BY doc_id) e ON e.doc_id = d.doc_id")(
     lambda t: curation.document_status(t.documents, _verdicts(t), t.edges)
@@ -186,11 +277,8 @@ query("transitive_reduction", "SELECT t.doc_id, t.i, t.j FROM temporal t WHERE N
 query("connect_isolated", "SELECT doc_id, i, j FROM (SELECT n.doc_id, CASE WHEN n.event_no = 1 THEN 1 ELSE n.event_no - 1 END AS i, CASE WHEN n.event_no = 1 THEN 2 ELSE n.event_no END AS j FROM degree n JOIN sized s ON s.doc_id = n.doc_id WHERE n.in_degree + n.out_degree = 0 AND s.n > 1) x GROUP BY doc_id, i, j")(lambda t: graphs.connect_isolated(t.nodes, t.edges))
 query("connected_components", "SELECT doc_id, event_no, component, min(component) OVER (PARTITION BY doc_id) = max(component) OVER (PARTITION BY doc_id) AS all_connected FROM component")(lambda t: graphs.connected_components(t.nodes, t.edges))
 query("bridge_components", "SELECT DISTINCT doc_id, 1::BIGINT AS i, component AS j FROM component WHERE component > 1")(lambda t: graphs.bridge_components(t.nodes, t.edges))
-query("path_exists", "SELECT n.doc_id, n.i AS s, n.j AS t, c.i IS NOT NULL AS found FROM near n LEFT JOIN closure c ON c.doc_id = n.doc_id AND c.i = n.i AND c.j = n.j UNION ALL SELECT doc_id, event_no, event_no, true FROM nodes")(
-    lambda t: graphs.path_exists(graphs.reachable_pairs(t.edges), t.near(5).select("doc_id", F.col("i").alias("s"), F.col("j").alias("t")).unionByName(t.nodes.select("doc_id", F.col("event_no").alias("s"), F.col("event_no").alias("t"))))
-)
-#: All forward pairs of a document, however far apart, and each event with itself. `path_exists` asks for pairs at most 5 apart.
-query("path_exists_whole", "SELECT a.doc_id, a.event_no AS s, b.event_no AS t, a.event_no = b.event_no OR c.i IS NOT NULL AS found FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no <= b.event_no LEFT JOIN closure c ON c.doc_id = a.doc_id AND c.i = a.event_no AND c.j = b.event_no")(
+#: All forward pairs of a document, however far apart, and each event with itself.
+query("path_exists", "SELECT a.doc_id, a.event_no AS s, b.event_no AS t, a.event_no = b.event_no OR c.i IS NOT NULL AS found FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no <= b.event_no LEFT JOIN closure c ON c.doc_id = a.doc_id AND c.i = a.event_no AND c.j = b.event_no")(
     lambda t: graphs.path_exists(graphs.reachable_pairs(t.edges), prep.forward_pairs(t.nodes).select("doc_id", F.col("i").alias("s"), F.col("j").alias("t")).unionByName(t.nodes.select("doc_id", F.col("event_no").alias("s"), F.col("event_no").alias("t"))))
 )
 
@@ -216,16 +304,16 @@ query("node_features", f"SELECT doc_id, event_no, {', '.join(_scaled(c) for c in
 query("minmax_by_doc", f"SELECT doc_id, event_no, {_scaled('score')} FROM topo")(lambda t: graphs.minmax_by_doc(t.scores("topo"), ["score"]).select("doc_id", "event_no", r6("score")))
 query("reachable_pairs", "SELECT doc_id, i, j FROM closure")(lambda t: graphs.reachable_pairs(t.edges))
 query("reachable_counts", "SELECT s.doc_id, coalesce(c.c, 0)::BIGINT AS n_pairs FROM sized s LEFT JOIN (SELECT doc_id, count(*) c FROM closure GROUP BY 1) c USING (doc_id)")(lambda t: graphs.reachable_counts(t.nodes, graphs.reachable_pairs(t.edges)))
-query("lineage", "SELECT doc_id, i AS anchor, j AS event_no, 'descendant' AS side FROM closure WHERE i % 4 = 1 UNION ALL SELECT doc_id, j, i, 'ancestor' FROM closure WHERE j % 4 = 1 UNION ALL SELECT doc_id, event_no, event_no, s.side FROM nodes, (VALUES ('descendant'), ('ancestor')) s(side) WHERE event_no % 4 = 1")(
-    lambda t: graphs.lineage(graphs.reachable_pairs(t.edges), t.nodes.where("event_no % 4 = 1").select("doc_id", F.col("event_no").alias("anchor")))
-)
-#: Every event is an anchor. In `lineage` every fourth is.
-query("lineage_whole", "SELECT doc_id, i AS anchor, j AS event_no, 'descendant' AS side FROM closure UNION ALL SELECT doc_id, j, i, 'ancestor' FROM closure UNION ALL SELECT doc_id, event_no, event_no, s.side FROM nodes, (VALUES ('descendant'), ('ancestor')) s(side)")(
+#: Every event is an anchor.
+query("lineage", "SELECT doc_id, i AS anchor, j AS event_no, 'descendant' AS side FROM closure UNION ALL SELECT doc_id, j, i, 'ancestor' FROM closure UNION ALL SELECT doc_id, event_no, event_no, s.side FROM nodes, (VALUES ('descendant'), ('ancestor')) s(side)")(
     lambda t: graphs.lineage(graphs.reachable_pairs(t.edges), t.nodes.select("doc_id", F.col("event_no").alias("anchor")))
 )
 
 # dismantling
 
+_SETS = "SELECT doc_id, set_no, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN a::VARCHAR ELSE a || ',' || b END AS members, k, original_pairs, final_pairs FROM least_sets"
+query("ground_truth_sets", _SETS)(lambda t: dismantle.ground_truth(t.nodes, t.edges)[1].select("doc_id", "set_no", F.array_join("members", ",").alias("members"), "k", "original_pairs", "final_pairs"))
+query("ground_truth_stats", "SELECT doc_id, max(k) AS k, max(original_pairs) AS original_pairs, max(final_pairs) AS final_pairs, count(*) FILTER (WHERE k > 0) AS n_sets FROM least_sets GROUP BY doc_id")(lambda t: dismantle.ground_truth(t.nodes, t.edges)[2])
 query("minimal_removal_sets", "SELECT doc_id, set_no, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN a::VARCHAR ELSE a || ',' || b END AS members, k, original_pairs, final_pairs FROM least_sets")(lambda t: dismantle.minimal_removal_sets(t.nodes, t.edges).select("doc_id", "set_no", F.array_join("members", ",").alias("members"), "k", "original_pairs", "final_pairs"))
 query("greedy_removal")(lambda t: dismantle.greedy_removal(t.nodes, t.edges))
 query("removal_frequency", "SELECT doc_id, event_no, c0 FROM c0")(lambda t: dismantle.removal_frequency(t.nodes, t.removal_sets))
@@ -256,18 +344,26 @@ def _sizes(t: Tables) -> DataFrame:
 query("size_bands", f"SELECT doc_id, n AS n_nodes, {BANDS} AS band, n >= 3 AS scored FROM sized")(lambda t: splits.size_bands(_sizes(t)))
 query("train_test_split", "SELECT doc_id, split FROM split")(lambda t: splits.train_test_split(_sizes(t)))
 query("kfold", "SELECT doc_id, (ntile(4) OVER (ORDER BY md5('42:' || doc_id)) - 1)::BIGINT AS fold FROM sized")(lambda t: splits.kfold(_sizes(t), 4))
-query("split_manifest", f"SELECT b.doc_id, b.n_nodes, b.band, CASE WHEN b.band <> 'labeled' THEN b.band WHEN s.doc_id IS NULL THEN 'failed' WHEN s.r <= greatest(1, round_even(s.c * 0.2, 0)) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, n AS n_nodes, {BANDS} AS band FROM sized) b LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS r, count(*) OVER () AS c FROM sized WHERE n BETWEEN 3 AND 30 AND doc_id % 9 <> 0 AND doc_id % 8 <> 0) s ON s.doc_id = b.doc_id")(
-    lambda t: splits.split_manifest(_sizes(t), t.documents.where("doc_id % 9 != 0"), t.documents.where("doc_id % 8 = 0"))[0]
-)
+_MANIFEST = f"SELECT b.doc_id, b.n_nodes, b.band, CASE WHEN b.band <> 'labeled' THEN b.band WHEN s.doc_id IS NULL THEN 'failed' WHEN s.r <= greatest(1, round_even(s.c * 0.2, 0)) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, n AS n_nodes, {BANDS} AS band FROM sized) b LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS r, count(*) OVER () AS c FROM sized WHERE n BETWEEN 3 AND 30 AND doc_id % 9 <> 0 AND doc_id % 8 <> 0) s ON s.doc_id = b.doc_id"
+
+
+def _manifest(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return splits.split_manifest(_sizes(t), t.documents.where("doc_id % 9 != 0"), t.documents.where("doc_id % 8 = 0"))
+
 
+query("split_manifest", _MANIFEST)(lambda t: _manifest(t)[0])
+query("split_manifest_counts", f"SELECT split, count(*) AS n FROM ({_MANIFEST}) x GROUP BY split")(lambda t: _manifest(t)[1])
 
-@query("assemble_samples", "SELECT n.doc_id, n.event_no, t.score AS f, s.score AS label FROM nodes n JOIN topo t USING (doc_id, event_no) JOIN sem s USING (doc_id, event_no) WHERE n.doc_id % 9 <> 0 AND EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = n.doc_id)")
-def assemble_samples(t: Tables) -> DataFrame:
-    f = t.scores("topo").select("doc_id", "event_no", F.col("score").alias("f"))
+
+def _samples(t: Tables) -> tuple[DataFrame, DataFrame]:
+    f = t.scores("topo").where("doc_id % 8 != 0").select("doc_id", "event_no", F.col("score").alias("f"))
     labels = t.scores("sem").where("doc_id % 9 != 0").select("doc_id", "event_no", F.col("score").alias("label"))
-    return splits.assemble_samples(f, labels, t.edges, t.sized)[0].select("doc_id", "event_no", "f", "label")
+    return splits.assemble_samples(f, labels, t.edges, t.sized)
 
 
+query("assemble_samples", "SELECT n.doc_id, n.event_no, t.score AS f, s.score AS label FROM nodes n JOIN topo t USING (doc_id, event_no) JOIN sem s USING (doc_id, event_no) WHERE n.doc_id % 9 <> 0 AND n.doc_id % 8 <> 0 AND EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = n.doc_id)")(lambda t: _samples(t)[0].select("doc_id", "event_no", "f", "label"))
+query("assemble_samples_rejects", "SELECT * FROM (SELECT s.doc_id, CASE WHEN s.doc_id % 9 = 0 OR s.doc_id NOT IN (SELECT doc_id FROM sem) THEN 'no labels' WHEN s.doc_id % 8 = 0 OR s.doc_id NOT IN (SELECT doc_id FROM topo) THEN 'no features' WHEN s.doc_id NOT IN (SELECT doc_id FROM edges) THEN 'no graph' END AS reason FROM sized s) x WHERE reason IS NOT NULL")(lambda t: _samples(t)[1])
+query("attach_vectors_missing", "SELECT doc_id FROM sized WHERE doc_id % 10 = 0")(lambda t: splits.attach_vectors(t.nodes, t.vectors.where("doc_id % 10 != 0"))[1])
 query("attach_vectors", "SELECT doc_id, event_no, event_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM nodes JOIN vectors USING (doc_id, event_no)")(
     lambda t: splits.attach_vectors(t.nodes, t.vectors)[0].select("doc_id", "event_no", "event_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 )
@@ -276,9 +372,13 @@ query("drop_edges_by_type", f"SELECT doc_id, src, dst, rel FROM typed WHERE {U.f
     lambda t: splits.drop_edges_by_type(curation.typed_edges(t.causal, t.temporal), {0: 0.6, 1: 0.6, 2: 0.1, 3: 0.1}, 42, "v2")
 )
 _MASKED = U.format("'42:v1a:' || doc_id || ':' || event_no || ':' || k")
-query("mask_vectors", f"SELECT doc_id, event_no, len(list_filter(range(0, len(embedding)), lambda k: embedding[k + 1] = 0 OR {_MASKED} < 0.15))::INTEGER AS n_masked FROM vectors")(lambda t: splits.mask_vectors(t.vectors, view="v1a").select("doc_id", "event_no", F.size(F.filter("embedding", lambda x: x == 0)).alias("n_masked")))
+_GONE = "array_to_string(list_filter(range(0, len(embedding)), lambda k: embedding[k + 1] = 0 OR {} < {}), ',') AS masked, round(list_sum(list_transform(range(0, len(embedding)), lambda k: CASE WHEN {} < {} THEN 0 ELSE embedding[k + 1]::DOUBLE END)), 5) AS total"
+_masked = lambda df: df.withColumn("masked", F.array_join(F.filter(F.transform("embedding", lambda x, k: F.when(x == 0, k)), lambda k: k.isNotNull()), ",")).withColumn("total", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5)).drop("embedding")
+query("mask_vectors", f"SELECT doc_id, event_no, {_GONE.format(_MASKED, 0.15, _MASKED, 0.15)} FROM vectors")(lambda t: _masked(splits.mask_vectors(t.vectors, view="v1a").select("doc_id", "event_no", "embedding")))
 _DRAWN = U.format("'42:' || v.view || ':' || doc_id || ':' || src || ':' || dst || ':' || rel")
-query("augmented_views", f"SELECT v.view, rel, count(*)::BIGINT AS n FROM typed, (VALUES ('v1a', 0.2, 0.2), ('v1b', 0.2, 0.2), ('v2', 0.6, 0.1)) v(view, t, c) WHERE {_DRAWN} >= CASE WHEN rel <= 1 THEN v.t ELSE v.c END GROUP BY v.view, rel")(lambda t: splits.augmented_views(curation.typed_edges(t.causal, t.temporal), t.vectors)[0].groupBy("view", "rel").agg(F.count("*").alias("n")))
+query("augmented_views", f"SELECT v.view, doc_id, src, dst, rel FROM typed, (VALUES ('v1a', 0.2, 0.2), ('v1b', 0.2, 0.2), ('v2', 0.6, 0.1)) v(view, t, c) WHERE {_DRAWN} >= CASE WHEN rel <= 1 THEN v.t ELSE v.c END")(lambda t: splits.augmented_views(curation.typed_edges(t.causal, t.temporal), t.vectors)[0].select("view", "doc_id", "src", "dst", "rel"))
+_ANY = U.format("'42:' || v.view || ':' || doc_id || ':' || event_no || ':' || k")
+query("augmented_view_vectors", f"SELECT v.view, doc_id, event_no, {_GONE.format(_ANY, 'v.rate', _ANY, 'v.rate')} FROM vectors, (VALUES ('v1a', 0.15), ('v1b', 0.15), ('v2', 0.0)) v(view, rate)")(lambda t: _masked(splits.augmented_views(curation.typed_edges(t.causal, t.temporal), t.vectors)[1].select("view", "doc_id", "event_no", "embedding")))
 
 # scores and ranks
 
@@ -317,14 +417,18 @@ query("combined_scores", "SELECT doc_id, event_id, round(topo_score, 6) AS topo_
 query("key_node_table", "SELECT c.doc_id, c.event_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.combined DESC, c.event_id)::BIGINT AS combined_rank, CASE WHEN length(n.text) > 16 THEN substr(n.text, 1, 16) || '…' ELSE n.text END AS shown FROM combined c LEFT JOIN nodes n ON n.doc_id = c.doc_id AND n.event_id = c.event_id WHERE c.doc_id IN (SELECT doc_id FROM topo) AND c.doc_id IN (SELECT doc_id FROM sem)")(
     lambda t: scoring.key_node_table(t.nodes, scoring.unique_rank(t.scores("topo")), scoring.semantic_ranking(t.scores("sem")))[0].select("doc_id", "event_id", "combined_rank", "shown")
 )
+query("key_node_table_missing", "SELECT * FROM (SELECT d.doc_id, array_to_string(list_filter([CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM sized) THEN 'graph' END, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM topo) OR d.doc_id % 6 = 0 THEN 'topology' END, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM sem) OR d.doc_id % 4 = 0 THEN 'semantic' END], lambda x: x IS NOT NULL), ',') AS missing FROM sized d) x WHERE missing <> ''")(
+    lambda t: scoring.key_node_table(t.nodes, scoring.unique_rank(t.scores("topo").where("doc_id % 6 != 0")), scoring.semantic_ranking(t.scores("sem").where("doc_id % 4 != 0")))[1].select("doc_id", "missing")
+)
 query("reweight", "SELECT doc_id, event_id, w AS w_topo, row_number() OVER (PARTITION BY doc_id, w ORDER BY w * topo_score + (1 - w) * sem_score DESC, event_id)::BIGINT AS rank FROM combined, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) v(w)")(lambda t: scoring.reweight(_combined(t), [0.25, 0.75]).select("doc_id", "event_id", "w_topo", "rank"))
 query("score_color", "SELECT doc_id, event_no, format('#{:02x}{:02x}{:02x}', trunc(219 - 5 * score)::INT, trunc(238 - 199 * score)::INT, trunc(255 - 215 * score)::INT) AS color FROM topo")(lambda t: t.scores("topo").select("doc_id", "event_no", scoring.score_color("score").alias("color")))
-query("node_label", "SELECT doc_id, event_no, regexp_replace(event_id || ': ' || text, '(.{14})', '\\1' || chr(10), 'g') AS body FROM nodes WHERE length(event_id || ': ' || text) % 14 <> 0")(
-    lambda t: t.nodes.where(F.char_length(F.concat("event_id", F.lit(": "), "text")) % 14 != 0).select("doc_id", "event_no", F.regexp_replace(scoring.node_label(F.col("event_id"), F.col("text"), F.lit(0.5), F.lit(1)), "\n▲ 0.500 \\(#1\\)$", "").alias("body"))
+_BODY = "rtrim(regexp_replace(event_id || ': ' || text, '(.{14})', '\\1' || chr(10), 'g'), chr(10))"
+query("node_label", f"SELECT doc_id, event_no, {_BODY} || chr(10) || '▲ ' || printf('%.2f', score) || ' (#' || rank || ')' AS label FROM nodes JOIN topo_ranked USING (doc_id, event_no, event_id)")(
+    lambda t: t.nodes.join(scoring.unique_rank(t.scores("topo")), ["doc_id", "event_no", "event_id"]).select("doc_id", "event_no", scoring.node_label(F.col("event_id"), F.col("text"), F.col("score"), F.col("rank")).alias("label"))
 )
-#: Labels of all events. `node_label` has no text whose length is a multiple of 14.
+#: The same without the last line, of events without a score as well.
 query("node_label_whole", "SELECT doc_id, event_no, rtrim(regexp_replace(event_id || ': ' || text, '(.{14})', '\\1' || chr(10), 'g'), chr(10)) AS body FROM nodes")(
-    lambda t: t.nodes.select("doc_id", "event_no", F.regexp_replace(scoring.node_label(F.col("event_id"), F.col("text"), F.lit(0.5), F.lit(1)), "\n▲ 0.500 \\(#1\\)$", "").alias("body"))
+    lambda t: t.nodes.select("doc_id", "event_no", F.regexp_replace(scoring.node_label(F.col("event_id"), F.col("text"), F.lit(0.5), F.lit(1)), "\n▲ 0.50 \\(#1\\)$", "").alias("body"))
 )
 query("strip_doc_suffix", "SELECT doc_id, substr(doc_name, 1, length(doc_name) - 4) AS stem FROM docs")(lambda t: t.docs.select("doc_id", scoring.strip_doc_suffix(F.regexp_replace("doc_name", "txt$", "TxT")).alias("stem")))
 query("score_profile", "SELECT doc_id, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(max(score) - min(score), 6) AS range, round(avg(CASE WHEN score = 0 THEN 1.0 ELSE 0 END), 6) AS share_zero, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0 END), 6) AS share_small, round(avg(CASE WHEN score > 0.95 THEN 1.0 ELSE 0 END), 6) AS share_large FROM topo GROUP BY doc_id")(
@@ -342,31 +446,53 @@ def _h(t: Tables) -> DataFrame:
     return t.scores("topo").select("doc_id", "event_no", F.array("score", F.lit(1) - F.col("score")).alias("x"))
 
 
-query("attention_aggregate", "SELECT n.doc_id, n.event_no, round(CASE WHEN coalesce(y, 0) >= 0 THEN coalesce(y, 0) ELSE 0.01 * y END, 6) AS y FROM nodes n LEFT JOIN (SELECT doc_id, j, sum(exp(CASE WHEN l >= 0 THEN l ELSE 0.2 * l END) * ws) / sum(exp(CASE WHEN l >= 0 THEN l ELSE 0.2 * l END)) AS y FROM (SELECT e.doc_id, e.j, a.wh AS ws, 0.5 * a.wh - 0.3 * b.wh AS l FROM edges e JOIN (SELECT *, 0.8 * score - 0.4 * (1 - score) AS wh FROM topo) a ON a.doc_id = e.doc_id AND a.event_no = e.i JOIN (SELECT *, 0.8 * score - 0.4 * (1 - score) AS wh FROM topo) b ON b.doc_id = e.doc_id AND b.event_no = e.j) q GROUP BY doc_id, j) z ON z.doc_id = n.doc_id AND z.j = n.event_no")(
-    lambda t: scoring.attention_aggregate(t.nodes, t.edges, _h(t), [0.8, -0.4], 0.5, -0.3).select("doc_id", "event_no", r6("y"))
-)
-query("influence_score", "SELECT t.doc_id, t.event_no, round(1 / (1 + exp(-(t.score * ((s + t.score) / (g.in_degree + 1)) + ln(1 + dd) / (md + 1e-6) + 0.6 * ((t.score + s) / (dd + 1)) + 0.1))), 6) AS score FROM topo t JOIN (SELECT *, greatest(1, in_degree + out_degree)::DOUBLE AS dd, max(ln(1 + greatest(1, in_degree + out_degree)::DOUBLE)) OVER (PARTITION BY doc_id) AS md FROM degree) g ON g.doc_id = t.doc_id AND g.event_no = t.event_no JOIN (SELECT n.doc_id, n.event_no, coalesce(sum(a.score), 0) AS s FROM nodes n LEFT JOIN edges e ON e.doc_id = n.doc_id AND e.j = n.event_no LEFT JOIN topo a ON a.doc_id = e.doc_id AND a.event_no = e.i GROUP BY ALL) q ON q.doc_id = t.doc_id AND q.event_no = t.event_no")(
-    lambda t: scoring.influence_score(t.nodes, t.edges, t.scores("topo").select("doc_id", "event_no", F.col("score").alias("y")), 0.6, 0.1).select("doc_id", "event_no", r6("score"))
-)
+def _sum(terms: list[tuple[float, str]]) -> str:
+    return " + ".join(f"({w}::DOUBLE) * {c}" for w, c in terms)
+
+
+def _attention_sql(h: str, layer: scoring.Layer) -> str:
+    """One attention layer over the columns x0, x1, ... of `h`."""
+    w, a = layer
+    size = len(w[0])
+    names = [(head, k, f"w{head}_{k}") for head in range(len(w)) for k in range(size)]
+    projected = f"SELECT doc_id, event_no, {', '.join(_sum([(v, f'x{n}') for n, v in enumerate(w[head][k])]) + f' AS {c}' for head, k, c in names)} FROM {h}"
+    logits = ", ".join(_sum([(a[head][k], f"s.w{head}_{k}") for k in range(size)] + [(a[head][size + k], f"d.w{head}_{k}") for k in range(size)]) + f" AS l{head}" for head in range(len(w)))
+    weights = ", ".join(f"exp(CASE WHEN l{head} >= 0 THEN l{head} ELSE 0.2 * l{head} END) AS p{head}" for head in range(len(w)))
+    means = ", ".join(f"sum(p{head} * {c}) / sum(p{head}) AS {c}" for head, _, c in names)
+    last = ", ".join(f"CASE WHEN coalesce(z.{c}, 0) >= 0 THEN coalesce(z.{c}, 0) ELSE 0.01 * z.{c} END AS x{n}" for n, (_, _, c) in enumerate(names))
+    own = ", ".join(f"s.{c}" for _, _, c in names)
+    return f"SELECT h.doc_id, h.event_no, {last} FROM {h} h LEFT JOIN (WITH p AS MATERIALIZED ({projected}) SELECT doc_id, j, {means} FROM (SELECT *, {weights} FROM (SELECT e.doc_id, e.j, {own}, {logits} FROM edges e JOIN p s ON s.doc_id = e.doc_id AND s.event_no = e.i JOIN p d ON d.doc_id = e.doc_id AND d.event_no = e.j) q) r GROUP BY doc_id, j) z ON z.doc_id = h.doc_id AND z.j = h.event_no"
 
 
-@query("relation_attention")
-def relation_attention(t: Tables) -> DataFrame:
-    size = len(t.read("embeddings").select("embedding").first()[0])
-    k = np.arange(size)
-    proj = np.stack([np.cos(k), np.sin(k)], axis=1)
-    a = np.array([[0.3, -0.2], [0.1, 0.4], [-0.3, 0.2], [0.2, 0.2]])
-    out = scoring.relation_attention(t.vectors, curation.typed_edges(t.causal, t.temporal), proj, a, -a, np.array([0.5, 0.25]))
-    return out.select("doc_id", "event_no", *[F.round(F.col("y")[i], 6).alias(f"y{i}") for i in range(2)], *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(4)])
+def _influence_sql(h: str, p: list[float], b: float) -> str:
+    n = range(len(p))
+    near = ", ".join(f"sum(a.x{k}) AS s{k}" for k in n)
+    local = " + ".join(f"h.x{k} * (coalesce(q.s{k}, 0) + h.x{k})" for k in n)
+    wide = " + ".join(f"({v}::DOUBLE) * (h.x{k} + coalesce(q.s{k}, 0))" for k, v in enumerate(p))
+    return f"SELECT h.doc_id, h.event_no, round(({local}) / (coalesce(q.n, 0) + 1) + g.dd / (g.md + 1e-6) + ({wide}) / (g.dd + 1) + ({b}), 9) AS score FROM {h} h JOIN (SELECT *, max(dd) OVER (PARTITION BY doc_id) AS md FROM (SELECT h.doc_id, h.event_no, greatest(1, (SELECT count(*) FROM edges e JOIN {h} o ON o.doc_id = e.doc_id AND o.event_no = e.i WHERE e.doc_id = h.doc_id AND e.j = h.event_no) + (SELECT count(*) FROM edges e JOIN {h} o ON o.doc_id = e.doc_id AND o.event_no = e.j WHERE e.doc_id = h.doc_id AND e.i = h.event_no))::DOUBLE AS dd FROM {h} h) m) g ON g.doc_id = h.doc_id AND g.event_no = h.event_no LEFT JOIN (SELECT e.doc_id, e.j, count(*) AS n, {near} FROM edges e JOIN {h} a ON a.doc_id = e.doc_id AND a.event_no = e.i GROUP BY e.doc_id, e.j) q ON q.doc_id = h.doc_id AND q.j = h.event_no"
 
 
-def _attention_sql(h: str, w: float, a: float, b: float) -> str:
-    return f"SELECT h.doc_id, h.event_no, h.y + CASE WHEN coalesce(z.y, 0) >= 0 THEN coalesce(z.y, 0) ELSE 0.01 * z.y END AS y FROM {h} h LEFT JOIN (SELECT doc_id, j, sum(x * ws) / sum(x) AS y FROM (SELECT doc_id, j, ws, exp(CASE WHEN l >= 0 THEN l ELSE 0.2 * l END) AS x FROM (SELECT e.doc_id, e.j, {w} * s.y AS ws, ({a}) * ({w} * s.y) + ({b}) * ({w} * d.y) AS l FROM edges e JOIN {h} s ON s.doc_id = e.doc_id AND s.event_no = e.i JOIN {h} d ON d.doc_id = e.doc_id AND d.event_no = e.j) p) q GROUP BY doc_id, j) z ON z.doc_id = h.doc_id AND z.j = h.event_no"
+_ONE = scoring.PARAMS["attention"]
+_TOPO = "h0 AS MATERIALIZED (SELECT doc_id, event_no, score AS x0, 1 - score AS x1 FROM topo)"
+_TWO_WIDE = [([[[0.8, -0.4], [0.3, 0.6]], [[-0.2, 0.7], [0.5, 0.1]]], [[0.5, -0.3, 0.2, 0.4], [0.1, 0.6, -0.5, 0.3]])]
+query("attention_aggregate", f"WITH {_TOPO} SELECT doc_id, event_no, {', '.join(f'round(x{k}, 6) AS x{k}' for k in range(4))} FROM ({_attention_sql('h0', _TWO_WIDE[0])}) y".replace("WITH", "SELECT * FROM (WITH", 1) + ") z")(
+    lambda t: scoring.attention_aggregate(_h(t), t.edges, _TWO_WIDE).select("doc_id", "event_no", *[F.round(F.col("x")[k], 6).alias(f"x{k}") for k in range(4)])
+)
+query("influence_score", f"SELECT doc_id, event_no, round(score, 6) AS score FROM (WITH {_TOPO} {_influence_sql('h0', [0.6, -0.2], 0.1)}) y")(lambda t: scoring.influence_score(_h(t), t.edges, [0.6, -0.2], 0.1).select("doc_id", "event_no", r6(F.round("score", 9), "score")))
+
+
+def _related(t: Tables) -> DataFrame:
+    """Two heads of two outputs, then one of two, with fixed parameters for any width of the embeddings."""
+    first = t.read("embeddings").select("embedding").first()
+    wave = lambda *shape: (np.cos(np.arange(int(np.prod(shape))) * 1.7) * 0.4).reshape(shape).tolist()
+    layers = [{"w": wave(4, len(first[0]) if first else 0, 4), "a": wave(4, 4), "proj": wave(3, 4), "bias": wave(3), "q": wave(3), "heads": 2}, {"w": wave(4, 4, 4), "a": wave(4, 4), "proj": wave(3, 4), "bias": wave(3), "q": wave(3), "heads": 2}]
+    return scoring.relation_attention(t.vectors, curation.typed_edges(t.causal, t.temporal), layers)
 
 
-_STEPS = ", ".join([f"step0 AS MATERIALIZED ({_MLP})", *(f"step{k + 1} AS MATERIALIZED ({_attention_sql(f'step{k}', *p)})" for k, p in enumerate(scoring.PARAMS["attention"]))])
-_INFLUENCE = "SELECT h.doc_id, h.event_no, round(1 / (1 + exp(-(h.y * ((coalesce(q.s, 0) + h.y) / (g.in_degree + 1)) + ln(1 + g.dd) / (g.md + 1e-6) + {} * ((h.y + coalesce(q.s, 0)) / (g.dd + 1)) + {}))), 9) AS score FROM step3 h JOIN (SELECT *, greatest(1, in_degree + out_degree)::DOUBLE AS dd, max(ln(1 + greatest(1, in_degree + out_degree)::DOUBLE)) OVER (PARTITION BY doc_id) AS md FROM degree) g ON g.doc_id = h.doc_id AND g.event_no = h.event_no LEFT JOIN (SELECT e.doc_id, e.j, sum(a.y) AS s FROM edges e JOIN step3 a ON a.doc_id = e.doc_id AND a.event_no = e.i GROUP BY e.doc_id, e.j) q ON q.doc_id = h.doc_id AND q.j = h.event_no".format(*scoring.PARAMS["influence"])
-query("score_graphs", f"SELECT doc_id, event_no, round(score, 6) AS score, rank() OVER (PARTITION BY doc_id ORDER BY score DESC)::BIGINT AS rank FROM (WITH {_STEPS} {_INFLUENCE}) x")(lambda t: scoring.score_graphs(t.nodes, t.edges).select("doc_id", "event_no", r6("score"), "rank"))
+query("relation_attention")(lambda t: _related(t).select("doc_id", "event_no", *[F.round(F.col("y")[i], 6).alias(f"y{i}") for i in range(2)], *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(4)]))
+query("relation_weights")(lambda t: scoring.relation_weights(_related(t)))
+_STEPS = ", ".join([f"step0 AS MATERIALIZED (SELECT doc_id, event_no, y AS x0 FROM ({_MLP}) m)", *(f"step{k + 1} AS MATERIALIZED ({_attention_sql(f'step{k}', layer)})" for k, layer in enumerate(_ONE))])
+query("score_graphs", f"SELECT doc_id, event_no, round(score, 6) AS score, rank() OVER (PARTITION BY doc_id ORDER BY score DESC)::BIGINT AS rank FROM (WITH {_STEPS} {_influence_sql('step3', *scoring.PARAMS['influence'])}) x")(lambda t: scoring.score_graphs(t.nodes, t.edges).where("error IS NULL").select("doc_id", "event_no", r6("score"), "rank"))
 
 # evaluation
 
@@ -383,9 +509,10 @@ query("confusion", f"SELECT tp, fp, fn, tn, round(tp / (tp + fp)::DOUBLE, 6) AS
 )
 HITS = "(SELECT doc_id, max(hit) AS hit, CASE WHEN max(hit) > 0 THEN min(set_no) FILTER (WHERE hit = best) END AS set_no FROM (SELECT *, max(hit) OVER (PARTITION BY doc_id) AS best FROM (SELECT m.doc_id, m.set_no, count(*) FILTER (WHERE r.rank <= m.size) / max(m.size)::DOUBLE AS hit FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, set_no) AS size FROM set_members) m LEFT JOIN topo_ranked r ON r.doc_id = m.doc_id AND r.event_no = m.event_no GROUP BY m.doc_id, m.set_no) a) b GROUP BY doc_id)"
 query("best_set_hit", f"SELECT doc_id, round(hit, 6) AS hit, set_no FROM {HITS} h")(lambda t: evaluate.best_set_hit(t.scores("topo"), t.removal_sets).select("doc_id", r6("hit"), "set_no"))
-query("hit_summary", f"SELECT split, count(*) AS n, count(*) FILTER (WHERE hit = 1) AS n_full, count(*) FILTER (WHERE hit > 0) AS n_partial, count(*) FILTER (WHERE hit = 0) AS n_miss, round(100.0 * count(*) FILTER (WHERE hit = 1) / count(*), 6)::DOUBLE AS pct_full FROM (SELECT h.hit, v.split FROM {HITS} h JOIN split s USING (doc_id), (VALUES ('test'), ('train'), ('all')) v(split) WHERE v.split = s.split OR v.split = 'all') x GROUP BY split")(
-    lambda t: evaluate.hit_summary(evaluate.best_set_hit(t.scores("topo"), t.removal_sets), splits.train_test_split(_sizes(t))).select("split", "n", "n_full", "n_partial", "n_miss", r6("pct_full"))
+query("hit_summary", f"SELECT split, count(*) AS n, count(*) FILTER (WHERE hit = 1) AS n_full, count(*) FILTER (WHERE hit > 0 AND hit < 1) AS n_partial, count(*) FILTER (WHERE hit = 0) AS n_miss, round(100.0::DOUBLE * count(*) FILTER (WHERE hit = 1) / count(*), 6) AS pct_full, round(100.0::DOUBLE * count(*) FILTER (WHERE hit > 0 AND hit < 1) / count(*), 6) AS pct_partial, round(100.0::DOUBLE * count(*) FILTER (WHERE hit = 0) / count(*), 6) AS pct_miss FROM (SELECT h.hit, v.split FROM {HITS} h JOIN split s USING (doc_id), (VALUES ('test'), ('train'), ('all')) v(split) WHERE v.split = s.split OR v.split = 'all') x GROUP BY split")(
+    lambda t: evaluate.hit_summary(evaluate.best_set_hit(t.scores("topo"), t.removal_sets), splits.train_test_split(_sizes(t))).select("split", "n", "n_full", "n_partial", "n_miss", r6("pct_full"), r6("pct_partial"), r6("pct_miss"))
 )
+query("missed_documents", f"SELECT h.doc_id, s.split FROM {HITS} h JOIN split s USING (doc_id) WHERE h.hit = 0")(lambda t: evaluate.missed_documents(evaluate.best_set_hit(t.scores("topo"), t.removal_sets), splits.train_test_split(_sizes(t))))
 query("rank_comparison", "SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DESC, s.event_id)::BIGINT AS true_rank, s.event_id, t.rank AS model_rank, round(coalesce(t.score, 0), 6) AS score FROM sem s JOIN split p ON p.doc_id = s.doc_id AND p.split = 'test' LEFT JOIN topo_ranked t ON t.doc_id = s.doc_id AND t.event_no = s.event_no")(
     lambda t: evaluate.rank_comparison(t.scores("sem").select("doc_id", "event_id", F.col("score").alias("label")), t.scores("topo"), splits.train_test_split(_sizes(t)).where("split = 'test'")).select("doc_id", "true_rank", "event_id", "model_rank", r6("score"))
 )
@@ -416,6 +543,7 @@ _SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("tp", "fp", "fn", "tn"))
 query("fold_summary", f"SELECT round(avg(loss), 6) AS loss_mean, round(stddev_pop(loss), 6) AS loss_std, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std, round(avg(tau), 6) AS tau_mean, round(sum(hits)::DOUBLE / sum(docs), 6) AS hit_rate, {_SUMS} FROM fold_rows WHERE seed = 1")(lambda t: _rounded(evaluate.fold_summary(_folds(t).where("seed = 1"))))
 query("seed_summary", f"SELECT count(*)::BIGINT AS n_seeds, {', '.join(f'round(avg({c}), 6) AS {n}_mean, round(stddev_pop({c}), 6) AS {n}_std' for c, n in (('hit', 'hit_rate'), ('tau', 'tau'), ('f1', 'f1')))}, {_SUMS} FROM (SELECT seed, sum(hits)::DOUBLE / sum(docs) AS hit, avg(tau) AS tau, avg(f1) AS f1, {_SUMS} FROM fold_rows GROUP BY seed) x")(lambda t: _rounded(evaluate.seed_summary(_folds(t))))
 query("view_agreement")(lambda t: evaluate.view_agreement(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b")).select(r6("invariance"), r6("variance"), r6("covariance"), r6("loss")))
+query("three_view_loss")(lambda t: _rounded(evaluate.three_view_loss(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b"), t.vectors)))
 
 # incremental work and review
 
@@ -448,10 +576,19 @@ def embedding_cache_split(t: Tables) -> DataFrame:
 query("merge_vectors", "SELECT doc_id, event_no, doc_id % 3 = 0 AS is_fresh, round(CASE WHEN doc_id % 3 = 0 THEN 1 - score ELSE score END, 6) AS x FROM topo WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")(
     lambda t: incremental.merge_vectors(t.scores("topo").where("doc_id % 2 = 0").withColumn("embedding", F.array("score")), t.scores("topo").where("doc_id % 3 = 0").withColumn("embedding", F.array(1 - F.col("score")))).select("doc_id", "event_no", "is_fresh", F.round(F.col("embedding")[0], 6).alias("x"))
 )
-query("review_diff", "SELECT doc_id, i, j, action, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN action = 'added' THEN 1 ELSE 0 END, i, j)::BIGINT AS record_no, CASE WHEN action = 'modified' THEN 'modified E' || i || ' -> E' || j || ': ' || ot || ' to ' || nt ELSE action || ' E' || i || ' -> E' || j || ' (' || coalesce(ot, nt) || ')' END AS summary FROM (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.i, n.i) AS i, coalesce(o.j, n.j) AS j, o.edge_type AS ot, n.edge_type AS nt, CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.doc_id IS NULL THEN 'added' WHEN o.edge_type <> n.edge_type THEN 'modified' END AS action FROM review_old o FULL JOIN review_new n ON o.doc_id = n.doc_id AND o.i = n.i AND o.j = n.j) x WHERE action IS NOT NULL")(
-    lambda t: incremental.review_diff(t.review_old, t.review_new, "2024-01-01 00:00:00").select("doc_id", "i", "j", "action", "record_no", "summary")
+query("review_diff", "SELECT doc_id, i, j, action, ot AS old_type, nt AS new_type, coalesce(CASE WHEN action = 'deleted' THEN o_reason ELSE n_reason END, '') AS reason, '2024-01-01 00:00:00' AS ts, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN action = 'added' THEN 1 ELSE 0 END, i, j)::BIGINT AS record_no, CASE WHEN action = 'modified' THEN 'modified E' || i || ' -> E' || j || ': ' || ot || ' to ' || nt ELSE action || ' E' || i || ' -> E' || j || ' (' || coalesce(ot, nt) || ')' END || ' [2024-01-01 00:00:00]' AS summary FROM (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.i, n.i) AS i, coalesce(o.j, n.j) AS j, o.edge_type AS ot, n.edge_type AS nt, o.reason AS o_reason, n.reason AS n_reason, CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.doc_id IS NULL THEN 'added' WHEN o.edge_type <> n.edge_type THEN 'modified' END AS action FROM review_old o FULL JOIN review_new n ON o.doc_id = n.doc_id AND o.i = n.i AND o.j = n.j) x WHERE action IS NOT NULL")(
+    lambda t: incremental.review_diff(t.review_old, t.review_new, "2024-01-01 00:00:00")
 )
-query("preserve_metadata", "SELECT n.doc_id, n.i, n.j, n.edge_type, coalesce(n.reason, o.reason) AS reason FROM review_new n LEFT JOIN review_old o ON o.doc_id = n.doc_id AND o.i = n.i AND o.j = n.j AND o.edge_type = n.edge_type")(lambda t: incremental.preserve_metadata(t.review_old, t.review_new))
+
+
+@query("preserve_metadata", "SELECT n.doc_id, n.i, n.j, n.edge_type, coalesce(n.reason, o.reason) AS reason, o.i * 10 AS score, 'note=new ' || n.j || CASE WHEN o.i IS NOT NULL THEN ';seen=old ' || n.i ELSE '' END AS attributes FROM review_new n LEFT JOIN review_old o ON o.doc_id = n.doc_id AND o.i = n.i AND o.j = n.j AND o.edge_type = n.edge_type")
+def preserve_metadata(t: Tables) -> DataFrame:
+    """Old edges have a score, a note and a second attribute; new ones a note of their own."""
+    said = lambda c, side: F.concat(F.lit(f"{side} "), F.col(c).cast("string"))
+    old = t.review_old.withColumn("score", F.col("i") * 10).withColumn("attributes", F.create_map(F.lit("note"), said("j", "old"), F.lit("seen"), said("i", "old")))
+    new = t.review_new.withColumn("attributes", F.create_map(F.lit("note"), said("j", "new")))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return incremental.preserve_metadata(old, new).withColumn("attributes", listed)
 
 
 @query("merge_review_history", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, record_no)::BIGINT AS place, record FROM (SELECT doc_id, 0 AS part, min(i * 100000 + j) AS record_no, 'rec ' || i AS record FROM causal GROUP BY doc_id, i UNION ALL SELECT doc_id, 1, min(i * 100000 + j), 'rec ' || i FROM temporal t WHERE NOT EXISTS (SELECT 1 FROM causal c WHERE c.doc_id = t.doc_id AND c.i = t.i) GROUP BY doc_id, i UNION ALL SELECT doc_id, 2, i * 100000 + j, 'rec ' || i FROM added) x")
@@ -460,18 +597,17 @@ def merge_review_history(t: Tables) -> DataFrame:
     return incremental.merge_review_history(record(t.causal), record(t.temporal), record(t.added))
 
 
-query("edge_addition_candidates", "SELECT a.doc_id, a.event_no AS anchor, r.role, b.event_no FROM nodes a, (VALUES ('source'), ('target')) r(role), nodes b WHERE a.event_no % 9 = 1 AND a.doc_id = b.doc_id AND a.event_no <> b.event_no AND NOT EXISTS (SELECT 1 FROM closure c WHERE c.doc_id = a.doc_id AND ((r.role = 'source' AND c.j = a.event_no AND c.i = b.event_no) OR (r.role = 'target' AND c.i = a.event_no AND c.j = b.event_no))) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = a.doc_id AND ((r.role = 'source' AND e.i = a.event_no AND e.j = b.event_no) OR (r.role = 'target' AND e.j = a.event_no AND e.i = b.event_no)))")(
-    lambda t: incremental.edge_addition_candidates(t.nodes, t.edges, graphs.reachable_pairs(t.edges), t.nodes.where("event_no % 9 = 1").select("doc_id", F.col("event_no").alias("anchor"))).select("doc_id", "anchor", "role", "event_no")
-)
-#: Every event is an anchor. In `edge_addition_candidates` every ninth is.
-query("edge_addition_candidates_whole", "SELECT a.doc_id, a.event_no AS anchor, r.role, b.event_no FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no <> b.event_no, (VALUES ('source'), ('target')) r(role) EXCEPT (SELECT doc_id, j, 'source', i FROM closure UNION ALL SELECT doc_id, i, 'target', j FROM closure UNION ALL SELECT doc_id, i, 'source', j FROM edges UNION ALL SELECT doc_id, j, 'target', i FROM edges)")(
+#: Every event is an anchor.
+query("edge_addition_candidates", "SELECT a.doc_id, a.event_no AS anchor, r.role, b.event_no FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.event_no <> b.event_no, (VALUES ('source'), ('target')) r(role) EXCEPT (SELECT doc_id, j, 'source', i FROM closure UNION ALL SELECT doc_id, i, 'target', j FROM closure UNION ALL SELECT doc_id, i, 'source', j FROM edges UNION ALL SELECT doc_id, j, 'target', i FROM edges)")(
     lambda t: incremental.edge_addition_candidates(t.nodes, t.edges, graphs.reachable_pairs(t.edges), t.nodes.select("doc_id", F.col("event_no").alias("anchor"))).select("doc_id", "anchor", "role", "event_no")
 )
 query("reversible_edges", "SELECT t.doc_id, t.i, t.j FROM edges t WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN closure c ON c.doc_id = e.doc_id AND c.i = e.j WHERE e.doc_id = t.doc_id AND e.i = t.i AND c.j = t.j)")(lambda t: incremental.reversible_edges(t.edges, graphs.reachable_pairs(t.edges)))
-query("apply_review_edits", "SELECT doc_id, CASE WHEN m = 3 THEN j ELSE i END AS i, CASE WHEN m = 3 THEN i ELSE j END AS j, CASE WHEN m = 1 THEN CASE WHEN edge_type = 'causal' THEN 'temporal' ELSE 'causal' END ELSE edge_type END AS edge_type, CASE WHEN m = 1 THEN 'edit ' || j ELSE reason END AS reason, m IN (1, 3) AS manual_review FROM (SELECT *, (doc_id + i + j) % 9 AS m FROM review_old) x WHERE m <> 0 UNION ALL SELECT doc_id, i, j, edge_type, reason, true FROM added")(
+query("apply_review_edits", "SELECT doc_id, CASE WHEN m = 3 AND free THEN j ELSE i END AS i, CASE WHEN m = 3 AND free THEN i ELSE j END AS j, CASE WHEN m = 1 THEN CASE WHEN edge_type = 'causal' THEN 'temporal' ELSE 'causal' END ELSE edge_type END AS edge_type, CASE WHEN m = 1 THEN 'edit ' || j ELSE reason END AS reason, m = 1 OR (m = 3 AND free) AS manual_review FROM (SELECT *, (doc_id + i + j) % 9 AS m, NOT EXISTS (SELECT 1 FROM edges e JOIN closure c ON c.doc_id = e.doc_id AND c.i = e.j WHERE e.doc_id = o.doc_id AND e.i = o.i AND c.j = o.j) AS free FROM review_old o) x WHERE m <> 0 UNION ALL SELECT doc_id, i, j, edge_type, reason, true FROM added")(
     lambda t: incremental.apply_review_edits(t.review_old, t.edits)
 )
 DAY = 86_400_000_000
-query("trailing_usage", f"SELECT a.user_id AS client, a.event_id AS call_id, count(*)::BIGINT AS n_requests, sum(floor(b.value))::BIGINT AS n_tokens FROM (SELECT *, epoch_us(ts) AS us FROM events) a JOIN (SELECT *, epoch_us(ts) AS us FROM events) b ON a.user_id = b.user_id AND b.us > a.us - {DAY} AND (b.us < a.us OR (b.us = a.us AND b.event_id <= a.event_id)) GROUP BY a.user_id, a.event_id")(
-    lambda t: incremental.trailing_usage(t.read("events").select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), "ts", F.floor("value").cast("long").alias("tokens")), DAY, 500, 2_000_000).select("client", "call_id", "n_requests", "n_tokens")
+#: Limits of requests and tokens in a day that some calls reach.
+RPM, TPM = 2, 150
+query("trailing_usage", f"SELECT client, call_id, tokens, n_requests, n_tokens, n_requests - 1 >= {RPM} AS over_rpm, n_tokens - tokens + greatest(1, least(tokens, {TPM})) > {TPM} AS over_tpm FROM (SELECT a.user_id AS client, a.event_id AS call_id, floor(a.value)::BIGINT AS tokens, count(*)::BIGINT AS n_requests, sum(floor(b.value))::BIGINT AS n_tokens FROM (SELECT *, epoch_us(ts) AS us FROM events) a JOIN (SELECT *, epoch_us(ts) AS us FROM events) b ON a.user_id = b.user_id AND b.us > a.us - {DAY} AND (b.us < a.us OR (b.us = a.us AND b.event_id <= a.event_id)) GROUP BY a.user_id, a.event_id, a.value) x")(
+    lambda t: incremental.trailing_usage(t.read("events").select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), "ts", F.floor("value").cast("long").alias("tokens")), DAY, RPM, TPM).select("client", "call_id", "tokens", "n_requests", "n_tokens", "over_rpm", "over_tpm")
 )

@@ -111,6 +111,18 @@ class Tables:
         value, gone = {"topo": ("((37 * doc_id + 101 * event_no) % 97) / 97", "(doc_id + event_no) % 10 = 0"), "tie": ("((37 * doc_id + 101 * event_no) % 13) / 13", "(doc_id + event_no) % 10 = 0"), "sem": ("((53 * doc_id + 29 * event_no) % 89) / 89", "(doc_id + 2 * event_no) % 11 = 0")}[kind]
         return self.nodes.select("doc_id", "event_no", "event_id").where(f"NOT ({gone})").withColumn("score", F.expr(value))
 
+    @property
+    def graphs(self) -> DataFrame:
+        """One row for each document as a graph file has it; some have an event without id, some no list at all of a kind of edge."""
+        events = F.array_sort(F.collect_list(F.struct("event_no", "event_id", "text")))
+        plain = F.transform(events, lambda e: F.struct(e["event_id"].alias("event_id"), e["text"].alias("text")))
+        odd = F.array(F.struct(F.lit("").alias("event_id"), F.lit("no id").alias("text")), F.struct(F.lit(None).cast("string").alias("event_id"), F.lit("null id").alias("text")))
+        rows = self.nodes.groupBy("doc_id").agg(plain.alias("events")).withColumn("events", F.when(F.col("doc_id") % 5 == 0, F.concat(odd, "events")).otherwise(F.col("events")))
+        name = lambda c: F.concat(F.lit("E"), F.col(c).cast("string"))
+        causal = self.causal.groupBy("doc_id").agg(F.collect_list(F.struct(name("i").alias("cause"), name("j").alias("effect"), F.concat(F.lit("c"), F.col("i").cast("string")).alias("reason"))).alias("causal_edges"))
+        temporal = self.temporal.groupBy("doc_id").agg(F.collect_list(F.struct(name("i").alias("source"), name("j").alias("target"), F.concat(F.lit("t"), F.col("j").cast("string")).alias("reason"))).alias("temporal_edges"))
+        return rows.join(causal, "doc_id", "left").join(temporal, "doc_id", "left")
+
     @property
     def removal_sets(self) -> DataFrame:
         """Two sets of events for each document by rule, to feed what follows from sets; empty for every seventh document."""
@@ -216,6 +228,8 @@ CTES = {
     "least_c0": "SELECT n.doc_id, n.event_no, coalesce(s.c / (max(s.c) OVER (PARTITION BY n.doc_id))::DOUBLE, 0) AS c0 FROM nodes n JOIN whole_pairs p ON p.doc_id = n.doc_id LEFT JOIN least_counts s ON s.doc_id = n.doc_id AND s.event_no = n.event_no",
     "least_s_nd": "SELECT c.doc_id, c.event_no, CASE WHEN c.c0 > 1e-9 THEN 0.0 ELSE coalesce((SELECT sum(m.c0 / greatest(1, d.in_degree + d.out_degree)) FROM both_ways b JOIN least_c0 m ON m.doc_id = b.doc_id AND m.event_no = b.j JOIN degree d ON d.doc_id = b.doc_id AND d.event_no = b.j WHERE b.doc_id = c.doc_id AND b.i = c.event_no AND m.c0 > 1e-9), 0) END AS s_nd FROM least_c0 c",
 }
+#: Tables that a query reads several times.
+_READ_OFTEN = ("nodes", "vectors", "pair_sims")
 _ORDER = ["lines", "nodes", "docs", "sized", "near", "causal", "temporal", "edges", "both_ways", "linked", "component"]
 
 
@@ -231,4 +245,4 @@ def sql(select: str) -> str:
 
     find(select)
     order = [n for n in _ORDER if n in used] + [n for n in CTES if n in used and n not in _ORDER]
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + select if used else select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in _READ_OFTEN else ''}({CTES[n]})" for n in order) + "\n" + select if used else select

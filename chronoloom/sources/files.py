@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.storage import stored
 from chronoloom.operators.documents import extract_doc_id
 
 CAUSAL = "array<struct<cause:string,effect:string,reason:string,supporters:array<string>,manual_review:boolean>>"
 TEMPORAL = "array<struct<source:string,target:string,reason:string,score:double,span:int,manual_review:boolean>>"
 GRAPH = f"doc_id string, doc_name string, doc_text string, events array<struct<event_id:string,text:string>>, causal_edges {CAUSAL}, temporal_edges {TEMPORAL}, _corrupt_record string"
+LABEL_MAPS = ("labels", "c0_scores", "s_nd_scores", "member_labels", "rank_labels")
+LABELS = "doc_id string, removal_sets array<array<string>>, " + ", ".join(f"{n} map<string,double>" for n in LABEL_MAPS)
 CHECKPOINT = "source_hash string, run_signature string, last_completed_round int, completed_experts map<string,array<string>>, judge_done boolean"
 
 
@@ -21,14 +25,15 @@ def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def _json(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("allowNonNumericNumbers", True)
+def _json(spark: SparkSession, root: str, name: str, schema: str, lines: bool = False) -> DataFrame:
+    """One object for each file, or for each line."""
+    reader = spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("allowNonNumericNumbers", True)
     return reader.json(root).withColumn("path", F.col("_metadata.file_path"))
 
 
-def read_event_graphs(spark: SparkSession, root: str) -> DataFrame:
-    """All `graph.json` below `root`, with `dir_id` (the folder's name) and `_corrupt_record` for a bad file."""
-    return _json(spark, root, "graph.json", GRAPH).withColumn("dir_id", _folder(F.col("path")))
+def read_event_graphs(spark: SparkSession, root: str, name: str = "graph.json", lines: bool = False) -> DataFrame:
+    """All files `name` below `root`, with `dir_id` (the folder's name) and `_corrupt_record` for a bad file; or all their `lines`."""
+    return _json(spark, root, name, GRAPH, lines).withColumn("dir_id", _folder(F.col("path")))
 
 
 def graph_nodes(graphs: DataFrame) -> DataFrame:
@@ -69,8 +74,21 @@ def read_document_inputs(spark: SparkSession, folder: str, doc_ids: list[str] |
 
 
 def write_table(df: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
-    """Per-document results as Parquet in folders by a hash of the document, so that a rerun replaces few files."""
-    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Per-document results as Parquet in folders by a hash of the document. A rerun replaces its own documents, and writes no folder
+    that has none of them."""
+    spark = df.sparkSession
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    try:
+        was = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        rows = stored(rows)
+        mine = rows.select("bucket").distinct()
+        rest = was.join(F.broadcast(mine), "bucket", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
+        rows = stored(rows.unionByName(rest))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def score_documents(scores: DataFrame) -> DataFrame:
@@ -78,26 +96,31 @@ def score_documents(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("event_id", F.struct("score", "rank")))).alias("scores"))
 
 
-def read_topology_scores(spark: SparkSession, root: str) -> DataFrame:
-    rows = _json(spark, root, "topology_scores.json", "doc_id string, num_nodes int, num_edges int, scores map<string,struct<score:double,rank:int>>")
+def read_topology_scores(spark: SparkSession, root: str, name: str = "topology_scores.json", lines: bool = False) -> DataFrame:
+    rows = _json(spark, root, name, "doc_id string, num_nodes int, num_edges int, scores map<string,struct<score:double,rank:int>>", lines)
     return rows.select("doc_id", F.explode("scores").alias("event_id", "s")).select("doc_id", "event_id", "s.score", "s.rank")
 
 
-def read_semantic_scores(spark: SparkSession, root: str) -> DataFrame:
-    rows = _json(spark, root, "semantic_scores.json", "doc_id string, scores map<string,double>, ranking array<string>, rich_scores map<string,double>, rare_scores map<string,double>")
+def read_semantic_scores(spark: SparkSession, root: str, name: str = "semantic_scores.json", lines: bool = False) -> DataFrame:
+    rows = _json(spark, root, name, "doc_id string, scores map<string,double>, ranking array<string>, rich_scores map<string,double>, rare_scores map<string,double>", lines)
     long = rows.select("doc_id", "ranking", "rich_scores", "rare_scores", F.explode("scores").alias("event_id", "score"))
     return long.select("doc_id", "event_id", "score", F.expr("array_position(ranking, event_id)").alias("rank"), F.col("rich_scores")[F.col("event_id")].alias("rich"), F.col("rare_scores")[F.col("event_id")].alias("rare"))
 
 
-def read_labels(spark: SparkSession, root: str) -> DataFrame:
-    names = ("labels", "c0_scores", "s_nd_scores", "member_labels", "rank_labels")
-    rows = _json(spark, root, "*labels.json", "doc_id string, " + ", ".join(f"{n} map<string,double>" for n in names))
-    return rows.select("doc_id", F.explode(F.map_keys("labels")).alias("event_id"), *names).select("doc_id", "event_id", *[F.col(n)[F.col("event_id")].alias(n) for n in names])
+def read_labels(spark: SparkSession, root: str, name: str = "*labels.json", lines: bool = False) -> DataFrame:
+    """`doc_id`, `event_id` and the five labels of each event."""
+    rows = _json(spark, root, name, LABELS, lines)
+    return rows.select("doc_id", F.explode(F.map_keys("labels")).alias("event_id"), *LABEL_MAPS).select("doc_id", "event_id", *[F.col(n)[F.col("event_id")].alias(n) for n in LABEL_MAPS])
 
 
-def read_checkpoints(spark: SparkSession, root: str) -> DataFrame:
+def read_removal_sets(spark: SparkSession, root: str, name: str = "*labels.json", lines: bool = False) -> DataFrame:
+    """`doc_id`, `set_no` from 0, `members` (event ids) of label files."""
+    return _json(spark, root, name, LABELS, lines).select("doc_id", F.posexplode("removal_sets").alias("set_no", "members"))
+
+
+def read_checkpoints(spark: SparkSession, root: str, name: str = "checkpoint.json", lines: bool = False) -> DataFrame:
     """Checkpoints with their completed experts, one row for each; `doc_id` is the folder's name."""
-    rows = _json(spark, root, "checkpoint.json", CHECKPOINT).withColumn("doc_id", _folder(F.col("path")))
+    rows = _json(spark, root, name, CHECKPOINT, lines).withColumn("doc_id", _folder(F.col("path")))
     rows = rows.select("doc_id", "source_hash", "last_completed_round", "judge_done", F.explode_outer("completed_experts").alias("round", "experts"))
     return rows.select("doc_id", "source_hash", "last_completed_round", "judge_done", "round", F.explode_outer("experts").alias("expert"))
 
@@ -112,8 +135,14 @@ def flatten_traces(bundles: DataFrame) -> DataFrame:
 
 
 def run_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each run folder: best epoch and loss, latest epoch and train loss; the best falls back to the latest."""
+    """One row for each run folder: best epoch and loss, latest epoch and train loss; the best falls back to the latest, the train
+    loss to the last row of the history, which gives the latest parts of the loss."""
     schema = "epoch int, val_loss double, best_val_loss double, train_loss double"
+    parts = ("loss_robust", "loss_causal", "loss_total")
     best = _json(spark, root, "best_meta.json", schema).select(_folder(F.col("path")).alias("run"), F.col("epoch").alias("best_epoch"), F.coalesce("best_val_loss", "val_loss").alias("best_loss"))
     last = _json(spark, root, "latest_meta.json", schema).select(_folder(F.col("path")).alias("run"), F.col("epoch").alias("last_epoch"), F.coalesce("best_val_loss", "val_loss").alias("last_loss"), "train_loss")
-    return best.join(last, "run", "full_outer").select("run", F.coalesce("best_epoch", "last_epoch").alias("best_epoch"), F.coalesce("best_loss", "last_loss").alias("best_loss"), "last_epoch", "train_loss")
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "history.json").text(root, wholetext=True).select(_folder(F.col("_metadata.file_path")).alias("run"), "value")
+    rows = F.from_json("value", "array<struct<train_loss:double," + ",".join(f"{c}:double" for c in parts) + ">>", {"allowNonNumericNumbers": "true"})
+    text = text.select("run", F.try_element_at(rows, F.lit(-1)).alias("h")).select("run", F.col("h.train_loss").alias("history_loss"), *[F.col(f"h.{c}").alias(c) for c in parts])
+    out = best.join(last, "run", "full_outer").join(text, "run", "full_outer")
+    return out.select("run", F.coalesce("best_epoch", "last_epoch").alias("best_epoch"), F.coalesce("best_loss", "last_loss").alias("best_loss"), "last_epoch", F.coalesce("train_loss", "history_loss").alias("train_loss"), *parts)
