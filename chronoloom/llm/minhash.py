@@ -274,29 +274,28 @@ def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """`node`, `root` of every node with a link: `root` is the smallest node of its component.
 
-    Large-star and small-star steps in turn: each joins neighbours to the smallest one around, until nothing changes, in a number
-    of rounds that grows with the logarithm of the nodes. Each round is written to the shared folder, the one before deleted.
+    Large-star and small-star steps in turn: each joins neighbours to the smallest one around, until every node has one edge, to a
+    node without one, in a number of rounds that grows with the logarithm of the nodes. Each round is written to the shared
+    folder, the one before deleted.
     """
     spark = links.sparkSession
     path = tx.shared_folder(spark)
     edges = tx.stored(links.where("a != b").select("a", "b"), path)
-    seen = None
     while True:
         # large star: neighbours above a node go to its smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # a > b
         # small star: neighbours below a node go to the smallest of them
-        low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         before, path = path, tx.shared_folder(spark)
         edges = tx.stored(small.where("a != b").distinct(), path)
         tx.removed(spark, before)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
+        several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+        if not several.union(chained).head(1):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
 
 
 def _wanted_sets(documents: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:

@@ -580,6 +580,23 @@ def test_minhash_generated_rows(spark):
     assert minhash.near_duplicates(fixtures.empty(spark)).count() == 0
 
 
+def test_components_of_random_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(9)]
+    root = list(range(120))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = minhash.components(spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in links], "a binary, b binary")).collect()
+    assert {r.node[0]: r.root[0] for r in got} == {v: find(v) for v in range(120) if find(v) != v} and len(got) == len({r.node[0] for r in got})
+
+
 def test_minhash_pruning_keeps_links():
     need = minhash.needed(0.85, 120)
     assert all(need[n] <= 0.85 * n for n in range(1, 121)) and need[120] > 60
