@@ -214,11 +214,26 @@ LINKS = "a binary, b binary"
 
 
 def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f(r) for r in rows], pa.binary()) for f in (min, max)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([f(r) for r in rows], pa.binary()) for f in (max, min)], names=["a", "b"])
+
+
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each linked place with the smallest place of its component, from a forest of links."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for i, j in links:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    return [(v, find(v)) for v in root if find(v) != v]
 
 
 def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """`a`, `b` (classes, a < b): a forest of the links in each block of each label."""
+    """`a`, `b`: each class that is linked in its block of its label, with the smallest class of its component there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _in_groups(batches, 2):
@@ -226,10 +241,10 @@ def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
             if len(group) > 1:
                 signatures = np.frombuffer(b"".join(r[1] for r in group), np.uint32).reshape(len(group), -1)
                 found = linked(signatures, [np.frombuffer(r[2], np.uint64) for r in group], percent)
-                yield _pairs([(group[i][0], group[j][0]) for i, j in found])
+                yield _pairs([(group[i][0], group[j][0]) for i, j in _stars(found)])  # in the order of their classes
 
     rows = members.select("label", "block", "class", "signature", "shingles")
-    return rows.repartition("label", "block").sortWithinPartitions("label", "block", "class").mapInArrow(run, LINKS).distinct()
+    return rows.repartition("label", "block").sortWithinPartitions("label", "block", "class").mapInArrow(run, LINKS)
 
 
 def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -280,8 +295,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     path = tx.shared_folder(spark)
-    edges = tx.stored(links.where("a != b").select("a", "b"), path)
+    edges = tx.stored(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), path)
     while True:
+        several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+        if not several.union(chained).head(1):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # large star: neighbours above a node go to its smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -292,10 +311,6 @@ def components(links: DataFrame) -> DataFrame:
         before, path = path, tx.shared_folder(spark)
         edges = tx.stored(small.where("a != b").distinct(), path)
         tx.removed(spark, before)
-        several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
-        if not several.union(chained).head(1):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _wanted_sets(documents: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
