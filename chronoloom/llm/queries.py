@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, language, licenses, manifest, minhash, mixing, quality, suffixes, tokens
+from . import bpe, chat, decontaminate, fingerprint, language, licenses, manifest, minhash, mixing, quality, suffixes, tokens
 from . import text as tx
 
 
@@ -70,14 +70,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_language, op3_fingerprint, op4_licenses, op5_chat, op6_token_counts, op7_suffixes, op8_bpe, op9_mixing, op10_minhash, op13_manifest)
+    found = (op1_quality, op2_language, op3_fingerprint, op4_licenses, op5_chat, op6_token_counts, op7_suffixes, op8_bpe, op9_mixing, op10_minhash, op11_decontaminate, op13_manifest)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
+    return {"op9_mixing": mixing.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL, "op11_decontaminate": decontaminate.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
