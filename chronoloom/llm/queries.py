@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, language, licenses, manifest, minhash, mixing, quality, suffixes, tokens
+from . import bpe, chat, decontaminate, fingerprint, language, licenses, manifest, minhash, mixing, quality, runs, suffixes, tokens
 from . import text as tx
 
 
@@ -74,12 +75,23 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _periodic_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Where a tenth of the documents begins to repeat, and by how many words."""
+    h = 1 if doc_id is None else crc32(str(doc_id).encode())
+    a = h // 10 % n
+    return (a, 1 + (n - a) // (3 + h // 10 % 8)) if h % 10 == 0 else None
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_documents(spark, sf_dir), _periodic_tail)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_language, op3_fingerprint, op4_licenses, op5_chat, op6_token_counts, op7_suffixes, op8_bpe, op9_mixing, op10_minhash, op11_decontaminate, op13_manifest)
+    found = (op1_quality, op2_language, op3_fingerprint, op4_licenses, op5_chat, op6_token_counts, op7_suffixes, op8_bpe, op9_mixing, op10_minhash, op11_decontaminate, op12_runs, op13_manifest)
     return {f.__name__: f for f in found}
 
 
