@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.storage import stored
 
-from .graphs import degrees, reach_local_proxy, two_hop_counts
+from .graphs import degrees, raw_features
 
 #: Share of pairs that may remain, sizes of graphs that get labels, tolerance of ties and members, tiers.
 THETA = 0.5
@@ -243,5 +243,5 @@ def ground_truth(nodes: DataFrame, edges: DataFrame, theta: float = THETA, min_n
     own = edges.join(stats.select("doc_id"), "doc_id", "left_semi")
     c0 = removal_frequency(band, sets)
     key = ["doc_id", "event_no"]
-    rows = c0.join(neighbor_propagation(band, own, c0), key).join(degrees(band, own).select(*key, "degree"), key).join(reach_local_proxy(two_hop_counts(band, own)), key)
+    rows = c0.join(neighbor_propagation(band, own, c0), key).join(raw_features(band, own, ["degree", "reach_local_proxy"]), key)
     return tier_rank_labels(rows).select(*key, "c0", "s_nd", "member", "rank_label"), sets, stats

@@ -1,7 +1,8 @@
 """Event graphs: closure, components, repair, structural features.
 
-All graphs of a corpus are two tables, `nodes` (doc_id, event_no) and `edges` (doc_id, i, j). What is sequential inside a document,
-closure and components, is a small bitset helper for each document; all else is joins and aggregates.
+All graphs of a corpus are two tables, `nodes` (doc_id, event_no) and `edges` (doc_id, i, j). Closure, features and components
+of many documents at once are array work on whole documents after one shuffle; documents too large for that go by joins. All
+else is joins and aggregates.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions import batches as bt
 from chronoloom.functions.storage import stored
 
 #: The order of the features.
@@ -322,12 +324,12 @@ def hop_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def two_hop_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`pred_two_hop`, `succ_two_hop`: nodes at two steps that are neither neighbours nor the node itself."""
-    return _with(nodes, _counted(_hops(_turned(edges))[0], "i", "pred_two_hop"), _counted(_hops(edges)[0], "i", "succ_two_hop"))
+    return raw_features(nodes, edges, ["pred_two_hop", "succ_two_hop"])
 
 
 def three_hop_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`pred_three_hop`, `succ_three_hop`: further nodes that the new two-step ones lead to."""
-    return _with(nodes, _counted(_hops(_turned(edges))[1], "i", "pred_three_hop"), _counted(_hops(edges)[1], "i", "succ_three_hop"))
+    return raw_features(nodes, edges, ["pred_three_hop", "succ_three_hop"])
 
 
 def reach_local_proxy(two_hops: DataFrame) -> DataFrame:
@@ -363,16 +365,142 @@ def minmax_by_doc(df: DataFrame, columns: list[str], by: str = "doc_id") -> Data
     return df.withColumns(out)
 
 
-def raw_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The eleven features before scaling."""
+#: Events, and events and edges together, of a document up to which its sets are bits in one task: 32 MB of them for each kind.
+BIT_EVENTS, BIT_ROWS = 1 << 14, 1 << 19
+#: Bytes of bits that are gathered at once.
+GATHERED = 16 << 20
+
+
+def _either(bits: np.ndarray, to: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each row the bits of any of the rows `to` between its bounds, gathered in blocks of bounded size."""
+    out = np.zeros_like(bits)
+    row_bytes = 8 * bits.shape[1]
+    at, n = 0, len(bits)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GATHERED // row_bytes, "right")) - 1)
+        some = at + np.flatnonzero(np.diff(bounds[at : end + 1]))
+        if len(some):
+            out[some] = np.bitwise_or.reduceat(bits[to[bounds[at] : bounds[end]]], bounds[some] - bounds[at], axis=0)
+        at = end
+    return out
+
+
+def _new_steps(local: np.ndarray, width: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """New nodes two and three steps along the edges, counted for each node, of graphs of up to 64 * `width` nodes.
+
+    A set is `width` words of bits by the places in the document. The nodes three steps away are those two steps from a successor: what these
+    sets hold beside the new ones is nearer.
+    """
+    n = len(local)
+    order, bounds = bt.grouped(src, n)
+    to = dst[order]
+    own = np.zeros((n, width), np.uint64)
+    own[np.arange(n), local >> 6] = np.uint64(1) << (local & 63).astype(np.uint64)
+    one = _either(own, to, bounds)
+    step = _either(one, to, bounds)
+    near = one | own
+    two = np.bitwise_count(step & ~near).sum(axis=1, dtype=np.int64)
+    near |= step
+    return two, np.bitwise_count(_either(step, to, bounds) & ~near).sum(axis=1, dtype=np.int64)
+
+
+def _hops_of(g: bt.Graphs) -> dict[str, np.ndarray]:
+    """Counts of new nodes two and three steps away, both ways, documents of like size together."""
+    out = {f"{side}_{steps}_hop": np.zeros(g.n, np.int64) for side in ("pred", "succ") for steps in ("two", "three")}
+    wide = (np.maximum(1, g.sizes) + 63) // 64
+    kind = np.repeat(np.ceil(np.log2(wide)).astype(np.int64), g.sizes)  # of up to 64, 128, 256, ... nodes
+    for k in np.unique(kind):
+        some = np.flatnonzero(kind == k)
+        place = np.full(g.n, -1)
+        place[some] = np.arange(len(some))
+        edge = np.flatnonzero(kind[g.src] == k)
+        src, dst = place[g.src[edge]], place[g.dst[edge]]
+        for side, a, b in (("succ", src, dst), ("pred", dst, src)):
+            out[f"{side}_two_hop"][some], out[f"{side}_three_hop"][some] = _new_steps(g.local[some], 1 << int(k), a, b)
+    return out
+
+
+def _features_of(g: bt.Graphs) -> dict[str, np.ndarray]:
+    """The eleven features and `degree` of all events of some graphs."""
+    into, out = np.bincount(g.dst, minlength=g.n), np.bincount(g.src, minlength=g.n)
+    hops = _hops_of(g)
+    inverse = 1 / np.maximum(1, into + out)
+    return hops | {
+        "in_degree": into, "out_degree": out, "degree": into + out, "reach_local_proxy": hops["pred_two_hop"] * hops["succ_two_hop"],
+        "succ_sole_count": np.bincount(g.src[into[g.dst] == 1], minlength=g.n), "pred_sole_count": np.bincount(g.dst[out[g.src] == 1], minlength=g.n),
+        "pred_inv_degree_sum": bt.segment_sum(inverse[g.src], g.dst, g.n), "succ_inv_degree_sum": bt.segment_sum(inverse[g.dst], g.src, g.n),
+    }
+
+
+def _scaled(values: np.ndarray, g: bt.Graphs, rows: np.ndarray) -> np.ndarray:
+    """Scaled to [0, 1] over the events `rows` of each document, which are in order; a constant column becomes 0."""
+    graph = g.graph[rows]
+    head = bt.runs_of(graph)[:-1]
+    low, high = (np.repeat(f.reduceat(values, head), np.diff(head, append=len(rows))) for f in (np.minimum, np.maximum))
+    flat = np.abs(high - low) <= 1e-9 * np.maximum(np.abs(high), np.abs(low))
+    return np.where(flat, 0.0, (values - low) / np.where(flat, 1.0, high - low))
+
+
+def _whole(c: str) -> bool:
+    return not c.endswith("_sum")
+
+
+def _features_by_bits(rows: DataFrame, columns: list[str], scaled: bool) -> DataFrame:
+    """`columns` of the events of `tagged` documents, in one pass over each."""
+
+    def work(table: pa.Table) -> pa.Table:
+        g = bt.graphs_of(table)
+        at = np.flatnonzero(g.rows >= 0)
+        found = _features_of(g)
+        out = {"doc_id": pa.array(g.doc[at], pa.int64()), "event_no": pa.array(g.event[at], pa.int64())}
+        for c in columns:
+            own = found[c][at]
+            out[c] = pa.array(_scaled(own.astype(float), g, at)) if scaled and len(at) else pa.array(own, pa.int64() if _whole(c) and not scaled else pa.float64())
+        return pa.table(out)
+
+    kinds = ", ".join(f"{c} {'long' if _whole(c) and not scaled else 'double'}" for c in columns)
+    return bt.whole_documents(rows, work, f"doc_id long, event_no long, {kinds}")
+
+
+def _by_size(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The `tagged` rows of documents that one task holds as bits, and of the larger ones, if there are any. Their tables are written once."""
+    rows = stored(bt.tagged(nodes.select("doc_id", "event_no"), edges))
+    size = rows.groupBy("doc_id").agg(F.count_if(F.col("j").isNull()).alias("events"), F.count("*").alias("rows"))
+    large = stored(size.where((F.col("events") > BIT_EVENTS) | (F.col("rows") > BIT_ROWS)).select("doc_id"))
+    if not large.head(1):
+        return rows, None
+    return rows.join(large, "doc_id", "left_anti"), rows.join(large, "doc_id", "left_semi")
+
+
+def _features(nodes: DataFrame, edges: DataFrame, columns: list[str], scaled: bool) -> DataFrame:
+    small, large = _by_size(nodes, edges)
+    out = _features_by_bits(small, columns, scaled)
+    if large is None:
+        return out
+    found = features_by_joins(large.where("j IS NULL").select("doc_id", F.col("i").alias("event_no")), large.where("j IS NOT NULL"))
+    found = minmax_by_doc(found, columns) if scaled else found
+    return out.unionByName(found.select("doc_id", "event_no", *columns))
+
+
+def features_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The eleven features and `degree` by joins alone, for documents too large for one task."""
     nodes, edges = stored(nodes.select("doc_id", "event_no")), stored(edges.select("doc_id", "i", "j"))
     degree = stored(degrees(nodes, edges))
     key = ["doc_id", "event_no"]
     rows = degree.join(hop_counts(nodes, edges), key).join(sole_counts(nodes, edges, degree), key).join(inv_degree_sums(nodes, edges, degree), key)
-    return rows.withColumn("reach_local_proxy", F.col("pred_two_hop") * F.col("succ_two_hop")).select(*key, *FEATURES)
+    return rows.withColumn("reach_local_proxy", F.col("pred_two_hop") * F.col("succ_two_hop"))
+
+
+def raw_features(nodes: DataFrame, edges: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+    """The features before scaling, and `degree` if it is among `columns`; an event comes once."""
+    return _features(nodes, edges, columns, False)
 
 
 def node_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The eleven features of each event, scaled in its document."""
-    return minmax_by_doc(raw_features(nodes, edges), FEATURES).select("doc_id", "event_no", *FEATURES)
+    """The eleven features of each event, scaled in its document.
+
+    Events and edges meet in one shuffle; neighbourhoods are bit sets, of many documents at once. Documents above `BIT_EVENTS` events
+    or `BIT_ROWS` rows go by joins, with the same results.
+    """
+    return _features(nodes, edges, FEATURES, True)
 

@@ -323,10 +323,10 @@ query("neighbor_propagation", "SELECT doc_id, event_no, round(s_nd, 6) AS s_nd F
 
 @query("tier_rank_labels", "SELECT doc_id, event_no, round(CASE WHEN m THEN 0.7 + 0.3 * share ELSE 0.3 * share END, 6) AS rank_label FROM (SELECT doc_id, event_no, m, (rank() OVER (PARTITION BY doc_id, m ORDER BY round(CASE WHEN m THEN c0 ELSE s_nd END, 9), d, CASE WHEN m THEN p ELSE 0 END))::DOUBLE / count(*) OVER (PARTITION BY doc_id, m) AS share FROM (SELECT c.doc_id, c.event_no, c.c0 > 1e-9 AS m, c.c0, s.s_nd, g.in_degree + g.out_degree AS d, h.pred_two_hop * h.succ_two_hop AS p FROM c0 c JOIN s_nd s USING (doc_id, event_no) JOIN degree g USING (doc_id, event_no) JOIN hops h USING (doc_id, event_no)) x) y")
 def tier_rank_labels(t: Tables) -> DataFrame:
-    c0 = dismantle.removal_frequency(t.nodes, t.removal_sets)
+    edges = stored(t.edges)
+    c0 = stored(dismantle.removal_frequency(t.nodes, t.removal_sets))
     key = ["doc_id", "event_no"]
-    rows = c0.join(dismantle.neighbor_propagation(t.nodes, t.edges, c0), key).join(graphs.degrees(t.nodes, t.edges).select(*key, "degree"), key)
-    rows = rows.join(graphs.reach_local_proxy(graphs.two_hop_counts(t.nodes, t.edges)), key)
+    rows = c0.join(dismantle.neighbor_propagation(c0, edges, c0), key).join(graphs.raw_features(c0, edges, ["degree", "reach_local_proxy"]), key)
     return dismantle.tier_rank_labels(rows).select(*key, r6("rank_label"))
 
 
