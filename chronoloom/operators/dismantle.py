@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions import batches as bt
 from chronoloom.functions.storage import stored
 
-from .graphs import degrees, raw_features
+from .graphs import by_size, features_by_joins, features_of
 
 #: Share of pairs that may remain, sizes of graphs that get labels, tolerance of ties and members, tiers.
 THETA = 0.5
@@ -212,14 +214,40 @@ def member_labels(c0: DataFrame) -> DataFrame:
     return c0.withColumn("member", F.when(F.col("c0") > MEMBER_ABOVE, 1.0).otherwise(0.0))
 
 
-def neighbor_propagation(nodes: DataFrame, edges: DataFrame, c0: DataFrame) -> DataFrame:
-    """`doc_id`, `event_no`, `s_nd`: for events in no set, the sum of c0 / degree over their member neighbours, each direction by itself."""
-    degree = degrees(nodes, edges).select("doc_id", "event_no", "degree")
-    weight = c0.where(F.col("c0") > MEMBER_ABOVE).join(degree, ["doc_id", "event_no"]).select("doc_id", F.col("event_no").alias("u"), (F.col("c0") / F.greatest(F.lit(1), F.col("degree"))).alias("w"))
+def neighbor_propagation(edges: DataFrame, c0: DataFrame) -> DataFrame:
+    """`c0` (doc_id, event_no, c0) with `s_nd`: for events in no set, the sum of c0 / degree over their member neighbours, each direction by
+    itself, and with `degree` and `reach_local_proxy`, on which labels depend too. All from one pass over a document."""
+    small, large = by_size(c0, edges, "c0")
+
+    def work(table: pa.Table) -> pa.Table:
+        g = bt.graphs_of(table)
+        at = np.flatnonzero(g.rows >= 0)
+        found = features_of(g)
+        share = np.zeros(g.n)
+        share[at] = bt.numbers(table, "c0")[g.rows[at]]
+        weight = np.where(share > MEMBER_ABOVE, share / np.maximum(1, found["degree"]), 0.0)
+        near = bt.segment_sum(weight[g.src], g.dst, g.n) + bt.segment_sum(weight[g.dst], g.src, g.n)
+        columns = g.doc, g.event, share, np.where(share > MEMBER_ABOVE, 0.0, near), found["degree"], found["reach_local_proxy"]
+        return pa.table({name: pa.array(column[at], kind) for name, column, kind in zip(LABEL_INPUTS, columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)})
+
+    out = bt.whole_documents(small, work, "doc_id long, event_no long, c0 double, s_nd double, degree long, reach_local_proxy long")
+    if large is None:
+        return out
+    return out.unionByName(_propagation_by_joins(large.where("j IS NULL").select("doc_id", F.col("i").alias("event_no"), "c0"), large.where("j IS NOT NULL").select("doc_id", "i", "j")))
+
+
+#: Columns that labels are made of.
+LABEL_INPUTS = ("doc_id", "event_no", "c0", "s_nd", "degree", "reach_local_proxy")
+
+
+def _propagation_by_joins(c0: DataFrame, edges: DataFrame) -> DataFrame:
+    c0, key = stored(c0), ["doc_id", "event_no"]
+    found = stored(features_by_joins(c0, edges).select(*key, "degree", "reach_local_proxy"))
+    weight = c0.where(F.col("c0") > MEMBER_ABOVE).join(found, key).select("doc_id", F.col("event_no").alias("u"), (F.col("c0") / F.greatest(F.lit(1), F.col("degree"))).alias("w"))
     both = edges.select("doc_id", F.col("i").alias("u"), F.col("j").alias("event_no")).union(edges.select("doc_id", F.col("j").alias("u"), F.col("i").alias("event_no")))
-    sums = both.join(weight, ["doc_id", "u"]).groupBy("doc_id", "event_no").agg(F.sum("w").alias("s"))
-    rows = c0.join(sums, ["doc_id", "event_no"], "left")
-    return rows.select("doc_id", "event_no", F.when(F.col("c0") > MEMBER_ABOVE, 0.0).otherwise(F.coalesce("s", F.lit(0.0))).alias("s_nd"))
+    sums = both.join(weight, ["doc_id", "u"]).groupBy(*key).agg(F.sum("w").alias("s"))
+    rows = c0.join(sums, key, "left").join(found, key)
+    return rows.withColumn("s_nd", F.when(F.col("c0") > MEMBER_ABOVE, 0.0).otherwise(F.coalesce("s", F.lit(0.0)))).select(*LABEL_INPUTS)
 
 
 def tier_rank_labels(scores: DataFrame) -> DataFrame:
@@ -242,6 +270,4 @@ def ground_truth(nodes: DataFrame, edges: DataFrame, theta: float = THETA, min_n
     band = nodes.join(stats.select("doc_id"), "doc_id", "left_semi")
     own = edges.join(stats.select("doc_id"), "doc_id", "left_semi")
     c0 = removal_frequency(band, sets)
-    key = ["doc_id", "event_no"]
-    rows = c0.join(neighbor_propagation(band, own, c0), key).join(raw_features(band, own, ["degree", "reach_local_proxy"]), key)
-    return tier_rank_labels(rows).select(*key, "c0", "s_nd", "member", "rank_label"), sets, stats
+    return tier_rank_labels(neighbor_propagation(own, c0)).select("doc_id", "event_no", "c0", "s_nd", "member", "rank_label"), sets, stats

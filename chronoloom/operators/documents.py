@@ -12,9 +12,13 @@ NO_NUMBER = 1_000_000_000
 BYTES_PER_TOKEN = 3.2
 
 
+#: The characters of Unicode's white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def extract_doc_id(name: Column | str) -> Column:

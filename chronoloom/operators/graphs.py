@@ -420,14 +420,15 @@ def _hops_of(g: bt.Graphs) -> dict[str, np.ndarray]:
     return out
 
 
-def _features_of(g: bt.Graphs) -> dict[str, np.ndarray]:
-    """The eleven features and `degree` of all events of some graphs."""
+def features_of(g: bt.Graphs) -> dict[str, np.ndarray]:
+    """The eleven features and `degree` of all events of some graphs; an end that is no node of its document has no degree to look at."""
     into, out = np.bincount(g.dst, minlength=g.n), np.bincount(g.src, minlength=g.n)
     hops = _hops_of(g)
-    inverse = 1 / np.maximum(1, into + out)
+    known = g.rows >= 0
+    inverse = known / np.maximum(1, into + out)
     return hops | {
         "in_degree": into, "out_degree": out, "degree": into + out, "reach_local_proxy": hops["pred_two_hop"] * hops["succ_two_hop"],
-        "succ_sole_count": np.bincount(g.src[into[g.dst] == 1], minlength=g.n), "pred_sole_count": np.bincount(g.dst[out[g.src] == 1], minlength=g.n),
+        "succ_sole_count": np.bincount(g.src[(into == 1)[g.dst] & known[g.dst]], minlength=g.n), "pred_sole_count": np.bincount(g.dst[(out == 1)[g.src] & known[g.src]], minlength=g.n),
         "pred_inv_degree_sum": bt.segment_sum(inverse[g.src], g.dst, g.n), "succ_inv_degree_sum": bt.segment_sum(inverse[g.dst], g.src, g.n),
     }
 
@@ -451,7 +452,7 @@ def _features_by_bits(rows: DataFrame, columns: list[str], scaled: bool) -> Data
     def work(table: pa.Table) -> pa.Table:
         g = bt.graphs_of(table)
         at = np.flatnonzero(g.rows >= 0)
-        found = _features_of(g)
+        found = features_of(g)
         out = {"doc_id": pa.array(g.doc[at], pa.int64()), "event_no": pa.array(g.event[at], pa.int64())}
         for c in columns:
             own = found[c][at]
@@ -462,9 +463,9 @@ def _features_by_bits(rows: DataFrame, columns: list[str], scaled: bool) -> Data
     return bt.whole_documents(rows, work, f"doc_id long, event_no long, {kinds}")
 
 
-def _by_size(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def by_size(nodes: DataFrame, edges: DataFrame, *more: str) -> tuple[DataFrame, DataFrame | None]:
     """The `tagged` rows of documents that one task holds as bits, and of the larger ones, if there are any. Their tables are written once."""
-    rows = stored(bt.tagged(nodes.select("doc_id", "event_no"), edges))
+    rows = stored(bt.tagged(nodes, edges, *more))
     size = rows.groupBy("doc_id").agg(F.count_if(F.col("j").isNull()).alias("events"), F.count("*").alias("rows"))
     large = stored(size.where((F.col("events") > BIT_EVENTS) | (F.col("rows") > BIT_ROWS)).select("doc_id"))
     if not large.head(1):
@@ -473,7 +474,7 @@ def _by_size(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame |
 
 
 def _features(nodes: DataFrame, edges: DataFrame, columns: list[str], scaled: bool) -> DataFrame:
-    small, large = _by_size(nodes, edges)
+    small, large = by_size(nodes, edges)
     out = _features_by_bits(small, columns, scaled)
     if large is None:
         return out

@@ -318,16 +318,13 @@ query("minimal_removal_sets", "SELECT doc_id, set_no, CASE WHEN k = 0 THEN '' WH
 query("greedy_removal")(lambda t: dismantle.greedy_removal(t.nodes, t.edges))
 query("removal_frequency", "SELECT doc_id, event_no, c0 FROM c0")(lambda t: dismantle.removal_frequency(t.nodes, t.removal_sets))
 query("member_labels", "SELECT doc_id, event_no, CASE WHEN c0 > 1e-9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS member FROM c0")(lambda t: dismantle.member_labels(dismantle.removal_frequency(t.nodes, t.removal_sets)).select("doc_id", "event_no", "member"))
-query("neighbor_propagation", "SELECT doc_id, event_no, round(s_nd, 6) AS s_nd FROM s_nd")(lambda t: dismantle.neighbor_propagation(t.nodes, t.edges, dismantle.removal_frequency(t.nodes, t.removal_sets)).select("doc_id", "event_no", r6("s_nd")))
+query("neighbor_propagation", "SELECT doc_id, event_no, round(s_nd, 6) AS s_nd FROM s_nd")(lambda t: dismantle.neighbor_propagation(t.edges, dismantle.removal_frequency(t.nodes, t.removal_sets)).select("doc_id", "event_no", r6("s_nd")))
 
 
 @query("tier_rank_labels", "SELECT doc_id, event_no, round(CASE WHEN m THEN 0.7 + 0.3 * share ELSE 0.3 * share END, 6) AS rank_label FROM (SELECT doc_id, event_no, m, (rank() OVER (PARTITION BY doc_id, m ORDER BY round(CASE WHEN m THEN c0 ELSE s_nd END, 9), d, CASE WHEN m THEN p ELSE 0 END))::DOUBLE / count(*) OVER (PARTITION BY doc_id, m) AS share FROM (SELECT c.doc_id, c.event_no, c.c0 > 1e-9 AS m, c.c0, s.s_nd, g.in_degree + g.out_degree AS d, h.pred_two_hop * h.succ_two_hop AS p FROM c0 c JOIN s_nd s USING (doc_id, event_no) JOIN degree g USING (doc_id, event_no) JOIN hops h USING (doc_id, event_no)) x) y")
 def tier_rank_labels(t: Tables) -> DataFrame:
-    edges = stored(t.edges)
-    c0 = stored(dismantle.removal_frequency(t.nodes, t.removal_sets))
-    key = ["doc_id", "event_no"]
-    rows = c0.join(dismantle.neighbor_propagation(c0, edges, c0), key).join(graphs.raw_features(c0, edges, ["degree", "reach_local_proxy"]), key)
-    return dismantle.tier_rank_labels(rows).select(*key, r6("rank_label"))
+    rows = dismantle.neighbor_propagation(t.edges, dismantle.removal_frequency(t.nodes, t.removal_sets))
+    return dismantle.tier_rank_labels(rows).select("doc_id", "event_no", r6("rank_label"))
 
 
 query("ground_truth", "SELECT doc_id, event_no, round(c0, 6) AS c0, round(s_nd, 6) AS s_nd, CASE WHEN m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS member, round(CASE WHEN m THEN 0.7 + 0.3 * share ELSE 0.3 * share END, 6) AS rank_label FROM (SELECT *, (rank() OVER (PARTITION BY doc_id, m ORDER BY round(CASE WHEN m THEN c0 ELSE s_nd END, 9), d, CASE WHEN m THEN p ELSE 0 END))::DOUBLE / count(*) OVER (PARTITION BY doc_id, m) AS share FROM (SELECT c.doc_id, c.event_no, c.c0 > 1e-9 AS m, c.c0, s.s_nd, g.in_degree + g.out_degree AS d, h.pred_two_hop * h.succ_two_hop AS p FROM least_c0 c JOIN least_s_nd s USING (doc_id, event_no) JOIN degree g USING (doc_id, event_no) JOIN hops h USING (doc_id, event_no)) x) y")(lambda t: dismantle.ground_truth(t.nodes, t.edges)[0].select("doc_id", "event_no", r6("c0"), r6("s_nd"), "member", r6("rank_label")))
