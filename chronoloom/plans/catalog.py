@@ -14,7 +14,7 @@ from chronoloom.operators import curation, dismantle, evaluate, graphs, incremen
 from chronoloom.operators import documents as prep
 from chronoloom.operators.llm_json import parse_llm_json
 
-from chronoloom.sources import files
+from chronoloom.sources import files, tables
 
 from .fixtures import Tables, sql
 
@@ -140,15 +140,6 @@ def write_document_jsonl(t: Tables) -> DataFrame:
     return rows.select(F.col("doc_name").alias("doc_id"), "doc_text", F.size("events").cast("long").alias("n_events"))
 
 
-@query("write_graph_table", "SELECT doc_id, i, j, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE 'first' END AS run FROM edges")
-def write_graph_table(t: Tables) -> DataFrame:
-    """All edges, then those of every third document again."""
-    path = shared_folder(t.spark)
-    files.write_table(t.edges.withColumn("run", F.lit("first")), path)
-    files.write_table(t.edges.where("doc_id % 3 = 0").withColumn("run", F.lit("again")), path)
-    return t.spark.read.parquet(path).select("doc_id", "i", "j", "run")
-
-
 @query("read_topology_scores", "SELECT doc_id, event_id, score, rank FROM topo_ranked")
 def read_topology_scores(t: Tables) -> DataFrame:
     spark, path = _lines(files.score_documents(scoring.unique_rank(t.scores("topo"))))
@@ -321,13 +312,63 @@ query("member_labels", "SELECT doc_id, event_no, CASE WHEN c0 > 1e-9 THEN 1.0::D
 query("neighbor_propagation", "SELECT doc_id, event_no, round(s_nd, 6) AS s_nd FROM s_nd")(lambda t: dismantle.neighbor_propagation(t.edges, dismantle.removal_frequency(t.nodes, t.removal_sets)).select("doc_id", "event_no", r6("s_nd")))
 
 
-@query("tier_rank_labels", "SELECT doc_id, event_no, round(CASE WHEN m THEN 0.7 + 0.3 * share ELSE 0.3 * share END, 6) AS rank_label FROM (SELECT doc_id, event_no, m, (rank() OVER (PARTITION BY doc_id, m ORDER BY round(CASE WHEN m THEN c0 ELSE s_nd END, 9), d, CASE WHEN m THEN p ELSE 0 END))::DOUBLE / count(*) OVER (PARTITION BY doc_id, m) AS share FROM (SELECT c.doc_id, c.event_no, c.c0 > 1e-9 AS m, c.c0, s.s_nd, g.in_degree + g.out_degree AS d, h.pred_two_hop * h.succ_two_hop AS p FROM c0 c JOIN s_nd s USING (doc_id, event_no) JOIN degree g USING (doc_id, event_no) JOIN hops h USING (doc_id, event_no)) x) y")
+def _shares(c0: str, s_nd: str) -> str:
+    """SQL of each event's share of its tier, `m` its members, by labels in two tables."""
+    return f"SELECT *, (rank() OVER (PARTITION BY doc_id, m ORDER BY round(CASE WHEN m THEN c0 ELSE s_nd END, 9), d, CASE WHEN m THEN p ELSE 0 END))::DOUBLE / count(*) OVER (PARTITION BY doc_id, m) AS share FROM (SELECT c.doc_id, c.event_no, c.c0 > 1e-9 AS m, c.c0, s.s_nd, g.in_degree + g.out_degree AS d, h.pred_two_hop * h.succ_two_hop AS p FROM {c0} c JOIN {s_nd} s USING (doc_id, event_no) JOIN degree g USING (doc_id, event_no) JOIN hops h USING (doc_id, event_no)) x"
+
+
+_MEMBER = "CASE WHEN m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS member"
+_RANK_LABEL = "round(CASE WHEN m THEN 0.7 + 0.3 * share ELSE 0.3 * share END, 6) AS rank_label"
+
+
+@query("tier_rank_labels", f"SELECT doc_id, event_no, {_RANK_LABEL} FROM ({_shares('c0', 's_nd')}) y")
 def tier_rank_labels(t: Tables) -> DataFrame:
     rows = dismantle.neighbor_propagation(t.edges, dismantle.removal_frequency(t.nodes, t.removal_sets))
     return dismantle.tier_rank_labels(rows).select("doc_id", "event_no", r6("rank_label"))
 
 
-query("ground_truth", "SELECT doc_id, event_no, round(c0, 6) AS c0, round(s_nd, 6) AS s_nd, CASE WHEN m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS member, round(CASE WHEN m THEN 0.7 + 0.3 * share ELSE 0.3 * share END, 6) AS rank_label FROM (SELECT *, (rank() OVER (PARTITION BY doc_id, m ORDER BY round(CASE WHEN m THEN c0 ELSE s_nd END, 9), d, CASE WHEN m THEN p ELSE 0 END))::DOUBLE / count(*) OVER (PARTITION BY doc_id, m) AS share FROM (SELECT c.doc_id, c.event_no, c.c0 > 1e-9 AS m, c.c0, s.s_nd, g.in_degree + g.out_degree AS d, h.pred_two_hop * h.succ_two_hop AS p FROM least_c0 c JOIN least_s_nd s USING (doc_id, event_no) JOIN degree g USING (doc_id, event_no) JOIN hops h USING (doc_id, event_no)) x) y")(lambda t: dismantle.ground_truth(t.nodes, t.edges)[0].select("doc_id", "event_no", r6("c0"), r6("s_nd"), "member", r6("rank_label")))
+query("ground_truth", f"SELECT doc_id, event_no, round(c0, 6) AS c0, round(s_nd, 6) AS s_nd, {_MEMBER}, {_RANK_LABEL} FROM ({_shares('least_c0', 'least_s_nd')}) y")(lambda t: dismantle.ground_truth(t.nodes, t.edges)[0].select("doc_id", "event_no", r6("c0"), r6("s_nd"), "member", r6("rank_label")))
+
+# tables of results: written, written again for some documents, and read back
+
+
+def _rerun(t: Tables, rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """`rows`; then those of every third document again, as `changed`; then every seventh document without rows."""
+    path = shared_folder(t.spark)
+    tables.write(rows, path)
+    tables.write(changed.where("doc_id % 3 = 0"), path)
+    tables.write(changed.where("doc_id % 7 = 0").limit(0), path, documents=t.documents.where("doc_id % 7 = 0"))
+    return tables.read(t.spark, path)
+
+
+@query("write_graph_table", "SELECT doc_id, i, j, edge_type, reason, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE 'first' END AS run FROM review_old WHERE doc_id % 7 <> 0")
+def write_graph_table(t: Tables) -> DataFrame:
+    return _rerun(t, t.review_old.withColumn("run", F.lit("first")), t.review_old.withColumn("run", F.lit("again")))
+
+
+def _labels_of(t: Tables) -> DataFrame:
+    rows = dismantle.neighbor_propagation(t.edges, dismantle.removal_frequency(t.nodes, t.removal_sets))
+    return dismantle.tier_rank_labels(rows).select("doc_id", "event_no", r6("c0"), r6("s_nd"), "member", r6("rank_label"))
+
+
+@query("write_labels", f"SELECT doc_id, event_no, round(c0, 6) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS c0, round(s_nd, 6) AS s_nd, {_MEMBER}, {_RANK_LABEL} FROM ({_shares('c0', 's_nd')}) y WHERE doc_id % 7 <> 0")
+def write_labels(t: Tables) -> DataFrame:
+    rows = stored(_labels_of(t))
+    return _rerun(t, rows, rows.withColumn("c0", F.col("c0") + 1))
+
+
+@query("write_features", f"SELECT doc_id, event_no, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS run, {', '.join(_scaled(c) for c in graphs.FEATURES)} FROM features WHERE doc_id % 7 <> 0")
+def write_features(t: Tables) -> DataFrame:
+    rows = stored(graphs.node_features(t.nodes, t.edges).select("doc_id", "event_no", *[r6(c) for c in graphs.FEATURES]))
+    return _rerun(t, rows.withColumn("run", F.lit(1)), rows.withColumn("run", F.lit(2)))
+
+
+@query("write_scores", "SELECT doc_id, event_no, event_id, CASE WHEN doc_id % 3 = 0 THEN -score ELSE score END AS score, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN doc_id % 3 = 0 THEN -score ELSE score END DESC, event_id)::BIGINT AS rank FROM topo WHERE doc_id % 7 <> 0")
+def write_scores(t: Tables) -> DataFrame:
+    """Ranked scores, then others of some documents; what is read back needs no shuffle to be ranked by document."""
+    rows = t.scores("topo")
+    return scoring.unique_rank(_rerun(t, rows, rows.withColumn("score", -F.col("score"))))
+
 
 # splits
 

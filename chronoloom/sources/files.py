@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.storage import stored
 from chronoloom.operators.documents import extract_doc_id
 
 CAUSAL = "array<struct<cause:string,effect:string,reason:string,supporters:array<string>,manual_review:boolean>>"
@@ -73,24 +71,6 @@ def read_document_inputs(spark: SparkSession, folder: str, doc_ids: list[str] |
     return (rows if limit is None else rows.limit(limit)).select("doc_name", "doc_text", "events")
 
 
-def write_table(df: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
-    """Per-document results as Parquet in folders by a hash of the document. A rerun replaces its own documents, and writes no folder
-    that has none of them."""
-    spark = df.sparkSession
-    rows = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    try:
-        was = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        rows = stored(rows)
-        mine = rows.select("bucket").distinct()
-        rest = was.join(F.broadcast(mine), "bucket", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
-        rows = stored(rows.unionByName(rest))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def score_documents(scores: DataFrame) -> DataFrame:
     """One row for each document with its scores as a map: `doc_id`, `scores` (event id to score and rank)."""
     return scores.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("event_id", F.struct("score", "rank")))).alias("scores"))

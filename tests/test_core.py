@@ -337,13 +337,6 @@ def test_edits_of_one_edge_and_reverses_that_make_cycles(spark):
     assert got == [(1, 2, "temporal", "better", True), (1, 3, "temporal", "c", False), (2, 3, "causal", "b", False), (4, 3, "causal", "d", True), (5, 6, "causal", "e", False), (6, 5, "causal", "f", False), (7, 8, "causal", "y", True)]
 
 
-def test_write_table_replaces_documents_alone(spark, tmp_path):
-    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "doc_id long, v string")
-    files.write_table(rows(range(40), "a"), str(tmp_path / "t"), buckets=4)
-    files.write_table(rows([3, 50], "b"), str(tmp_path / "t"), buckets=4)
-    assert {r.doc_id: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {i: "b" if i in (3, 50) else "a" for i in [*range(40), 50]}
-
-
 def test_three_views_add_up(spark):
     rng = np.random.default_rng(4)
     views = [spark.createDataFrame([(1, i, row.tolist()) for i, row in enumerate(v)], "doc_id long, event_no long, embedding array<double>") for v in rng.normal(size=(3, 12, 4))]
@@ -374,8 +367,6 @@ def test_files(spark, tmp_path):
     docs, issues = files.read_source_texts(spark, str(tmp_path / "texts"))
     assert [tuple(r) for r in docs.collect()] == [("AB12", "AB12_a.txt", "one\ntwo")] and issues.count() == 2
     scores = spark.createDataFrame([("D1", "E1", 0.5, 1), ("D1", "E2", 0.5, 1)], "doc_id string, event_id string, score double, rank int")
-    files.write_table(scores, str(tmp_path / "scores"))
-    assert spark.read.parquet(str(tmp_path / "scores")).count() == 2
     files.write_document_jsonl(files.score_documents(scores), str(tmp_path / "json" / "D1"))
     os.makedirs(tmp_path / "runs" / "fold_0")
     (tmp_path / "runs" / "fold_0" / "latest_meta.json").write_text('{"epoch": 3, "val_loss": NaN, "train_loss": 0.5}')
