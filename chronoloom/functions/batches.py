@@ -86,7 +86,7 @@ class Graphs:
     `rows` are the places of the events in the table (events that only edges name have none, -1); `src` and `dst` are edges.
     """
 
-    doc: np.ndarray
+    doc: pa.Array
     event: np.ndarray
     bounds: np.ndarray
     local: np.ndarray
@@ -99,6 +99,10 @@ class Graphs:
     def n(self) -> int:
         return len(self.event)
 
+    def ids(self, at: np.ndarray) -> list[pa.Array]:
+        """The documents and event numbers of some events."""
+        return [self.doc.take(pa.array(at)), pa.array(self.event[at], pa.int64())]
+
     @property
     def sizes(self) -> np.ndarray:
         return np.diff(self.bounds)
@@ -129,9 +133,8 @@ def graphs_of(table: pa.Table) -> Graphs:
     rows[number[:m][::-1]] = node_rows[::-1]
     doc_of = d[fresh]
     bounds = runs_of(doc_of)
-    names = table.column("doc_id").to_numpy(zero_copy_only=False)
     first = np.concatenate([node_rows, edge_rows, edge_rows])[head]
-    return Graphs(names[first], e[fresh], bounds, np.arange(len(head)) - np.repeat(bounds[:-1], np.diff(bounds)), rows, number[m : m + n], number[m + n :], edge_rows)
+    return Graphs(table.column("doc_id").combine_chunks().take(pa.array(first)), e[fresh], bounds, np.arange(len(head)) - np.repeat(bounds[:-1], np.diff(bounds)), rows, number[m : m + n], number[m + n :], edge_rows)
 
 
 def grouped(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

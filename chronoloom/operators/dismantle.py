@@ -227,8 +227,8 @@ def neighbor_propagation(edges: DataFrame, c0: DataFrame) -> DataFrame:
         share[at] = bt.numbers(table, "c0")[g.rows[at]]
         weight = np.where(share > MEMBER_ABOVE, share / np.maximum(1, found["degree"]), 0.0)
         near = bt.segment_sum(weight[g.src], g.dst, g.n) + bt.segment_sum(weight[g.dst], g.src, g.n)
-        columns = g.doc, g.event, share, np.where(share > MEMBER_ABOVE, 0.0, near), found["degree"], found["reach_local_proxy"]
-        return pa.table({name: pa.array(column[at], kind) for name, column, kind in zip(LABEL_INPUTS, columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)})
+        columns = share, np.where(share > MEMBER_ABOVE, 0.0, near), found["degree"], found["reach_local_proxy"]
+        return pa.table([*g.ids(at), *(pa.array(c[at]) for c in columns)], list(LABEL_INPUTS))
 
     out = bt.whole_documents(small, work, "doc_id long, event_no long, c0 double, s_nd double, degree long, reach_local_proxy long")
     if large is None:

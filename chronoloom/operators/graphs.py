@@ -453,7 +453,7 @@ def _features_by_bits(rows: DataFrame, columns: list[str], scaled: bool) -> Data
         g = bt.graphs_of(table)
         at = np.flatnonzero(g.rows >= 0)
         found = features_of(g)
-        out = {"doc_id": pa.array(g.doc[at], pa.int64()), "event_no": pa.array(g.event[at], pa.int64())}
+        out = dict(zip(("doc_id", "event_no"), g.ids(at), strict=True))
         for c in columns:
             own = found[c][at]
             out[c] = pa.array(_scaled(own.astype(float), g, at)) if scaled and len(at) else pa.array(own, pa.int64() if _whole(c) and not scaled else pa.float64())

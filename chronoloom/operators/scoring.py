@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from chronoloom.functions import batches as bt
 from chronoloom.functions.storage import stored
 
 from .documents import strip
@@ -199,52 +200,63 @@ def mlp_scores(features: DataFrame, layers: list[tuple[list[list[float]], list[f
     return features.mapInPandas(run, "doc_id long, event_no long, score double")
 
 
-#: What a helper makes of a document: from values (events by width), sources, targets and kinds of edges, new values and weights.
+#: What a helper makes of many graphs: from values (events by width), sources, targets and kinds of edges, new values and weights.
 Work = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Numbers of the widest vectors that are worked on together.
+VALUES_TOGETHER = 4 << 20
 
 
-def _on_documents(h: DataFrame, edges: DataFrame, work: Work) -> DataFrame:
-    """`doc_id`, `event_no`, `y` and `weights` (arrays), `error`: `work` on the values `x` of each document's events and its edges
-    (`src`, `dst`, `rel`), of which those with an unknown end are left out. A document is a row after one shuffle, many to a
-    batch; where `work` fails, its message stands beside the events and the other documents go on."""
+def _lists(values: np.ndarray, good: np.ndarray) -> pa.Array:
+    """Rows of numbers as lists, null where not `good`; `values` has the good rows alone."""
+    ends = np.concatenate([[0], np.cumsum(good) * values.shape[1]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values, float).ravel()), mask=pa.array(~good))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, events, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = [e["event_no"] for e in events]
-                place = {v: k for k, v in enumerate(ids)}
-                known = [(place[e["src"]], place[e["dst"]], e["rel"]) for e in ends or [] if e["src"] in place and e["dst"] in place]
-                try:
-                    y, w = work(np.array([e["x"] for e in events], float), *np.array(known, np.int64).reshape(-1, 3).T)
-                    out += [(doc, v, *row, None) for v, row in zip(ids, zip(y.tolist(), w.tolist(), strict=True), strict=True)]
-                except Exception as error:  # noqa: BLE001
-                    out += [(doc, v, None, None, f"{type(error).__name__}: {error}") for v in ids]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "event_no", "y", "weights", "error"])
-
-    own = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("event_no", "x"))).alias("events"))
-    ends = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "rel"))).alias("ends"))
-    return own.join(ends, "doc_id", "left").mapInArrow(run, "doc_id long, event_no long, y array<double>, weights array<double>, error string")
+
+def _on_graphs(h: DataFrame, edges: DataFrame, work: Work, width: int, widest: int = 1) -> DataFrame:
+    """`doc_id`, `event_no`, `y` and `weights` (arrays), `error`: `work` on the values `x` of the events of many documents at once, and on
+    their edges (`i` to `j` of kind `rel`), of which those with an unknown end are left out.
+
+    Vectors stay flat arrays, edges are places in them; graphs of different documents share no edge. The events of a document with a vector of
+    another width than `width`, or none, have a message beside them, and the other documents go on. A document's vectors are in one task;
+    `widest` is the widest that `work` makes of one.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        g = bt.graphs_of(table)
+        at = np.flatnonzero(g.rows >= 0)
+        x = table.column("x").combine_chunks().take(pa.array(g.rows[at]))
+        size = x.value_lengths().fill_null(-1).to_numpy()
+        bad = np.isin(g.graph[at], np.unique(g.graph[at][size != width]))
+        place = np.full(g.n, -1)
+        place[at[~bad]] = np.arange((~bad).sum())
+        src, dst = place[g.src], place[g.dst]
+        known = (src >= 0) & (dst >= 0)
+        values = x.filter(pa.array(~bad)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        rel = table.column("rel").combine_chunks().take(pa.array(g.edge_rows[known])).to_numpy(zero_copy_only=False)
+        y, weights = work(values, src[known], dst[known], rel)
+        message = [f"vectors of {width} numbers are needed, here is one of {n}" if b and n != width else "another event's vector has another width" if b else None for b, n in zip(bad, size, strict=True)] if bad.any() else [None] * len(at)
+        return pa.table([*g.ids(at), _lists(y, ~bad), _lists(weights, ~bad), pa.array(message, pa.string())], ["doc_id", "event_no", "y", "weights", "error"])
+
+    rows = bt.tagged(h, edges, "x", "rel")
+    return bt.whole_documents(rows, run, "doc_id long, event_no long, y array<double>, weights array<double>, error string", together=max(256, min(bt.TOGETHER, VALUES_TOGETHER // max(1, width, widest))))
 
 
 def _plain(edges: DataFrame) -> DataFrame:
-    return edges.select("doc_id", F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(0).alias("rel"))
+    return edges.select("doc_id", "i", "j", F.lit(0).alias("rel"))
+
+
+def _softmax(logit: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Shares of the edges into each event."""
+    p = np.exp(logit - bt.segment_max(logit, dst, n)[dst])
+    return p / bt.segment_sum(p, dst, n)[dst]
 
 
 def _attend(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, a: np.ndarray) -> np.ndarray:
     """One layer: heads with `w` (head, output, input) and `a` (head, source's outputs then target's), side by side."""
     heads, size = w.shape[:2]
     wh = np.einsum("ni,hfi->nhf", x, w)
-    out = np.zeros_like(wh)
-    if len(src):
-        logit = _leaky((wh[src] * a[:, :size]).sum(-1) + (wh[dst] * a[:, size:]).sum(-1), 0.2)
-        top = np.full((len(x), heads), -np.inf)
-        np.maximum.at(top, dst, logit)
-        p = np.exp(logit - top[dst])
-        total = np.zeros((len(x), heads))
-        np.add.at(total, dst, p)
-        np.add.at(out, dst, (p / total[dst])[:, :, None] * wh[src])
+    logit = _leaky((wh * a[:, :size]).sum(-1)[src] + (wh * a[:, size:]).sum(-1)[dst], 0.2)
+    out = bt.segment_sum(_softmax(logit, dst, len(x))[:, :, None] * wh[src], dst, len(x))
     return _leaky(out, 0.01).reshape(len(x), heads * size)
 
 
@@ -264,7 +276,8 @@ def attention_aggregate(h: DataFrame, edges: DataFrame, layers: list[Layer]) ->
             x = _attend(x, src, dst, w, a)
         return x, np.zeros((len(x), 0))
 
-    return _on_documents(h, _plain(edges), work).select("doc_id", "event_no", F.col("y").alias("x"), "error")
+    widest = max(w.shape[0] * w.shape[1] for w, _ in made)
+    return _on_graphs(h, _plain(edges), work, made[0][0].shape[2], widest).select("doc_id", "event_no", F.col("y").alias("x"), "error")
 
 
 def influence_score(h: DataFrame, edges: DataFrame, p: list[float], b: float, norm: str = "max", scale: str = "none") -> DataFrame:
@@ -274,13 +287,12 @@ def influence_score(h: DataFrame, edges: DataFrame, p: list[float], b: float, no
 
     def work(x: np.ndarray, src: np.ndarray, dst: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         into, out = np.bincount(dst, minlength=len(x)), np.bincount(src, minlength=len(x))
-        near = np.zeros_like(x)
-        np.add.at(near, dst, x[src])
+        near = bt.segment_sum(x[src], dst, len(x))
         local = (x * (near + x) / (into + 1)[:, None]).sum(axis=1)
         wide = (x + near) / (np.maximum(1, into + out) + 1)[:, None] @ weights + b
         return (local + wide)[:, None], (into + out)[:, None].astype(float)
 
-    rows = _on_documents(h, _plain(edges), work).select("doc_id", "event_no", F.col("y")[0].alias("raw"), F.col("weights")[0].alias("degree"), "error")
+    rows = _on_graphs(h, _plain(edges), work, len(weights)).select("doc_id", "event_no", F.col("y")[0].alias("raw"), F.col("weights")[0].alias("degree"), "error")
     rows = degree_norm(rows, norm).withColumn("score", F.col("raw") + F.col("norm"))
     return scale_scores(rows, scale).select("doc_id", "event_no", F.col("scaled").alias("score"), "error")
 
@@ -322,15 +334,12 @@ def _relate(x: np.ndarray, src: np.ndarray, dst: np.ndarray, rel: np.ndarray, la
     own = np.einsum("ni,rio->nro", x, w)  # each relation projects by itself
     parts = own.reshape(len(x), len(w), heads, -1)
     into = np.zeros_like(parts)
+    half = a.shape[1] // 2
     for r in range(len(w)):
         s, d = src[rel == r], dst[rel == r]
-        logit = _leaky(np.concatenate([parts[s, r], parts[d, r]], axis=-1) @ a[r], 0.2)
-        p = np.exp(np.minimum(logit, 10))
-        total = np.zeros(parts.shape[:1] + (heads,))
-        np.add.at(total, d, p)
-        message = np.zeros((len(x), heads, parts.shape[-1]))
-        np.add.at(message, d, (p / (total + 1e-12)[d])[:, :, None] * parts[s, r])
-        into[:, r] = message
+        p = np.exp(np.minimum(_leaky((parts[:, r] @ a[r, :half])[s] + (parts[:, r] @ a[r, half:])[d], 0.2), 10))
+        share = p / (bt.segment_sum(p, d, len(x)) + 1e-12)[d]
+        into[:, r] = bt.segment_sum(share[:, :, None] * parts[s, r], d, len(x))
     channel = into.reshape(own.shape) + own
     logit = _elu(channel @ layer["proj"].T + layer["bias"]) @ layer["q"]
     mix = np.exp(logit - logit.max(axis=1, keepdims=True))
@@ -357,7 +366,8 @@ def relation_attention(vectors: DataFrame, typed: DataFrame, layers: list[dict])
             x = x if last else _elu(x)
         return x, mix
 
-    return _on_documents(vectors.select("doc_id", "event_no", F.col("embedding").alias("x")), typed.select("doc_id", "src", "dst", "rel"), work)
+    ends = typed.select("doc_id", F.col("src").alias("i"), F.col("dst").alias("j"), "rel")
+    return _on_graphs(vectors.select("doc_id", "event_no", F.col("embedding").alias("x")), ends, work, made[0]["w"].shape[1], 4 * max(layer["w"].shape[2] for layer in made))
 
 
 def relation_weights(attended: DataFrame) -> DataFrame:

@@ -527,8 +527,28 @@ def _related(t: Tables) -> DataFrame:
     return scoring.relation_attention(t.vectors, curation.typed_edges(t.causal, t.temporal), layers)
 
 
-query("relation_attention")(lambda t: _related(t).select("doc_id", "event_no", *[F.round(F.col("y")[i], 6).alias(f"y{i}") for i in range(2)], *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(4)]))
-query("relation_weights")(lambda t: scoring.relation_weights(_related(t)))
+def _relation_layer(name: str, own: str, last: bool) -> str:
+    """SQL of a layer over `own`, each event's four outputs by relation: each event's share of the relation (`w`) and mixed outputs, as `name`."""
+    wave = lambda k: f"0.4 * cos(1.7 * ({k}))"
+    logit = lambda h: " + ".join(f"{side}.o{2 * h + f} * {wave(f'e.rel * 4 + {2 * n + f}')}" for n, side in enumerate(("s", "d")) for f in range(2))
+    p = lambda h: f"exp(least(10, CASE WHEN {logit(h)} >= 0 THEN {logit(h)} ELSE 0.2 * ({logit(h)}) END)) AS p{h}"
+    elu = lambda x: f"CASE WHEN {x} > 0 THEN {x} ELSE exp(least({x}, 0)) - 1 END"
+    part = lambda k: " + ".join(f"o{o} * {wave(4 * k + o)}" for o in range(4)) + f" + {wave(k)}"
+    mixed = [f"sum(w * o{o})" for o in range(4)]
+    out = f"({mixed[0]} + {mixed[2]}) / 2 AS y0, ({mixed[1]} + {mixed[3]}) / 2 AS y1, " + ", ".join(f"sum(w) FILTER (WHERE rel = {r}) AS w{r}" for r in range(4)) if last else ", ".join(f"{elu(m)} AS x{o}" for o, m in enumerate(mixed))
+    return f"""{name}_own AS MATERIALIZED ({own}),
+{name}_into AS (SELECT doc_id, dst, rel, {", ".join(f"sum(p{o // 2} * o{o}) / (sum(p{o // 2}) + 1e-12) AS m{o}" for o in range(4))} FROM (SELECT e.doc_id, e.dst, e.rel, s.o0, s.o1, s.o2, s.o3, {p(0)}, {p(1)} FROM typed e JOIN {name}_own s ON s.doc_id = e.doc_id AND s.event_no = e.src AND s.rel = e.rel JOIN {name}_own d ON d.doc_id = e.doc_id AND d.event_no = e.dst AND d.rel = e.rel) x GROUP BY doc_id, dst, rel),
+{name}_channel AS (SELECT n.doc_id, n.event_no, n.rel, {", ".join(f"n.o{o} + coalesce(m.m{o}, 0) AS o{o}" for o in range(4))} FROM {name}_own n LEFT JOIN {name}_into m ON m.doc_id = n.doc_id AND m.dst = n.event_no AND m.rel = n.rel),
+{name}_share AS (SELECT *, {" + ".join(f"({elu(f'({part(k)})')}) * {wave(k)}" for k in range(3))} AS logit FROM {name}_channel),
+{name} AS MATERIALIZED (SELECT doc_id, event_no, {out} FROM (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY doc_id, event_no) AS w FROM {name}_share) x GROUP BY doc_id, event_no)"""
+
+
+_FOUR = "(VALUES (0), (1), (2), (3)) r(rel)"
+_FIRST_OWN = "SELECT n.doc_id, n.event_no, r.rel, " + ", ".join(f"list_dot_product(n.embedding::DOUBLE[], r.v{o}) AS o{o}" for o in range(4)) + " FROM vectors n, (SELECT rel, " + ", ".join(f"list_transform(range(d), lambda i: 0.4 * cos(1.7 * (rel * d * 4 + i * 4 + {o}))) AS v{o}" for o in range(4)) + f" FROM {_FOUR}, (SELECT len(embedding) AS d FROM embeddings LIMIT 1) x) r"
+_NEXT_OWN = "SELECT n.doc_id, n.event_no, r.rel, " + ", ".join(" + ".join(f"n.x{i} * 0.4 * cos(1.7 * (r.rel * 16 + {4 * i + o}))" for i in range(4)) + f" AS o{o}" for o in range(4)) + f" FROM layer1 n, {_FOUR}"
+_RELATED = f"WITH {_relation_layer('layer1', _FIRST_OWN, False)},\n{_relation_layer('layer2', _NEXT_OWN, True)}"
+query("relation_attention", f"SELECT * FROM ({_RELATED} SELECT doc_id, event_no, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in ('y0', 'y1', 'w0', 'w1', 'w2', 'w3'))} FROM layer2) z")(lambda t: _related(t).select("doc_id", "event_no", *[(F.round(F.col("y")[i], 6) + 0.0).alias(f"y{i}") for i in range(2)], *[F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in range(4)]))
+query("relation_weights", f"SELECT * FROM ({_RELATED} SELECT doc_id, rel::INT AS rel, round(avg(CASE rel WHEN 0 THEN w0 WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END), 6) AS weight FROM layer2, {_FOUR} GROUP BY doc_id, rel) z")(lambda t: scoring.relation_weights(_related(t)))
 _STEPS = ", ".join([f"step0 AS MATERIALIZED (SELECT doc_id, event_no, y AS x0 FROM ({_MLP}) m)", *(f"step{k + 1} AS MATERIALIZED ({_attention_sql(f'step{k}', layer)})" for k, layer in enumerate(_ONE))])
 query("score_graphs", f"SELECT doc_id, event_no, round(score, 6) AS score, rank() OVER (PARTITION BY doc_id ORDER BY score DESC)::BIGINT AS rank FROM (WITH {_STEPS} {_influence_sql('step3', *scoring.PARAMS['influence'])}) x")(lambda t: scoring.score_graphs(t.nodes, t.edges).where("error IS NULL").select("doc_id", "event_no", r6("score"), "rank"))
 
