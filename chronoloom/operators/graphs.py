@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,97 +27,146 @@ FEATURES = [
 # closure and components
 
 
-def _bits(edges: list[dict]) -> tuple[list[int], list[list[int]], list[int]]:
-    """A document's events in order, the places of each one's successors, and what each reaches, as bits of places.
+#: Events of a document up to which its closure is bits in one task, 64 MB of them, and pairs that one Arrow batch of it holds.
+CLOSURE_EVENTS, PAIRS_TOGETHER = 23_000, 1 << 18
 
-    A graph with a backward edge is iterated to a fixpoint.
+
+def _bit_rows(local: np.ndarray, width: int) -> np.ndarray:
+    """For each node the bits of itself alone."""
+    own = np.zeros((len(local), width), np.uint64)
+    own[np.arange(len(local)), local >> 6] = np.uint64(1) << (local & 63).astype(np.uint64)
+    return own
+
+
+def _closed(local: np.ndarray, width: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each node the bits of all that it reaches and its own, of many graphs at once, from the last place of each to the first.
+
+    Edges that lead backwards make it go over them until nothing changes.
     """
-    ids = sorted({e["i"] for e in edges} | {e["j"] for e in edges})
-    place = {v: k for k, v in enumerate(ids)}
-    succ: list[list[int]] = [[] for _ in ids]
-    for e in edges:
-        succ[place[e["i"]]].append(place[e["j"]])
-    reach = [0] * len(ids)
-    changed = True
-    while changed:
-        changed = False
-        for v in range(len(ids) - 1, -1, -1):
-            bits = 0
-            for w in succ[v]:
-                bits |= 1 << w | reach[w]
-            if bits != reach[v]:
-                reach[v] = bits
-                changed = True
-    return ids, succ, reach
+    closed = _bit_rows(local, width)
+    order = np.lexsort((src, -local[src]))
+    s, d = src[order], dst[order]
+    head = bt.runs_of(s)
+    who = s[head[:-1]]
+    turn = bt.runs_of(local[who])
+    backward = bool((local[dst] <= local[src]).any())
+    while True:
+        before = closed.copy() if backward else None
+        for a, b in zip(turn[:-1].tolist(), turn[1:].tolist(), strict=True):
+            first = head[a]
+            closed[who[a:b]] |= np.bitwise_or.reduceat(closed[d[first : head[b]]], head[a:b] - first, axis=0)
+        if not backward or (before == closed).all():
+            return closed
+
+
+def _by_width(g: bt.Graphs) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Graphs of like size together: words of a node's bits, the events, and the places among them of the edges' sources and targets."""
+    wide = (np.maximum(1, g.sizes) + 63) // 64
+    kind = np.repeat(np.ceil(np.log2(wide)).astype(np.int64), g.sizes)  # of up to 64, 128, 256, ... events
+    for k in np.unique(kind):
+        some, edge = np.flatnonzero(kind == k), np.flatnonzero(kind[g.src] == k)
+        place = np.full(g.n, -1)
+        place[some] = np.arange(len(some))
+        yield 1 << int(k), some, place[g.src[edge]], place[g.dst[edge]]
 
 
-def _by_document(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("edges"))
+def _by_edges(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of documents that join at most `most` events, and of the larger ones, if there are any."""
+    rows = stored(edges.select("doc_id", "i", "j"))
+    ends = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most // 2)
+    large = stored(rows.join(ends, "doc_id", "left_semi").select("doc_id", F.explode(F.array("i", "j")).alias("v")).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("doc_id"))
+    if not large.head(1):
+        return rows, None
+    return rows.join(large, "doc_id", "left_anti"), rows.join(large, "doc_id", "left_semi")
 
 
-#: Pairs that one Arrow batch of the closure holds.
-PAIRS_TOGETHER = 1 << 18
+def _pairs_by_bits(edges: DataFrame) -> DataFrame:
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = bt.graphs_of(table)
+        for width, some, src, dst in _by_width(g):
+            local = g.local[some]
+            reached = _closed(local, width, src, dst)
+            reached[np.arange(len(some)), local >> 6] &= ~(np.uint64(1) << (local & 63).astype(np.uint64))
+            base = some - local  # the first event of each one's document
+            ends = np.cumsum(np.bitwise_count(reached).sum(axis=1, dtype=np.int64))
+            at = 0
+            while at < len(some):
+                until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_TOGETHER, "right"))
+                until = max(at + 1, min(until, at + GATHERED // (64 * width)))
+                own, place = np.nonzero(np.unpackbits(reached[at:until].view(np.uint8), axis=1, bitorder="little"))
+                own += at
+                doc, i = g.ids(some[own])
+                yield pa.RecordBatch.from_arrays([doc, i, pa.array(g.event[base[own] + place], pa.int64())], names=["doc_id", "i", "j"])
+                at = until
+
+    return bt.whole_documents(edges.select("doc_id", "i", "j"), work, "doc_id long, i long, j long")
 
 
 def reachable_pairs(edges: DataFrame) -> DataFrame:
     """`doc_id`, `i`, `j`: all pairs with a path from i to another node j.
 
-    A document is a row of its edges after one shuffle, many to a batch, and pairs leave in bounded batches. The bits of a document
-    of n events take n * n / 8 bytes; for larger ones than a task holds there is `reachable_pairs_by_joins`.
+    Many documents at once are bit sets after one shuffle, and pairs leave in bounded batches. The bits of a document of n events take
+    n * n / 8 bytes; those of more than `CLOSURE_EVENTS` go by joins, with the same results.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, sources, targets, size = [], [], [], 0
-
-        def made() -> pa.RecordBatch:
-            n = [len(x) for x in targets]
-            flat = np.concatenate(targets) if targets else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(docs, np.int64), n)), pa.array(np.repeat(np.array(sources, np.int64), n)), pa.array(flat)], names=["doc_id", "i", "j"])
-
-        for batch in batches:
-            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, _, reach = _bits(rows)
-                own, width = np.array(ids, np.int64), (len(ids) + 7) // 8
-                for v, bits in enumerate(reach):
-                    if bits := bits & ~(1 << v):
-                        docs.append(doc)
-                        sources.append(ids[v])
-                        targets.append(own[np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(width, "little"), np.uint8), bitorder="little"))])
-                        size += len(targets[-1])
-                        if size >= PAIRS_TOGETHER:
-                            yield made()
-                            docs, sources, targets, size = [], [], [], 0
-        yield made()
-
-    return _by_document(edges).mapInArrow(run, "doc_id long, i long, j long")
+    small, large = _by_edges(edges, CLOSURE_EVENTS)
+    out = _pairs_by_bits(small)
+    return out if large is None else out.unionByName(reachable_pairs_by_joins(large))
 
 
 def implied_edges(edges: DataFrame) -> DataFrame:
     """`doc_id`, `i`, `j`: the edges beside which another path leads from i to j, by a first step to another node."""
+    small, large = _by_edges(edges, CLOSURE_EVENTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, succ, reach = _bits(rows)
-                for v, to in enumerate(succ):
-                    steps = set(to)
-                    out += [(doc, ids[v], ids[w]) for w in steps if any(reach[x] >> w & 1 for x in steps if x != w)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["doc_id", "i", "j"])
-
-    return _by_document(edges).mapInArrow(run, "doc_id long, i long, j long")
+    def work(table: pa.Table) -> pa.Table:
+        g = bt.graphs_of(table)
+        found = [np.zeros(0, np.int64)] * 2
+        for width, some, src, dst in _by_width(g):
+            pair = np.unique(src * np.int64(len(some)) + dst)  # by source
+            s, d = pair // max(1, len(some)), pair % max(1, len(some))
+            closed = _closed(g.local[some], width, s, d)
+            head = bt.runs_of(s)
+            degree = np.diff(head)
+            word, bit = g.local[some][d] >> 6, (g.local[some][d] & 63).astype(np.uint64)
+            implied = np.zeros(len(s), bool)
+            for forth in (True, False):  # what the successors before an edge reach, then those after it
+                seen = np.zeros((len(degree), width), np.uint64)
+                for k in range(int(degree.max(initial=0))):
+                    own = np.flatnonzero(degree > k)
+                    e = head[own] + k if forth else head[own + 1] - 1 - k
+                    implied[e] |= (seen[own, word[e]] >> bit[e] & np.uint64(1)).astype(bool)
+                    seen[own] |= closed[d[e]]
+            found.append(some[s[implied]])
+            found.append(some[d[implied]])
+        i, j = np.concatenate(found[::2]), np.concatenate(found[1::2])
+        return pa.table([*g.ids(i), pa.array(g.event[j], pa.int64())], ["doc_id", "i", "j"])
+
+    out = bt.whole_documents(small, work, "doc_id long, i long, j long")
+    if large is None:
+        return out
+    one, pairs = stored(large.distinct()), stored(reachable_pairs_by_joins(large))
+    other = one.select("doc_id", "i", F.col("j").alias("x")).join(pairs.select("doc_id", F.col("i").alias("x"), "j"), ["doc_id", "x"])
+    return out.unionByName(one.join(other, ["doc_id", "i", "j"], "left_semi"))
 
 
 def reachable_pairs_by_joins(edges: DataFrame) -> DataFrame:
-    """The same by joins alone, for graphs too large for one task: each round doubles the length of the paths."""
-    pairs = stored(edges.select("doc_id", "i", "j").where("i != j").distinct())
-    n = pairs.count()
+    """The same by joins alone, for graphs too large for one task.
+
+    Pairs keep their distance. When all up to a distance m are known, each pair m apart (and no other) is followed by what its end
+    reaches within m: this gives all up to 2 m, so the rounds grow with the logarithm of the longest distance.
+    """
+    known = [stored(edges.select("doc_id", "i", "j", F.lit(1).cast("long").alias("d")).where("i != j").distinct())]
+    m = 1
     while True:
-        longer = pairs.alias("a").join(pairs.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.j") == F.col("b.i"))).select("a.doc_id", "a.i", "b.j").where("i != j")
-        pairs = stored(pairs.union(longer).distinct())
-        if (m := pairs.count()) == n:
-            return pairs
-        n = m
+        pairs = known[0]
+        for more in known[1:]:
+            pairs = pairs.unionByName(more)
+        ends = pairs.where(F.col("d") == m).select("doc_id", "i", F.col("j").alias("w"))
+        further = ends.join(pairs.select("doc_id", F.col("i").alias("w"), "j", "d"), ["doc_id", "w"]).where("i != j")
+        new = stored(further.groupBy("doc_id", "i", "j").agg((F.min("d") + m).alias("d")).join(pairs, ["doc_id", "i", "j"], "left_anti"))
+        if not new.head(1):
+            return pairs.select("doc_id", "i", "j")
+        known.append(new)
+        m *= 2
 
 
 def reachable_counts(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -141,24 +189,64 @@ def lineage(pairs: DataFrame, anchors: DataFrame) -> DataFrame:
     return down.unionByName(up).unionByName(own)
 
 
-def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    root: dict[int, int] = {}
+#: Rows of a document up to which its components are found in one task, about 200 MB.
+COMPONENT_ROWS = 4 << 20
 
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = v = root[root[v]]
-        return v
 
-    for i, j in zip(pdf["i"].tolist(), pdf["j"].tolist(), strict=True):
-        a, b = find(i), find(j)
-        root[max(a, b)] = min(a, b)
-    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "event_no": list(root), "component": [find(v) for v in root]})
+def _component_roots(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each node the smallest of its component: roots are hooked under smaller ones along the edges, then all pointers jump to their roots."""
+    root = np.arange(n)
+    while len(src):
+        a, b = root[src], root[dst]
+        apart = a != b
+        src, dst, a, b = src[apart], dst[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not (root[root] == root).all():
+            root = root[root]
+    return root
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`doc_id`, `event_no`, `component` (its smallest event), `all_connected` (whether the document has one component)."""
-    roots = edges.select("doc_id", "i", "j").groupBy("doc_id").applyInPandas(_roots, "doc_id long, event_no long, component long")
-    rows = nodes.select("doc_id", "event_no").join(roots, ["doc_id", "event_no"], "left").withColumn("component", F.coalesce("component", "event_no"))
+    """`doc_id`, `event_no`, `component` (its smallest event), `all_connected` (whether the document has one component).
+
+    Flat arrays hold many documents at once; documents above `COMPONENT_ROWS` rows go by joins.
+    """
+    rows = stored(bt.tagged(nodes.select("doc_id", "event_no"), edges.select("doc_id", "i", "j")))
+    large = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > COMPONENT_ROWS).select("doc_id"))
+
+    def work(table: pa.Table) -> pa.Table:
+        g = bt.graphs_of(table)
+        at = np.flatnonzero(g.rows >= 0)
+        root = _component_roots(g.n, g.src, g.dst)[at]
+        graph = g.graph[at]
+        head = bt.runs_of(graph)
+        one = np.minimum.reduceat(root, head[:-1]) == np.maximum.reduceat(root, head[:-1]) if len(at) else np.zeros(0, bool)
+        return pa.table([*g.ids(at), pa.array(g.event[root], pa.int64()), pa.array(np.repeat(one, np.diff(head)) if len(at) else one)], ["doc_id", "event_no", "component", "all_connected"])
+
+    schema = "doc_id long, event_no long, component long, all_connected boolean"
+    if not large.head(1):
+        return bt.whole_documents(rows, work, schema)
+    own = rows.join(large, "doc_id", "left_semi")
+    out = bt.whole_documents(rows.join(large, "doc_id", "left_anti"), work, schema)
+    return out.unionByName(components_by_joins(own.where("j IS NULL").select("doc_id", F.col("i").alias("event_no")), own.where("j IS NOT NULL")))
+
+
+def components_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same by joins: each event takes the smallest label among its neighbours, then the label that its label has."""
+    both = stored(edges.select("doc_id", "i", "j").union(edges.select("doc_id", "j", "i")).distinct())
+    key = ["doc_id", "event_no"]
+    ends = both.select("doc_id", F.col("i").alias("event_no"))
+    labels = stored(nodes.select(*key).union(ends).distinct().withColumn("component", F.col("event_no")))
+    while True:
+        near = both.join(labels.select("doc_id", F.col("event_no").alias("j"), "component"), ["doc_id", "j"]).groupBy("doc_id", F.col("i").alias("event_no")).agg(F.min("component").alias("near"))
+        new = labels.join(near, key, "left").select(*key, "component", F.least("component", "near").alias("least"))
+        new = stored(new)
+        jumped = new.join(new.select("doc_id", F.col("event_no").alias("least"), F.col("least").alias("further")), ["doc_id", "least"]).select(*key, F.least("least", "further").alias("component"), (F.col("component") != F.least("least", "further")).alias("moved"))
+        jumped = stored(jumped)
+        labels = jumped.select(*key, "component")
+        if not jumped.where("moved").head(1):
+            break
+    rows = nodes.select(*key).join(labels, key)
     whole = Window.partitionBy("doc_id")
     return rows.withColumn("all_connected", F.min("component").over(whole) == F.max("component").over(whole))
 
@@ -211,32 +299,39 @@ def similarity_candidates(pairs: DataFrame, min_sim: float = 0.70) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def _insert(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds one document's proposed edges in turn, unless a path joins their ends in either direction already."""
-    reach: dict[int, int] = {}
+class _Paths:
+    """Which events of one document reach which, as bits of places, kept up as edges are added: an edge gives what its end reaches to
+    those before it that don't reach its end yet, and the other way round, so each pair is handed on once."""
 
-    def add(i: int, j: int) -> None:
-        new = reach.get(j, 0) | 1 << j
-        for v in list(reach) if i in reach else [*reach, i]:
-            if v == i or reach.get(v, 0) >> i & 1:
-                reach[v] = reach.get(v, 0) | new
+    def __init__(self) -> None:
+        self.place: dict[int, int] = {}
+        self.after: list[int] = []
+        self.before: list[int] = []
 
-    pdf = pdf.sort_values(["kind", "priority", "sim", "span", "i", "j"], ascending=[True, True, False, True, True, True])
-    for i, j in pdf.loc[pdf["kind"] == 0, ["i", "j"]].itertuples(index=False):
-        add(i, j)
-    kept = []
-    for row in pdf[pdf["kind"] > 0].itertuples(index=False):
-        if not (reach.get(row.i, 0) >> row.j & 1 or reach.get(row.j, 0) >> row.i & 1):
-            add(row.i, row.j)
-            kept.append((row.doc_id, row.i, row.j, row.kind, row.sim, row.reason))
-    return pd.DataFrame(kept, columns=["doc_id", "i", "j", "kind", "sim", "reason"])
+    def at(self, v: int) -> int:
+        if v not in self.place:
+            self.place[v] = len(self.after)
+            self.after.append(0)
+            self.before.append(0)
+        return self.place[v]
+
+    def joined(self, a: int, b: int) -> bool:
+        return bool(self.after[a] >> b & 1 or self.after[b] >> a & 1)
+
+    def add(self, a: int, b: int) -> None:
+        sources, targets = self.before[a] | 1 << a, self.after[b] | 1 << b
+        for some, other, ends, new in ((sources & ~self.before[b], self.after, 1 << b, targets), (targets & ~self.after[a], self.before, 1 << a, sources)):
+            while some:
+                low = some & -some
+                other[low.bit_length() - 1] |= new
+                some ^= low
 
 
 def add_temporal_edges(causal: DataFrame, llm: DataFrame, candidates: DataFrame, sims: DataFrame) -> DataFrame:
     """`doc_id`, `i`, `j`, `source` (llm, similarity), `score`, `reason`: proposed edges that join what no path joins yet.
 
-    `llm` may have a `reason`, which stays; a similarity's reason states it. Each insertion depends on those before, so a document is
-    one unit of work; documents are independent.
+    `llm` may have a `reason`, which stays; a similarity's reason states it. Each insertion depends on those before, so a document is one
+    unit of work; its proposals stream through a task in their order, which holds the document's bits alone.
     """
     zero, no_reason = F.lit(0).cast("double"), F.lit(None).cast("string")
     rows = causal.select("doc_id", "i", "j", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("priority"), zero.alias("sim"), no_reason.alias("reason"))
@@ -244,8 +339,25 @@ def add_temporal_edges(causal: DataFrame, llm: DataFrame, candidates: DataFrame,
     said = F.col("reason") if "reason" in llm.columns else no_reason
     llm = llm.select("doc_id", "i", "j", "priority", said.alias("reason")).join(known, ["doc_id", "i", "j"], "left").select("doc_id", "i", "j", F.lit(1).alias("kind"), "priority", F.coalesce("sim", zero).alias("sim"), "reason")
     rows = rows.unionByName(llm).unionByName(candidates.select("doc_id", "i", "j", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("priority"), "sim", no_reason.alias("reason")))
-    rows = rows.withColumn("span", F.col("j") - F.col("i"))
-    out = rows.groupBy("doc_id").applyInPandas(_insert, "doc_id long, i long, j long, kind int, sim double, reason string")
+
+    def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, paths = object(), _Paths()
+        for batch in batches:
+            docs, i, j, kind = (batch.column(k).to_pylist() for k in range(4))
+            kept = []
+            for k in range(batch.num_rows):
+                if docs[k] != doc:
+                    doc, paths = docs[k], _Paths()
+                a, b = paths.at(i[k]), paths.at(j[k])
+                if kind[k] == 0 or not paths.joined(a, b):
+                    paths.add(a, b)
+                    if kind[k]:
+                        kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64())).select(["doc_id", "i", "j", "kind", "sim", "reason"])
+
+    order = ["kind", "priority", F.desc("sim"), F.col("j") - F.col("i"), "i", "j"]
+    rows = rows.select("doc_id", "i", "j", "kind", "priority", "sim", "reason").repartition("doc_id").sortWithinPartitions("doc_id", *order)
+    out = rows.mapInArrow(insert, "doc_id long, i long, j long, kind int, sim double, reason string")
     similar = F.format_string("similarity %.3f, E%d before E%d", "sim", "i", "j")
     reason = F.when(F.col("kind") == 1, F.coalesce("reason", F.lit("named by an expert"))).otherwise(similar)
     return out.select("doc_id", "i", "j", F.when(F.col("kind") == 1, "llm").otherwise("similarity").alias("source"), F.round("sim", 4).alias("score"), reason.alias("reason"))
@@ -394,8 +506,7 @@ def _new_steps(local: np.ndarray, width: int, src: np.ndarray, dst: np.ndarray)
     n = len(local)
     order, bounds = bt.grouped(src, n)
     to = dst[order]
-    own = np.zeros((n, width), np.uint64)
-    own[np.arange(n), local >> 6] = np.uint64(1) << (local & 63).astype(np.uint64)
+    own = _bit_rows(local, width)
     one = _either(own, to, bounds)
     step = _either(one, to, bounds)
     near = one | own
@@ -407,16 +518,9 @@ def _new_steps(local: np.ndarray, width: int, src: np.ndarray, dst: np.ndarray)
 def _hops_of(g: bt.Graphs) -> dict[str, np.ndarray]:
     """Counts of new nodes two and three steps away, both ways, documents of like size together."""
     out = {f"{side}_{steps}_hop": np.zeros(g.n, np.int64) for side in ("pred", "succ") for steps in ("two", "three")}
-    wide = (np.maximum(1, g.sizes) + 63) // 64
-    kind = np.repeat(np.ceil(np.log2(wide)).astype(np.int64), g.sizes)  # of up to 64, 128, 256, ... nodes
-    for k in np.unique(kind):
-        some = np.flatnonzero(kind == k)
-        place = np.full(g.n, -1)
-        place[some] = np.arange(len(some))
-        edge = np.flatnonzero(kind[g.src] == k)
-        src, dst = place[g.src[edge]], place[g.dst[edge]]
+    for width, some, src, dst in _by_width(g):
         for side, a, b in (("succ", src, dst), ("pred", dst, src)):
-            out[f"{side}_two_hop"][some], out[f"{side}_three_hop"][some] = _new_steps(g.local[some], 1 << int(k), a, b)
+            out[f"{side}_two_hop"][some], out[f"{side}_three_hop"][some] = _new_steps(g.local[some], width, a, b)
     return out
 
 

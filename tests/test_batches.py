@@ -86,3 +86,77 @@ def test_segments():
     assert bt.segment_sum(values, keys, 4).tolist() == [[3, 4], [0, 0], [6, 8], [0, 0]]
     assert bt.segment_max(values[:, 0], keys, 3).tolist() == [3, -np.inf, 5]
     assert bt.segment_sum(values[:0], keys[:0], 2).tolist() == [[0, 0], [0, 0]]
+
+
+def walked(edges):
+    """All pairs with a path, by walks."""
+    after = {}
+    for d, i, j in edges:
+        after.setdefault((d, i), set()).add(j)
+    out = set()
+    for d, i in after:
+        seen, todo = set(), [i]
+        while todo:
+            for w in after.get((d, todo.pop()), ()):
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        out |= {(d, i, w) for w in seen - {i}}
+    return out
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_closure_routes_agree(spark, back, monkeypatch):
+    _, edges = random_graphs(spark, [2, 3, 9, 30, 64, 65, 90], seed=3, back=back)
+    edges = edges.union(edges.limit(5))  # repeated rows
+    rows = {tuple(r) for r in edges.collect()}
+    pairs = walked(rows)
+    assert Counter(map(tuple, graphs.reachable_pairs(edges).collect())) == Counter(pairs)
+    assert Counter(map(tuple, graphs.reachable_pairs_by_joins(edges).collect())) == Counter(pairs)
+    other = {(d, i, j) for d, i, j in rows if any((d, x, j) in pairs for e, a, x in rows if (e, a) == (d, i) and x != j)}
+    assert Counter(map(tuple, graphs.implied_edges(edges).collect())) == Counter(other)
+    monkeypatch.setattr(graphs, "CLOSURE_EVENTS", 40)
+    assert graphs._by_edges(edges, 40)[1].select("doc_id").distinct().count() == 3
+    assert Counter(map(tuple, graphs.reachable_pairs(edges).collect())) == Counter(pairs)
+    assert Counter(map(tuple, graphs.implied_edges(edges).collect())) == Counter(other)
+
+
+def test_closure_of_a_document_of_many_events(spark):
+    """20,000 events beside small documents: a ladder, of which each event reaches one in two of those behind it, within each chain of 100."""
+    n = 20_000
+    edges = spark.range(1, n - 1).selectExpr("7L AS doc_id", "id AS i", "id + 2 AS j").where("(i - 1) div 100 = (j - 1) div 100").union(spark.createDataFrame([(1, 1, 2), (1, 2, 3)], "doc_id long, i long, j long"))
+    pairs = graphs.reachable_pairs(edges).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in pairs} == {7: n // 100 * 2 * (50 * 49 // 2), 1: 3}
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_components_routes_agree(spark, back, monkeypatch):
+    nodes, edges = random_graphs(spark, [1, 2, 3, 9, 30, 64, 200], seed=5, back=back)
+    edges = edges.where("(i + j) % 4 < 2")
+    want = {}
+    both = [(d, *e) for d, i, j in (tuple(r) for r in edges.collect()) for e in ((i, j), (j, i))]
+    reach = walked(both)
+    near = {}
+    for d, i, j in reach:
+        near.setdefault((d, i), []).append(j)
+    for d, v in (tuple(r) for r in nodes.collect()):
+        want[d, v] = min([v, *near.get((d, v), [])])
+    whole = {d: len({c for (e, _), c in want.items() if e == d}) == 1 for d, _ in want}
+    want = Counter((d, v, c, whole[d]) for (d, v), c in want.items())
+    assert Counter(map(tuple, graphs.connected_components(nodes, edges).collect())) == want
+    assert Counter(map(tuple, graphs.components_by_joins(nodes, edges).select("doc_id", "event_no", "component", "all_connected").collect())) == want
+    monkeypatch.setattr(graphs, "COMPONENT_ROWS", 40)
+    assert Counter(map(tuple, graphs.connected_components(nodes, edges).collect())) == want
+
+
+def test_insertion_into_a_document_of_many_events(spark):
+    """5,000 events: links of a chain in any order, then what they imply, which isn't added."""
+    n = 5000
+    rng = random.Random(2)
+    order = list(range(1, n))
+    rng.shuffle(order)
+    llm = spark.createDataFrame([(1, v, v + 1, k) for k, v in enumerate(order)] + [(1, v, v + 7, n + v) for v in range(1, n - 7)] + [(2, 3, 4, 1), (2, 4, 3, 2)], "doc_id long, i long, j long, priority long")
+    none = llm.limit(0).select("doc_id", "i", "j")
+    sims = none.selectExpr("*", "0D AS sim")
+    got = Counter((r.doc_id, r.i, r.j) for r in graphs.add_temporal_edges(none, llm, sims, sims).collect())
+    assert got == Counter([(1, v, v + 1) for v in range(1, n)] + [(2, 3, 4)])
