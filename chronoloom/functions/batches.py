@@ -24,7 +24,7 @@ def runs_of(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(np.diff(values, prepend=values[0] - 1)), [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def _keys(table: pa.Table, by: list[str]) -> np.ndarray:
+def keys(table: pa.Table, by: list[str]) -> np.ndarray:
     """Numbers that change where a key does; keys may be null."""
     change = np.zeros(table.num_rows, np.int64)
     for name in by:
@@ -58,7 +58,7 @@ def whole_documents(rows: DataFrame, work: Callable[[pa.Table], pa.Table | pa.Re
                 size += batch.num_rows
             if size >= together:
                 table = pa.concat_tables(held)
-                cut = int(runs_of(_keys(table, list(by)))[-2])  # the last document may go on in the next batch
+                cut = int(runs_of(keys(table, list(by)))[-2])  # the last document may go on in the next batch
                 if cut:
                     yield from done(table.slice(0, cut))
                 held, size = [table.slice(cut)], table.num_rows - cut
@@ -68,6 +68,11 @@ def whole_documents(rows: DataFrame, work: Callable[[pa.Table], pa.Table | pa.Re
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
+def places(table: pa.Table) -> np.ndarray:
+    """The number of each row's document in the table, from 0."""
+    return keys(table, ["doc_id"])
+
+
 def tagged(nodes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
     """Events and edges in one table: `doc_id`, `i` (an event, or an edge's source), `j` (null for an event), and the columns `more` of either."""
     own = nodes.select("doc_id", F.col("event_no").alias("i"), F.lit(None).cast("long").alias("j"), *[c for c in more if c in nodes.columns])
@@ -115,7 +120,7 @@ class Graphs:
 
 def graphs_of(table: pa.Table) -> Graphs:
     """The graphs in a table of `tagged` rows, sorted by document."""
-    doc = _keys(table, ["doc_id"])
+    doc = keys(table, ["doc_id"])
     i, is_edge = numbers(table, "i"), table.column("j").is_valid().to_numpy()
     j = table.column("j").fill_null(0).to_numpy()
     edge_rows, node_rows = np.flatnonzero(is_edge), np.flatnonzero(~is_edge)

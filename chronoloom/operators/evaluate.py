@@ -9,17 +9,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions import batches as bt
+
 #: A score above this predicts a member, a label above that is one.
 PREDICTED_ABOVE, TRUE_ABOVE = 0.7, 0.5
 
 
+def _places(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Dense ranks, from each document's on: later documents have larger ones."""
+    order = np.lexsort((values, doc))
+    d, v = doc[order], values[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def inversions(values: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Pairs of each document of which the earlier value is larger, by merging: halves of 1, 2, 4, ... values meet, and each value of a right half
+    counts the larger ones of its left half. `values` of later documents are larger, so halves may cross documents."""
+    n = len(values)
+    out = np.zeros(n_docs, np.int64)
+    place, base = np.arange(n), np.int64(values.max(initial=0) + 1)
+    width = 1
+    while width < n:
+        block, right = place // (2 * width), place // width % 2 == 1
+        left = np.sort(block[~right] * base + values[~right])
+        own = block[right]
+        larger = np.searchsorted(left, (own + 1) * base) - np.searchsorted(left, own * base + values[right], "right")
+        out += np.bincount(doc[right], larger, n_docs).astype(np.int64)
+        width *= 2
+    return out
+
+
+def _pairs(keys: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Pairs of equal keys in each document; equal keys are of one document."""
+    _, first, count = np.unique(keys, return_index=True, return_counts=True)
+    return np.bincount(doc[first], count * (count - 1) // 2, n_docs).astype(np.int64)
+
+
 def kendall_tau(rows: DataFrame) -> DataFrame:
-    """`doc_id`, `tau` from (doc_id, event_no, score, label): concordant less discordant over all pairs, ties 0, 0 below two events."""
-    a = rows.select("doc_id", "event_no", F.col("score").alias("s"), F.col("label").alias("l"))
-    b = rows.select("doc_id", F.col("event_no").alias("other"), F.col("score").alias("s2"), F.col("label").alias("l2"))
-    pairs = a.join(b, "doc_id").where("event_no < other")
-    taus = pairs.groupBy("doc_id").agg(F.avg(F.signum(F.col("s") - F.col("s2")) * F.signum(F.col("l") - F.col("l2"))).alias("tau"))
-    return rows.select("doc_id").distinct().join(taus, "doc_id", "left").na.fill(0.0, ["tau"])
+    """`doc_id`, `tau` from (doc_id, event_no, score, label): concordant less discordant over all pairs, ties 0, 0 below two events.
+
+    Discordant pairs are inversions, counted by merging in n log n; pairs that tie in either column are counted apart, so no pair is ever a
+    row. Rows with a null count for no pair.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        doc = bt.places(table)
+        head = bt.runs_of(doc)[:-1]
+        n = len(head)
+        score, label = (table.column(c).cast(pa.float64()) for c in ("score", "label"))
+        known = ~(score.is_null().to_numpy() | label.is_null().to_numpy())
+        d = doc[known]
+        s, v = (_places(x.fill_null(0).to_numpy()[known], d) for x in (score, label))
+        order = np.lexsort((v, s))
+        size = np.bincount(d, minlength=n)
+        pairs = size * (size - 1) // 2
+        both = _pairs(s * np.int64(v.max(initial=0) + 1) + v, d, n)
+        tied = _pairs(s, d, n) + _pairs(v, d, n) - both
+        tau = (pairs - tied - 2 * inversions(v[order], d[order], n)) / np.maximum(1, pairs)
+        return pa.table([table.column("doc_id").combine_chunks().take(pa.array(head)), pa.array(tau)], ["doc_id", "tau"])
+
+    return bt.whole_documents(rows.select("doc_id", "score", "label"), work, "doc_id long, tau double")
 
 
 def mse_by_doc(rows: DataFrame) -> DataFrame:
@@ -89,25 +142,57 @@ def seed_summary(folds: DataFrame) -> DataFrame:
     return seeds.agg(F.count("*").alias("n_seeds"), *parts, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 
+#: Numbers in one block of a sum, 512 KB, and groups of tasks whose sums are added first.
+BLOCK_NUMBERS, GROUPS = 1 << 16, 64
+SUMS = "what string, block int, part int, n long, x binary"
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of packed blocks that stand together; one block is held at a time."""
+    key, total, n = None, np.zeros(0), 0
+    schema = pa.schema([("what", pa.string()), ("block", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("x", pa.binary())])
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = row["what"], row["block"], row["part"]
+            if own != key:
+                if key:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, n, total.tobytes()), strict=True))], schema=schema)
+                key, total, n = own, np.zeros(len(row["x"]) // 8), 0
+            total = total + np.frombuffer(row["x"])
+            n += row["n"]
+    if key:
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, n, total.tobytes()), strict=True))], schema=schema)
+
+
 def _view_sums(views: DataFrame, names: list[str]) -> DataFrame:
-    """One row of sums for each task: of the vectors of each view, of their products, and of squared differences of views."""
+    """Sums of the vectors of each view, of their products, and of squared differences of views, packed in blocks.
+
+    A task adds up its rows and hands on a binary row for each block; these are added by groups of tasks, then all together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         rows = 0
         for batch in batches:
-            x = {n: np.stack(c.to_numpy(zero_copy_only=False)).astype(float) for n, c in zip(names, batch.columns, strict=True)} if batch.num_rows else {}
+            if not batch.num_rows:
+                continue
+            part = batch.column(len(names))[0].as_py() % GROUPS
+            x = {n: c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for n, c in zip(names, batch.columns, strict=False)}
             rows += batch.num_rows
             for n, v in x.items():
                 sums[f"sum {n}"] = sums.get(f"sum {n}", 0) + v.sum(axis=0)
                 sums[f"product {n}"] = sums.get(f"product {n}", 0) + (v.T @ v).ravel()
             for a, b in zip(names, names[1:], strict=False):
-                if x:
-                    sums[f"square {a} {b}"] = sums.get(f"square {a} {b}", 0) + ((x[a] - x[b]) ** 2).sum(axis=0)
+                sums[f"square {a} {b}"] = sums.get(f"square {a} {b}", 0) + ((x[a] - x[b]) ** 2).sum(axis=0)
         for what, value in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([what] * len(value)), pa.array(np.arange(len(value))), pa.array(value), pa.array(np.full(len(value), rows))], names=["what", "k", "x", "n"])
+            for block in range(0, len(value), BLOCK_NUMBERS):
+                packed = np.ascontiguousarray(value[block : block + BLOCK_NUMBERS]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([what]), pa.array([block // BLOCK_NUMBERS], pa.int32()), pa.array([part], pa.int32()), pa.array([rows], pa.int64()), pa.array([packed], pa.binary())], names=["what", "block", "part", "n", "x"])
 
-    return views.mapInArrow(run, "what string, k long, x double, n long").groupBy("what", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    out = views.withColumn("part", F.spark_partition_id()).mapInArrow(run, SUMS)
+    for part in (F.col("part"), F.lit(0).cast("int")):
+        out = out.withColumn("part", part).repartition("what", "block", "part").sortWithinPartitions("what", "block", "part").mapInArrow(_added, SUMS)
+    return out
 
 
 def _agreement(sums: dict[str, np.ndarray], n: int, a: str, b: str, gamma: float) -> tuple[float, float, float, float]:
@@ -136,14 +221,14 @@ def _views(spark: SparkSession, tables: list[DataFrame], gamma: float) -> list[t
     found = _view_sums(rows.select(*names), names).toPandas()
     if not len(found):
         return None
-    sums = {what: g.sort_values("k")["x"].to_numpy() for what, g in found.groupby("what")}
+    sums = {what: np.concatenate([np.frombuffer(x) for x in g.sort_values("block")["x"]]) for what, g in found.groupby("what")}
     return [_agreement(sums, int(found["n"].iloc[0]), a, b, gamma) for a, b in zip(names, names[1:], strict=False)]
 
 
 def view_agreement(a: DataFrame, b: DataFrame, gamma: float = 1.0) -> DataFrame:
     """One row from two views (doc_id, event_no, embedding): `invariance` (mean squared difference), `variance` (mean of
     relu(gamma - sqrt(var + 1e-4)), averaged over views), `covariance` (squared off-diagonal covariances over D, averaged), `loss`
-    (25, 25 and 1 times these); no row without vectors. Each task adds up one D x D matrix of each view."""
+    (25, 25 and 1 times these); no row without vectors. Each task adds up one D x D matrix of each view, in packed blocks."""
     found = _views(a.sparkSession, [a, b], gamma)
     return a.sparkSession.createDataFrame(found or [], ", ".join(f"{c} double" for c in PARTS))
 

@@ -281,15 +281,79 @@ def bridge_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return heads.select("doc_id", "i", F.col("event_no").alias("j"))
 
 
-def pair_similarity(vectors: DataFrame) -> DataFrame:
-    """`doc_id`, `i`, `j`, `sim`: cosines of all forward pairs of a document's events, of unit vectors; a zero vector's are 0."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
-    unit = F.transform("embedding", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(F.lit(0.0)))
-    rows = vectors.withColumn("norm", norm).select("doc_id", "event_no", unit.alias("u"))
-    a = rows.select("doc_id", F.col("event_no").alias("i"), F.col("u").alias("ua"))
-    b = rows.select("doc_id", F.col("event_no").alias("j"), F.col("u").alias("ub"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return a.join(b, "doc_id").where("i < j").select("doc_id", "i", "j", dot.alias("sim"))
+#: Events of a block of vectors, leading components that a block's bound is made of, and blocks of pairs that are worked on together.
+VECTOR_BLOCK, LEADING = 512, 16
+#: Slack of the bound, above what sums of products are off by.
+SLACK = 1e-9
+
+
+def _products(a: np.ndarray, b: np.ndarray, least: float | None) -> np.ndarray | None:
+    """Products of the rows of two blocks of unit vectors; none if no pair can come to `least`: the products of the leading components and
+    those of the norms of the rest bound them."""
+    if least is not None and a.shape[1] > LEADING:
+        rest = np.outer(*(np.sqrt(np.maximum(0, (x[:, LEADING:] ** 2).sum(axis=1))) for x in (a, b)))
+        if (a[:, :LEADING] @ b[:, :LEADING].T + rest).max(initial=-np.inf) < least - SLACK:
+            return None
+    return a @ b.T
+
+
+def pair_similarity(vectors: DataFrame, least: float | None = None) -> DataFrame:
+    """`doc_id`, `i`, `j`, `sim`: cosines of all forward pairs of a document's events, of unit vectors; a zero vector's are 0. With `least`
+    the pairs from that similarity on.
+
+    Work goes by (document, block, block) of event numbers, so a large document spreads over tasks: each block of its vectors goes to all pairs
+    of blocks that it is in. With `least` other pairs are never rows, and blocks whose bound is below it aren't multiplied out.
+    """
+    block = F.expr(f"event_no div {VECTOR_BLOCK}")
+    rows = vectors.select("doc_id", "event_no", "embedding", block.alias("own"))
+    several = rows.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("doc_id")
+    blocks = stored(rows.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("own").alias("blocks")))
+    if blocks.head(1):
+        rows = rows.join(blocks, "doc_id", "left")
+        rows = rows.withColumn("other", F.explode(F.coalesce("blocks", F.array("own"))))
+    else:
+        rows = rows.withColumn("other", F.col("own"))
+    rows = rows.select("doc_id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "event_no", "embedding")
+    schema = pa.schema([("doc_id", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("sim", pa.float64())])
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        vector = table.column("embedding").combine_chunks()
+        size = vector.value_lengths().to_numpy()
+        x = vector.flatten().to_numpy(zero_copy_only=False).astype(float)
+        event, own, doc = (table.column(c).combine_chunks() for c in ("event_no", "own", "doc_id"))
+        event, own = event.to_numpy(), own.to_numpy()
+        group = bt.runs_of(bt.keys(table, ["doc_id", "a", "b"]))
+        at = np.concatenate([[0], np.cumsum(size)])
+        parts, total = [], 0
+        for lo, hi in zip(group[:-1].tolist(), group[1:].tolist(), strict=True):
+            unit = x[at[lo] : at[hi]].reshape(hi - lo, -1)
+            norm = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+            unit = unit / np.where(norm > 0, norm, 1)
+            cut = int((own[lo:hi] == own[lo]).sum())  # rows of both blocks, if there are two
+            first, second = (slice(0, cut), slice(cut, hi - lo)) if cut < hi - lo else (slice(0, cut),) * 2
+            found = _products(unit[first], unit[second], least)
+            if found is None:
+                continue
+            i, j = np.nonzero((event[lo:hi][first][:, None] < event[lo:hi][second][None, :]) & (True if least is None else found >= least))
+            parts.append((np.full(len(i), lo), event[lo:hi][first][i], event[lo:hi][second][j], found[i, j]))
+            total += len(i)
+            if total >= PAIRS_TOGETHER:
+                yield _batch(parts, doc, schema)
+                parts, total = [], 0
+        if parts:
+            yield _batch(parts, doc, schema)
+
+    return bt.whole_documents(rows, work, "doc_id long, i long, j long, sim double", ("own", "event_no"), ("doc_id", "a", "b"), together=1 << 13)
+
+
+def _batch(parts: list[tuple], doc: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+    row, i, j, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(row, pa.int64())), pa.array(i), pa.array(j), pa.array(sim)], schema=schema)
+
+
+def similar_pairs(vectors: DataFrame, min_sim: float = 0.70) -> DataFrame:
+    """The candidates (`similarity_candidates`) from vectors, without making other pairs."""
+    return similarity_candidates(pair_similarity(vectors, min_sim), min_sim)
 
 
 def similarity_candidates(pairs: DataFrame, min_sim: float = 0.70) -> DataFrame:

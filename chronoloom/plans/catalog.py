@@ -248,7 +248,7 @@ query("document_status", "SELECT d.doc_id, CASE WHEN v.n_pool IS NULL THEN 'empt
 MIN_SIM = 0.2
 query("pair_similarity", "SELECT doc_id, i, j, round(sim, 6) AS sim FROM pair_sims")(lambda t: graphs.pair_similarity(t.vectors).withColumn("sim", F.round("sim", 6)))
 query("similarity_candidates", f"SELECT doc_id, i, j, round(sim, 6) AS sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, j - i, i)::BIGINT AS rank FROM pair_sims WHERE sim >= {MIN_SIM}")(
-    lambda t: graphs.similarity_candidates(graphs.pair_similarity(t.vectors), MIN_SIM)
+    lambda t: graphs.similar_pairs(t.vectors, MIN_SIM)
 )
 
 
@@ -600,8 +600,29 @@ def _rounded(df: DataFrame) -> DataFrame:
 _SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("tp", "fp", "fn", "tn"))
 query("fold_summary", f"SELECT round(avg(loss), 6) AS loss_mean, round(stddev_pop(loss), 6) AS loss_std, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std, round(avg(tau), 6) AS tau_mean, round(sum(hits)::DOUBLE / sum(docs), 6) AS hit_rate, {_SUMS} FROM fold_rows WHERE seed = 1")(lambda t: _rounded(evaluate.fold_summary(_folds(t).where("seed = 1"))))
 query("seed_summary", f"SELECT count(*)::BIGINT AS n_seeds, {', '.join(f'round(avg({c}), 6) AS {n}_mean, round(stddev_pop({c}), 6) AS {n}_std' for c, n in (('hit', 'hit_rate'), ('tau', 'tau'), ('f1', 'f1')))}, {_SUMS} FROM (SELECT seed, sum(hits)::DOUBLE / sum(docs) AS hit, avg(tau) AS tau, avg(f1) AS f1, {_SUMS} FROM fold_rows GROUP BY seed) x")(lambda t: _rounded(evaluate.seed_summary(_folds(t))))
-query("view_agreement")(lambda t: evaluate.view_agreement(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b")).select(r6("invariance"), r6("variance"), r6("covariance"), r6("loss")))
-query("three_view_loss")(lambda t: _rounded(evaluate.three_view_loss(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b"), t.vectors)))
+def _view_sql(view: str | None) -> str:
+    """Components of the vectors of a view, one a row: `p` is the vector, `k` the component."""
+    drawn = U.format(f"'42:{view}:' || doc_id || ':' || event_no || ':' || k")
+    x = f"CASE WHEN {drawn} < 0.15 THEN 0 ELSE x END" if view else "x"
+    return f"(SELECT p, k, {x} AS x FROM (SELECT doc_id, event_no, (doc_id, event_no) AS p, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS k FROM vectors) e)"
+
+
+def _agreement_sql(a: str | None, b: str | None) -> str:
+    """SQL of the parts of the agreement of two views, from sums over vectors, of products of components too."""
+    parts = []
+    for n, view in enumerate((a, b)):
+        v = f"v{n} AS MATERIALIZED {_view_sql(view)}"
+        cov = f"cov{n} AS MATERIALIZED (SELECT x.k, y.k AS other, covar_samp(x.x, y.x) AS c FROM v{n} x JOIN v{n} y ON x.p = y.p GROUP BY x.k, y.k)"
+        parts += [v, cov]
+    size = "(SELECT max(k) + 1 FROM v0)"
+    variance = " + ".join(f"(SELECT avg(greatest(0, 1 - sqrt(c + 1e-4))) FROM cov{n} WHERE k = other)" for n in range(2))
+    covariance = " + ".join(f"(SELECT sum(c * c) FROM cov{n} WHERE k <> other) / {size}" for n in range(2))
+    return f"WITH {', '.join(parts)} SELECT *, 25 * invariance + 25 * variance + covariance AS loss FROM (SELECT (SELECT avg((x.x - y.x) * (x.x - y.x)) FROM v0 x JOIN v1 y ON x.p = y.p AND x.k = y.k) AS invariance, ({variance}) / 2 AS variance, ({covariance}) / 2 AS covariance) r"
+
+
+_R6 = "round(invariance, 6) AS {0}invariance, round(variance, 6) AS {0}variance, round(covariance, 6) AS {0}covariance, round(loss, 6) AS {0}loss"
+query("view_agreement", f"SELECT {_R6.format('')} FROM ({_agreement_sql('v1a', 'v1b')}) z")(lambda t: evaluate.view_agreement(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b")).select(r6("invariance"), r6("variance"), r6("covariance"), r6("loss")))
+query("three_view_loss", f"SELECT r.* EXCLUDE (whole), c.* EXCLUDE (whole), round(r.whole + 0.5 * c.whole, 6) AS total FROM (SELECT {_R6.format('robust_')}, loss AS whole FROM ({_agreement_sql('v1a', 'v1b')}) z) r, (SELECT {_R6.format('causal_')}, loss AS whole FROM ({_agreement_sql('v1b', None)}) z) c")(lambda t: _rounded(evaluate.three_view_loss(splits.mask_vectors(t.vectors, view="v1a"), splits.mask_vectors(t.vectors, view="v1b"), t.vectors)))
 
 # incremental work and review
 

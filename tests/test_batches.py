@@ -160,3 +160,58 @@ def test_insertion_into_a_document_of_many_events(spark):
     sims = none.selectExpr("*", "0D AS sim")
     got = Counter((r.doc_id, r.i, r.j) for r in graphs.add_temporal_edges(none, llm, sims, sims).collect())
     assert got == Counter([(1, v, v + 1) for v in range(1, n)] + [(2, 3, 4)])
+
+
+def test_similar_pairs_of_large_documents(spark, monkeypatch):
+    """In blocks of few events, so that documents are several; with and without a bound; against numpy."""
+    monkeypatch.setattr(graphs, "VECTOR_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = [(d, v, (rng.normal(size=20) + (3 if v % 9 == 0 else 0)).tolist()) for d, n in ((1, 5), (2, 40), (3, 1), (4, 15)) for v in range(1, n + 1)] + [(4, 16, [0.0] * 20), (5, 1, [0.0] * 20), (5, 2, [1.0] * 20)]
+    vectors = spark.createDataFrame(rows, "doc_id long, event_no long, embedding array<double>").repartition(4)
+    want = {}
+    for d, i, x in rows:
+        for e, j, y in rows:
+            if d == e and i < j:
+                size = np.linalg.norm(x) * np.linalg.norm(y)
+                want[d, i, j] = np.dot(x, y) / size if size else 0.0
+    got = {(r.doc_id, r.i, r.j): r.sim for r in graphs.pair_similarity(vectors).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    some = {(r.doc_id, r.i, r.j) for r in graphs.pair_similarity(vectors, 0.6).collect()}
+    assert some == {k for k, s in want.items() if s >= 0.6} and 5 < len(some) < len(want) / 2
+    assert Counter(map(tuple, graphs.similar_pairs(vectors, 0.6).collect())) == Counter(map(tuple, graphs.similarity_candidates(graphs.pair_similarity(vectors), 0.6).collect()))
+    assert graphs.pair_similarity(vectors.limit(0)).count() == 0
+
+
+def test_blocks_below_the_bound_are_left_out():
+    a, b = np.eye(40)[20:23], np.eye(40)[30:34]
+    assert graphs._products(a, b, 0.5) is not None  # their tails may agree
+    a, b = np.eye(40)[:3], np.eye(40)[4:8]
+    assert graphs._products(a, b, 0.5) is None and graphs._products(a, a, 1.0) is not None
+
+
+def test_kendall_tau_by_inversions(spark):
+    from chronoloom.operators import evaluate
+
+    rng = random.Random(6)
+    rows = [(d, v, rng.choice([None, 0.1, 0.2, 0.5, rng.random()]), rng.choice([None, 0.0, 1.0, rng.random()])) for d in range(30) for v in range(rng.choice([1, 2, 3, 40]))] + [(99, 1, None, None)]
+    sign = lambda x: (x > 0) - (x < 0)
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d and r[2] is not None and r[3] is not None]
+        pairs = [sign(a[2] - b[2]) * sign(a[3] - b[3]) for k, a in enumerate(own) for b in own[:k]]
+        want[d] = sum(pairs) / len(pairs) if pairs else 0
+    got = {r.doc_id: r.tau for r in evaluate.kendall_tau(spark.createDataFrame(rows, "doc_id long, event_no long, score double, label double")).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
+
+
+def test_sums_of_views_in_blocks(spark, monkeypatch):
+    from chronoloom.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "BLOCK_NUMBERS", 7)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 6))
+    rows = spark.createDataFrame([(v.tolist(), (2 * v).tolist()) for v in x], "v0 array<double>, v1 array<double>").repartition(9)
+    found = evaluate._view_sums(rows, ["v0", "v1"]).toPandas()
+    product = found[found["what"] == "product v1"].sort_values("block")
+    assert len(product) > 1 and product["n"].eq(50).all()
+    assert np.concatenate([np.frombuffer(b) for b in product["x"]]).reshape(6, 6) == pytest.approx(4 * x.T @ x)
