@@ -33,6 +33,9 @@ SCRIPT_SHARE = 0.005
 #: Count added to each n-gram.
 SMOOTH = 0.5
 UNKNOWN = "und"
+#: Bytes of text that are labelled together: a step takes all rows of a slice one word on, so more rows make fewer steps; for more than
+#: sixteen languages it gets smaller, as their scores take the memory.
+SLICE, LANGUAGES_TOGETHER = 1_000_000, 16
 #: First and last code point of the scripts that are told apart; script 0 is Latin and all the rest.
 SCRIPTS = [
     (0x0370, 0x03FF), (0x0400, 0x052F), (0x0530, 0x058F), (0x0590, 0x05FF), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0980, 0x09FF),
@@ -219,4 +222,4 @@ def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = (
         return dict(zip(names, (langs, share, spans), strict=True))
 
     kinds = (T.StringType(), T.DoubleType(), SPANS)
-    return tx.map_text(documents, "text", work, [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)], keep)
+    return tx.map_text(documents, "text", work, [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)], keep, SLICE * LANGUAGES_TOGETHER // max(LANGUAGES_TOGETHER, len(model.languages) if model else 1))

@@ -77,8 +77,9 @@ def map_text(
     work: Callable[[pa.RecordBatch], dict[str, object]],
     fields: list[T.StructField],
     keep: Iterable[str] = (),
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
-    """`df` with the columns of `keep`, and those of `fields` that `work` makes for each slice of its rows, row by row.
+    """`df` with the columns of `keep`, and those of `fields` that `work` makes for each slice of its rows (of about `most` bytes), row by row.
 
     A made column takes the place of a kept one of the same name.
     """
@@ -88,7 +89,7 @@ def map_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 new = work(part)
                 arrays = [part.column(part.schema.get_field_index(c)) for c in kept]
                 arrays += [x if isinstance(x := new[n], pa.Array) else pa.array(x, k) for n, k in zip(made, kinds, strict=True)]
