@@ -136,17 +136,6 @@ def render_template(template: Column | str, values: dict[str, Column]) -> Column
     return out
 
 
-def _candidates_json(candidates: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """For each group of `keys` the numbered candidates as JSON text, by event numbers."""
-    text = nodes.select("doc_id", F.col("event_no").alias("no"), "text")
-    rows = candidates.join(text.select("doc_id", F.col("no").alias("i"), F.col("text").alias("cause")), ["doc_id", "i"])
-    rows = rows.join(text.select("doc_id", F.col("no").alias("j"), F.col("text").alias("effect")), ["doc_id", "j"])
-    rows = rows.withColumn("edge", F.row_number().over(Window.partitionBy(*keys).orderBy("i", "j")))
-    entry = F.concat(F.lit('"edge'), F.col("edge").cast("string"), F.lit('": '), F.to_json(F.struct("cause", "effect")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("edge", entry.alias("json")))), lambda e: e["json"])
-    return rows.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}")).alias("candidates"), F.count("*").alias("n_candidates"))
-
-
 #: Experts of each round and what each looks for.
 EXPERTS = [
     (0, 0, "temporal", "You order events in time and name pairs where the earlier one leads to the later one."),
@@ -154,37 +143,97 @@ EXPERTS = [
     (1, 2, "discourse", "You judge by what the text states whether each pair is causal, temporal or neither."),
     (1, 3, "commonsense", "You judge by general knowledge whether each pair is causal, temporal or neither."),
 ]
-FIRST_USER = "Round {{ROUND}}. Document:\n{{DOC}}\nEvents:\n{{EVENTS}}\nAnswer with a JSON object holding `edges`, a list of `cause`, `effect`, `reason`."
-LATER_USER = "Round {{ROUND}}. Candidates:\n{{CANDIDATES}}\nAnswer with a JSON object from edge to [cause, effect, label, reason]."
-EMPTY_USER = "Round {{ROUND}}. There are no candidates; answer with an empty JSON object."
-JUDGE_USER = "Candidates of all experts:\n{{CANDIDATES}}\nKeep, call temporal or reject each."
-
-
-def expert_prompts(docs: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+JUDGE = "You are the judge. You keep pairs of the pool that the text gives proof of, call others temporal, and add none."
+#: What free proposals have to look like; it stands behind the role.
+SCHEMA = "Answer with one JSON object alone. Keys and strings have double quotes, there are no further keys, a reason is short, and a cause has a smaller number than its effect."
+#: Prompts with places for each document's values.
+FIRST_USER = 'Expert {{EXPERT}}, round {{ROUND}}.\n\nDocument {{ID}}: {{NAME}}\n\nEvents in order of time:\n{{EVENTS}}{{HISTORY}}\n\nText:\n{{DOC}}\n\nAnswer: {"expert": "{{EXPERT}}", "edges": [{"cause": "E1", "effect": "E3", "reason": "..."}]}'
+LATER_USER = 'Expert {{EXPERT}}, round {{ROUND}}.\n\nDocument {{ID}}: {{NAME}}\n\nCandidates, of which each is to be called causal or temporal, and no other:\n{{CANDIDATES}}\n\nText:\n{{DOC}}\n\nAnswer: {"edge1": ["E1", "E3", "causal", "reason"]}'
+NO_CANDIDATES = "(there are no candidates)"
+JUDGE_USER = 'Document {{ID}}: {{NAME}}\n\nEvents in order of time:\n{{EVENTS}}\n\nCandidates of all experts:\n{{CANDIDATES}}\n\nText:\n{{DOC}}\n\nAnswer for each: {"edge1": ["E1", "E3", "causal", "reason"]}'
+HISTORY = "\n\nDecide which pairs to keep, with the others' views in mind.{{OWN}}\n\nResults of the other experts of the round before:\n{{PEERS}}"
+OWN_HISTORY = "\n\nYour result of the round before:\n{{RESULT}}"
+
+
+def events_json(nodes: DataFrame) -> DataFrame:
+    """`doc_id`, `events`: JSON list of a document's events with ids and texts, in order."""
+    rows = F.array_sort(F.collect_list(F.struct("event_no", "event_id", "text")))
+    return nodes.groupBy("doc_id").agg(F.to_json(F.transform(rows, lambda e: F.struct(e["event_id"].alias("event_id"), e["text"].alias("text")))).alias("events"))
+
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """`doc_id`, `candidates`, `n_candidates`: a JSON object of `json` (doc_id, edge, json) under the keys edge1, edge2, ... in order."""
+    keyed = F.concat(F.lit('"edge'), F.col("edge").cast("string"), F.lit('":'), F.col("json"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("edge", keyed.alias("json")))), lambda e: e["json"])
+    return entries.groupBy("doc_id").agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias("candidates"), F.count("*").alias("n_candidates"))
+
+
+def _pairs_with_text(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`doc_id`, `edge` (by event numbers), `json`: both events' texts under their ids."""
+    end = lambda e: nodes.select("doc_id", F.col("event_no").alias(e), F.col("event_id").alias(f"{e}_id"), F.col("text").alias(f"{e}_text"))
+    rows = candidates.select("doc_id", "i", "j").distinct().join(end("i"), ["doc_id", "i"]).join(end("j"), ["doc_id", "j"])
+    edge = F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "j"))
+    return rows.select("doc_id", edge.alias("edge"), F.to_json(F.create_map("i_id", "i_text", "j_id", "j_text")).alias("json"))
+
+
+def result_json(results: DataFrame) -> DataFrame:
+    """`doc_id`, `round`, `expert`, `result`: each expert's edges (`kind` causal or temporal, `i`, `j`, `reason`) as one JSON object; the temporal
+    ones are named only if there are any."""
+    name = lambda c: F.concat(F.lit("E"), F.col(c).cast("string"))
+    edge = F.struct(F.col("i"), F.col("j"), F.struct(name("i").alias("cause"), name("j").alias("effect"), F.col("reason")).alias("edge"))
+    listed = lambda kind: F.to_json(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, edge))), lambda e: e["edge"]))
+    rows = results.groupBy("doc_id", "round", "expert").agg(listed("causal").alias("causal"), listed("temporal").alias("temporal"))
+    more = F.when(F.col("temporal") != "[]", F.concat(F.lit(',"temporal_edges":'), "temporal")).otherwise("")
+    return rows.select("doc_id", "round", "expert", F.concat(F.lit('{"expert":"'), "expert", F.lit('","causal_edges":'), "causal", more, F.lit("}")).alias("result"))
+
+
+def history_blocks(results: DataFrame) -> DataFrame:
+    """`doc_id`, `round`, `expert`, `history`: what each expert of a round is told of the round before: their own result, if they took part,
+    and those of the others."""
+    experts = F.broadcast(results.sparkSession.createDataFrame([(r, e) for r, _, e, _ in EXPERTS if r], "round int, expert string"))
+    said = result_json(results).select("doc_id", (F.col("round") + 1).alias("round"), F.col("expert").alias("by"), "result")
+    rows = said.join(experts, "round")
+    other = F.when(F.col("by") != F.col("expert"), F.struct("by", F.concat(F.lit('"'), "by", F.lit('":'), "result").alias("json")))
+    peers = F.transform(F.array_sort(F.collect_list(other)), lambda x: x["json"])
+    rows = rows.groupBy("doc_id", "round", "expert").agg(F.max(F.when(F.col("by") == F.col("expert"), F.col("result"))).alias("own"), F.concat(F.lit("{"), F.array_join(peers, ","), F.lit("}")).alias("peers"))
+    own = F.when(F.col("own").isNull(), "").otherwise(render_template(F.lit(OWN_HISTORY), {"RESULT": F.col("own")}))
+    return rows.select("doc_id", "round", "expert", render_template(F.lit(HISTORY), {"OWN": own, "PEERS": F.col("peers")}).alias("history"))
+
+
+def _shown(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("doc_name", F.lit("")).alias("doc_name"), F.coalesce("text", F.lit("")).alias("doc"))
+
+
+def expert_prompts(docs: DataFrame, nodes: DataFrame, candidates: DataFrame | None, results: DataFrame | None = None) -> DataFrame:
     """`doc_id`, `round`, `expert`, `system_prompt`, `user_prompt`: one row for each document and expert. No call is made.
 
-    `docs` has `doc_id`, `text`; `candidates` has `doc_id`, `i`, `j`. The experts are a fixed table of four rows.
+    `docs` has `doc_id`, `doc_name`, `text`; `candidates` has `doc_id`, `i`, `j`. Round 0 proposes freely: role and schema, then all events. Later
+    rounds judge the candidates: the role alone, then both events of each pair. Without a table of candidates they propose freely
+    as well and are told the `results` of the round before. The experts are a fixed table of four rows.
     """
-    spark = docs.sparkSession
-    experts = F.broadcast(spark.createDataFrame(EXPERTS, "round int, expert_no int, expert string, role string"))
-    events = F.array_sort(F.collect_list(F.struct("event_no", "event_id", "text")))
-    listed = nodes.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.transform(events, lambda e: F.struct(e["event_id"], e["text"])))).alias("events"))
-    rows = docs.select("doc_id", F.col("text").alias("doc")).join(listed, "doc_id").join(_candidates_json(candidates, nodes, ["doc_id"]), "doc_id", "left").crossJoin(experts)
-    shown = (F.col("round") + 1).cast("string")
-    first = render_template(F.lit(FIRST_USER), {"ROUND": shown, "EVENTS": F.col("events"), "DOC": F.col("doc")})
-    later = render_template(F.lit(LATER_USER), {"ROUND": shown, "CANDIDATES": F.col("candidates")})
-    user = F.when(F.col("round") == 0, first).when(F.col("candidates").isNull(), render_template(F.lit(EMPTY_USER), {"ROUND": shown})).otherwise(later)
-    return rows.select("doc_id", "round", "expert", F.col("role").alias("system_prompt"), user.alias("user_prompt"))
-
-
-def judge_prompts(nodes: DataFrame, proposals: DataFrame) -> DataFrame:
-    """`doc_id`, `n_candidates`, `user_prompt`: each document's candidates without their experts, numbered as first seen
-    (`expert_no`, then `ordinal`)."""
+    experts = F.broadcast(docs.sparkSession.createDataFrame(EXPERTS, "round int, expert_no int, expert string, role string"))
+    rows = _shown(docs).join(events_json(nodes), "doc_id").crossJoin(experts)
+    if candidates is None:
+        history = history_blocks(results) if results is not None else docs.select("doc_id", F.lit(0).alias("round"), F.lit("").alias("expert"), F.lit("").alias("history")).limit(0)
+        rows = rows.join(history, ["doc_id", "round", "expert"], "left").withColumn("candidates", F.lit(None).cast("string"))
+        free = F.lit(True)
+    else:
+        rows = rows.withColumn("history", F.lit(None).cast("string")).join(_numbered(_pairs_with_text(candidates, nodes)).drop("n_candidates"), "doc_id", "left")
+        free = F.col("round") == 0
+    known = {"EXPERT": F.col("expert"), "ROUND": (F.col("round") + 1).cast("string"), "ID": F.col("doc_id").cast("string"), "NAME": F.col("doc_name")}
+    first = render_template(F.lit(FIRST_USER), known | {"EVENTS": F.col("events"), "HISTORY": F.coalesce("history", F.lit("")), "DOC": F.col("doc")})
+    later = render_template(F.lit(LATER_USER), known | {"CANDIDATES": F.coalesce("candidates", F.lit(NO_CANDIDATES)), "DOC": F.col("doc")})
+    system = F.when(free, F.concat("role", F.lit("\n\n" + SCHEMA))).otherwise(F.col("role"))
+    return rows.select("doc_id", "round", "expert", system.alias("system_prompt"), F.when(free, first).otherwise(later).alias("user_prompt"))
+
+
+def judge_prompts(docs: DataFrame, nodes: DataFrame, proposals: DataFrame) -> DataFrame:
+    """`doc_id`, `n_candidates`, `system_prompt`, `user_prompt`: each document with its candidates, without their experts, numbered as first
+    seen (`expert_no`, then `ordinal`)."""
     seen = proposals.groupBy("doc_id", "i", "j").agg(F.min(F.struct("expert_no", "ordinal")).alias("first"))
-    text = nodes.select("doc_id", F.col("event_no").alias("no"), "text")
-    rows = seen.join(text.select("doc_id", F.col("no").alias("i"), F.col("text").alias("cause")), ["doc_id", "i"]).join(text.select("doc_id", F.col("no").alias("j"), F.col("text").alias("effect")), ["doc_id", "j"])
-    rows = rows.withColumn("edge", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "i", "j")))
-    entry = F.concat(F.lit('"edge'), F.col("edge").cast("string"), F.lit('": '), F.to_json(F.struct("cause", "effect")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("edge", entry.alias("json")))), lambda e: e["json"])
-    out = rows.groupBy("doc_id").agg(F.count("*").alias("n_candidates"), F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}")).alias("candidates"))
-    return out.select("doc_id", "n_candidates", render_template(F.lit(JUDGE_USER), {"CANDIDATES": F.col("candidates")}).alias("user_prompt"))
+    edge = F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "i", "j"))
+    name = lambda c: F.concat(F.lit("E"), F.col(c).cast("string"))
+    pool = _numbered(seen.select("doc_id", edge.alias("edge"), F.to_json(F.array(name("i"), name("j"))).alias("json")))
+    rows = _shown(docs).join(events_json(nodes), "doc_id").join(pool, "doc_id")
+    user = render_template(F.lit(JUDGE_USER), {"ID": F.col("doc_id").cast("string"), "NAME": F.col("doc_name"), "EVENTS": F.col("events"), "CANDIDATES": F.col("candidates"), "DOC": F.col("doc")})
+    return rows.select("doc_id", "n_candidates", F.lit(JUDGE).alias("system_prompt"), user.alias("user_prompt"))

@@ -97,9 +97,18 @@ query("render_template", "SELECT doc_id, 'Doc ' || doc_name || ' in ' || doc_nam
     lambda t: t.docs.select("doc_id", prep.render_template(F.lit("Doc {{NAME}} in {{NAME}} #{{ID}}"), {"NAME": F.col("doc_name"), "ID": F.col("doc_id").cast("string")}).alias("body"))
 )
 _EXPERTS = ", ".join(f"({r}, '{e}', '{role}')" for r, _, e, role in prep.EXPERTS)
-_quoted = lambda template, **values: "'" + re.sub(r"\{\{(\w+)\}\}", lambda m: f"' || {values[m[1]]} || '", template) + "'"
-query("expert_prompts", f"SELECT d.doc_id, e.round, e.expert, e.role AS system_prompt, CASE WHEN e.round = 0 THEN {_quoted(prep.FIRST_USER, ROUND='(e.round + 1)', DOC='d.text', EVENTS='n.events')} WHEN c.listed IS NULL THEN {_quoted(prep.EMPTY_USER, ROUND='(e.round + 1)')} ELSE {_quoted(prep.LATER_USER, ROUND='(e.round + 1)', CANDIDATES='c.listed')} END AS user_prompt FROM documents d JOIN (SELECT doc_id, '{{' || string_agg(to_json(event_id) || ':' || to_json(text), ',' ORDER BY event_no) || '}}' AS events FROM nodes GROUP BY doc_id) n ON n.doc_id = d.doc_id LEFT JOIN candidates c ON c.doc_id = d.doc_id, (VALUES {_EXPERTS}) e(round, expert, role)")(lambda t: prep.expert_prompts(t.documents, t.nodes, t.proposals.select("doc_id", "i", "j").distinct()))
-query("judge_prompts", f"SELECT doc_id, n AS n_candidates, {_quoted(prep.JUDGE_USER, CANDIDATES='listed')} AS user_prompt FROM candidates")(lambda t: prep.judge_prompts(t.nodes, t.answers))
+_text = lambda x: "'" + x.replace("'", "''") + "'"
+_quoted = lambda template, **values: re.sub(r"\{\{(\w+)\}\}", lambda m: f"' || {values[m[1]]} || '", _text(template))
+_SHOWN = {"EXPERT": "e.expert", "ROUND": "(e.round + 1)", "ID": "d.doc_id", "NAME": "coalesce(d.doc_name, '')", "EVENTS": "n.events", "DOC": "coalesce(d.text, '')"}
+_FREE_SYSTEM = "e.role || " + _text("\n\n" + prep.SCHEMA)
+_ASKED = f"docs d JOIN event_lists n ON n.doc_id = d.doc_id, (VALUES {_EXPERTS}) e(round, expert, role)"
+query("expert_prompts", f"SELECT d.doc_id, e.round, e.expert, CASE WHEN e.round = 0 THEN {_FREE_SYSTEM} ELSE e.role END AS system_prompt, CASE WHEN e.round = 0 THEN {_quoted(prep.FIRST_USER, **_SHOWN, HISTORY=_text(''))} ELSE {_quoted(prep.LATER_USER, **_SHOWN, CANDIDATES=f'coalesce(c.listed, {_text(prep.NO_CANDIDATES)})')} END AS user_prompt FROM {_ASKED} LEFT JOIN candidates c ON c.doc_id = d.doc_id")(
+    lambda t: prep.expert_prompts(t.docs, t.nodes, t.proposals.select("doc_id", "i", "j"))
+)
+query("expert_prompts_with_history", f"SELECT d.doc_id, e.round, e.expert, {_FREE_SYSTEM} AS system_prompt, {_quoted(prep.FIRST_USER, **_SHOWN, HISTORY='CASE WHEN e.round = 0 OR p.peers IS NULL THEN ' + _text('') + ' ELSE ' + _quoted(prep.HISTORY, OWN=_text(''), PEERS='p.peers') + ' END')} AS user_prompt FROM {_ASKED} LEFT JOIN peers p ON p.doc_id = d.doc_id")(
+    lambda t: prep.expert_prompts(t.docs, t.nodes, None, _results(t))
+)
+query("judge_prompts", f"SELECT d.doc_id, c.n AS n_candidates, {_text(prep.JUDGE)} AS system_prompt, {_quoted(prep.JUDGE_USER, **_SHOWN, CANDIDATES='c.named')} AS user_prompt FROM docs d JOIN event_lists n ON n.doc_id = d.doc_id JOIN candidates c ON c.doc_id = d.doc_id")(lambda t: prep.judge_prompts(t.docs, t.nodes, t.answers))
 
 
 @query("parse_llm_json")

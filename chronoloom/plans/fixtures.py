@@ -214,7 +214,11 @@ CTES = {
     "set_sized": "SELECT *, count(*) OVER (PARTITION BY doc_id, set_no) AS size FROM set_members",
     "fold_hits": "SELECT y.seed, f.fold, count(*) FILTER (WHERE y.n > 0) AS hits, count(*) AS docs FROM (SELECT v.seed, m.doc_id, count(*) FILTER (WHERE r.rank <= m.size) AS n FROM set_sized m CROSS JOIN (VALUES (1), (2)) v(seed) LEFT JOIN judged_ranked r ON r.seed = v.seed AND r.doc_id = m.doc_id AND r.event_no = m.event_no GROUP BY v.seed, m.doc_id) y JOIN fold_of f ON f.doc_id = y.doc_id GROUP BY y.seed, f.fold",
     "fold_rows": "SELECT *, CASE WHEN tp > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM fold_counts JOIN fold_loss USING (seed, fold) JOIN fold_tau USING (seed, fold) JOIN fold_hits USING (seed, fold)",
-    "candidates": "SELECT k.doc_id, count(*)::BIGINT AS n, '{' || string_agg('\"edge' || k.edge || '\": ' || to_json({'cause': a.text, 'effect': b.text}), ', ' ORDER BY k.edge) || '}' AS listed FROM (SELECT doc_id, i, j, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS edge FROM keys) k JOIN nodes a ON a.doc_id = k.doc_id AND a.event_no = k.i JOIN nodes b ON b.doc_id = k.doc_id AND b.event_no = k.j GROUP BY k.doc_id",
+    "event_lists": "SELECT doc_id, '[' || string_agg('{\"event_id\":' || to_json(event_id) || ',\"text\":' || to_json(text) || '}', ',' ORDER BY event_no) || ']' AS events FROM nodes GROUP BY doc_id",
+    "pair_texts": "SELECT k.doc_id, row_number() OVER (PARTITION BY k.doc_id ORDER BY k.i, k.j) AS edge, '{' || to_json(a.event_id) || ':' || to_json(a.text) || ',' || to_json(b.event_id) || ':' || to_json(b.text) || '}' AS json, to_json([a.event_id, b.event_id]) AS ids FROM keys k JOIN nodes a ON a.doc_id = k.doc_id AND a.event_no = k.i JOIN nodes b ON b.doc_id = k.doc_id AND b.event_no = k.j",
+    "candidates": "SELECT doc_id, count(*)::BIGINT AS n, '{' || string_agg('\"edge' || edge || '\":' || json, ',' ORDER BY edge) || '}' AS listed, '{' || string_agg('\"edge' || edge || '\":' || ids, ',' ORDER BY edge) || '}' AS named FROM pair_texts GROUP BY doc_id",
+    "first_results": "SELECT doc_id, expert, '{\"expert\":\"' || expert || '\",\"causal_edges\":[' || string_agg('{\"cause\":\"E' || i || '\",\"effect\":\"E' || j || '\",\"reason\":\"because ' || i || '-' || j || '\"}', ',' ORDER BY i, j) || ']}' AS result FROM proposals GROUP BY doc_id, expert",
+    "peers": "SELECT doc_id, '{' || string_agg('\"' || expert || '\":' || result, ',' ORDER BY expert) || '}' AS peers FROM first_results GROUP BY doc_id",
     # removal sets of one or two events; every document of sf0.01 in the size band is solved by these
     "whole_pairs": "SELECT s.doc_id, coalesce(c.r, 0) AS r FROM sized s LEFT JOIN (SELECT doc_id, count(*) AS r FROM closure GROUP BY doc_id) c ON c.doc_id = s.doc_id WHERE s.n BETWEEN 3 AND 30",
     "singles": "SELECT n.doc_id, n.event_no AS a, 0 AS b FROM nodes n JOIN whole_pairs p ON p.doc_id = n.doc_id WHERE p.r > 0",

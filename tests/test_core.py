@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from chronoloom.operators import dismantle, evaluate, graphs, incremental, scoring, splits
+from chronoloom.operators import documents as prep
 from chronoloom.operators.llm_json import first_json
 from chronoloom.plans import catalog, fixtures
 from chronoloom.sources import files
@@ -405,6 +406,25 @@ def test_paths_lineage_and_candidates_of_all_events(spark, tmp_path):
     assert got["edge_addition_candidates"] == Counter((d, a, role, b) for d, a, b in path if a != b for role in ("source", "target") if (free(d, b, a) if role == "source" else free(d, a, b)))
 
 
+def test_history_of_experts(spark):
+    """Own results and those of the others, causal and temporal; a document without results of the round before has no history."""
+    docs = spark.createDataFrame([(1, "n", "t"), (2, None, None)], "doc_id long, doc_name string, text string")
+    nodes = spark.createDataFrame([(1, 1, "E1", 'a "b"'), (1, 2, "E2", "c"), (2, 1, "E1", "x")], "doc_id long, event_no long, event_id string, text string")
+    said = [(1, 0, "discourse", "causal", 1, 2, "r"), (1, 0, "discourse", "temporal", 2, 3, "s"), (1, 0, "temporal", "causal", 2, 3, None), (1, 0, "temporal", "causal", 1, 2, "q")]
+    results = spark.createDataFrame(said, "doc_id long, round int, expert string, kind string, i long, j long, reason string")
+    got = {(r.doc_id, r.expert): r for r in prep.expert_prompts(docs, nodes, None, results).collect()}
+    assert len(got) == 8 and all(r.system_prompt.endswith(prep.SCHEMA) for r in got.values())
+    own = '{"expert":"discourse","causal_edges":[{"cause":"E1","effect":"E2","reason":"r"}],"temporal_edges":[{"cause":"E2","effect":"E3","reason":"s"}]}'
+    other = '{"expert":"temporal","causal_edges":[{"cause":"E1","effect":"E2","reason":"q"},{"cause":"E2","effect":"E3"}]}'
+    shown = prep.OWN_HISTORY.replace("{{RESULT}}", own)
+    assert prep.HISTORY.replace("{{OWN}}", shown).replace("{{PEERS}}", f'{{"temporal":{other}}}') in got[1, "discourse"].user_prompt
+    assert prep.HISTORY.replace("{{OWN}}", "").replace("{{PEERS}}", f'{{"discourse":{own},"temporal":{other}}}') in got[1, "commonsense"].user_prompt
+    assert "round before" not in got[2, "discourse"].user_prompt + got[1, "temporal"].user_prompt
+    assert '[{"event_id":"E1","text":"a \\"b\\""},{"event_id":"E2","text":"c"}]' in got[1, "temporal"].user_prompt
+    later = {r.doc_id: r.user_prompt for r in prep.expert_prompts(docs, nodes, spark.createDataFrame([(1, 1, 2)], "doc_id long, i long, j long")).where("expert = 'discourse'").collect()}
+    assert '{"edge1":{"E1":"a \\"b\\"","E2":"c"}}' in later[1] and prep.NO_CANDIDATES in later[2]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
