@@ -14,7 +14,7 @@ from chronoloom.operators import curation, dismantle, evaluate, graphs, incremen
 from chronoloom.operators import documents as prep
 from chronoloom.operators.llm_json import parse_llm_json
 
-from chronoloom.sources import files, tables
+from chronoloom.sources import files, ledger, tables
 
 from .fixtures import Tables, sql
 
@@ -130,6 +130,82 @@ def _lines(df: DataFrame) -> tuple[SparkSession, str]:
     return df.sparkSession, path
 
 
+def _named(t: Tables, *parts: DataFrame) -> str:
+    """A new shared folder with the files (name, content) of `parts`."""
+    path = shared_folder(t.spark)
+    for part in parts:
+        files.write_named(part, path)
+    return path
+
+
+def _stem() -> Column:
+    return F.regexp_replace("doc_name", r"\.txt$", "")
+
+
+def _texts(t: Tables) -> str:
+    """Each document with a language and a source as a file; those of each ninth once more, under a later name; names without an id for each 25th."""
+    named = t.docs.where("doc_name IS NOT NULL").select("doc_id", "doc_name", F.coalesce("text", F.lit("")).alias("content"))
+    again = named.where("doc_id % 9 = 0").select(F.concat(_stem(), F.lit("_z.txt")).alias("name"), F.concat(F.lit("again "), "content").alias("content"))
+    return _named(t, named.select(F.col("doc_name").alias("name"), "content"), again, named.where("doc_id % 25 = 0").select(F.concat(F.lit("x"), "doc_name").alias("name"), "content"))
+
+
+query("read_source_texts", "SELECT regexp_extract(doc_name, '^([A-Z]+[0-9]+)', 1) AS doc_id, doc_name AS file_name, coalesce(text, '') AS text FROM docs WHERE doc_name IS NOT NULL")(lambda t: files.read_source_texts(t.spark, _texts(t))[0])
+query("read_source_texts_issues", "SELECT 'x' || doc_name AS file_name, NULL::VARCHAR AS doc_id, 'no id in the name' AS issue FROM docs WHERE doc_name IS NOT NULL AND doc_id % 25 = 0 UNION ALL SELECT replace(doc_name, '.txt', '_z.txt'), regexp_extract(doc_name, '^([A-Z]+[0-9]+)', 1), 'repeated id' FROM docs WHERE doc_name IS NOT NULL AND doc_id % 9 = 0")(
+    lambda t: files.read_source_texts(t.spark, _texts(t))[1]
+)
+
+
+@query("read_document_inputs", "SELECT d.doc_name, d.text AS doc_text, e.events FROM docs d JOIN (SELECT doc_id, '{' || string_agg(to_json(event_id) || ':' || to_json(text), ',' ORDER BY event_no) || '}' AS events FROM nodes GROUP BY doc_id) e ON e.doc_id = d.doc_id WHERE d.doc_name IS NOT NULL")
+def read_document_inputs(t: Tables) -> DataFrame:
+    """A JSON file for each document with events, and a summary that is none."""
+    rows = t.docs.where("doc_name IS NOT NULL").join(prep.events_map(t.nodes), "doc_id")
+    summary = t.spark.createDataFrame([("build_summary.json", '{"doc_name": "none"}')], "name string, content string")
+    path = _named(t, rows.select(F.concat(_stem(), F.lit(".json")).alias("name"), F.to_json(F.struct("doc_name", F.col("text").alias("doc_text"), "events")).alias("content")), summary)
+    return files.read_document_inputs(t.spark, path).select("doc_name", "doc_text", F.to_json("events").alias("events"))
+
+
+@query("read_checkpoints", "SELECT d.doc_name AS doc_id, sha256(d.text) AS source_hash, (d.doc_id % 3 - 1)::INT AS last_completed_round, d.doc_id % 4 = 0 AS judge_done, e.round::VARCHAR AS round, e.expert FROM docs d LEFT JOIN (VALUES (0, 'temporal'), (0, 'precondition'), (1, 'discourse')) e(round, expert) ON e.round < d.doc_id % 3 WHERE d.doc_name IS NOT NULL")
+def read_checkpoints(t: Tables) -> DataFrame:
+    """A folder for each document with its checkpoint: no round, the first one, or both done."""
+    done = F.to_json(F.map_from_entries(F.filter(F.array(F.struct(F.lit("0"), F.array(F.lit("temporal"), F.lit("precondition"))), F.struct(F.lit("1"), F.array(F.lit("discourse")))), lambda x: x["col1"].cast("int") < F.col("doc_id") % 3)))
+    content = F.concat(F.lit('{"source_hash":"'), F.coalesce(prep.source_hash(F.encode("text", "utf-8")), F.lit("")), F.lit('","last_completed_round":'), (F.col("doc_id") % 3 - 1).cast("string"), F.lit(',"judge_done":'), (F.col("doc_id") % 4 == 0).cast("string"), F.lit(',"completed_experts":'), done, F.lit("}"))
+    path = _named(t, t.docs.where("doc_name IS NOT NULL").select(F.concat("doc_name", F.lit("/checkpoint.json")).alias("name"), content.alias("content")))
+    return files.read_checkpoints(t.spark, path)
+
+
+@query("run_metrics", "SELECT 'r' || doc_id AS run, CASE WHEN doc_id % 4 = 0 THEN last_epoch ELSE best_epoch END::INT AS best_epoch, CASE WHEN doc_id % 4 = 0 THEN last_loss ELSE best_loss END AS best_loss, last_epoch::INT AS last_epoch, CASE WHEN doc_id % 5 = 0 THEN last_loss + 1 ELSE last_loss + 2 END AS train_loss, last_loss AS loss_robust, last_loss / 2 AS loss_causal, last_loss * 2 AS loss_total FROM (SELECT doc_id, arg_max(score, event_no) AS last_loss, max(event_no) AS last_epoch, min(score) AS best_loss, min(event_no) FILTER (WHERE score = best) AS best_epoch FROM (SELECT *, min(score) OVER (PARTITION BY doc_id) AS best FROM topo) x GROUP BY doc_id) y")
+def run_metrics(t: Tables) -> DataFrame:
+    """A run for each document: its events are epochs. Some have no best epoch, some no train loss but in the history."""
+    epochs = F.array_sort(F.collect_list(F.struct("event_no", "score")))
+    rows = t.scores("topo").groupBy("doc_id").agg(epochs.alias("e"), F.min(F.struct("score", "event_no")).alias("best")).withColumn("last", F.element_at("e", -1))
+    history = F.to_json(F.transform("e", lambda x: F.struct((x["score"] + 1).alias("train_loss"), x["score"].alias("loss_robust"), (x["score"] / 2).alias("loss_causal"), (x["score"] * 2).alias("loss_total"))))
+    latest = F.to_json(F.struct(F.col("last.event_no").alias("epoch"), F.col("last.score").alias("val_loss"), F.when(F.col("doc_id") % 5 != 0, F.col("last.score") + 2).alias("train_loss")))
+    best = F.to_json(F.struct(F.col("best.event_no").alias("epoch"), F.col("best.score").alias("best_val_loss")))
+    made = lambda name, content, df=rows: df.select(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit(f"/{name}.json")).alias("name"), content.alias("content"))
+    return files.run_metrics(t.spark, _named(t, made("history", history), made("latest_meta", latest), made("best_meta", best, rows.where("doc_id % 4 != 0"))))
+
+
+def _ledger(t: Tables) -> tuple[str, str, dict[str, int]]:
+    """Graphs as files, every tenth of them broken; then every third written again without temporal edges, and refreshed."""
+    graph = lambda c: F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "events", "causal_edges", c.alias("temporal_edges")))
+    name = F.concat(F.lit("g"), F.col("doc_id").cast("string"), F.lit("/graph.json")).alias("name")
+    rows = t.graphs
+    content = graph(F.col("temporal_edges"))
+    path = _named(t, rows.select(name, F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("{"), content)).otherwise(content).alias("content")))
+    table = shared_folder(t.spark)
+    ledger.refresh(t.spark, path, "graph.json", files.GRAPH.removesuffix(", _corrupt_record string"), table)
+    files.write_named(rows.where("doc_id % 3 = 0").select(name, graph(F.lit(None).cast(rows.schema["temporal_edges"].dataType)).alias("content")), path)
+    return path, table, ledger.refresh(t.spark, path, "graph.json", files.GRAPH.removesuffix(", _corrupt_record string"), table)
+
+
+@query("refreshed_graphs", "SELECT doc_id, 'E' || i AS src, 'E' || j AS dst, 'c' || i AS reason, 'causal' AS edge_type FROM causal WHERE doc_id % 10 <> 0 OR doc_id % 3 = 0 UNION ALL SELECT doc_id, 'E' || i, 'E' || j, 't' || j, 'temporal' FROM temporal WHERE doc_id % 10 <> 0 AND doc_id % 3 <> 0")
+def refreshed_graphs(t: Tables) -> DataFrame:
+    return files.graph_edges(ledger.read(t.spark, _ledger(t)[1]).withColumn("doc_id", F.col("doc_id").cast("long")))
+
+
+query("refreshed_graphs_bad", "SELECT regexp_extract('g' || doc_id, '[0-9]+')::BIGINT AS doc_id FROM sized WHERE doc_id % 10 = 0 AND doc_id % 3 <> 0")(lambda t: ledger.read_bad(t.spark, _ledger(t)[1]).select(F.regexp_extract("path", r"/g(\d+)/graph.json$", 1).cast("long").alias("doc_id")))
+
+
 @query("read_event_graphs", "SELECT doc_id, n + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS n_events, coalesce(c.n_causal, 0)::BIGINT AS n_causal, coalesce(p.n_temporal, 0)::BIGINT AS n_temporal, false AS bad FROM sized LEFT JOIN (SELECT doc_id, count(*) AS n_causal FROM causal GROUP BY doc_id) c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_temporal FROM temporal GROUP BY doc_id) p USING (doc_id) UNION ALL SELECT NULL, 0, 0, 0, true FROM documents WHERE doc_id % 50 = 0")
 def read_event_graphs(t: Tables) -> DataFrame:
     """Graphs as JSON lines, and a broken line for each fiftieth document."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.documents import extract_doc_id
+from chronoloom.operators.documents import NO_NUMBER, extract_doc_id
 
 CAUSAL = "array<struct<cause:string,effect:string,reason:string,supporters:array<string>,manual_review:boolean>>"
 TEMPORAL = "array<struct<source:string,target:string,reason:string,score:double,span:int,manual_review:boolean>>"
@@ -56,15 +61,45 @@ def read_source_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     return rows.where("issue IS NULL").select("doc_id", "file_name", "text"), rows.where("issue IS NOT NULL").select("file_name", "doc_id", "issue")
 
 
+def write_named(files: DataFrame, root: str) -> int:
+    """Writes each row's `content` (string) to the file `name`, which may have folders, below `root`; returns their number.
+
+    Tasks write by themselves, each file beside its place first and then moved there, so a task that runs again leaves whole files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{top}/{name}"
+                folder = path.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                beside = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as out:
+                    out.write(content.encode())
+                store.move(beside, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_document_jsonl(docs: DataFrame, path: str) -> None:
     """One JSON object for each document."""
     docs.write.mode("overwrite").json(path)
 
 
 def read_document_inputs(spark: SparkSession, folder: str, doc_ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Document JSON files by prefix, number and name, `build_summary.json` aside; the limit is the feature, after the id filter."""
+    """Document JSON files by prefix, number and name, `build_summary.json` aside; the limit is the feature, after the id filter.
+
+    A name that isn't letters and a number alone is its own prefix.
+    """
     rows = _json(spark, folder, "*.json", "doc_name string, doc_text string, events map<string,string>").withColumn("stem", _stem(F.col("path"))).where("stem != 'build_summary'")
-    rows = rows.withColumn("prefix", F.regexp_extract("stem", "^([A-Z]+)", 1)).withColumn("number", F.regexp_extract("stem", r"^[A-Z]+(\d+)", 1).cast("long"))
+    parts = F.regexp_extract_all("stem", F.lit(r"^([A-Z]+)[0-9]+$"), 1), F.regexp_extract_all("stem", F.lit(r"^[A-Z]+([0-9]+)$"), 1)
+    prefix, number = (F.try_element_at(p, F.lit(1)) for p in parts)
+    rows = rows.withColumn("prefix", F.coalesce(prefix, "stem")).withColumn("number", F.coalesce(number.try_cast("decimal(38,0)"), F.lit(NO_NUMBER)))
     if doc_ids is not None:
         rows = rows.where(extract_doc_id("stem").isin(doc_ids))
     rows = rows.orderBy("prefix", "number", "stem")
