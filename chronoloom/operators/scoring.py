@@ -49,8 +49,14 @@ def unique_rank(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(_doc().orderBy(F.desc("score"), "event_id")).cast("long"))
 
 
-def scale_scores(scores: DataFrame, how: str) -> DataFrame:
-    """`scaled`: zscore, minmax, sigmoid or none, in each document. A single event's sample deviation counts as 0."""
+def scale_scores(scores: DataFrame, how: str, before: str = "none") -> DataFrame:
+    """`scaled`: zscore, minmax, sigmoid or none, in each document; a sigmoid may stand behind a zscore or minmax, `before`. A single event's
+    sample deviation counts as 0."""
+    if before != "none":
+        if how != "sigmoid" or before == "sigmoid":
+            raise ValueError(f"{before} can't come before {how}")
+        rows = scale_scores(scores, before)
+        return rows.withColumn("scaled", 1 / (1 + F.exp(-F.col("scaled"))))
     s = F.col("score")
     made = {
         "zscore": (s - F.avg(s).over(_doc())) / (F.coalesce(F.stddev_samp(s).over(_doc()), F.lit(0.0)) + EPS),
@@ -168,6 +174,11 @@ def node_label(event_id: Column, text: Column, score: Column, rank: Column) -> C
     return F.concat(body, F.format_string("\n▲ %.2f (#%d)", score, rank))
 
 
+def short_label(event_id: Column, score: Column) -> Column:
+    """The id and the score with two places behind a star."""
+    return F.concat(event_id, F.lit(" ★"), F.format_string("%.2f", score))
+
+
 def strip_doc_suffix(name: Column | str) -> Column:
     """Without `.txt` at the end, in any case."""
     return F.regexp_replace(name, r"(?i)\.txt$", "")
@@ -280,7 +291,7 @@ def attention_aggregate(h: DataFrame, edges: DataFrame, layers: list[Layer]) ->
     return _on_graphs(h, _plain(edges), work, made[0][0].shape[2], widest).select("doc_id", "event_no", F.col("y").alias("x"), "error")
 
 
-def influence_score(h: DataFrame, edges: DataFrame, p: list[float], b: float, norm: str = "max", scale: str = "none") -> DataFrame:
+def influence_score(h: DataFrame, edges: DataFrame, p: list[float], b: float, norm: str = "max", scale: str = "none", before: str = "none") -> DataFrame:
     """`score` from an event's own values `x` (array) and those of its predecessors: a local part, x times the mean with them, plus the scaled
     degree; and a global part, p times the sum with them over degree + 1, plus b; together scaled by `scale_scores`."""
     weights = np.array(p, float)
@@ -294,7 +305,7 @@ def influence_score(h: DataFrame, edges: DataFrame, p: list[float], b: float, no
 
     rows = _on_graphs(h, _plain(edges), work, len(weights)).select("doc_id", "event_no", F.col("y")[0].alias("raw"), F.col("weights")[0].alias("degree"), "error")
     rows = degree_norm(rows, norm).withColumn("score", F.col("raw") + F.col("norm"))
-    return scale_scores(rows, scale).select("doc_id", "event_no", F.col("scaled").alias("score"), "error")
+    return scale_scores(rows, scale, before).select("doc_id", "event_no", F.col("scaled").alias("score"), "error")
 
 
 #: Small fixed parameters, for tests and for the queries: no weights are given from outside.

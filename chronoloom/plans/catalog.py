@@ -206,23 +206,27 @@ def refreshed_graphs(t: Tables) -> DataFrame:
 query("refreshed_graphs_bad", "SELECT regexp_extract('g' || doc_id, '[0-9]+')::BIGINT AS doc_id FROM sized WHERE doc_id % 10 = 0 AND doc_id % 3 <> 0")(lambda t: ledger.read_bad(t.spark, _ledger(t)[1]).select(F.regexp_extract("path", r"/g(\d+)/graph.json$", 1).cast("long").alias("doc_id")))
 
 
-@query("read_event_graphs", "SELECT doc_id, n + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS n_events, coalesce(c.n_causal, 0)::BIGINT AS n_causal, coalesce(p.n_temporal, 0)::BIGINT AS n_temporal, false AS bad FROM sized LEFT JOIN (SELECT doc_id, count(*) AS n_causal FROM causal GROUP BY doc_id) c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_temporal FROM temporal GROUP BY doc_id) p USING (doc_id) UNION ALL SELECT NULL, 0, 0, 0, true FROM documents WHERE doc_id % 50 = 0")
+_EDGE_LIST = "coalesce((SELECT string_agg(edge, '|' ORDER BY edge) FROM (SELECT {0} AS edge FROM {1} e WHERE e.doc_id = s.doc_id) x), '')"
+
+
+@query("read_event_graphs", f"SELECT s.doc_id, CASE WHEN s.doc_id % 5 = 0 THEN ' no id|null null id|' ELSE '' END || (SELECT string_agg(event_id || ' ' || text, '|' ORDER BY event_no) FROM nodes n WHERE n.doc_id = s.doc_id) AS events, {_EDGE_LIST.format(chr(39) + 'E' + chr(39) + ' || i || ' + chr(39) + ' E' + chr(39) + ' || j || ' + chr(39) + ' c' + chr(39) + ' || i', 'causal')} AS causal, {_EDGE_LIST.format(chr(39) + 'E' + chr(39) + ' || i || ' + chr(39) + ' E' + chr(39) + ' || j || ' + chr(39) + ' t' + chr(39) + ' || j', 'temporal')} AS temporal, NULL AS bad FROM sized s UNION ALL SELECT NULL, NULL, NULL, NULL, '{{\"doc_id\": \"1\", \"events\": [broken' FROM documents WHERE doc_id % 50 = 0")
 def read_event_graphs(t: Tables) -> DataFrame:
-    """Graphs as JSON lines, and a broken line for each fiftieth document."""
+    """Graphs as JSON lines, and a broken line for each fiftieth document; their lists are shown as text."""
     path = shared_folder(t.spark)
     lines = t.graphs.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "events", "causal_edges", "temporal_edges")).alias("value"))
     lines.union(t.documents.where("doc_id % 50 = 0").select(F.lit('{"doc_id": "1", "events": [broken'))).write.text(path)
-    n = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
     bad = F.col("_corrupt_record").isNotNull()
+    shown = lambda c, *parts: F.transform(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)), lambda e: F.concat_ws(" ", *[F.coalesce(e[p], F.lit("null")) for p in parts]))
     rows = files.read_event_graphs(t.spark, path, "*.txt", True)
-    return rows.select(F.when(~bad, F.col("doc_id").cast("long")).alias("doc_id"), F.when(bad, F.lit(0).cast("long")).otherwise(n("events")).alias("n_events"), F.when(bad, F.lit(0).cast("long")).otherwise(n("causal_edges")).alias("n_causal"), F.when(bad, F.lit(0).cast("long")).otherwise(n("temporal_edges")).alias("n_temporal"), bad.alias("bad"))
+    columns = {"events": F.array_join(shown("events", "event_id", "text"), "|"), "causal": F.array_join(F.array_sort(shown("causal_edges", "cause", "effect", "reason")), "|"), "temporal": F.array_join(F.array_sort(shown("temporal_edges", "source", "target", "reason")), "|")}
+    return rows.select(F.when(~bad, F.col("doc_id").cast("long")).alias("doc_id"), *[F.when(~bad, c).alias(n) for n, c in columns.items()], F.col("_corrupt_record").alias("bad"))
 
 
-@query("write_document_jsonl", "SELECT d.doc_id, d.text AS doc_text, n.n AS n_events FROM documents d JOIN sized n ON n.doc_id = d.doc_id")
+@query("write_document_jsonl", "SELECT d.doc_id, d.text AS doc_text, n.events FROM documents d JOIN (SELECT doc_id, '{' || string_agg(to_json(event_id) || ':' || to_json(text), ',' ORDER BY event_no) || '}' AS events FROM nodes GROUP BY doc_id) n ON n.doc_id = d.doc_id")
 def write_document_jsonl(t: Tables) -> DataFrame:
     spark, path = _lines(prep.build_documents(t.documents.select("doc_id", "text"), t.documents.select("doc_id", "text")).where("size(events) > 0"))
     rows = spark.read.schema("doc_name long, doc_text string, events map<string,string>").json(path)
-    return rows.select(F.col("doc_name").alias("doc_id"), "doc_text", F.size("events").cast("long").alias("n_events"))
+    return rows.select(F.col("doc_name").alias("doc_id"), "doc_text", F.to_json("events").alias("events"))
 
 
 @query("read_topology_scores", "SELECT doc_id, event_id, score, rank FROM topo_ranked")
@@ -265,7 +269,18 @@ def flatten_traces(t: Tables) -> DataFrame:
 
 # curation
 
-query("normalize_edges", "SELECT doc_id, expert, i, j, ordinal FROM proposals UNION ALL SELECT doc_id, expert, i, j, ordinal + 1000000000 FROM proposals WHERE doc_id % 10 = 0")(lambda t: curation.normalize_edges(t.raw_proposals, t.nodes).select("doc_id", "expert", "i", "j", "ordinal"))
+_KNOWN = list(curation.KNOWN_EXPERTS)[:2]
+
+
+def _supporters() -> Column:
+    """Two known experts and two unknown ones, unknown ones alone, or none at all, by the events' numbers."""
+    kind = (prep.event_id_num(prep.strip("cause")) + prep.event_id_num(prep.strip("effect"))) % 3
+    return F.when(kind == 0, F.array(F.lit("nobody"), *[F.lit(x) for x in _KNOWN], F.lit(""))).when(kind == 1, F.array(F.lit("nobody")))
+
+
+query("normalize_edges", "SELECT p.*, CASE WHEN (i + j) % 3 = 0 THEN 'discourse,judge' WHEN (i + j) % 3 = 1 THEN '' END AS supporters FROM (SELECT doc_id, expert, i, j, ordinal, 'because ' || i || '-' || j AS reason FROM proposals UNION ALL SELECT doc_id, expert, i, j, ordinal + 1000000000, 'because ' || i || '-' || j FROM proposals WHERE doc_id % 10 = 0) p".replace("discourse,judge", ",".join(_KNOWN)))(
+    lambda t: curation.normalize_edges(t.raw_proposals.withColumn("supporters", _supporters()), t.nodes).select("doc_id", "expert", "i", "j", "ordinal", "reason", F.array_join("supporters", ",").alias("supporters"))
+)
 query("dedupe_edges", "SELECT doc_id, expert, i, j, row_number() OVER (PARTITION BY doc_id, expert ORDER BY i, j)::BIGINT AS rank FROM proposals")(lambda t: curation.dedupe_edges(curation.normalize_edges(t.raw_proposals, t.nodes), ("expert",)).select("doc_id", "expert", "i", "j", "rank"))
 
 
@@ -290,8 +305,10 @@ def _verdicts(t: Tables) -> DataFrame:
     return curation.judge_verdicts(t.verdict_rows, _pool(t))
 
 
-query("classify_proposals", "SELECT doc_id, expert, i, j, kind FROM classified")(lambda t: _classified(t).select("doc_id", "expert", "i", "j", "kind"))
-query("candidate_pool", "SELECT doc_id, i, j, supporters, n_supporters FROM pool")(lambda t: _pool(t).select("doc_id", "i", "j", F.array_join("supporters", ",").alias("supporters"), "n_supporters"))
+query("classify_proposals", "SELECT doc_id, expert, i, j, kind, 'because ' || i || '-' || j AS reason, i * 100000 + j AS ordinal FROM classified")(lambda t: _classified(t))
+query("candidate_pool", "SELECT doc_id, i, j, supporters, n_supporters, replace(supporters, ',', ': because ' || i || '-' || j || '|') || ': because ' || i || '-' || j AS reasons FROM pool")(
+    lambda t: _pool(t).select("doc_id", "i", "j", F.array_join("supporters", ",").alias("supporters"), "n_supporters", F.array_join(F.transform("reasons", lambda r: F.concat(r["expert"], F.lit(": "), r["reason"])), "|").alias("reasons"))
+)
 query("allowed_keys", "SELECT doc_id, i, j FROM keys")(lambda t: curation.allowed_keys(t.proposals))
 query("experts_agree", "SELECT k.doc_id, coalesce(bool_and(n = 2), true) AS agreed FROM (SELECT DISTINCT doc_id FROM keys) k LEFT JOIN (SELECT doc_id, i, j, count(*) AS n FROM classified WHERE kind = 'causal' GROUP BY ALL) c ON c.doc_id = k.doc_id GROUP BY k.doc_id")(
     lambda t: curation.experts_agree(_classified(t), t.answers.select("doc_id", "expert"))
@@ -487,8 +504,8 @@ def _samples(t: Tables) -> tuple[DataFrame, DataFrame]:
 query("assemble_samples", "SELECT n.doc_id, n.event_no, t.score AS f, s.score AS label FROM nodes n JOIN topo t USING (doc_id, event_no) JOIN sem s USING (doc_id, event_no) WHERE n.doc_id % 9 <> 0 AND n.doc_id % 8 <> 0 AND EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = n.doc_id)")(lambda t: _samples(t)[0].select("doc_id", "event_no", "f", "label"))
 query("assemble_samples_rejects", "SELECT * FROM (SELECT s.doc_id, CASE WHEN s.doc_id % 9 = 0 OR s.doc_id NOT IN (SELECT doc_id FROM sem) THEN 'no labels' WHEN s.doc_id % 8 = 0 OR s.doc_id NOT IN (SELECT doc_id FROM topo) THEN 'no features' WHEN s.doc_id NOT IN (SELECT doc_id FROM edges) THEN 'no graph' END AS reason FROM sized s) x WHERE reason IS NOT NULL")(lambda t: _samples(t)[1])
 query("attach_vectors_missing", "SELECT doc_id FROM sized WHERE doc_id % 10 = 0")(lambda t: splits.attach_vectors(t.nodes, t.vectors.where("doc_id % 10 != 0"))[1])
-query("attach_vectors", "SELECT doc_id, event_no, event_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM nodes JOIN vectors USING (doc_id, event_no)")(
-    lambda t: splits.attach_vectors(t.nodes, t.vectors)[0].select("doc_id", "event_no", "event_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+query("attach_vectors", "SELECT doc_id, event_no, event_id, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',') AS vector FROM nodes JOIN vectors USING (doc_id, event_no)")(
+    lambda t: splits.attach_vectors(t.nodes, t.vectors)[0].select("doc_id", "event_no", "event_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long")), ",").alias("vector"))
 )
 U = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 query("drop_edges_by_type", f"SELECT doc_id, src, dst, rel FROM typed WHERE {U.format(chr(39) + '42:v2:' + chr(39) + ' || doc_id || ' + chr(39) + ':' + chr(39) + ' || src || ' + chr(39) + ':' + chr(39) + ' || dst || ' + chr(39) + ':' + chr(39) + ' || rel')} >= CASE WHEN rel <= 1 THEN 0.6 ELSE 0.1 END")(
@@ -525,6 +542,10 @@ query("semantic_ranking", "SELECT doc_id, event_no, row_number() OVER (PARTITION
 query("scale_scores", "SELECT doc_id, event_no, round((score - avg(score) OVER w) / (coalesce(stddev_samp(score) OVER w, 0) + 1e-6), 6) + 0.0::DOUBLE AS z, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-6), 6) AS m, round(1 / (1 + exp(-score)), 6) AS s FROM topo WINDOW w AS (PARTITION BY doc_id)")(
     lambda t: scoring.scale_scores(scoring.scale_scores(scoring.scale_scores(t.scores("topo"), "zscore").withColumnRenamed("scaled", "z"), "minmax").withColumnRenamed("scaled", "m"), "sigmoid").select("doc_id", "event_no", (F.round("z", 6) + 0.0).alias("z"), r6("m"), r6("scaled", "s"))
 )
+query("scale_in_sequence", "SELECT doc_id, event_no, round(1 / (1 + exp(-(score - avg(score) OVER w) / (coalesce(stddev_samp(score) OVER w, 0) + 1e-6))), 6) AS z, round(1 / (1 + exp(-(score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-6))), 6) AS m FROM topo WINDOW w AS (PARTITION BY doc_id)")(
+    lambda t: scoring.scale_scores(scoring.scale_scores(t.scores("topo"), "sigmoid", "zscore").withColumnRenamed("scaled", "z"), "sigmoid", "minmax").select("doc_id", "event_no", r6("z"), r6("scaled", "m"))
+)
+query("short_label", "SELECT doc_id, event_no, event_id || ' ★' || printf('%.2f', score) AS label FROM topo")(lambda t: t.scores("topo").select("doc_id", "event_no", scoring.short_label(F.col("event_id"), F.col("score")).alias("label")))
 query("degree_norm", "SELECT doc_id, event_no, round(d / (max(d) OVER w + 1e-6), 6) AS a, round(ln(1 + d) / (max(ln(1 + d)) OVER w + 1e-6), 6) AS b, round(sqrt(d) / (max(sqrt(d)) OVER w + 1e-6), 6) AS c FROM (SELECT doc_id, event_no, greatest(1, in_degree + out_degree)::DOUBLE AS d FROM degree) x WINDOW w AS (PARTITION BY doc_id)")(
     lambda t: scoring.degree_norm(scoring.degree_norm(scoring.degree_norm(graphs.degrees(t.nodes, t.edges), "max").withColumnRenamed("norm", "a"), "log").withColumnRenamed("norm", "b"), "sqrt").select("doc_id", "event_no", r6("a"), r6("b"), r6("norm", "c"))
 )
@@ -534,16 +555,16 @@ def _combined(t: Tables) -> DataFrame:
     return scoring.combined_scores(scoring.unique_rank(t.scores("topo")), scoring.semantic_ranking(t.scores("sem")))
 
 
-query("combined_scores", "SELECT doc_id, event_id, round(topo_score, 6) AS topo_score, round(sem_score, 6) AS sem_score, topo_rank, sem_rank, round(combined, 6) AS combined, row_number() OVER (PARTITION BY doc_id ORDER BY combined DESC, event_id)::BIGINT AS combined_rank FROM combined")(
-    lambda t: _combined(t).select("doc_id", "event_id", r6("topo_score"), r6("sem_score"), "topo_rank", "sem_rank", r6("combined"), "combined_rank")
+query("combined_scores", "SELECT doc_id, event_id, round(topo_score, 6) AS topo_score, round(sem_score, 6) AS sem_score, topo_rank, sem_rank, round(combined, 6) AS combined, row_number() OVER (PARTITION BY doc_id ORDER BY combined DESC, event_id)::BIGINT AS combined_rank, round(sem_score * 2, 6) AS rich, round(CASE WHEN sem_rank < 999 THEN 1 - sem_score ELSE 0 END, 6) AS rare, 1.0::DOUBLE AS w_rich, 0.3::DOUBLE AS w_rare FROM combined")(
+    lambda t: scoring.combined_scores(scoring.unique_rank(t.scores("topo")), scoring.semantic_ranking(t.scores("sem")).withColumn("rich", F.col("score") * 2).withColumn("rare", 1 - F.col("score"))).select("doc_id", "event_id", r6("topo_score"), r6("sem_score"), "topo_rank", "sem_rank", r6("combined"), "combined_rank", r6("rich"), r6("rare"), "w_rich", "w_rare")
 )
-query("key_node_table", "SELECT c.doc_id, c.event_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.combined DESC, c.event_id)::BIGINT AS combined_rank, CASE WHEN length(n.text) > 16 THEN substr(n.text, 1, 16) || '…' ELSE n.text END AS shown FROM combined c LEFT JOIN nodes n ON n.doc_id = c.doc_id AND n.event_id = c.event_id WHERE c.doc_id IN (SELECT doc_id FROM topo) AND c.doc_id IN (SELECT doc_id FROM sem)")(
-    lambda t: scoring.key_node_table(t.nodes, scoring.unique_rank(t.scores("topo")), scoring.semantic_ranking(t.scores("sem")))[0].select("doc_id", "event_id", "combined_rank", "shown")
+query("key_node_table", "SELECT c.doc_id, c.event_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.combined DESC, c.event_id)::BIGINT AS combined_rank, CASE WHEN length(n.text) > 16 THEN substr(n.text, 1, 16) || '…' ELSE n.text END AS shown, round(c.combined, 6) AS combined, round(c.topo_score, 6) AS topo_score, round(c.sem_score, 6) AS sem_score, c.topo_rank, c.sem_rank FROM combined c LEFT JOIN nodes n ON n.doc_id = c.doc_id AND n.event_id = c.event_id WHERE c.doc_id IN (SELECT doc_id FROM topo) AND c.doc_id IN (SELECT doc_id FROM sem)")(
+    lambda t: scoring.key_node_table(t.nodes, scoring.unique_rank(t.scores("topo")), scoring.semantic_ranking(t.scores("sem")))[0].select("doc_id", "event_id", "combined_rank", "shown", r6("combined"), r6("topo_score"), r6("sem_score"), "topo_rank", "sem_rank")
 )
 query("key_node_table_missing", "SELECT * FROM (SELECT d.doc_id, array_to_string(list_filter([CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM sized) THEN 'graph' END, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM topo) OR d.doc_id % 6 = 0 THEN 'topology' END, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM sem) OR d.doc_id % 4 = 0 THEN 'semantic' END], lambda x: x IS NOT NULL), ',') AS missing FROM sized d) x WHERE missing <> ''")(
     lambda t: scoring.key_node_table(t.nodes, scoring.unique_rank(t.scores("topo").where("doc_id % 6 != 0")), scoring.semantic_ranking(t.scores("sem").where("doc_id % 4 != 0")))[1].select("doc_id", "missing")
 )
-query("reweight", "SELECT doc_id, event_id, w AS w_topo, row_number() OVER (PARTITION BY doc_id, w ORDER BY w * topo_score + (1 - w) * sem_score DESC, event_id)::BIGINT AS rank FROM combined, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) v(w)")(lambda t: scoring.reweight(_combined(t), [0.25, 0.75]).select("doc_id", "event_id", "w_topo", "rank"))
+query("reweight", "SELECT doc_id, event_id, w AS w_topo, round(w * topo_score + (1 - w) * sem_score, 6) AS combined, row_number() OVER (PARTITION BY doc_id, w ORDER BY w * topo_score + (1 - w) * sem_score DESC, event_id)::BIGINT AS rank FROM combined, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) v(w)")(lambda t: scoring.reweight(_combined(t), [0.25, 0.75]).select("doc_id", "event_id", "w_topo", r6("combined"), "rank"))
 query("score_color", "SELECT doc_id, event_no, format('#{:02x}{:02x}{:02x}', trunc(219 - 5 * score)::INT, trunc(238 - 199 * score)::INT, trunc(255 - 215 * score)::INT) AS color FROM topo")(lambda t: t.scores("topo").select("doc_id", "event_no", scoring.score_color("score").alias("color")))
 _BODY = "rtrim(regexp_replace(event_id || ': ' || text, '(.{14})', '\\1' || chr(10), 'g'), chr(10))"
 query("node_label", f"SELECT doc_id, event_no, {_BODY} || chr(10) || '▲ ' || printf('%.2f', score) || ' (#' || rank || ')' AS label FROM nodes JOIN topo_ranked USING (doc_id, event_no, event_id)")(
@@ -656,8 +677,8 @@ query("hit_summary", f"SELECT split, count(*) AS n, count(*) FILTER (WHERE hit =
     lambda t: evaluate.hit_summary(evaluate.best_set_hit(t.scores("topo"), t.removal_sets), splits.train_test_split(_sizes(t))).select("split", "n", "n_full", "n_partial", "n_miss", r6("pct_full"), r6("pct_partial"), r6("pct_miss"))
 )
 query("missed_documents", f"SELECT h.doc_id, s.split FROM {HITS} h JOIN split s USING (doc_id) WHERE h.hit = 0")(lambda t: evaluate.missed_documents(evaluate.best_set_hit(t.scores("topo"), t.removal_sets), splits.train_test_split(_sizes(t))))
-query("rank_comparison", "SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DESC, s.event_id)::BIGINT AS true_rank, s.event_id, t.rank AS model_rank, round(coalesce(t.score, 0), 6) AS score FROM sem s JOIN split p ON p.doc_id = s.doc_id AND p.split = 'test' LEFT JOIN topo_ranked t ON t.doc_id = s.doc_id AND t.event_no = s.event_no")(
-    lambda t: evaluate.rank_comparison(t.scores("sem").select("doc_id", "event_id", F.col("score").alias("label")), t.scores("topo"), splits.train_test_split(_sizes(t)).where("split = 'test'")).select("doc_id", "true_rank", "event_id", "model_rank", r6("score"))
+query("rank_comparison", "SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DESC, s.event_id)::BIGINT AS true_rank, s.event_id, t.rank AS model_rank, round(coalesce(t.score, 0), 6) AS score, round(s.score, 6) AS label FROM sem s JOIN split p ON p.doc_id = s.doc_id AND p.split = 'test' LEFT JOIN topo_ranked t ON t.doc_id = s.doc_id AND t.event_no = s.event_no")(
+    lambda t: evaluate.rank_comparison(t.scores("sem").select("doc_id", "event_id", F.col("score").alias("label")), t.scores("topo"), splits.train_test_split(_sizes(t)).where("split = 'test'")).select("doc_id", "true_rank", "event_id", "model_rank", r6("score"), r6("label"))
 )
 query("inference_ranking", "SELECT t.doc_id, t.event_id, round(t.score, 6) AS score, t.rank FROM topo_ranked t JOIN sized s ON s.doc_id = t.doc_id WHERE s.n > 30")(lambda t: evaluate.inference_ranking(t.scores("topo"), _sizes(t)).select("doc_id", "event_id", r6("score"), "rank"))
 
@@ -737,8 +758,8 @@ def embedding_cache_split(t: Tables) -> DataFrame:
     return incremental.embedding_cache_split(hashes, meta, "model-a")
 
 
-query("merge_vectors", "SELECT doc_id, event_no, doc_id % 3 = 0 AS is_fresh, round(CASE WHEN doc_id % 3 = 0 THEN 1 - score ELSE score END, 6) AS x FROM topo WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")(
-    lambda t: incremental.merge_vectors(t.scores("topo").where("doc_id % 2 = 0").withColumn("embedding", F.array("score")), t.scores("topo").where("doc_id % 3 = 0").withColumn("embedding", F.array(1 - F.col("score")))).select("doc_id", "event_no", "is_fresh", F.round(F.col("embedding")[0], 6).alias("x"))
+query("merge_vectors", "SELECT doc_id, event_no, doc_id % 3 = 0 AS is_fresh, array_to_string(list_transform(embedding, lambda x: round((CASE WHEN doc_id % 3 = 0 THEN 1 - x::DOUBLE ELSE x::DOUBLE END) * 1e6)::BIGINT), ',') AS vector FROM vectors")(
+    lambda t: incremental.merge_vectors(t.vectors.where("doc_id % 3 != 0 OR doc_id % 2 = 0"), t.vectors.where("doc_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: 1 - x.cast("double")))).select("doc_id", "event_no", "is_fresh", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long")), ",").alias("vector"))
 )
 query("review_diff", "SELECT doc_id, i, j, action, ot AS old_type, nt AS new_type, coalesce(CASE WHEN action = 'deleted' THEN o_reason ELSE n_reason END, '') AS reason, '2024-01-01 00:00:00' AS ts, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN action = 'added' THEN 1 ELSE 0 END, i, j)::BIGINT AS record_no, CASE WHEN action = 'modified' THEN 'modified E' || i || ' -> E' || j || ': ' || ot || ' to ' || nt ELSE action || ' E' || i || ' -> E' || j || ' (' || coalesce(ot, nt) || ')' END || ' [2024-01-01 00:00:00]' AS summary FROM (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.i, n.i) AS i, coalesce(o.j, n.j) AS j, o.edge_type AS ot, n.edge_type AS nt, o.reason AS o_reason, n.reason AS n_reason, CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.doc_id IS NULL THEN 'added' WHEN o.edge_type <> n.edge_type THEN 'modified' END AS action FROM review_old o FULL JOIN review_new n ON o.doc_id = n.doc_id AND o.i = n.i AND o.j = n.j) x WHERE action IS NOT NULL")(
     lambda t: incremental.review_diff(t.review_old, t.review_new, "2024-01-01 00:00:00")
