@@ -22,11 +22,8 @@ MIN_NODES, MAX_NODES = 3, 30
 PLACES = 9
 MEMBER_ABOVE = 1e-9
 LOW_TIER, HIGH_TIER = 0.3, 0.7
-#: Subsets that one row of work tries.
+#: Sets that are tried at once.
 CHUNK = 4096
-#: Such rows for a task, a second or two of work, and tasks at most.
-TASK_CHUNKS = 500
-MOST_TASKS = 20_000
 #: Words of the bit sets that greedy removal holds at once, 32 MB, or those of one graph.
 BLOCK_WORDS = 4_000_000
 
@@ -74,28 +71,84 @@ def _masks(ids: list[int], pairs: list | None) -> np.ndarray:
     return np.array(succ, np.uint64)
 
 
-def subsets(n: int, k: int, lo: int, most: int) -> np.ndarray:
-    """The k-subsets of 0 .. n-1 with places `lo` to `lo + most - 1` in lexicographic order, one a row, without listing those before."""
-    rank = np.arange(lo, min(lo + most, math.comb(n, k)))
-    out = np.zeros((len(rank), k), np.int64)
-    low = np.zeros(len(rank), np.int64)
-    for place in range(k):
-        # with v at this place, comb(n-1-v, k-1-place) subsets follow; `before[v]` of them have a smaller value than v here
-        before = np.concatenate([[0], np.cumsum([math.comb(n - 1 - v, k - 1 - place) for v in range(n)])])
-        rank = rank + before[low]
-        out[:, place] = np.searchsorted(before, rank, "right") - 1
-        rank = rank - before[out[:, place]]
-        low = out[:, place] + 1
-    return out
+def _reach(succ: np.ndarray, removed: np.ndarray) -> np.ndarray:
+    """For each event and mask of removed ones, the events that it still reaches, itself too; none for a removed one."""
+    n = len(succ)
+    keep = ~removed.astype(np.uint64)
+    reach = np.zeros((n, len(removed)), np.uint64)
+    to = [[w for w in range(n) if int(s) >> w & 1] for s in succ]
+    forward = all(w > v for v, some in enumerate(to) for w in some)
+    while True:
+        before = None if forward else reach.copy()
+        for v in range(n - 1, -1, -1):
+            bits = np.full(len(removed), 1 << v, np.uint64)
+            for w in to[v]:
+                bits |= reach[w]
+            reach[v] = np.where(keep >> np.uint64(v) & np.uint64(1), bits, np.uint64(0))
+        if forward or (before == reach).all():
+            return reach
+
+
+def branch(succ: np.ndarray, k: int, first: int, target: int) -> tuple[list[tuple[int, int]], int]:
+    """All sets of k events, the dearest of them the one at place `first`, whose removal leaves at most `target` reachable pairs, as masks with
+    what they leave; and how many sets, smaller ones too, were tried.
+
+    The pairs that an event's removal costs are at most those from what reaches it to what it reaches, which only get fewer as others
+    go. Events are placed from the dearest to the cheapest, and a set grows by later ones; where even the dearest of these
+    together leave too many pairs the branch ends.
+    """
+    n = len(succ)
+    pred = np.array([sum(1 << u for u in range(n) if int(succ[u]) >> v & 1) for v in range(n)], np.uint64)
+    mirrored = lambda masks: np.array([int(f"{int(m):0{n}b}"[::-1], 2) for m in masks], np.uint64)
+    back = mirrored(pred[::-1])  # edges turned round, events in the order from last to first, so they lead forwards again
+    found: list[tuple[int, int]] = []
+    tried = 0
+
+    def spread(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many each event reaches, and is reached from, itself too."""
+        return np.bitwise_count(_reach(succ, masks)).astype(np.int64), np.bitwise_count(_reach(back, mirrored(masks))).astype(np.int64)[::-1]
+
+    after, before = spread(np.zeros(1, np.uint64))
+    order = np.argsort(-(before * after)[:, 0], kind="stable")
+
+    def grow(masks: np.ndarray, last: np.ndarray, size: int) -> None:
+        nonlocal tried
+        tried += len(masks)
+        if size == k:
+            left = np.maximum(0, np.bitwise_count(_reach(succ, masks)).astype(np.int64) - 1).sum(axis=0)
+            found.extend((int(masks[x]), int(left[x])) for x in np.flatnonzero(left <= target))
+            return
+        after, before = spread(masks)
+        left = np.maximum(0, after - 1).sum(axis=0)
+        cost = np.maximum(0, before * after - 1)[order]
+        cost[np.arange(n)[:, None] <= last] = -1  # not to be added
+        more = k - size
+        # the event itself, and the dearest of those behind it
+        best = np.zeros((n + 1, len(masks)), np.int64)
+        if more > 1:
+            for v in range(n - 1, -1, -1):
+                dearest = np.sort(np.maximum(cost[v:], 0), axis=0)[-(more - 1) :].sum(axis=0)
+                best[v] = dearest
+        enough = (cost >= 0) & (left - cost - best[1:] <= target) & (np.arange(n)[:, None] <= n - more)
+        who, event = np.nonzero(enough.T)
+        for lo in range(0, len(who), CHUNK):
+            some, v = who[lo : lo + CHUNK], event[lo : lo + CHUNK]
+            grow(masks[some] | (np.uint64(1) << order[v].astype(np.uint64)), v, size + 1)
+
+    grow(np.array([1 << int(order[first])], np.uint64), np.array([first]), 1)
+    return found, tried
 
 
 def minimal_removal_sets(nodes: DataFrame, edges: DataFrame, theta: float = THETA, min_nodes: int = MIN_NODES, max_nodes: int = MAX_NODES) -> DataFrame:
-    """`doc_id`, `set_no`, `members`, `k`, `original_pairs`, `final_pairs`: all smallest sets of events whose removal leaves at most
-    ceil(theta * R) reachable pairs, in combination order; `final_pairs` is the least that any of them leaves.
+    """`doc_id`, `set_no`, `members`, `k`, `original_pairs`, `final_pairs`, `tried`: all smallest sets of events whose removal leaves at most
+    ceil(theta * R) reachable pairs, in combination order; `final_pairs` is the least that any of them leaves, `tried` how many sets the search
+    looked at.
 
-    Sizes go level by level. A level's work is cut into ranges of subsets, not into documents, so a large graph spreads over many
-    tasks; solved documents leave the loop, whose length is the largest k.
+    Sizes go level by level. A level's work is a branch for each document and dearest member, so a large graph spreads over tasks; branches
+    end by a bound (`branch`). Solved documents leave the loop, whose length is the largest k.
     """
+    if max_nodes > 63:
+        raise ValueError("a set is the bits of a word: 63 events at most")
     graphs = stored(adjacency(nodes, edges, min_nodes, max_nodes))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,38 +157,39 @@ def minimal_removal_sets(nodes: DataFrame, edges: DataFrame, theta: float = THET
 
     sizes = stored(graphs.mapInPandas(whole, "doc_id long, r long"))
     graphs = graphs.join(sizes, "doc_id").withColumn("target", F.ceil(F.lit(theta) * F.col("r")))
-    none = graphs.where("r = 0").select("doc_id", F.lit(0).cast("long").alias("set_no"), F.array().cast("array<long>").alias("members"), F.lit(0).cast("long").alias("k"), F.col("r").alias("original_pairs"), F.lit(0).cast("long").alias("left"))
+    none = graphs.where("r = 0").select("doc_id", F.array().cast("array<long>").alias("members"), F.lit(0).cast("long").alias("k"), F.col("r").alias("original_pairs"), F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("tried"))
     found = [none]
     open_ = graphs.where("r > 0")
-    schema = "doc_id long, set_no long, members array<long>, k long, original_pairs long, left long"
+    schema = "doc_id long, members array<long>, k long, original_pairs long, left long, tried long"
     k = 0
     while k < max_nodes:
         k += 1
-        counts = F.element_at(F.array(*[F.lit(math.comb(n, k)) for n in range(1, max_nodes + 1)]), F.size("ids"))
-        todo, chunks = open_.agg(F.count("*"), F.sum(F.ceil(counts / CHUNK))).first()
-        if not todo:
+        if not open_.head(1):
             break
-        work = open_.where(counts > 0).withColumn("lo", F.explode(F.sequence(F.lit(0), counts - 1, F.lit(CHUNK))))
-        work = work.repartition(min(MOST_TASKS, max(nodes.sparkSession.sparkContext.defaultParallelism, chunks // TASK_CHUNKS)), "doc_id", "lo")
+        work = open_.where(F.size("ids") >= k).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("ids") - k)))
+        work = work.repartition("doc_id", "first")
 
         def attempt(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
                 for row in pdf.itertuples(index=False):
-                    sets = subsets(len(row.ids), k, int(row.lo), CHUNK)
-                    left = remaining_pairs(_masks(row.ids, row.pairs), np.bitwise_or.reduce(np.uint64(1) << sets.astype(np.uint64), axis=1))
-                    out += [(row.doc_id, int(row.lo) + s, [int(row.ids[p]) for p in sets[s]], k, row.r, int(left[s])) for s in np.flatnonzero(left <= row.target)]
-                yield pd.DataFrame(out, columns=["doc_id", "set_no", "members", "k", "original_pairs", "left"])
+                    sets, tried = branch(_masks(row.ids, row.pairs), k, int(row.first), int(row.target))
+                    out.append((row.doc_id, None, k, row.r, None, tried))
+                    out += [(row.doc_id, [int(v) for p, v in enumerate(row.ids) if mask >> p & 1], k, row.r, left, 0) for mask, left in sets]
+                yield pd.DataFrame(out, columns=["doc_id", "members", "k", "original_pairs", "left", "tried"]).astype({"left": "Int64"})
 
         done = stored(work.mapInPandas(attempt, schema))
         found.append(done)
-        open_ = stored(open_.join(done.select("doc_id").distinct(), "doc_id", "left_anti"))
+        open_ = stored(open_.join(done.where("members IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti"))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
+    tried = rows.groupBy("doc_id").agg(F.sum("tried").alias("tried"))
+    rows = rows.where("members IS NOT NULL").drop("tried")
     best = F.min("left").over(Window.partitionBy("doc_id"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("set_no")) - 1
-    return rows.select("doc_id", number.cast("long").alias("set_no"), "members", "k", "original_pairs", best.alias("final_pairs"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("members")) - 1
+    rows = rows.select("doc_id", number.cast("long").alias("set_no"), "members", "k", "original_pairs", best.alias("final_pairs"))
+    return rows.join(tried, "doc_id").select(*rows.columns, "tried")
 
 
 def _left(succ: list[list[int]], alive: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Queries against their SQL, hand-worked graphs, and round trips of readers and writers."""
 
 import json
+import math
 import os
 import random
 from collections import Counter
@@ -76,11 +77,31 @@ def test_minimal_removal_sets(spark, n, edges):
     assert [tuple(r.members) for r in rows] == plain_sets(n, edges)
 
 
-@pytest.mark.parametrize(("n", "k"), [(1, 1), (5, 2), (6, 3), (8, 8), (9, 4)])
-def test_subsets_in_order_from_any_place(n, k):
-    every = list(combinations(range(n), k))
-    for lo in range(0, len(every), 3):
-        assert [tuple(r) for r in dismantle.subsets(n, k, lo, 5)] == every[lo : lo + 5]
+def test_branches_find_all_sets():
+    """Against all combinations, of graphs with edges both ways, for targets that take one event to five."""
+    draw = random.Random(12)
+    for case in range(40):
+        n = draw.randint(3, 9)
+        succ = np.array([sum(1 << w for w in range(n) if w != v and (w > v or case % 4 == 0) and draw.random() < 0.35) for v in range(n)], np.uint64)
+        total = int(dismantle.remaining_pairs(succ, np.zeros(1, np.uint64))[0])
+        for k in range(1, min(5, n) + 1):
+            target = int(total * draw.random() * 0.7)
+            every = list(combinations(range(n), k))
+            left = dismantle.remaining_pairs(succ, np.array([sum(1 << v for v in c) for c in every], np.uint64))
+            want = [(sum(1 << v for v in c), int(x)) for c, x in zip(every, left, strict=True) if x <= target]
+            assert sorted(r for first in range(n - k + 1) for r in dismantle.branch(succ, k, first, target)[0]) == sorted(want)
+
+
+def test_bound_leaves_most_sets_out():
+    """30 events of which five have to go: a tenth of all sets at most is looked at."""
+    draw = random.Random(5)
+    succ = np.array([sum(1 << w for w in range(v + 1, min(30, v + 7)) if draw.random() < 0.7) for v in range(30)], np.uint64)
+    total = int(dismantle.remaining_pairs(succ, np.zeros(1, np.uint64))[0])
+    for k in range(1, 6):
+        found = [dismantle.branch(succ, k, first, -(-total // 3)) for first in range(30 - k + 1)]
+        if any(sets for sets, _ in found):
+            break
+    assert k == 5 and sum(tried for _, tried in found) < math.comb(30, 5) / 10
 
 
 def joined(edges, s, t):
