@@ -111,7 +111,11 @@ query("expert_prompts_with_history", f"SELECT d.doc_id, e.round, e.expert, {_FRE
 query("judge_prompts", f"SELECT d.doc_id, c.n AS n_candidates, {_text(prep.JUDGE)} AS system_prompt, {_quoted(prep.JUDGE_USER, **_SHOWN, CANDIDATES='c.named')} AS user_prompt FROM docs d JOIN event_lists n ON n.doc_id = d.doc_id JOIN candidates c ON c.doc_id = d.doc_id")(lambda t: prep.judge_prompts(t.docs, t.nodes, t.answers))
 
 
-@query("parse_llm_json")
+_SAID = "'\"edge' || o || '\": ' || x"
+_ARRAY = "'[\"' || i || '\", \"' || j || '\", \"' || label || '\", \"say {\\\"x\\\"} [\"]'"
+
+
+@query("parse_llm_json", f"SELECT doc_id, CASE WHEN doc_id % 6 <> 4 THEN '{{' || string_agg({_SAID}, ', ' ORDER BY 'edge' || o) || '}}' WHEN count(*) > 1 THEN min_by(x, 'edge' || o) END AS parsed FROM (SELECT *, {_ARRAY} AS x FROM (SELECT doc_id, i, j, i * 100000 + j AS o, ['no', 'temporal', ' CAUSAL ', 'casual', 'causal'][(doc_id + i + j) % 5 + 1] AS label FROM keys) k) y GROUP BY doc_id")
 def parse(t: Tables) -> DataFrame:
     """Answers as models write them: bare, fenced, behind thoughts, inside prose, cut off, with braces in strings."""
     rows = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("edge"), "ordinal"), F.array(F.col("i").cast("string"), F.col("j").cast("string"), "label", F.lit('say {"x"} [')))))))

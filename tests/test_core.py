@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -16,7 +17,7 @@ import pytest
 
 from chronoloom.operators import dismantle, evaluate, graphs, incremental, scoring, splits
 from chronoloom.operators import documents as prep
-from chronoloom.operators.llm_json import first_json
+from chronoloom.operators.llm_json import first_jsons
 from chronoloom.plans import catalog, fixtures
 from chronoloom.sources import files
 from tests.conftest import SMALL
@@ -237,11 +238,27 @@ def test_reduction_bridges_and_ties(spark):
     assert {r.event_id: r["rank"] for r in scoring.unique_rank(scores).collect()} == {"E10": 1, "E2": 2, "E3": 3}
 
 
+def plain_first_json(text):
+    """Python's decoder from each bracket on."""
+    decoder = json.JSONDecoder()
+    for part in (text, *re.findall(r"```(?:\w+)?\s*(.*?)```", text, re.DOTALL), re.sub(r"<think>.*?</think>", "", text, flags=re.DOTALL)):
+        part = part.strip()
+        for at in [None, *(m.start() for m in re.finditer(r"[{\[]", part))]:
+            try:
+                return json.dumps(json.loads(part) if at is None else decoder.raw_decode(part, at)[0], ensure_ascii=False)
+            except ValueError:
+                pass
+    return None
+
+
 def test_first_json():
-    assert first_json('```json\n{"a": 1}\n```') == '{"a": 1}'
-    assert first_json('<think>{bad</think>[1, "}"]') == '[1, "}"]'
-    assert first_json('prose {"a": "{"} more') == '{"a": "{"}'
-    assert first_json("{cut") is None and first_json(None) is None
+    draw = random.Random(9)
+    pieces = ["{", "}", "[", "]", '"', "\\", '\\"', ",", ":", "1", '"a"', '"a":', '{"a": [1, "}"]}', "```json\n", "```", "<think>", "</think>", "é", " ", "\n", "null", '"[\\\\"']
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(0, 14))) for _ in range(20000)]
+    texts += ['```json\n{"a": 1}\n```', '<think>{bad</think>[1, "}"]', 'prose {"a": "{"} more', "{cut", "", "[" * 50 + "]" * 50, '{"a": "\ud800"}']
+    want = [plain_first_json(t) for t in texts]
+    assert first_jsons(texts) == want and sum(w is not None for w in want) > 2000
+    assert first_jsons([None, "[]", None]) == [None, "[]", None] and first_jsons([]) == []
 
 
 def test_view_agreement_is_numpys(spark):
