@@ -257,16 +257,16 @@ def _often(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
 def stretches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word numbers of all stretches in which each pair of neighbours comes three times or more, and their stretches' numbers."""
     n = len(hashes)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    key = tx.mix(hashes + row.astype(np.uint64) * np.uint64(tx.OTHER))
-    _, ids, count = np.unique(key, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    ids, count = np.unique(tx.mix(hashes + row.astype(np.uint64) * np.uint64(tx.OTHER)), return_inverse=True, return_counts=True)[1:]
+    ids = ids.astype(np.int32)
     often = count[ids] >= PERIODS  # each word of a run comes once a period
     words, group = np.arange(n), row
     joined = often[:-1] & often[1:] & (row[1:] == row[:-1]) if n else np.zeros(0, bool)  # to the word behind
     for _ in range(3):
         pair = np.flatnonzero(joined)
         own = np.unique(group[pair], return_inverse=True)[1] if len(pair) else pair
-        label = np.unique(own * (np.int64(len(hashes)) + 1) + ids[words[pair]], return_inverse=True)[1] if len(pair) else pair
+        label = np.unique(own * np.int64(n + 1) + ids[words[pair]], return_inverse=True)[1] if len(pair) else pair
         joined[pair] = _often(label, ids[words[pair + 1]], PERIODS - 1)
         # words in stretches of six or more
         edge = np.flatnonzero(np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8)))
@@ -286,8 +286,15 @@ def stretches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 # documents
 
 
-def _spelled(data: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> list[bytes]:
-    return [data[a:b] for a, b in zip(starts[words].tolist(), ends[words].tolist(), strict=True)]
+#: Words that are spelled out at once.
+SPELLED = 1 << 17
+
+
+def _spelled(data: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> Iterator[list[bytes]]:
+    """Words as bytes, some at a time."""
+    for at in range(0, len(words), SPELLED):
+        some = words[at : at + SPELLED]
+        yield [data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
 
 
 #: For each row's id and number of words: from which word on, and by how many, the words repeat; none where nothing is rewritten.
@@ -308,12 +315,13 @@ def find(part: pa.RecordBatch, rewrite: Rewrite | None = None) -> tuple[list[lis
                 source[low + a : low + size] = low + a + np.arange(size - a) % p
                 changed.add(i)
         hashes = hashes[source]
-    whole = data.tobytes()
     words, group = stretches(hashes, bounds)
+    del hashes
+    whole = data.tobytes()
     found: list[list[tuple[int, int, int]]] = [[] for _ in n]
     if len(words):
         known: dict[bytes, int] = {}
-        spelled = np.array([known.setdefault(w, len(known)) for w in _spelled(whole, starts, ends, source[words])], np.int64)
+        spelled = np.concatenate([np.fromiter((known.setdefault(w, len(known)) for w in some), np.int64, len(some)) for some in _spelled(whole, starts, ends, source[words])])
         symbols = np.unique(group * np.int64(len(known)) + spelled, return_inverse=True)[1]  # stretches share none
         for s, e, q in zip(*(x.tolist() for x in runs_of(symbols, group)), strict=True):
             first = int(words[s])
@@ -337,7 +345,7 @@ def find(part: pa.RecordBatch, rewrite: Rewrite | None = None) -> tuple[list[lis
         for s, length, q in found[i]:
             drop[s + q] += 1
             drop[s + length] -= 1
-        return b" ".join(_spelled(whole, starts, ends, source[bounds[i] : bounds[i + 1]][np.cumsum(drop[:-1]) == 0]))
+        return b" ".join(b" ".join(some) for some in _spelled(whole, starts, ends, source[bounds[i] : bounds[i + 1]][np.cumsum(drop[:-1]) == 0]))
 
     return found, [hashlib.sha256(kept(i)).hexdigest() for i in range(len(n))], n.tolist(), kept
 
