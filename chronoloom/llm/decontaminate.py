@@ -6,9 +6,10 @@ passage that ends there are known, which is the longest match. A match of `least
 its span is removed, and a document goes as a whole where hits cover more than a share of it.
 
 Items are cut into segments that share `least` - 1 words, and segments are dealt into blocks of a bounded number of words; each
-block's automaton is built in a task, and broadcast after its size has been checked. Documents pass all blocks one after the other, by scans
-alone; what they carry on are spans and items. A table of hashed word triples (or shorter ones, if an item has fewer words) tells where a
-match could reach the needed length: only there is the automaton asked, as elsewhere no item has these words together.
+block's automaton is built in a task, and broadcast after its size has been checked. Documents are scanned once: a sieve of the hashed
+word triples of all items (shorter ones, if an item has fewer words), 16 MB at most, tells in which stretches a match could reach the needed
+length. These alone stream through the automata, with one block at once, with several block after block; elsewhere no item has
+these words together. Beyond some fifty million words of items the sieve lets more through, and results stay the same.
 
 Defined results: a null text has no words and no hits, and stays null; a null or wordless item has no windows; a null item id is listed as an empty
 one; equal ids count once; repeated rows get the same result each; an empty benchmark leaves all as it is; extra columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ LEAST = 10
 MOST_COVERED = 0.5
 #: Words of the segments in one automaton on average, of one segment, and bytes of a pickled automaton at most.
 BLOCK_WORDS, SEGMENT_WORDS, BLOCK_BYTES = 100_000, 5_000, 64 << 20
+#: Binary logarithm of the sieve's bits at most.
+SIEVE_BITS = 27
 
 SPAN = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())])
 
@@ -109,7 +113,6 @@ class Automaton:
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             self.up[s] = self.link[s] if self.link[s] in self.own else self.up[self.link[s]]
         self.ends = []
-        self.shortest = min((n for _, n in self.windows), default=0)
 
     def stream(self, words: list[bytes]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         """After each word: the state, the longest match that ends there, and the windows (state, words) that end there."""
@@ -139,12 +142,43 @@ def gram(words: list[np.ndarray]) -> np.ndarray:
     return out * np.uint64(tx.BASE)
 
 
-def _sieve(grams: np.ndarray) -> tuple[np.ndarray, int]:
-    """A table in which the top bits of each gram's hash are marked, 64 places for each gram at least, and the shift to these bits."""
-    bits = max(10, (64 * max(1, len(grams))).bit_length())
-    table = np.zeros(1 << bits, bool)
-    table[(grams >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return table, 64 - bits
+@dataclass
+class Sieve:
+    """Which hashes of `g` words may be an item's: bits by their leading `bits` bits. `shortest` is the fewest words of a window."""
+
+    g: int
+    shortest: int
+    bits: int
+    table: bytes
+
+    def marks(self, hashes: np.ndarray) -> np.ndarray:
+        """For each word whether the words from there on may be an item's."""
+        n = len(hashes) - self.g + 1
+        at = gram([hashes[k : n + k] for k in range(self.g)]) >> np.uint64(64 - self.bits)
+        table = np.frombuffer(self.table, np.uint8)
+        return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def sieve_of(cut: DataFrame, g: int, shortest: int, words: int) -> Sieve:
+    """The sieve of all segments, 64 places for each word and 2**SIEVE_BITS at most; its pages of bits come to the driver."""
+    bits = min(SIEVE_BITS, max(16, (64 * words).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                data = np.frombuffer(b" ".join(words), np.uint8)
+                hashes = pieces.hashed_words(data, np.array([0, len(data)]), pieces.ALPHANUMERIC)[2]
+                n = len(hashes) - g + 1
+                at = np.unique(gram([hashes[k : n + k] for k in range(g)]) >> np.uint64(64 - bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at)], names=["place"])
+
+    page = 1 << 15  # bits in one map of bitmap_construct_agg
+    places = cut.select("words").mapInArrow(run, "place long")
+    pages = places.groupBy(F.floor(F.col("place") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("place") % page).alias("bits"))
+    table = bytearray(max(1 << bits, page) // 8)
+    for row in pages.collect():  # 4096 pages of 4 KB at most
+        table[row.page * page // 8 : (row.page + 1) * page // 8] = row.bits
+    return Sieve(g, shortest, bits, bytes(table))
 
 
 def _words(text: str) -> list[bytes]:
@@ -169,11 +203,8 @@ def segments(benchmark: DataFrame, least: int = LEAST, size: int = SEGMENT_WORDS
     return rows.mapInArrow(run, "item string, words array<binary>, whole boolean")
 
 
-def automata(benchmark: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`block`, `n_bytes`, `automaton` (pickled): one row for each block of segments, as many blocks as the words need."""
-    cut = tx.stored(segments(benchmark, least, max(1, min(SEGMENT_WORDS, block_words // 4))))
-    total = cut.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
+def automata(cut: DataFrame, blocks: int, least: int = LEAST) -> DataFrame:
+    """`block`, `n_bytes`, `automaton` (pickled): one row for each block of segments."""
     schema = pa.schema([("block", pa.int32()), ("n_bytes", pa.int64()), ("automaton", pa.binary())])
 
     def build(table: pa.Table) -> pa.Table:
@@ -188,46 +219,29 @@ def automata(benchmark: DataFrame, least: int = LEAST, block_words: int = BLOCK_
     return dealt.groupBy("block").applyInArrow(build, "block int, n_bytes long, automaton binary")
 
 
-_loaded: dict[tuple[int, int], tuple[Automaton, np.ndarray, int, int]] = {}
+_loaded: dict[int, Automaton] = {}
 
 
-def _load(data: bytes) -> tuple[Automaton, np.ndarray, int, int]:
-    """The automaton, and the sieve of its grams: the table, the shift, the words of a gram. A worker holds one."""
-    key = (len(data), hash(data))
-    if key not in _loaded:
-        made: Automaton = pickle.loads(data)
-        g = min(3, max(1, made.shortest))
-        joined = b" ".join(made.word)
-        hashes = pieces.hashed_words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), pieces.ALPHANUMERIC)[2]
-        grams = np.array(list(_paths(made, g)), np.int64).reshape(-1, g)
+def _load(data: bytes) -> Automaton:
+    """A worker holds one automaton."""
+    if hash(data) not in _loaded:
         _loaded.clear()
-        _loaded[key] = (made, *_sieve(gram([hashes[grams[:, k]] for k in range(g)])), g)
-    return _loaded[key]
-
-
-def _paths(made: Automaton, g: int) -> Iterator[tuple[int, ...]]:
-    """All passages of `g` words: the ways of that many steps from the first state."""
-    todo: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-    while todo:
-        state, so_far = todo.pop()
-        if len(so_far) == g:
-            yield so_far
-        else:
-            todo += [(to, (*so_far, w)) for w, to in made.next[state].items()]
+        _loaded[hash(data)] = pickle.loads(data)
+    return _loaded[hash(data)]
 
 
-def stretches(hashes: np.ndarray, bounds: np.ndarray, table: np.ndarray, shift: int, g: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last + 1 words of the stretches of rows in which every gram may be of an item and a window has room."""
-    n = len(hashes) - g + 1
-    mark = table[(gram([hashes[k : n + k] for k in range(g)]) >> np.uint64(shift)).astype(np.int64)]
-    for k in range(1, g):  # grams that reach into the next row
+def stretches(hashes: np.ndarray, bounds: np.ndarray, sieve: Sieve) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 words of the stretches of rows in which all words together may be an item's and a window has room."""
+    if len(hashes) < sieve.shortest:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    mark = sieve.marks(hashes)
+    for k in range(1, sieve.g):  # what reaches into the next row
         cut = bounds[1:-1] - k
         mark[cut[(cut >= 0) & (cut < len(mark))]] = False
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
-    first, last = edge[::2], edge[1::2]
-    first, last = _cut(first, last, bounds)
-    room = last - first + g - 1 >= shortest
-    return first[room], last[room] + g - 1
+    first, last = _cut(edge[::2], edge[1::2], bounds)
+    room = last - first + sieve.g - 1 >= sieve.shortest
+    return first[room], last[room] + sieve.g - 1
 
 
 def _cut(first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,31 +256,42 @@ def _cut(first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     return np.sort(np.concatenate([first, cuts])), np.sort(np.concatenate([last, cuts]))
 
 
-def _matched(part: pa.RecordBatch, made: Automaton, table: np.ndarray, shift: int, g: int) -> dict[str, object]:
-    """Words, longest match, hits and items of each row, with those of the blocks before."""
-    column = {f.name: part.column(i) for i, f in enumerate(part.schema)}
-    data, offsets = tx.utf8(column["text"])
+#: A row's stretches: the number of the first word, and the words.
+Stretches = list[tuple[int, list[bytes]]]
+
+
+def _scanned(column: pa.Array, sieve: Sieve | None) -> tuple[np.ndarray, dict[int, Stretches]]:
+    """Words of each row, and the stretches of rows that have any."""
+    data, offsets = tx.utf8(column)
     starts, ends, hashes, bounds = pieces.hashed_words(data, offsets, pieces.ALPHANUMERIC, True)
-    longest = column["longest"].to_numpy(zero_copy_only=False).copy()
-    spans = {i: [(s["first_word"], s["last_word"] + 1) for s in v] for i, v in enumerate(column["spans"].to_pylist()) if v} if len(column["spans"].flatten()) else {}
-    items = {i: set(v) for i, v in enumerate(column["items"].to_pylist()) if v} if spans else {}
-    if made.shortest and len(hashes) >= made.shortest:
-        for a, b in zip(*(x.tolist() for x in stretches(hashes, bounds, table, shift, g, made.shortest)), strict=True):
-            row = int(np.searchsorted(bounds, a, "right")) - 1
-            low = int(bounds[row])
-            words = tx.lower_ascii(data[starts[a] : ends[b - 1]]).tobytes()
-            first = int(starts[a])
-            own = [words[s - first : e - first] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-            for i, (_, length, found) in enumerate(made.stream(own), a - low + 1):
-                if length > longest[row]:
-                    longest[row] = length
-                for key in found:
-                    items.setdefault(row, set()).update(made.items[k] for k in made.windows[key])
-                if found:
-                    spans.setdefault(row, []).append((i - max(n for _, n in found), i))
-    n = part.num_rows
-    listed = [[{"first_word": a, "last_word": b - 1} for a, b in merged(spans[i])] if i in spans else [] for i in range(n)]
-    return {"n_words": np.diff(bounds), "longest": longest, "spans": listed, "items": [sorted(items.get(i, ())) for i in range(n)]}
+    found: dict[int, Stretches] = {}
+    for a, b in zip(*(x.tolist() for x in stretches(hashes, bounds, sieve)), strict=True) if sieve else ():
+        row = int(np.searchsorted(bounds, a, "right")) - 1
+        words, first = tx.lower_ascii(data[starts[a] : ends[b - 1]]).tobytes(), int(starts[a])
+        own = [words[s - first : e - first] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+        found.setdefault(row, []).append((a - int(bounds[row]), own))
+    return np.diff(bounds), found
+
+
+class Hits:
+    """What automata have found in the rows of a batch."""
+
+    def __init__(self, longest: np.ndarray, spans: dict[int, list[tuple[int, int]]], items: dict[int, set[str]]) -> None:
+        self.longest, self.spans, self.items = longest, spans, items
+
+    def stream(self, made: Automaton, rows: dict[int, Stretches]) -> None:
+        for row, some in rows.items():
+            for first, words in some:
+                for i, (_, length, found) in enumerate(made.stream(words), first + 1):
+                    self.longest[row] = max(self.longest[row], length)
+                    for key in found:
+                        self.items.setdefault(row, set()).update(made.items[k] for k in made.windows[key])
+                    if found:
+                        self.spans.setdefault(row, []).append((i - max(n for _, n in found), i))
+
+    def columns(self) -> dict[str, object]:
+        n = len(self.longest)
+        return {"longest": self.longest, "spans": [[{"first_word": a, "last_word": b - 1} for a, b in merged(self.spans[i])] if i in self.spans else [] for i in range(n)], "items": [sorted(self.items.get(i, ())) for i in range(n)]}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -280,38 +305,60 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
+STRETCHES = T.StructField("stretches", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.BinaryType())])))
+
+
 def match(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of `keep` of every row with `n_words`, `longest` (words of the longest match with an item within a stretch that could
-    hold a window, else 0), `spans` (hits, by word numbers from 0) and `items` (ids of the items hit)."""
-    blocks = tx.stored(automata(benchmark, least, block_words))
+    hold a window, else 0), `spans` (hits, by word numbers from 0) and `items` (ids of the items hit). These take the place of kept columns
+    of the same name."""
+    cut = tx.stored(segments(benchmark, least, max(1, min(SEGMENT_WORDS, block_words // 4))))
+    total, shortest = cut.agg(F.sum(F.size("words")), F.min(F.size("words"))).first()
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in {f.name for f in FIELDS})
+    if not total:
+        return tx.map_text(documents, "text", lambda part: _found(*_scanned(part.column(part.schema.get_field_index("text")), None), []), FIELDS, keep)
+    shortest = min(least, shortest)
+    sieve = sieve_of(cut, min(3, shortest), shortest, total)
+    blocks = tx.stored(automata(cut, max(1, -(-total // block_words)), least))
     sizes = [(r.block, r.n_bytes) for r in blocks.select("block", "n_bytes").orderBy("block").collect()]  # two numbers a block
     if large := [b for b in sizes if b[1] > BLOCK_BYTES]:
         raise ValueError(f"automata above {BLOCK_BYTES} bytes: {large}; lower block_words")
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
-    rows = documents.select(*dict.fromkeys([*keep, "text"])).withColumns({f.name: F.lit(0).cast("long") if f.dataType == T.LongType() else F.array().cast(f.dataType) for f in fields})
-    order = [b for b, _ in sizes] or [None]
-    for block in order:
-        data = pickle.dumps(_none(least)) if block is None else bytes(blocks.where(F.col("block") == block).first().automaton)
-        names = [c for c in rows.columns if block != order[-1] or c != "text" or c in keep]  # the last block needn't hand on texts
-
-        def work(batches: Iterator[pa.RecordBatch], data: bytes = data, names: list[str] = names) -> Iterator[pa.RecordBatch]:
-            loaded = _load(data)
+    automaton = lambda block: bytes(blocks.where(F.col("block") == block).first().automaton)
+    if len(sizes) == 1:
+        data = automaton(sizes[0][0])
+        return tx.map_text(documents, "text", lambda part: _found(*_scanned(part.column(part.schema.get_field_index("text")), sieve), [_load(data)]), FIELDS, keep)
+
+    def scan(part: pa.RecordBatch) -> dict[str, object]:
+        n_words, rows = _scanned(part.column(part.schema.get_field_index("text")), sieve)
+        return _found(n_words, {}, []) | {_OPEN: [[{"first": a, "words": b" ".join(w)} for a, w in rows.get(i, ())] for i in range(len(n_words))]}
+
+    _OPEN = "stretches" if "stretches" not in keep else "stretches_of_" + "_".join(keep)
+    open_field = T.StructField(_OPEN, STRETCHES.dataType)
+    rows = tx.stored(tx.map_text(documents, "text", scan, [*FIELDS, open_field], keep))
+    out = rows.where(F.size(_OPEN) == 0).select(*keep, *[f.name for f in FIELDS])
+    rows = rows.where(F.size(_OPEN) > 0)  # these alone go on from block to block
+    for block, _ in sizes:
+
+        def work(batches: Iterator[pa.RecordBatch], data: bytes = automaton(block), names: list[str] = rows.columns) -> Iterator[pa.RecordBatch]:
+            made = _load(data)
             for batch in batches:
-                for part in tx.slices(batch, "text"):
-                    new = _matched(part, *loaded)
-                    arrays = [pa.array(new[n], part.schema.field(n).type) if n in new else part.column(part.schema.get_field_index(n)) for n in names]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-        rows = rows.mapInArrow(work, T.StructType([rows.schema[n] for n in names]))
-        if block != order[-1]:
-            rows = tx.stored(rows)
-    return rows.select(*dict.fromkeys([*keep, *[f.name for f in fields]]))
-
-
-def _none(least: int) -> Automaton:
-    made = Automaton(least)
-    made.finish()
-    return made
+                column = dict(zip(names, batch.columns, strict=True))
+                spans = {i: [(s["first_word"], s["last_word"] + 1) for s in v] for i, v in enumerate(column["spans"].to_pylist()) if v}
+                hits = Hits(column["longest"].to_numpy(zero_copy_only=False).copy(), spans, {i: set(v) for i, v in enumerate(column["items"].to_pylist()) if v})
+                hits.stream(made, {i: [(x["first"], x["words"].split(b" ")) for x in v] for i, v in enumerate(column[_OPEN].to_pylist())})
+                new = hits.columns()
+                yield pa.RecordBatch.from_arrays([pa.array(new[n], column[n].type) if n in new else column[n] for n in names], names=names)
+
+        rows = tx.stored(rows.mapInArrow(work, rows.schema))
+    return out.unionByName(rows.select(*out.columns))
+
+
+def _found(n_words: np.ndarray, rows: dict[int, Stretches], made: list[Automaton]) -> dict[str, object]:
+    hits = Hits(np.zeros(len(n_words), np.int64), {}, {})
+    for own in made:
+        hits.stream(own, rows)
+    return {"n_words": n_words} | hits.columns()
 
 
 def _hit() -> Column:

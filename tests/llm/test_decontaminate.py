@@ -68,7 +68,8 @@ def test_decontaminate_blocks_and_segments(spark):
     docs, bench = got(spark, ROWS, ITEMS)
     found = decontaminate.match(docs, bench, block_words=30).collect()
     want = {(r[0], r[1]): (w, n) for r, (_, w, n, _, _, _) in zip(ROWS, [next(iter(plain([r], ITEMS))) for r in ROWS], strict=True)}
-    assert decontaminate.automata(bench, block_words=30).count() > 3
+    cut = decontaminate.segments(bench, size=7)
+    assert cut.where("NOT whole").count() > 3 and decontaminate.automata(cut, 6).count() > 3
     assert all((r.n_words, sum(s.last_word - s.first_word + 1 for s in r.spans)) == want[r.doc_id, r.text] for r in found) and len(found) == len(ROWS)
 
 
