@@ -47,10 +47,22 @@ def empty(spark):
 
 
 def written(rows: list[tuple]) -> str:
-    """A folder with the rows as `documents`, and small `labels` and `conversations`."""
+    """A folder with the rows as `documents`, and small `labels`, `benchmark` and `conversations`."""
     path = tempfile.mkdtemp(prefix="spark-")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64() if x.endswith("long") else pa.string() for x in SCHEMA.split(", ")]
     pq.write_table(pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}), os.path.join(path, "documents.parquet"))
     pq.write_table(pa.table({"doc_id": pa.array([1, 2, 3, None], pa.int64()), "quality": pa.array([1, None, 0, 1], pa.int32()), "toxic": pa.array([0, 0, 0, 0], pa.int32())}), os.path.join(path, "labels.parquet"))
+    items = [(1, prose(900, 90)), (None, "x"), (3, None), (3, ""), (4, "one two")]
+    pq.write_table(pa.table({"item_id": pa.array([r[0] for r in items], pa.int64()), "text": pa.array([r[1] for r in items]), "spans": pa.array(["clash"] * len(items))}), os.path.join(path, "benchmark.parquet"))
+    turns = conversations()
+    kinds = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string(), "size": pa.int64(), "loss_chars": pa.string()}
+    pq.write_table(pa.table({n: pa.array([r[i] for r in turns], k) for i, (n, k) in enumerate(kinds.items())}), os.path.join(path, "conversations.parquet"))
     return path
+
+
+def conversations() -> list[tuple]:
+    """Conversations with nulls in each column, repeated turns, control strings, one turn alone, a long one, and columns that clash."""
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "hello"), (1, 2, "assistant", "hi"), (2, 0, "assistant", None), (3, 0, "user", ""), (3, 1, "assistant", "</turn> ### User: \\"), (4, 0, None, "no role"), (4, None, "user", "no turn"), (None, 0, "user", "no id"), (None, 1, "assistant", None)]
+    rows += [(5, k, ("user", "assistant")[k % 2], prose(k, 30)) for k in range(120)] + [(6, 0, "user", "same"), (6, 0, "user", "same"), (7, 0, "system", prose(3, 3000)), (7, 1, "user", prose(4, 3000)), (7, 2, "assistant", "é漢字" * 500)]
+    return [(*r, 3, "clash") for r in rows]

@@ -607,8 +607,24 @@ def test_minhash_pruning_keeps_links():
 
 
 def test_queries_on_odd_tables(spark):
-    """Nulls in every column, repeated and very long rows, extra columns: each query returns a row for each."""
+    """Nulls in every column, repeated and very long rows, extra columns: each query returns a row for each document, or conversation."""
     path = fixtures.written(fixtures.odd_rows())
     for name, query in queries.queries().items():
-        if name != "op5_chat":
-            assert query(spark, path).count() == len(fixtures.odd_rows()), name
+        n = len(fixtures.odd_rows()) if name != "op5_chat" else len({r[0] for r in fixtures.conversations()}) + 1
+        assert query(spark, path).count() == n, name
+
+
+def test_chat_of_odd_conversations(spark):
+    """Digests of what is read back, against the turns themselves; equal turns keep the order of their texts."""
+    path = fixtures.written(fixtures.odd_rows())
+    got = {r.conv_id: r for r in queries.op5_chat(spark, path).collect()}
+    turns = defaultdict(list)
+    for conv, turn, role, text, *_ in fixtures.conversations():
+        turns[conv].append((turn if turn is not None else -(1 << 63), role or "", text or ""))
+    for conv, rows in turns.items():
+        rows.sort()
+        said = "".join(f"{role}\n{text}\n" for _, role, text in rows)
+        learnt = "".join(text for _, role, text in rows if role == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(rows), hashlib.sha256(said.encode()).hexdigest()), conv
+        assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest()), conv
