@@ -86,32 +86,70 @@ def richness(vectors: DataFrame) -> DataFrame:
     return vectors.select("doc_id", "event_no", _norm("embedding").alias("rich"))
 
 
+#: Events of a document up to which its vectors are in one task, and numbers of vectors that are worked on together.
+RARITY_EVENTS = 1 << 16
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as rows of a flat array."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _rare(u: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """From unit vectors, their documents' sums and sizes."""
+    return np.where(n > 1, 1 - ((u * total).sum(axis=1) - (u * u).sum(axis=1)) / np.maximum(1, n - 1), 0.0)
+
+
 def rarity(vectors: DataFrame) -> DataFrame:
     """`rare`: the mean of 1 - cosine to the document's other events, 0 for a single event.
 
-    With unit vectors u and their sum S it is 1 - (u.S - u.u) / (N - 1), so the work is linear in the events: vectors are summed by
-    document in each batch, these sums by component, and no pairs are made.
+    With unit vectors u and their sum S it is 1 - (u.S - u.u) / (N - 1), so the work is linear in the events and no pairs are made. A
+    document's vectors meet in one task after one shuffle; those of more than `RARITY_EVENTS` events are summed where they are, by
+    batch and then by document, and meet the sum alone.
     """
-    rows = vectors.withColumn("norm", _norm("embedding"))
-    unit = F.transform("embedding", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(F.lit(0.0)))
-    rows = rows.select("doc_id", "event_no", unit.alias("u"))
+    rows = vectors.select("doc_id", "event_no", "embedding")
+    large = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > RARITY_EVENTS).select("doc_id"))
 
+    def work(table: pa.Table) -> pa.Table:
+        head = bt.runs_of(bt.places(table))
+        u, n = _units(_matrix(table.column("embedding"))), np.diff(head)
+        total = np.add.reduceat(u, head[:-1], axis=0)
+        return table.select(["doc_id", "event_no"]).append_column("rare", pa.array(_rare(u, np.repeat(total, n, axis=0), np.repeat(n, n))))
+
+    schema = "doc_id long, event_no long, rare double"
+    if not large.head(1):
+        return bt.whole_documents(rows, work, schema)
+    out = bt.whole_documents(rows.join(large, "doc_id", "left_anti"), work, schema)
+    return out.unionByName(_rarity_by_sums(rows.join(large, "doc_id", "left_semi")))
+
+
+def _rarity_by_sums(rows: DataFrame) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs, first, own = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
-            total = np.zeros((len(docs), x.shape[1]))
-            np.add.at(total, own, x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(list(total), pa.list_(pa.float64())), pa.array(np.bincount(own))], names=["doc_id", "part", "n"])
-
-    parts = rows.select("doc_id", "u").mapInArrow(partial, T.StructType([rows.schema["doc_id"], T.StructField("part", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]))
-    sums = parts.select("doc_id", "n", F.posexplode("part").alias("k", "x")).groupBy("doc_id", "k").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
-    sums = sums.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("total"), F.max("n").alias("n"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    rows = rows.join(sums, "doc_id")
-    return rows.select("doc_id", "event_no", F.when(F.col("n") > 1, 1 - (dot("u", "total") - dot("u", "u")) / (F.col("n") - 1)).otherwise(0.0).alias("rare"))
+            if batch.num_rows:
+                docs, first, own = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), _lists(bt.segment_sum(_units(_matrix(batch.column(1))), own, len(docs)), np.ones(len(docs), bool)), pa.array(np.bincount(own))], names=["doc_id", "total", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        head = bt.runs_of(bt.places(table))[:-1]
+        total = np.add.reduceat(_matrix(table.column("total")), head, axis=0)
+        return pa.table([table.column("doc_id").combine_chunks().take(pa.array(head)), _lists(total, np.ones(len(head), bool)), pa.array(np.add.reduceat(table.column("n").to_numpy(), head))], ["doc_id", "total", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rare = _rare(_units(_matrix(batch.column(2))), _matrix(batch.column(3)), batch.column(4).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare)], names=["doc_id", "event_no", "rare"])
+
+    sums = "doc_id long, total array<double>, n long"
+    total = bt.whole_documents(rows.select("doc_id", "embedding").mapInArrow(partial, sums), add, sums, together=1 << 12)
+    return rows.join(total, "doc_id").select("doc_id", "event_no", "embedding", "total", "n").mapInArrow(meet, "doc_id long, event_no long, rare double")
 
 
 def semantic_scores(rich: DataFrame, rare: DataFrame, w_rich: float = W_RICH, w_rare: float = W_RARE) -> DataFrame:

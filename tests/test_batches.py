@@ -215,3 +215,20 @@ def test_sums_of_views_in_blocks(spark, monkeypatch):
     product = found[found["what"] == "product v1"].sort_values("block")
     assert len(product) > 1 and product["n"].eq(50).all()
     assert np.concatenate([np.frombuffer(b) for b in product["x"]]).reshape(6, 6) == pytest.approx(4 * x.T @ x)
+
+
+def test_rarity_routes_agree(spark, monkeypatch):
+    from chronoloom.operators import scoring
+
+    rng = np.random.default_rng(7)
+    rows = [(d, v, rng.normal(size=6).tolist()) for d, n in ((1, 1), (2, 2), (3, 40), (4, 9)) for v in range(1, n + 1)] + [(4, 10, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "doc_id long, event_no long, embedding array<double>").repartition(3)
+    want = {}
+    for d, v, x in rows:
+        near = [np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) or 1) for e, w, y in rows if e == d and w != v]
+        want[d, v] = float(np.mean([1 - c for c in near])) if near else 0.0
+    for most in (scoring.RARITY_EVENTS, 5):
+        monkeypatch.setattr(scoring, "RARITY_EVENTS", most)
+        got = {(r.doc_id, r.event_no): r.rare for r in scoring.rarity(vectors).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert scoring.rarity(vectors.limit(0)).count() == 0
