@@ -3,7 +3,8 @@
 Merges work inside a word (a match of the split pattern), so a word is encoded once wherever it stands. All new words of a batch
 lie in one array of tokens with neighbour links. An inverted index lists the places of token pairs by the rank of the token that they
 make; sweeps over it apply the merges in rank order, each word's smallest rank at all its places, and a merge gives new ranks to its
-two neighbours alone. Documents then take their words' ids.
+two neighbours alone. The index is sorted once: only touched places leave it and are put in again where their new ranks belong.
+Documents then take their words' ids.
 
 Words are independent, so the ids are those of a replay over all words of the corpus. Distinct words are collected within a slice of
 texts and remembered by the worker, not by the corpus: taking ids back to documents would shuffle each document's words.
@@ -76,12 +77,13 @@ class Vocabulary:
         ends = np.cumsum(size)
         before[ends - size], after[ends - 1] = -1, -1
         rank = self._ranks(token, after, np.arange(n))
-        open_places = rank != NONE
+        index = np.flatnonzero(rank != NONE)
+        index = index[np.argsort(rank[index].astype(self.sorts), kind="stable")]  # places by the rank of their pair
         least = np.full(len(open_), NONE)
-        while len(places := np.flatnonzero(open_places)):
-            index = places[np.argsort(rank[places].astype(self.sorts), kind="stable")]  # places by the rank of their pair
+        stale = np.zeros(n, bool)
+        while len(index):
             least[word[index[::-1]]] = rank[index[::-1]]  # a word's smallest rank comes last
-            i = places[rank[places] == least[word[places]]]
+            i = np.sort(index[rank[index] == least[word[index]]])
             # of places that follow one another every second one
             line = np.arange(len(i))
             joins = np.append(False, after[i[:-1]] == i[1:])
@@ -106,8 +108,14 @@ class Vocabulary:
                 more = np.concatenate([i2, j2, before[i2]])  # not the first of a word, so there is one before
                 rank[more] = self._ranks(token, after, more)
                 touched = np.concatenate([touched, more])
-            open_places[j] = False
-            open_places[touched] = rank[touched] != NONE
+            # what was touched leaves the index, and comes in again at its new rank
+            stale[j] = stale[touched] = True
+            index = index[~stale[index]]
+            new_ = np.flatnonzero(stale) if len(touched) * 8 > n else np.unique(touched)
+            stale[j] = stale[touched] = False
+            new_ = new_[rank[new_] != NONE]
+            new_ = new_[np.argsort(rank[new_], kind="stable")]
+            index = np.insert(index, np.searchsorted(rank[index], rank[new_]), new_)
         alive = token >= 0
         flat, bounds = token[alive].tolist(), np.append(0, np.cumsum(np.bincount(word[alive], minlength=len(open_)))).tolist()
         for i, a, b in zip(open_, bounds[:-1], bounds[1:], strict=True):
