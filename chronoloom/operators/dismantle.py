@@ -22,8 +22,8 @@ MIN_NODES, MAX_NODES = 3, 30
 PLACES = 9
 MEMBER_ABOVE = 1e-9
 LOW_TIER, HIGH_TIER = 0.3, 0.7
-#: Sets that are tried at once.
-CHUNK = 4096
+#: Sets that are tried at once, and branches of the search in one task.
+CHUNK, TASK_BRANCHES = 4096, 256
 #: Words of the bit sets that greedy removal holds at once, 32 MB, or those of one graph.
 BLOCK_WORDS = 4_000_000
 
@@ -144,52 +144,60 @@ def minimal_removal_sets(nodes: DataFrame, edges: DataFrame, theta: float = THET
     ceil(theta * R) reachable pairs, in combination order; `final_pairs` is the least that any of them leaves, `tried` how many sets the search
     looked at.
 
-    Sizes go level by level. A level's work is a branch for each document and dearest member, so a large graph spreads over tasks; branches
-    end by a bound (`branch`). Solved documents leave the loop, whose length is the largest k.
+    Graphs that are alike but for their events' numbers have one shape, the bits of each place's successors, and each shape is solved once; its
+    sets, by places, go to all of its documents. Places are in the order of the events, so sets keep their order. Sizes go level by
+    level. A level's work is a branch for each shape and dearest member, so a large graph spreads over tasks; branches end by a bound
+    (`branch`). Solved shapes leave the loop, whose length is the largest k.
     """
     if max_nodes > 63:
         raise ValueError("a set is the bits of a word: 63 events at most")
-    graphs = stored(adjacency(nodes, edges, min_nodes, max_nodes))
+
+    def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pdf["ids"], "shape": [_masks(a, b).astype(np.int64) for a, b in zip(pdf["ids"], pdf["pairs"], strict=True)]})
+
+    graphs = stored(adjacency(nodes, edges, min_nodes, max_nodes).mapInPandas(masked, "doc_id long, ids array<long>, shape array<long>"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "r": [int(remaining_pairs(_masks(a, b), np.zeros(1, np.uint64))[0]) for a, b in zip(pdf["ids"], pdf["pairs"], strict=True)]})
+            yield pd.DataFrame({"shape": pdf["shape"], "r": [int(remaining_pairs(np.array(s, np.uint64), np.zeros(1, np.uint64))[0]) for s in pdf["shape"]]})
 
-    sizes = stored(graphs.mapInPandas(whole, "doc_id long, r long"))
-    graphs = graphs.join(sizes, "doc_id").withColumn("target", F.ceil(F.lit(theta) * F.col("r")))
-    none = graphs.where("r = 0").select("doc_id", F.array().cast("array<long>").alias("members"), F.lit(0).cast("long").alias("k"), F.col("r").alias("original_pairs"), F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("tried"))
+    shapes = stored(graphs.select("shape").distinct().mapInPandas(whole, "shape array<long>, r long")).withColumn("target", F.ceil(F.lit(theta) * F.col("r")))
+    none = shapes.where("r = 0").select("shape", F.array().cast("array<int>").alias("places"), F.lit(0).cast("long").alias("k"), F.col("r").alias("original_pairs"), F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("tried"))
     found = [none]
-    open_ = graphs.where("r > 0")
-    schema = "doc_id long, members array<long>, k long, original_pairs long, left long, tried long"
+    open_ = shapes.where("r > 0")
+    schema = "shape array<long>, places array<int>, k long, original_pairs long, left long, tried long"
     k = 0
     while k < max_nodes:
         k += 1
-        if not open_.head(1):
+        branches = open_.where(F.size("shape") >= k).agg(F.sum(F.size("shape") - k + 1)).first()[0]
+        if not branches:
             break
-        work = open_.where(F.size("ids") >= k).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("ids") - k)))
-        work = work.repartition("doc_id", "first")
+        work = open_.where(F.size("shape") >= k).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("shape") - k)))
+        work = work.repartition(-(-branches // TASK_BRANCHES), "shape", "first")  # few bytes, long work: by number, so tasks aren't merged
 
         def attempt(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
                 for row in pdf.itertuples(index=False):
-                    sets, tried = branch(_masks(row.ids, row.pairs), k, int(row.first), int(row.target))
-                    out.append((row.doc_id, None, k, row.r, None, tried))
-                    out += [(row.doc_id, [int(v) for p, v in enumerate(row.ids) if mask >> p & 1], k, row.r, left, 0) for mask, left in sets]
-                yield pd.DataFrame(out, columns=["doc_id", "members", "k", "original_pairs", "left", "tried"]).astype({"left": "Int64"})
+                    sets, tried = branch(np.array(row.shape, np.uint64), k, int(row.first), int(row.target))
+                    out.append((row.shape, None, k, row.r, None, tried))
+                    out += [(row.shape, [p for p in range(len(row.shape)) if mask >> p & 1], k, row.r, left, 0) for mask, left in sets]
+                yield pd.DataFrame(out, columns=["shape", "places", "k", "original_pairs", "left", "tried"]).astype({"left": "Int64"})
 
         done = stored(work.mapInPandas(attempt, schema))
         found.append(done)
-        open_ = stored(open_.join(done.where("members IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti"))
+        open_ = stored(open_.join(done.where("places IS NOT NULL").select("shape").distinct(), "shape", "left_anti"))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    tried = rows.groupBy("doc_id").agg(F.sum("tried").alias("tried"))
-    rows = rows.where("members IS NOT NULL").drop("tried")
-    best = F.min("left").over(Window.partitionBy("doc_id"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("members")) - 1
-    rows = rows.select("doc_id", number.cast("long").alias("set_no"), "members", "k", "original_pairs", best.alias("final_pairs"))
-    return rows.join(tried, "doc_id").select(*rows.columns, "tried")
+    tried = rows.groupBy("shape").agg(F.sum("tried").alias("tried"))
+    rows = rows.where("places IS NOT NULL").drop("tried")
+    best = F.min("left").over(Window.partitionBy("shape"))
+    number = F.row_number().over(Window.partitionBy("shape").orderBy("places")) - 1
+    rows = rows.select("shape", number.cast("long").alias("set_no"), "places", "k", "original_pairs", best.alias("final_pairs"))
+    rows = graphs.join(rows.join(tried, "shape"), "shape")
+    return rows.select("doc_id", "set_no", F.transform("places", lambda p: F.get("ids", p)).alias("members"), "k", "original_pairs", "final_pairs", "tried")
 
 
 def _left(succ: list[list[int]], alive: np.ndarray) -> np.ndarray:

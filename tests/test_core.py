@@ -78,6 +78,26 @@ def test_minimal_removal_sets(spark, n, edges):
     assert [tuple(r.members) for r in rows] == plain_sets(n, edges)
 
 
+def test_equal_graphs_are_searched_once(spark, tmp_path, monkeypatch):
+    """Documents whose graphs differ in the events' numbers alone share one search, and each has its own events in its sets."""
+    search, log = dismantle.branch, str(tmp_path / "log")
+
+    def logged(*args):
+        with open(log, "a") as out:
+            out.write("x\n")
+        return search(*args)
+
+    monkeypatch.setattr(dismantle, "branch", logged)
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5)]
+    number = lambda d, v: v * (d + 1) + 7 * d
+    nodes = spark.createDataFrame([(d, number(d, v)) for d in range(30) for v in range(1, 6)], "doc_id long, event_no long")
+    table = spark.createDataFrame([(d, number(d, a), number(d, b)) for d in range(30) for a, b in edges], "doc_id long, i long, j long")
+    rows = dismantle.minimal_removal_sets(nodes, table).orderBy("doc_id", "set_no").collect()
+    want = plain_sets(5, edges)
+    assert [(r.doc_id, r.set_no, r.members) for r in rows] == [(d, k, [number(d, v) for v in c]) for d in range(30) for k, c in enumerate(want)]
+    assert len(open(log).readlines()) == sum(5 - k + 1 for k in range(1, len(want[0]) + 1))
+
+
 def test_branches_find_all_sets():
     """Against all combinations, of graphs with edges both ways, for targets that take one event to five."""
     draw = random.Random(12)
