@@ -3,8 +3,10 @@
 import os
 from collections import Counter
 
+import duckdb
 import pytest
 
+from chronoloom.plans import catalog
 from chronoloom.sources import files, ledger
 
 SCHEMA = "doc_id string, n int"
@@ -52,3 +54,16 @@ def test_named_files(spark, tmp_path, scheme):
     assert files.write_named(rows.where("name = 'a.txt'"), f"{scheme}{tmp_path}/out") == 1
     assert (tmp_path / "out/b/c.txt").read_text() == "é\n" and sorted(os.listdir(tmp_path / "out")) == ["a", "a.txt", "b"]
     assert files.write_named(rows.limit(0), f"{scheme}{tmp_path}/none") == 0
+
+
+def test_files_of_documents_with_long_ids(spark, tmp_path):
+    """Ids of six and seven digits, of which names have five: files of equal names are all kept, as the SQL has them."""
+    ids = [7, 12345, *range(123450, 123460), *range(1234560, 1234563)]
+    rows = [(d, f"text {d}\nsecond", "en", "web") for d in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+        for name in ("read_source_texts", "read_source_texts_issues", "read_document_inputs", "read_checkpoints"):
+            got = catalog.queries()[name](spark, str(tmp_path))
+            want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]}) q").fetchall()
+            assert Counter(map(tuple, got.collect())) == Counter(want), name
