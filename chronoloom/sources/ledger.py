@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions.storage import stored
 
 from . import tables
+from .files import small_files
 
 SEEN = ["path", "modificationTime", "length"]
 
@@ -28,7 +29,9 @@ def refresh(spark: SparkSession, root: str, name: str, schema: str, table: str)
     A file is one object of `schema` or it is bad. Contents are read of files between the first and the last time of change among those
     that are due; what else is of these times is left out before it is parsed.
     """
-    now = stored(_files(spark, root, name).select(*SEEN))
+    listed = _files(spark, root, name)  # once
+    with small_files(spark):
+        now = stored(listed.select(*SEEN))
     known = stored(tables.read(spark, table).select(*SEEN)) if tables.snapshot(spark, table) else now.limit(0)
     due = stored(now.join(known, SEEN, "left_anti"))
     gone = stored(known.join(now, "path", "left_anti"))
@@ -36,11 +39,12 @@ def refresh(spark: SparkSession, root: str, name: str, schema: str, table: str)
     removed = gone.count()
     if not parsed and not removed:
         return {"parsed": 0, "bad": 0, "gone": 0}
-    rows = _files(spark, root, name).where(F.col("modificationTime").between(F.lit(first), F.lit(last))).join(due.select("path"), "path", "left_semi")
+    rows = listed.where(F.col("modificationTime").between(F.lit(first), F.lit(last))).join(due.select("path"), "path", "left_semi")
     text = F.decode("content", "utf-8")
     rows = rows.select(*SEEN, text.alias("text"), F.from_json(text, f"struct<{schema}, _corrupt_record: string>", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("value"))
     bad = F.col("value").isNull() | F.col("value._corrupt_record").isNotNull()
-    rows = stored(rows.select(*SEEN, F.when(bad, F.col("text")).alias("bad"), F.when(~bad, F.col("value").dropFields("_corrupt_record")).alias("value")))
+    with small_files(spark):
+        rows = stored(rows.select(*SEEN, F.when(bad, F.col("text")).alias("bad"), F.when(~bad, F.col("value").dropFields("_corrupt_record")).alias("value")))
     tables.write(rows, table, "path", documents=gone.select("path"))
     return {"parsed": parsed, "bad": rows.where("bad IS NOT NULL").count(), "gone": removed}
 

@@ -67,3 +67,17 @@ def test_files_of_documents_with_long_ids(spark, tmp_path):
             got = catalog.queries()[name](spark, str(tmp_path))
             want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]}) q").fetchall()
             assert Counter(map(tuple, got.collect())) == Counter(want), name
+
+
+def test_many_small_files_are_few_tasks_and_listed_once(spark, tmp_path, monkeypatch):
+    files.write_named(spark.range(400).selectExpr("concat('d', id, '/graph.json') AS name", "concat('{\"doc_id\": \"D', id, '\", \"n\": 1}') AS content"), str(tmp_path / "in"))
+    whole = lambda: ledger._files(spark, str(tmp_path / "in"), "graph.json")
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    plain = whole().rdd.getNumPartitions()
+    with files.small_files(spark):
+        assert whole().rdd.getNumPartitions() <= 8 < plain
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == was
+    calls, listing = [], ledger._files
+    monkeypatch.setattr(ledger, "_files", lambda *a: calls.append(a) or listing(*a))
+    assert ledger.refresh(spark, str(tmp_path / "in"), "graph.json", SCHEMA, str(tmp_path / "table"))["parsed"] == 400
+    assert len(calls) == 1
