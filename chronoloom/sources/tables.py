@@ -1,7 +1,7 @@
 """Per-document results as bucketed tables with versions.
 
-A table is a folder. Each write adds a version: the rows of some documents, clustered by document in as many buckets as the bytes of
-the first version need, written by Spark's bucketed writer. Then a snapshot is written that names the live versions; it is the last step, so a
+A table is a folder. Each write adds a version: the rows of some documents, clustered by document in as many buckets as the first version's
+bytes in memory need, written by Spark's bucketed writer. Then a snapshot is written that names the live versions; it is the last step, so a
 write that fails leaves what was there. A version replaces all rows of its documents, those that it has no rows of included; nothing
 else is written again. Readers register the live versions as a bucketed table, take each document's last version inside its bucket, and keep
 the bucketing: joins, windows and aggregates by document need no exchange. `compact` makes one version of all.
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.storage import stored
 
-#: Bytes of a bucket in the first version, and buckets at most.
+#: Bytes of a bucket in the first version, in memory, and buckets at most.
 BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 1 << 16
+#: Bytes of a row in memory and of each of its fields, while a task sorts it.
+ROW_BYTES, FIELD_BYTES = 64, 24
 SNAPSHOT = "version string, key string, buckets int, columns string, live array<string>"
 #: Columns of a version beside the results: whether the row only says that its document has none.
 GONE = "_gone"
@@ -58,7 +60,8 @@ def _committed(spark: SparkSession, path: str, version: str, rows: DataFrame, ke
 
 def _buckets(rows: DataFrame) -> int:
     """A power of two, so that tables of unlike sizes still divide into each other's buckets."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the stored files
+    files = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = max(files, rows.count() * (ROW_BYTES + FIELD_BYTES * len(rows.columns)))  # files may be a hundredth of what a task sorts
     return min(MOST_BUCKETS, 1 << max(0, -(-size // BUCKET_BYTES) - 1).bit_length())
 
 

@@ -87,3 +87,11 @@ def test_buckets_follow_the_bytes(spark, tmp_path, monkeypatch):
     assert n > 4 and n & (n - 1) == 0 and tables.read(spark, path).count() == 1000
     tables.write(rows(spark, [], "a"), str(tmp_path / "none"))
     assert tables.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_that_files_hold_in_few_bytes_are_spread(spark, tmp_path, monkeypatch):
+    """A hundred thousand equal rows are a small file, but not a small sort."""
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 2 << 20)
+    path = str(tmp_path / "t")
+    tables.write(spark.range(100_000).select("id", F.lit("x").alias("v")).withColumnRenamed("id", "doc_id").withColumn("n", F.lit(1)), path)
+    assert 4 <= tables.snapshot(spark, path)["buckets"] <= 16 and tables.read(spark, path).count() == 100_000
