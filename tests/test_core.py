@@ -488,3 +488,25 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_prompts_deal_texts_once(spark):
+    """Candidates are found by numbers with gaps as well, those of unknown events are left out; texts are dealt once for each table."""
+    docs = spark.createDataFrame([(1, "A", "t1"), (2, "B", "t2")], "doc_id long, doc_name string, text string")
+    nodes = spark.createDataFrame([(1, n, f"E{n}", f"x{n}") for n in (2, 3, 7, 11)] + [(2, 1, "E1", None)], "doc_id long, event_no long, event_id string, text string")
+    pairs = spark.createDataFrame([(1, 7, 11), (1, 2, 3), (1, 2, 3), (1, 2, 4), (1, 3, 11), (2, 1, 5)], "doc_id long, i long, j long")
+    said = pairs.where("doc_id = 1 AND j != 4").distinct().selectExpr("doc_id", "0 AS round", "'temporal' AS expert", "'causal' AS kind", "i", "j", "'r' AS reason")
+    one, two = prep.expert_prompts(docs, nodes, pairs), prep.expert_prompts(docs, nodes, None, said)
+    rows = {(r.doc_id, r.expert): r.user_prompt for r in one.collect()}
+    assert '{"edge1":{"E2":"x2","E3":"x3"},"edge2":{"E3":"x3","E11":"x11"},"edge3":{"E7":"x7","E11":"x11"}}' in rows[1, "discourse"]
+    assert prep.NO_CANDIDATES in rows[2, "commonsense"] and '{"event_id":"E7","text":"x7"}' in rows[1, "temporal"] and len(rows) == 8
+    told = {(r.doc_id, r.expert): r.user_prompt for r in two.collect()}
+    assert "Results of the other experts" in told[1, "discourse"] and "Results" not in told[1, "temporal"] and "Results" not in told[2, "discourse"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (prep.expert_prompts(docs, nodes, pairs), prep.expert_prompts(docs, nodes, None, said)):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            at = next(k for k, x in enumerate(lines) if "NestedLoopJoin" in x or "CartesianProduct" in x)
+            assert not any("Exchange" in x or "Sort " in x for x in lines[:at])  # nothing is dealt or sorted once for each expert
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
