@@ -65,7 +65,9 @@ def whole_documents(rows: DataFrame, work: Callable[[pa.Table], pa.Table | pa.Re
         if held:
             yield from done(pa.concat_tables(held))
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    # by a struct: a join by the same columns would stand in for this exchange, and where it turns into a broadcast its rows are read as they
+    # were written, so a document's rows would be in several tasks
+    return rows.repartition(F.struct(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def places(table: pa.Table) -> np.ndarray:

@@ -232,3 +232,14 @@ def test_rarity_routes_agree(spark, monkeypatch):
         got = {(r.doc_id, r.event_no): r.rare for r in scoring.rarity(vectors).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert scoring.rarity(vectors.limit(0)).count() == 0
+
+
+def test_documents_are_dealt_after_a_join_by_document(spark):
+    """The exchange of a join may be read in pieces by adaptive execution, so it doesn't stand in for that of whole documents."""
+    a, b = (spark.range(100).selectExpr("id AS doc_id", f"id AS {c}") for c in ("x", "y"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = bt.whole_documents(a.join(b, "doc_id"), lambda table: table.select(["doc_id"]), "doc_id long")
+        assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
