@@ -195,12 +195,18 @@ def linked(signatures: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     return links
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+    """The rows of batches with a column `shingles`, made a slice at a time: a batch holds the sets of thousands of texts."""
+    for batch in batches:
+        for part in tx.slices(batch, "shingles"):
+            yield zip(*[c.to_pylist() for c in part.columns], strict=True)
+
+
 def _in_groups(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Consecutive rows with equal values of the first `keys` columns, as lists of their other values."""
     now, held = None, []
-    for batch in rows:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
+    for part in _parts(rows):
+        for row in part:
             if row[:keys] != now:
                 if held:
                     yield held
@@ -244,7 +250,7 @@ def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
                 yield _pairs([(group[i][0], group[j][0]) for i, j in _stars(found)])  # in the order of their classes
 
     rows = members.select("label", "block", "class", "signature", "shingles")
-    return rows.repartition("label", "block").sortWithinPartitions("label", "block", "class").mapInArrow(run, LINKS)
+    return tx.map_arrow(rows.repartition("label", "block").sortWithinPartitions("label", "block", "class"), run, LINKS)
 
 
 def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -256,9 +262,8 @@ def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, ready, out = None, [], None, []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for bucket, block, place, name, root, passes, home, signature, shingles in zip(*columns, strict=True):
+        for part in _parts(batches):
+            for bucket, block, place, name, root, passes, home, signature, shingles in part:
                 if (bucket, block) != now:
                     now, own, ready = (bucket, block), [], None
                 if not place:
@@ -283,7 +288,7 @@ def _links_across_blocks(members: DataFrame, percent: int) -> DataFrame:
 
     order = ["bucket", "block", "place"]
     rows = members.select(*order, "class", "root", "passes", "home", "signature", "shingles")
-    return rows.repartition("bucket", "block").sortWithinPartitions(*order, "class").mapInArrow(run, LINKS).distinct()
+    return tx.map_arrow(rows.repartition("bucket", "block").sortWithinPartitions(*order, "class"), run, LINKS).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

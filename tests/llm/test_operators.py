@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -628,3 +629,39 @@ def test_chat_of_odd_conversations(spark):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256) == (len(rows), hashlib.sha256(said.encode()).hexdigest()), conv
         assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest()), conv
+
+
+# memory of workers
+
+
+def test_groups_are_read_a_slice_at_a_time():
+    """The sets of a batch of thousands of texts are not all copied at once."""
+    n, one = 2000, b"x" * 8000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n), pa.array([b"%d" % i for i in range(n)]), pa.array([one] * n)], names=["label", "block", "class", "shingles"])
+    tracemalloc.start()
+    try:
+        assert [int(x) for group in minhash._in_groups(iter([batch]), 2) for x, _ in group] == list(range(n))
+        assert tracemalloc.get_traced_memory()[1] < 5_000_000  # of 16 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_give_their_memory_back(spark):
+    """One worker's memory after a task that needed much, as it is when the next task begins."""
+
+    def large(batches):
+        for batch in batches:
+            held = [pa.array(np.full(20_000, i)) for i in range(1000)]  # 160 MB
+            yield batch
+            del held
+
+    def small(batches):
+        for batch in batches:
+            with open("/proc/self/smaps_rollup") as file:
+                used = sum(int(x.split()[1]) for x in file if x.startswith(("Pss_Anon", "Pss_Shmem")))
+            yield pa.RecordBatch.from_arrays([pa.array([used] * batch.num_rows, pa.int64())], names=["id"])
+
+    rows = spark.range(1).coalesce(1)
+    before = tx.map_arrow(rows, small, "id long").first().id
+    assert tx.map_arrow(rows, large, "id long").count() == 1
+    assert tx.map_arrow(rows, small, "id long").first().id - before < 60_000  # KB
