@@ -1,9 +1,9 @@
 """JSON files parsed once: a ledger of path, size and time tells which are new or changed.
 
-The parsed files are a bucketed table with versions (`tables`), a row for each, which is the ledger too. A refresh lists the files, which
+The parsed files are a bucketed table with versions (`tables`), a row for each, which is the ledger too. A refresh lists the files (`listing`), which
 reads none of them, parses those that the ledger doesn't have in this size and of this time, and takes out those that are gone. Files that don't
 parse are rows as well, with their text, so they aren't tried again until they change, and are read by themselves. A file without a byte
-is none, as Spark lists none.
+is none.
 """
 
 from __future__ import annotations
@@ -13,39 +13,38 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.storage import stored
 
-from . import tables
+from . import listing, tables
 from .files import small_files
 
 SEEN = ["path", "modificationTime", "length"]
 
 
 def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    return listing.dealt(listing.listed(spark, root, name).where("length > 0"))
 
 
 def refresh(spark: SparkSession, root: str, name: str, schema: str, table: str) -> dict[str, int]:
     """Brings the table up to the files `name` below `root`. Returns how many were parsed, how many of these are bad, and how many are gone.
 
-    A file is one object of `schema` or it is bad. Contents are read of files between the first and the last time of change among those
-    that are due; what else is of these times is left out before it is parsed.
+    A file is one object of `schema` or it is bad. Contents are read of files that are due alone.
     """
-    listed = _files(spark, root, name)  # once
     with small_files(spark):
-        now = stored(listed.select(*SEEN))
-    known = stored(tables.read(spark, table).select(*SEEN)) if tables.snapshot(spark, table) else now.limit(0)
-    due = stored(now.join(known, SEEN, "left_anti"))
-    gone = stored(known.join(now, "path", "left_anti"))
-    first, last, parsed = due.agg(F.min("modificationTime"), F.max("modificationTime"), F.count("*")).first()
-    removed = gone.count()
+        now = _files(spark, root, name)  # once
+    known = tables.read(spark, table).select(*SEEN) if tables.snapshot(spark, table) else now.limit(0)
+    one = lambda rows, name: rows.select("path", F.struct("modificationTime", "length").alias(name))
+    both = stored(one(now, "now").join(one(known, "was"), "path", "full"))  # no side of it is ever broadcast: paths are few bytes in a file, many in memory
+    due = both.where("now IS NOT NULL AND NOT now <=> was").select("path", "now.*")
+    gone = both.where("now IS NULL").select("path")
+    parsed, removed = due.count(), gone.count()
     if not parsed and not removed:
         return {"parsed": 0, "bad": 0, "gone": 0}
-    rows = listed.where(F.col("modificationTime").between(F.lit(first), F.lit(last))).join(due.select("path"), "path", "left_semi")
+    with small_files(spark):
+        rows = listing.contents(due, root, name)
     text = F.decode("content", "utf-8")
     rows = rows.select(*SEEN, text.alias("text"), F.from_json(text, f"struct<{schema}, _corrupt_record: string>", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("value"))
     bad = F.col("value").isNull() | F.col("value._corrupt_record").isNotNull()
-    with small_files(spark):
-        rows = stored(rows.select(*SEEN, F.when(bad, F.col("text")).alias("bad"), F.when(~bad, F.col("value").dropFields("_corrupt_record")).alias("value")))
-    tables.write(rows, table, "path", documents=gone.select("path"))
+    rows = stored(rows.select(*SEEN, F.when(bad, F.col("text")).alias("bad"), F.when(~bad, F.col("value").dropFields("_corrupt_record")).alias("value")))
+    tables.write(rows, table, "path", documents=gone if removed else None)
     return {"parsed": parsed, "bad": rows.where("bad IS NOT NULL").count(), "gone": removed}
 
 

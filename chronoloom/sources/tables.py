@@ -75,7 +75,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", documents: DataFrame |
     buckets = buckets or _buckets(rows)
     marked = rows.withColumn(GONE, F.lit(False))
     if was and documents is not None:
-        none = documents.select(key).distinct().join(rows.select(key), key, "left_anti")
+        none = documents.select(key).distinct().join(rows.select(key).hint("merge"), key, "left_anti")  # keys are few bytes in a file, many if broadcast
         marked = marked.unionByName(none.withColumn(GONE, F.lit(True)), allowMissingColumns=True)
     number = int(was["version"].partition("-")[0]) + 1 if was else 1
     _committed(spark, path, f"{number:08d}-{uuid.uuid4().hex}", marked, key, buckets, was["live"] if was else [])
