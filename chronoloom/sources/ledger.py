@@ -43,8 +43,8 @@ def refresh(spark: SparkSession, root: str, name: str, schema: str, table: str)
     text = F.decode("content", "utf-8")
     rows = rows.select(*SEEN, text.alias("text"), F.from_json(text, f"struct<{schema}, _corrupt_record: string>", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("value"))
     bad = F.col("value").isNull() | F.col("value._corrupt_record").isNotNull()
-    rows = stored(rows.select(*SEEN, F.when(bad, F.col("text")).alias("bad"), F.when(~bad, F.col("value").dropFields("_corrupt_record")).alias("value")))
-    tables.write(rows, table, "path", documents=gone if removed else None)
+    rows = rows.select(*SEEN, F.when(bad, F.col("text")).alias("bad"), F.when(~bad, F.col("value").dropFields("_corrupt_record")).alias("value"))
+    rows = tables.write(rows, table, "path", documents=gone if removed else None)
     return {"parsed": parsed, "bad": rows.where("bad IS NOT NULL").count(), "gone": removed}
 
 

@@ -45,6 +45,11 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
 
 
+def _batch(found: list[tuple[str, bool, int, int]]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "folder": pa.bool_(), "changed": pa.int64(), "length": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def _top(spark: SparkSession, root: str) -> tuple[str, str, list[str]] | None:
     """The folder above the first pattern in `root`, what its paths have before the store's own, and the patterns; null if only Spark opens it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -78,17 +83,17 @@ def listed(spark: SparkSession, root: str, name: str, nested: bool = True) -> Da
 
         def run(batches: Iterator[pa.RecordBatch], own: re.Pattern | None = own, files: bool = files, folders: bool = folders) -> Iterator[pa.RecordBatch]:
             store = _store(start)[0]
+            held: list[tuple[str, bool, int, int]] = []
             for batch in batches:
                 for folder in batch.column(0).to_pylist():
-                    kept = [x for x in store.get_file_info(fs.FileSelector(folder.removeprefix(before))) if own is None or own.fullmatch(x.base_name)]
-                    kept = [x for x in kept if (folders and (own or not _hidden(x.base_name)) if x.type == fs.FileType.Directory else files and wanted.fullmatch(x.base_name) and not _hidden(x.base_name))]
-                    for i in range(0, len(kept), TOGETHER):
-                        some = kept[i : i + TOGETHER]
-                        is_folder = [x.type == fs.FileType.Directory for x in some]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([before + x.path for x in some]), pa.array(is_folder), pa.array([(x.mtime_ns or 0) // 1_000_000 for x in some], pa.int64()), pa.array([0 if d else x.size for x, d in zip(some, is_folder, strict=True)], pa.int64())],
-                            names=["path", "folder", "changed", "length"],
-                        )
+                    for x in store.get_file_info(fs.FileSelector(folder.removeprefix(before))):
+                        is_folder, shown = x.type == fs.FileType.Directory, not _hidden(x.base_name)
+                        if (own is None or own.fullmatch(x.base_name)) and (folders and (own or shown) if is_folder else files and shown and wanted.fullmatch(x.base_name)):
+                            held.append((before + x.path, is_folder, (x.mtime_ns or 0) // 1_000_000, 0 if is_folder else x.size))
+                    while len(held) >= TOGETHER:
+                        yield _batch(held[:TOGETHER])
+                        held = held[TOGETHER:]
+            yield _batch(held)
 
         rows = stored(level.mapInArrow(run, FOUND))
         found.append(rows.where("NOT folder"))

@@ -65,8 +65,8 @@ def _buckets(rows: DataFrame) -> int:
     return min(MOST_BUCKETS, 1 << max(0, -(-size // BUCKET_BYTES) - 1).bit_length())
 
 
-def write(df: DataFrame, path: str, key: str = "doc_id", documents: DataFrame | None = None, buckets: int | None = None) -> None:
-    """`df` as the rows of its documents from now on; of those in `documents` that it has no row of, there are none any more."""
+def write(df: DataFrame, path: str, key: str = "doc_id", documents: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """`df` as the rows of its documents from now on; of those in `documents` that it has no row of, there are none any more. Returns `df` as stored."""
     spark = df.sparkSession
     was = snapshot(spark, path)
     rows = stored(df)
@@ -79,6 +79,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", documents: DataFrame |
         marked = marked.unionByName(none.withColumn(GONE, F.lit(True)), allowMissingColumns=True)
     number = int(was["version"].partition("-")[0]) + 1 if was else 1
     _committed(spark, path, f"{number:08d}-{uuid.uuid4().hex}", marked, key, buckets, was["live"] if was else [])
+    return rows
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
